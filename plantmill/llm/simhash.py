@@ -6,7 +6,7 @@ repetition word of the block's majority. Blocks of three have covering radius 1,
 of such blocks. Two fingerprints within 2 bits have a midpoint within 1 bit of both, and the midpoint lies within the
 covering radius of its own anchor; so each fingerprint goes to the anchors of all words within 1 bit of itself (every
 anchor that lies within radius plus threshold and can hold a partner), and two linked ones always meet at an anchor.
-That takes 1 + (blocks of one bit) + (unequal blocks of three) copies of a fingerprint, 17 on average at 22 blocks.
+That takes 1 + (blocks of one bit) + (unequal blocks of three) copies of a fingerprint, 22 on average at 26 blocks.
 
 The number of anchors follows the number of distinct fingerprints (`blocks_for`), so that an anchor holds a few of them at
 any size of corpus; the result is the same for any code. Exact copies are one fingerprint before any of this. An
@@ -63,8 +63,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def blocks_for(n: int) -> int:
-    """Blocks of the code for n distinct fingerprints: about as many anchors as fingerprints, 22 to 64 blocks."""
-    k = max(22, min(BITS, int(n).bit_length()))
+    """Blocks of the code for n distinct fingerprints: about 256 anchors for each, so chance meetings stay as rare at any size."""
+    k = max(22, min(BITS, int(n).bit_length() + 8))
     return k + (k % 2)  # 64 = ones + 3 * triples, so ones + triples is even
 
 
