@@ -1,11 +1,736 @@
-"""The queries of the plant jobs over the driver's tables, and the SQL that says the same."""
+"""The queries of the plant jobs over the driver's tables, and the DuckDB SQL that says the same.
+
+Each entry is one operator of the inventory on a derived table (`sources.tables`). Non-integer results are rounded in both.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plantmill.operators import camera, components, curves, graph, image, measure, results, volume
+from plantmill.sources.tables import COLS, ROWS, SIDE, load, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "v1_log_odds"
+DIMS = (SIDE, SIDE, SIDE)
+
+
+def query(needs: tuple[str, ...] = (), sql: str | None = None, select: bool = True) -> Callable:
+    """Register a query by its function's name, with its oracle: SQL over the derived tables it needs."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            body = sql.lstrip()
+            prelude = with_clause(*needs) if needs else ""
+            joined = body if not prelude else prelude + (",\n" + body[5:] if body.startswith("WITH ") else "\n" + body)
+            ORACLES[f.__name__] = joined.replace(prelude + ",\nRECURSIVE", "WITH RECURSIVE" + prelude[4:] + ",") if "RECURSIVE" in joined else joined
+        return f
+
+    return add
+
+
+def r(c: str | Column, n: int = 4) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, n) + 0.0
+
+
+def q(expr: str, n: int = 4) -> str:
+    return f"(round({expr}, {n}) + 0.0)"
+
+
+# Projection of p(x, y, z, ...) joined to frames, as SQL.
+_CAM = """(r11 * x + r12 * y + r13 * z + t1) AS xc, (r21 * x + r22 * y + r23 * z + t2) AS yc, (r31 * x + r32 * y + r33 * z + t3) AS d"""
+_SEEN = f"""WITH vox AS (SELECT plant_id, i, j, k, ox + (i + 0.5) * voxel_size AS x, oy + (j + 0.5) * voxel_size AS y, oz + (k + 0.5) * voxel_size AS z
+  FROM grids, (SELECT unnest(range(0, {SIDE})) AS i), (SELECT unnest(range(0, {SIDE})) AS j), (SELECT unnest(range(0, {SIDE})) AS k)),
+cam AS (SELECT v.*, f.* EXCLUDE (plant_id), {_CAM} FROM vox v JOIN frames f USING (plant_id)),
+nrm AS (SELECT *, xc / d AS a, yc / d AS b FROM cam WHERE d > 0),
+sub AS (SELECT *, fx * (a * (1 + k1 * (a*a+b*b) + k2 * (a*a+b*b) * (a*a+b*b)) + 2 * p1 * a * b + p2 * (a*a+b*b + 2*a*a)) + cx AS u, fy * (b * (1 + k1 * (a*a+b*b) + k2 * (a*a+b*b) * (a*a+b*b)) + p1 * (a*a+b*b + 2*b*b) + 2 * p2 * a * b) + cy AS v FROM nrm),
+px AS (SELECT plant_id, i, j, k, frame_idx, floor(v)::BIGINT + 1 AS row, floor(u)::BIGINT + 1 AS col FROM sub WHERE u >= 0 AND u < width AND v >= 0 AND v < height)"""
+_GREEN = f"(CASE WHEN r + g + b >= {127 / 255!r} AND r + g + b > 0 THEN g / (r + g + b) ELSE 0.0 END)"
+_MASK = f"SELECT plant_id, frame_idx, row, col FROM pixels WHERE {_GREEN} > 0.3"
+_COUNTS = f"""{_SEEN}, msk AS ({_MASK}),
+counts AS (SELECT v.plant_id, v.i, v.j, v.k, count(p.frame_idx) AS seen, count(m.row) AS hits FROM vox v LEFT JOIN px p USING (plant_id, i, j, k) LEFT JOIN msk m ON m.plant_id = p.plant_id AND m.frame_idx = p.frame_idx AND m.row = p.row AND m.col = p.col GROUP BY ALL)"""
+_P = volume.VoteParams()
+_HIT, _MISS, _PRIOR = math.log(_P.tpr / _P.fpr), math.log((1 - _P.tpr) / (1 - _P.fpr)), math.log(_P.prior / (1 - _P.prior))
+_LOD = f"{_COUNTS}, lod AS (SELECT plant_id, i, j, k, {_PRIOR!r} + hits * {_HIT!r} + (seen - hits) * {_MISS!r} AS lod FROM counts)"
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "frames")
+
+
+def voxels(spark: SparkSession, d: str) -> DataFrame:
+    return camera.voxels_from_bbox(load(spark, d, "grids"))
+
+
+def green_mask(spark: SparkSession, d: str) -> DataFrame:
+    return image.threshold(image.green_index(load(spark, d, "pixels")), 0.3)
+
+
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    return volume.vote_counts(voxels(spark, d), frames(spark, d), green_mask(spark, d))
+
+
+# --- cameras, boxes, grids, projections
+
+
+@query(("frames",), f"SELECT plant_id, frame_idx, {q('-(r11*t1+r21*t2+r31*t3)', 6)} AS x, {q('-(r12*t1+r22*t2+r32*t3)', 6)} AS y, {q('-(r13*t1+r23*t2+r33*t3)', 6)} AS z FROM frames")
+def p1_camera_centres(spark: SparkSession, d: str) -> DataFrame:
+    return camera.camera_centres(frames(spark, d)).select("plant_id", "frame_idx", *(r(c, 6).alias(c) for c in "xyz"))
+
+
+@query(("frames",), f"SELECT plant_id, {q('avg(-(r11*t1+r21*t2+r31*t3))')} AS x, {q('avg(-(r12*t1+r22*t2+r32*t3))')} AS y, {q('avg(-(r13*t1+r23*t2+r33*t3))')} AS z FROM frames GROUP BY plant_id")
+def a1_pose_centroid(spark: SparkSession, d: str) -> DataFrame:
+    return camera.pose_centroid(frames(spark, d)).select("plant_id", *(r(c).alias(c) for c in "xyz"))
+
+
+@query(("frames",), f"""SELECT plant_id, {q('x - 25.0')} AS ox, {q('y - 25.0')} AS oy, {q('z - 250.0 - 70.0')} AS oz, 50.0::DOUBLE AS wx, 50.0::DOUBLE AS wy, 250.0::DOUBLE AS wz
+  FROM (SELECT plant_id, avg(-(r11*t1+r21*t2+r31*t3)) AS x, avg(-(r12*t1+r22*t2+r32*t3)) AS y, avg(-(r13*t1+r23*t2+r33*t3)) AS z FROM frames GROUP BY plant_id)""")
+def p2_bounding_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return camera.bounding_boxes(frames(spark, d)).select("plant_id", *(r(c).alias(c) for c in ("ox", "oy", "oz", "wx", "wy", "wz")))
+
+
+@query(("grids",), f"""SELECT plant_id, i, j, k, ox + (i + 0.5) * voxel_size AS x, oy + (j + 0.5) * voxel_size AS y, oz + (k + 0.5) * voxel_size AS z
+  FROM grids, (SELECT unnest(range(0, {SIDE})) AS i), (SELECT unnest(range(0, {SIDE})) AS j), (SELECT unnest(range(0, {SIDE})) AS k)""")
+def p3_voxel_grid(spark: SparkSession, d: str) -> DataFrame:
+    return voxels(spark, d)
+
+
+@query(("grids",), "SELECT plant_id, ox, wx + 1 AS wx, oy, wy + 1 AS wy, oz, wz + 1 AS wz FROM grids")
+def p4_grid_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return camera.grid_bounds(voxels(spark, d), 1.0)
+
+
+@query(("frames", "grids"), f"{_SEEN} SELECT plant_id, i, j, k, frame_idx, {q('u')} AS u, {q('v')} AS v FROM sub WHERE k = 3")
+def p5_project(spark: SparkSession, d: str) -> DataFrame:
+    return camera.project(voxels(spark, d).where("k = 3"), frames(spark, d), to_pixel=False).select("plant_id", "i", "j", "k", "frame_idx", r("u").alias("u"), r("v").alias("v"))
+
+
+@query(("frames", "grids"), f"{_SEEN} SELECT plant_id, i, j, k, frame_idx, row, col FROM px")
+def p6_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return camera.project(voxels(spark, d), frames(spark, d)).select("plant_id", "i", "j", "k", "frame_idx", "row", "col")
+
+
+_SEG = "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_partkey % 60 AS DOUBLE) AS y1, CAST(l_suppkey % 80 AS DOUBLE) - 20 AS x2, CAST(l_orderkey % 70 AS DOUBLE) - 15 AS y2 FROM lineitem"
+
+
+@query((), f"""WITH s AS ({_SEG}), e AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM s),
+ t AS (SELECT *, greatest(0.0, CASE WHEN -dx < 0 THEN (x1 - 5.0) / -dx ELSE 0.0 END, CASE WHEN dx < 0 THEN (40.0 - x1) / dx ELSE 0.0 END, CASE WHEN -dy < 0 THEN (y1 - 5.0) / -dy ELSE 0.0 END, CASE WHEN dy < 0 THEN (40.0 - y1) / dy ELSE 0.0 END) AS t0,
+  least(1.0, CASE WHEN -dx > 0 THEN (x1 - 5.0) / -dx ELSE 1.0 END, CASE WHEN dx > 0 THEN (40.0 - x1) / dx ELSE 1.0 END, CASE WHEN -dy > 0 THEN (y1 - 5.0) / -dy ELSE 1.0 END, CASE WHEN dy > 0 THEN (40.0 - y1) / dy ELSE 1.0 END) AS t1 FROM e WHERE NOT (dx = 0 AND (x1 < 5 OR x1 > 40)) AND NOT (dy = 0 AND (y1 < 5 OR y1 > 40)))
+ SELECT l_orderkey, l_linenumber, {q('x1 + dx * t0')} AS x1, {q('y1 + dy * t0')} AS y1, {q('x1 + dx * t1')} AS x2, {q('y1 + dy * t1')} AS y2 FROM t WHERE t0 <= t1""")
+def p7_clip_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.sql(_SEG.replace("FROM lineitem", "FROM {t}"), t=load(spark, d, "lineitem"))
+    s = s.withColumns({"xmin": F.lit(5.0), "xmax": F.lit(40.0), "ymin": F.lit(5.0), "ymax": F.lit(40.0)})
+    return camera.clip_segments(s).select("l_orderkey", "l_linenumber", *(r(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query((), "SELECT c_custkey, CASE WHEN m IN ('SIMPLE_PINHOLE','PINHOLE') THEN 0.0 WHEN m IN ('SIMPLE_RADIAL','RADIAL') THEN c_custkey / 100.0 + 3 WHEN m = 'OPENCV' THEN c_custkey / 100.0 + 4 END AS k1, CASE WHEN m IN ('SIMPLE_PINHOLE','PINHOLE','SIMPLE_RADIAL') THEN 0.0 WHEN m = 'RADIAL' THEN c_custkey / 100.0 + 4 WHEN m = 'OPENCV' THEN c_custkey / 100.0 + 5 END AS k2, CASE WHEN m = 'OPENCV' THEN c_custkey / 100.0 + 6 WHEN m <> 'FISHEYE' THEN 0.0 END AS p1, CASE WHEN m = 'OPENCV' THEN c_custkey / 100.0 + 7 WHEN m <> 'FISHEYE' THEN 0.0 END AS p2, CASE WHEN m = 'FISHEYE' THEN 'unknown camera model FISHEYE' END AS error FROM (SELECT c_custkey, ['SIMPLE_PINHOLE','PINHOLE','SIMPLE_RADIAL','RADIAL','OPENCV','FISHEYE'][c_custkey % 6 + 1] AS m FROM customer)")
+def s5_camera_models(spark: SparkSession, d: str) -> DataFrame:
+    models = F.array(*map(F.lit, ("SIMPLE_PINHOLE", "PINHOLE", "SIMPLE_RADIAL", "RADIAL", "OPENCV", "FISHEYE")))
+    rows = load(spark, d, "customer").select("c_custkey", F.get(models, (F.col("c_custkey") % 6).cast("int")).alias("model"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col("c_custkey") / 100.0 + k).alias("params"))
+    return camera.normalise_cameras(rows).drop("model")
+
+
+@query(("frames",), "SELECT plant_id, a, b FROM (SELECT plant_id, frame_idx AS a, coalesce(lead(frame_idx) OVER w, min(frame_idx) OVER (PARTITION BY plant_id)) AS b FROM frames WINDOW w AS (PARTITION BY plant_id ORDER BY frame_idx)) WHERE a <> b")
+def j3_image_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return camera.image_pairs(frames(spark, d))
+
+
+@query(("frames",), "SELECT x.plant_id, x.frame_idx AS a, y.frame_idx AS b FROM frames x JOIN frames y ON x.plant_id = y.plant_id AND x.frame_idx < y.frame_idx")
+def j4_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return camera.all_pairs(frames(spark, d))
+
+
+@query(("images",), "SELECT plant_id, frame_idx, x, y, z, 4.0::DOUBLE AS var_x, 4.0::DOUBLE AS var_y, 9.0::DOUBLE AS var_z, has_pose = 1 AS registered FROM images WHERE has_pose = 1 UNION ALL SELECT plant_id, frame_idx, NULL, NULL, NULL, NULL, NULL, NULL, false FROM images WHERE has_pose = 0")
+def j5_pose_priors(spark: SparkSession, d: str) -> DataFrame:
+    images = load(spark, d, "images")
+    priors, missing = camera.pose_priors(images, images.where("has_pose = 1"), (2.0, 2.0, 3.0))
+    return priors.withColumn("registered", F.lit(True)).unionByName(missing.withColumn("registered", F.lit(False)), allowMissingColumns=True)
+
+
+@query(("images",), "SELECT plant_id, count(*) AS n_images, count(*) FILTER (has_pose = 0) AS n_missing, count(*) > 0 AND count(*) FILTER (has_pose = 0) = 0 AS valid FROM images GROUP BY plant_id")
+def s2_valid_scans(spark: SparkSession, d: str) -> DataFrame:
+    images = load(spark, d, "images").select("plant_id", "frame_idx", "has_pose")
+    lost = images.join(images.where("has_pose = 1").select("plant_id", "frame_idx"), ["plant_id", "frame_idx"], "left_anti").select("plant_id", "frame_idx", F.lit(1).alias("lost"))
+    n, bad = F.count(F.lit(1)), F.count("lost")
+    return images.join(lost, ["plant_id", "frame_idx"], "left").groupBy("plant_id").agg(n.alias("n_images"), bad.alias("n_missing"), ((n > 0) & (bad == 0)).alias("valid"))
+
+
+# --- images and masks
+
+
+def _index(name: str, op: Callable[[DataFrame], DataFrame], value: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return op(load(spark, d, "pixels")).select("plant_id", "frame_idx", "row", "col", r("feat", 6).alias("feat"))
+
+    run.__name__ = name
+    query(("pixels",), f"SELECT plant_id, frame_idx, row, col, {q(f'CASE WHEN r + g + b >= {127 / 255!r} AND r + g + b > 0 THEN ({value}) / (r + g + b) ELSE 0.0 END', 6)} AS feat FROM pixels")(run)
+
+
+_index("p9_green_index", image.green_index, "g")
+_index("p10_red_index", image.red_index, "r + b / 2.4")
+_index("p11_green_minus_red_index", image.green_minus_red_index, "g + 1.4 * b / 5.4")
+
+
+@query(("pixels",), _MASK)
+def p12_mask(spark: SparkSession, d: str) -> DataFrame:
+    return green_mask(spark, d)
+
+
+@query(("pixels",), "SELECT plant_id, frame_idx, row, col, round((0.299 * r + 0.587 * g + 0.114 * b)::DOUBLE * 255) / 255 AS feat FROM pixels")
+def i2_grey(spark: SparkSession, d: str) -> DataFrame:
+    return image.grey(load(spark, d, "pixels"))
+
+
+_DIAMOND = "(VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(a, b)"
+
+
+@query(("pixels",), f"WITH m AS ({_MASK}) SELECT DISTINCT plant_id, frame_idx, row + a AS row, col + b AS col FROM m, {_DIAMOND} WHERE row + a BETWEEN 1 AND {ROWS} AND col + b BETWEEN 1 AND {COLS}")
+def i9_dilate(spark: SparkSession, d: str) -> DataFrame:
+    return image.dilate(green_mask(spark, d), 3, ROWS, COLS)
+
+
+# Pixels of a sparser mask, so that components stay apart; labelled by recursion in SQL.
+_SPARSE = f"SELECT plant_id, frame_idx, row, col FROM pixels WHERE {_GREEN} > 0.62"
+_LABELS = f"""WITH RECURSIVE m AS MATERIALIZED ({_SPARSE}),
+e AS MATERIALIZED (SELECT a.*, b.row AS row2, b.col AS col2 FROM m a JOIN m b ON a.plant_id = b.plant_id AND a.frame_idx = b.frame_idx AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+reach AS (SELECT plant_id, frame_idx, row, col, row AS r0, col AS c0 FROM m UNION SELECT e.plant_id, e.frame_idx, e.row2, e.col2, r0, c0 FROM reach JOIN e USING (plant_id, frame_idx, row, col)),
+lab AS (SELECT plant_id, frame_idx, row, col, min(r0 * 1000 + c0) AS label FROM reach GROUP BY ALL),
+siz AS (SELECT plant_id, frame_idx, label, count(*) AS size FROM lab GROUP BY ALL)"""
+
+
+def sparse_mask(spark: SparkSession, d: str) -> DataFrame:
+    return image.threshold(image.green_index(load(spark, d, "pixels")), 0.62)
+
+
+@query(("pixels",), f"{_LABELS} SELECT plant_id, frame_idx, row, col, label FROM lab")
+def c1_components(spark: SparkSession, d: str) -> DataFrame:
+    out = components.cell_components(sparse_mask(spark, d), image.KEYS, ["row", "col"])
+    return out.select("plant_id", "frame_idx", "row", "col", (F.col("label.row") * 1000 + F.col("label.col")).alias("label"))
+
+
+@query(("pixels",), f"{_LABELS} SELECT plant_id, frame_idx, label, size FROM siz")
+def a4_component_sizes(spark: SparkSession, d: str) -> DataFrame:
+    out = components.component_sizes(components.cell_components(sparse_mask(spark, d), image.KEYS, ["row", "col"]), image.KEYS)
+    return out.select("plant_id", "frame_idx", (F.col("label.row") * 1000 + F.col("label.col")).alias("label"), "size")
+
+
+@query(("pixels",), f"{_LABELS} SELECT plant_id, frame_idx, row, col FROM lab JOIN siz USING (plant_id, frame_idx, label) WHERE size >= 3")
+def i7_remove_small(spark: SparkSession, d: str) -> DataFrame:
+    return components.remove_small(sparse_mask(spark, d), image.KEYS, ["row", "col"], 3)
+
+
+@query(("pixels",), f"{_LABELS}, best AS (SELECT plant_id, frame_idx, label FROM siz QUALIFY row_number() OVER (PARTITION BY plant_id, frame_idx ORDER BY size DESC, label) = 1) SELECT plant_id, frame_idx, row, col FROM lab SEMI JOIN best USING (plant_id, frame_idx, label)")
+def i8_keep_largest(spark: SparkSession, d: str) -> DataFrame:
+    return components.keep_largest(sparse_mask(spark, d), image.KEYS, ["row", "col"])
+
+
+@query(("pixels",), f"{_LABELS}, big AS (SELECT plant_id, frame_idx, row, col FROM lab JOIN siz USING (plant_id, frame_idx, label) WHERE size >= 2) SELECT DISTINCT plant_id, frame_idx, row + a AS row, col + b AS col FROM big, {_DIAMOND} WHERE row + a BETWEEN 1 AND {ROWS} AND col + b BETWEEN 1 AND {COLS}")
+def i10_mask(spark: SparkSession, d: str) -> DataFrame:
+    return image.mask(image.green_index(load(spark, d, "pixels")), 0.62, 2, 3, ROWS, COLS)
+
+
+@query(("pixels", "frames"), f"SELECT plant_id, {q('coalesce(n, 0) / area::DOUBLE', 6)} AS coverage FROM (SELECT plant_id, sum(width * height) AS area FROM frames GROUP BY 1) LEFT JOIN (SELECT plant_id, count(*) AS n FROM ({_MASK}) GROUP BY 1) USING (plant_id)")
+def a5_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return image.coverage(green_mask(spark, d), frames(spark, d)).select("plant_id", r("coverage", 6).alias("coverage"))
+
+
+def _opened(op: str, source: str, sign: str, offsets: list[tuple[int, int]]) -> str:
+    values = ", ".join(f"({a}, {b})" for a, b in [(0, 0), *offsets])
+    return f"(SELECT f.plant_id, f.frame_idx, f.row, f.col, {op}(g.feat) AS feat FROM {source} f, (VALUES {values}) o(a, b), {source} g WHERE g.plant_id = f.plant_id AND g.frame_idx = f.frame_idx AND g.row = f.row {sign} a AND g.col = f.col {sign} b GROUP BY ALL)"
+
+
+_LINE = image.line_element(2, math.pi / 4)
+_GREY = "WITH grey AS MATERIALIZED (SELECT plant_id, frame_idx, row, col, round((0.299 * r + 0.587 * g + 0.114 * b)::DOUBLE * 255) / 255 AS feat FROM pixels)"
+
+
+@query(("pixels",), f"{_GREY}, er AS MATERIALIZED {_opened('min', 'grey', '+', _LINE)} SELECT plant_id, frame_idx, row, col, feat FROM {_opened('max', 'er', '-', _LINE)}")
+def i4_opening(spark: SparkSession, d: str) -> DataFrame:
+    return image.opening(image.grey(load(spark, d, "pixels")), _LINE)
+
+
+_LINES = [image.line_element(1, math.pi * k / 4) for k in range(4)]
+_BOX = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+
+
+@query(("pixels",), _GREY + "".join(f", e{k} AS MATERIALIZED {_opened('min', 'grey', '+', o)}, o{k} AS MATERIALIZED {_opened('max', f'e{k}', '-', o)}" for k, o in enumerate([*_LINES, _BOX])) + f" SELECT plant_id, frame_idx, row, col, {q('greatest(o0.feat, o1.feat, o2.feat, o3.feat) - o4.feat', 6)} AS feat FROM o0 JOIN o1 USING (plant_id, frame_idx, row, col) JOIN o2 USING (plant_id, frame_idx, row, col) JOIN o3 USING (plant_id, frame_idx, row, col) JOIN o4 USING (plant_id, frame_idx, row, col)")
+def i5_thin_lines(spark: SparkSession, d: str) -> DataFrame:
+    return image.thin_lines(image.grey(load(spark, d, "pixels")), 1).select("plant_id", "frame_idx", "row", "col", r("feat", 6).alias("feat"))
+
+
+def _blurred(source: str, axis: str) -> str:
+    w = ", ".join(f"({k}, {math.exp(-k * k / 2.0)!r}::DOUBLE)" for k in range(-2, 3))
+    other = "col" if axis == "row" else "row"
+    return f"(SELECT f.plant_id, f.frame_idx, f.row, f.col, sum(w * g.feat) / sum(w) AS feat FROM {source} f, (VALUES {w}) o(k, w), {source} g WHERE g.plant_id = f.plant_id AND g.frame_idx = f.frame_idx AND g.{other} = f.{other} AND g.{axis} = f.{axis} - k GROUP BY ALL)"
+
+
+@query(("pixels",), f"{_GREY}, one AS MATERIALIZED {_blurred('grey', 'row')} SELECT plant_id, frame_idx, row, col, {q('feat')} AS feat FROM {_blurred('one', 'col')}")
+def i1_blur(spark: SparkSession, d: str) -> DataFrame:
+    return image.blur(image.grey(load(spark, d, "pixels")), 1.0).select("plant_id", "frame_idx", "row", "col", r("feat").alias("feat"))
+
+
+# --- votes and volumes
+
+
+@query(("pixels", "frames", "grids"), f"{_COUNTS} SELECT plant_id, i, j, k, seen, hits FROM counts")
+def j2_vote_counts(spark: SparkSession, d: str) -> DataFrame:
+    return counts(spark, d)
+
+
+@query(("pixels", "frames", "grids"), f"{_LOD} SELECT plant_id, i, j, k, {q('lod', 6)} AS lod FROM lod")
+def v1_log_odds(spark: SparkSession, d: str) -> DataFrame:
+    return volume.log_odds(counts(spark, d)).select("plant_id", "i", "j", "k", r("lod", 6).alias("lod"))
+
+
+@query(("pixels", "frames", "grids"), f"{_COUNTS} SELECT plant_id, i, j, k, {q(f'{math.log(0.1 / 0.9)!r} + hits * {math.log(0.9 / 0.2)!r} + (seen - hits) * {math.log((1 - 0.9) / (1 - 0.2))!r}', 6)} AS lod FROM counts")
+def v2_other_rates(spark: SparkSession, d: str) -> DataFrame:
+    return volume.log_odds(counts(spark, d), volume.VoteParams(0.1, 0.9, 0.2)).select("plant_id", "i", "j", "k", r("lod", 6).alias("lod"))
+
+
+@query(("pixels", "frames", "grids"), f"{_LOD} SELECT plant_id, i, j, k FROM lod WHERE lod > 0.5")
+def p13_occupied(spark: SparkSession, d: str) -> DataFrame:
+    return volume.occupied(volume.log_odds(counts(spark, d)), 0.5)
+
+
+@query(("pixels", "frames", "grids"), f"{_COUNTS} SELECT plant_id, max(seen) AS frames, {q(f'{_PRIOR!r} + max(seen) * {_MISS!r}')} AS low, {q(f'{_PRIOR!r} + max(seen) * {_HIT!r}')} AS high, {q(f'1 / (1 + exp(-({_PRIOR!r} + max(seen) * {_HIT!r})))')} AS p_high FROM counts GROUP BY plant_id")
+def p14_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return volume.bounds(counts(spark, d)).select("plant_id", "frames", r("low").alias("low"), r("high").alias("high"), r(volume.probability(F.col("high"))).alias("p_high"))
+
+
+@query(("pixels", "frames", "grids"), f"{_LOD} SELECT plant_id, count(*) AS voxels, count(*) FILTER (lod > 0.5) AS occupied, {q('max(lod)')} AS max_lod FROM lod GROUP BY plant_id")
+def v7_voxel_counts(spark: SparkSession, d: str) -> DataFrame:
+    return volume.voxel_counts(volume.log_odds(counts(spark, d)), 0.5).select("plant_id", "voxels", "occupied", r("max_lod").alias("max_lod"))
+
+
+_EDGES = "ed AS (SELECT a.plant_id, a.i, a.j, a.k, b.i AS i2, b.j AS j2, b.k AS k2, exp(-pow((a.lod - b.lod) / 10.0, 2)) AS w, a.lod AS x1, b.lod AS x2 FROM lod a, (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(p, q, s), lod b WHERE a.plant_id = b.plant_id AND b.i = a.i + p AND b.j = a.j + q AND b.k = a.k + s)"
+
+
+@query(("pixels", "frames", "grids"), f"{_LOD}, {_EDGES} SELECT plant_id, i, j, k, count(*) AS n, {q('sum(w)')} AS diag FROM ed GROUP BY ALL")
+def v3_gmrf_diagonal(spark: SparkSession, d: str) -> DataFrame:
+    e = volume.gmrf_edges(volume.log_odds(counts(spark, d)), 10.0)
+    return e.groupBy("plant_id", "u").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("diag")).select("plant_id", "u.i", "u.j", "u.k", "n", r("diag").alias("diag"))
+
+
+@query(("pixels", "frames", "grids"), f"{_LOD}, {_EDGES} SELECT plant_id, i, j, k, {q('sum(w * (x1 - x2))')} AS lx FROM ed GROUP BY ALL")
+def v4_laplacian(spark: SparkSession, d: str) -> DataFrame:
+    lod = volume.log_odds(counts(spark, d))
+    x = lod.select("plant_id", F.struct("i", "j", "k").alias("u"), F.col("lod").alias("x"))
+    return volume.laplacian(volume.gmrf_edges(lod, 10.0), x).select("plant_id", "u.i", "u.j", "u.k", r("lx").alias("lx"))
+
+
+@query(("plants",), "SELECT plant_id, true AS solved FROM plants")
+def v5_smooth(spark: SparkSession, d: str) -> DataFrame:
+    """Per plant: the solution of (1 + L) x = lod leaves a residual below 1e-5 of the right-hand side."""
+    lod = components.cut(volume.log_odds(counts(spark, d)))
+    x = components.cut(volume.smooth(lod, 10.0, 1.0)).select("plant_id", F.struct("i", "j", "k").alias("u"), "lod", F.col("smoothed").alias("x"))
+    lx = volume.laplacian(volume.gmrf_edges(lod, 10.0), x).join(x, ["plant_id", "u"])
+    e = F.col("x") + F.col("lx") - F.col("lod")
+    return lx.groupBy("plant_id").agg((F.sqrt(F.sum(e * e)) <= 1e-5 * F.sqrt(F.sum(F.col("lod") * F.col("lod")))).alias("solved"))
+
+
+# --- the voxel graph
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.node_ids(load(spark, d, "occupied"))
+
+
+_NODES = "WITH nd AS MATERIALIZED (SELECT plant_id, i, j, k, row_number() OVER (PARTITION BY plant_id ORDER BY k, j, i) AS node_id FROM occupied)"
+_ADJ = f"""{_NODES}, adj AS MATERIALIZED (SELECT a.plant_id, a.node_id AS u, b.node_id AS v, sqrt((p*p + q*q + s*s)::DOUBLE) AS d FROM nd a, (SELECT unnest([-1, 0, 1]) AS p) x, (SELECT unnest([-1, 0, 1]) AS q) y, (SELECT unnest([-1, 0, 1]) AS s) z, nd b
+  WHERE (p, q, s) <> (0, 0, 0) AND a.plant_id = b.plant_id AND b.i = a.i + p AND b.j = a.j + q AND b.k = a.k + s)"""
+_DT = f"""{_ADJ},
+side AS (SELECT unnest(range(0, {SIDE})) AS c),
+bg AS (SELECT g.plant_id, x.c AS i, y.c AS j, z.c AS k FROM (SELECT DISTINCT plant_id FROM nd) g, side x, side y, side z ANTI JOIN nd ON nd.plant_id = g.plant_id AND nd.i = x.c AND nd.j = y.c AND nd.k = z.c),
+dt AS MATERIALIZED (SELECT n.plant_id, n.node_id, n.i, n.j, n.k, sqrt(min((n.i - b.i) * (n.i - b.i) + (n.j - b.j) * (n.j - b.j) + (n.k - b.k) * (n.k - b.k))::DOUBLE) AS dt FROM nd n JOIN bg b ON n.plant_id = b.plant_id AND b.i BETWEEN n.i - 4 AND n.i + 4 AND b.j BETWEEN n.j - 4 AND n.j + 4 AND b.k BETWEEN n.k - 4 AND n.k + 4 GROUP BY ALL)"""
+_MB = f"""{_DT}, mb AS MATERIALIZED (SELECT * FROM dt ANTI JOIN (SELECT a.plant_id, a.u AS node_id FROM adj a JOIN dt x ON x.plant_id = a.plant_id AND x.node_id = a.u JOIN dt y ON y.plant_id = a.plant_id AND y.node_id = a.v WHERE y.dt >= x.dt + a.d - 1e-9) USING (plant_id, node_id)),
+rad AS MATERIALIZED (SELECT n.plant_id, n.node_id, n.dt, max(b.dt) AS radius FROM dt n JOIN mb b ON n.plant_id = b.plant_id AND (n.i - b.i) * (n.i - b.i) + (n.j - b.j) * (n.j - b.j) + (n.k - b.k) * (n.k - b.k) <= (b.dt + 0.5) * (b.dt + 0.5) GROUP BY ALL),
+gam AS MATERIALIZED (SELECT plant_id, node_id, 0.01 + 0.99 * pow(CASE WHEN radius = 1 THEN 1.0 ELSE (dt - 1) / (radius - 1) END, 2) AS gamma FROM rad)"""
+
+
+@query(("occupied",), f"{_NODES} SELECT * FROM nd")
+def w1_node_ids(spark: SparkSession, d: str) -> DataFrame:
+    return nodes(spark, d)
+
+
+@query(("occupied",), f"{_ADJ} SELECT plant_id, u, v, {q('d')} AS d FROM adj WHERE u < v")
+def j6_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edges(nodes(spark, d)).select("plant_id", "u", "v", r("d").alias("d"))
+
+
+def transformed(spark: SparkSession, d: str) -> DataFrame:
+    return components.cut(graph.distance_transform(nodes(spark, d), DIMS))
+
+
+@query(("occupied",), f"{_DT} SELECT plant_id, node_id, {q('dt')} AS dt FROM dt")
+def g1_distance_transform(spark: SparkSession, d: str) -> DataFrame:
+    return graph.distance_transform(nodes(spark, d), DIMS).select("plant_id", "node_id", r("dt").alias("dt"))
+
+
+@query(("occupied",), f"{_NODES} SELECT DISTINCT n.plant_id, n.node_id FROM nd n, (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(p, q, s) WHERE n.i + p BETWEEN 0 AND {SIDE - 1} AND n.j + q BETWEEN 0 AND {SIDE - 1} AND n.k + s BETWEEN 0 AND {SIDE - 1} AND NOT EXISTS (SELECT 1 FROM nd m WHERE m.plant_id = n.plant_id AND m.i = n.i + p AND m.j = n.j + q AND m.k = n.k + s)")
+def g3_boundary(spark: SparkSession, d: str) -> DataFrame:
+    return graph.boundary(nodes(spark, d), DIMS)
+
+
+_FACES = "fc AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT plant_id, node_id, i, j, k, '{a}{s}' AS face FROM nd WHERE {a} = {0 if s == 0 else SIDE - 1}" for a in "ijk" for s in (0, 1)) + ")"
+_TRUNC = f"""{_DT}, {_FACES},
+fe AS MATERIALIZED (SELECT a.plant_id, a.face, a.node_id AS u, b.node_id AS v FROM fc a JOIN fc b ON a.plant_id = b.plant_id AND a.face = b.face AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
+fr AS (SELECT plant_id, face, node_id, node_id AS origin FROM fc UNION SELECT fe.plant_id, fe.face, fe.v, origin FROM fr JOIN fe ON fe.plant_id = fr.plant_id AND fe.face = fr.face AND fe.u = fr.node_id),
+fl AS (SELECT plant_id, face, node_id, min(origin) AS label FROM fr GROUP BY ALL),
+fb AS MATERIALIZED (SELECT * FROM fl SEMI JOIN (SELECT plant_id, face, label FROM fl GROUP BY ALL HAVING count(*) >= 3) USING (plant_id, face, label))""".replace("WITH nd", "WITH RECURSIVE nd")
+
+
+@query(("occupied",), f"{_TRUNC} SELECT plant_id, face, node_id FROM fb")
+def g2_truncation(spark: SparkSession, d: str) -> DataFrame:
+    return graph.truncation(nodes(spark, d), DIMS).select("plant_id", "face", "node_id")
+
+
+@query(("occupied",), f"{_TRUNC} SELECT plant_id, face, node_id FROM fb JOIN dt USING (plant_id, node_id) WHERE face <> 'k0' QUALIFY row_number() OVER (PARTITION BY plant_id, face, label ORDER BY dt DESC, node_id) = 1")
+def g16_truncated_tips(spark: SparkSession, d: str) -> DataFrame:
+    return graph.truncated_tips(nodes(spark, d), transformed(spark, d), DIMS)
+
+
+@query(("occupied",), f"{_MB} SELECT plant_id, node_id, {q('dt')} AS dt FROM mb")
+def g4_maximal_balls(spark: SparkSession, d: str) -> DataFrame:
+    return graph.maximal_balls(transformed(spark, d)).select("plant_id", "node_id", r("dt").alias("dt"))
+
+
+@query(("occupied",), f"{_MB} SELECT plant_id, node_id, {q('radius')} AS radius FROM rad")
+def g5_local_radius(spark: SparkSession, d: str) -> DataFrame:
+    return graph.local_radius(transformed(spark, d)).select("plant_id", "node_id", r("radius").alias("radius"))
+
+
+@query(("occupied",), f"{_MB} SELECT plant_id, node_id, {q('gamma')} AS gamma FROM gam")
+def g6_conductance(spark: SparkSession, d: str) -> DataFrame:
+    dt = transformed(spark, d)
+    return graph.conductance(dt, graph.local_radius(dt)).select("plant_id", "node_id", r("gamma").alias("gamma"))
+
+
+@query(("occupied",), f"{_MB} SELECT a.plant_id, u, v, {q('d / ((x.gamma + y.gamma) / 2)')} AS w FROM adj a JOIN gam x ON x.plant_id = a.plant_id AND x.node_id = u JOIN gam y ON y.plant_id = a.plant_id AND y.node_id = v WHERE u < v")
+def g7_travel_times(spark: SparkSession, d: str) -> DataFrame:
+    dt = transformed(spark, d)
+    return graph.travel_times(graph.edges(nodes(spark, d)), graph.conductance(dt, graph.local_radius(dt))).select("plant_id", "u", "v", r("w").alias("w"))
+
+
+_ROOT = "rt AS (SELECT plant_id, node_id FROM dt QUALIFY row_number() OVER (PARTITION BY plant_id ORDER BY k, dt DESC, node_id) = 1)"
+
+
+@query(("occupied",), f"{_DT}, {_ROOT} SELECT * FROM rt")
+def g15_root(spark: SparkSession, d: str) -> DataFrame:
+    return graph.root(transformed(spark, d))
+
+
+# Distances by relaxation in SQL: as many rounds as any path needs here.
+_ROUNDS = 26
+_RELAX = "".join(f", b{n + 1} AS MATERIALIZED (SELECT plant_id, node_id, min(x) AS x FROM (SELECT plant_id, node_id, x FROM b{n} UNION ALL SELECT a.plant_id, a.v, x + a.d FROM b{n} b JOIN adj a ON a.plant_id = b.plant_id AND a.u = b.node_id) GROUP BY ALL)" for n in range(_ROUNDS))
+
+
+def rooted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    dt = transformed(spark, d)
+    e = components.cut(graph.edges(nodes(spark, d)))
+    return e, graph.shortest_paths(e, graph.root(dt))
+
+
+@query(("occupied",), f"{_DT}, {_ROOT}, b0 AS (SELECT plant_id, node_id, 0.0::DOUBLE AS x FROM rt){_RELAX} SELECT plant_id, node_id, {q('x')} AS dist FROM b{_ROUNDS}")
+def g9_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    return rooted(spark, d)[1].select("plant_id", "node_id", r("dist").alias("dist"))
+
+
+@query(("occupied",), f"{_DT}, {_ROOT}, b0 AS (SELECT plant_id, node_id, 0.0::DOUBLE AS x FROM rt){_RELAX} SELECT plant_id, node_id, {q('x')} AS dist FROM b{_ROUNDS} WHERE x <= 6")
+def g11_bounded_paths(spark: SparkSession, d: str) -> DataFrame:
+    e = components.cut(graph.edges(nodes(spark, d)))
+    return graph.shortest_paths(e, graph.root(transformed(spark, d)), max_dist=6.0).select("plant_id", "node_id", r("dist").alias("dist"))
+
+
+@query(("occupied",), f"{_DT}, {_ROOT}, b0 AS (SELECT plant_id, node_id, 0.0::DOUBLE AS x FROM rt){_RELAX}, far AS (SELECT plant_id, node_id AS tip, x FROM b{_ROUNDS} QUALIFY row_number() OVER (PARTITION BY plant_id ORDER BY x DESC, node_id) = 1) SELECT plant_id, tip, {q('x')} AS dist, {q('x')} AS walked FROM far")
+def g12_extract_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The way from each plant's farthest node: its steps sum to the distance."""
+    e, sp = rooted(spark, d)
+    tip = sp.groupBy("plant_id").agg(F.min(F.struct((-F.round("dist", 9)).alias("x"), "node_id")).alias("b")).select("plant_id", F.col("b.node_id").alias("node_id"))
+    steps = graph.extract_paths(sp, tip).join(sp, ["plant_id", "node_id"])
+    walk = steps.join(graph.both_ways(e).withColumnsRenamed({"u": "node_id", "v": "prev"}), ["plant_id", "node_id", "prev"], "left")
+    return walk.groupBy("plant_id", "tip").agg(r(F.max("dist")).alias("dist"), r(F.coalesce(F.sum("d"), F.lit(0.0))).alias("walked"))
+
+
+_FIELD = f"{_DT}, fd AS MATERIALIZED (SELECT plant_id, node_id, dt * 10 + (node_id * 7919) % 101 / 10.0 AS u FROM dt)"
+_UP = f"{_FIELD}, up AS MATERIALIZED (SELECT x.plant_id, x.node_id, coalesce((SELECT y.node_id FROM adj a JOIN fd y ON y.plant_id = a.plant_id AND y.node_id = a.v WHERE a.plant_id = x.plant_id AND a.u = x.node_id AND (y.u > x.u OR (y.u = x.u AND y.node_id < x.node_id)) ORDER BY y.u DESC, y.node_id LIMIT 1), x.node_id) AS nxt FROM fd x)"
+_BASIN = f"{_UP}".replace("WITH nd", "WITH RECURSIVE nd") + ", climb AS (SELECT plant_id, node_id, nxt AS at FROM up UNION SELECT c.plant_id, c.node_id, u.nxt FROM climb c JOIN up u ON u.plant_id = c.plant_id AND u.node_id = c.at), bs AS MATERIALIZED (SELECT c.plant_id, c.node_id, c.at AS peak FROM climb c JOIN up u ON u.plant_id = c.plant_id AND u.node_id = c.at AND u.nxt = c.at)"
+
+
+def field(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    u = F.col("dt") * 10 + (F.col("node_id") * 7919) % 101 / 10.0
+    return transformed(spark, d).select("plant_id", "node_id", u.alias("u")), components.cut(graph.edges(nodes(spark, d)))
+
+
+@query(("occupied",), f"{_UP} SELECT plant_id, node_id FROM up WHERE nxt = node_id")
+def m1_local_maxima(spark: SparkSession, d: str) -> DataFrame:
+    return graph.local_maxima(*field(spark, d))
+
+
+@query(("occupied",), f"{_BASIN} SELECT plant_id, node_id, peak FROM bs")
+def m2_basins(spark: SparkSession, d: str) -> DataFrame:
+    return graph.basins(*field(spark, d))
+
+
+@query(("occupied",), f"{_BASIN} SELECT a.plant_id, least(x.peak, y.peak) AS a, greatest(x.peak, y.peak) AS b, {q('max(least(p.u, o.u))')} AS saddle_val FROM adj a JOIN bs x ON x.plant_id = a.plant_id AND x.node_id = a.u JOIN bs y ON y.plant_id = a.plant_id AND y.node_id = a.v JOIN fd p ON p.plant_id = a.plant_id AND p.node_id = a.u JOIN fd o ON o.plant_id = a.plant_id AND o.node_id = a.v WHERE x.peak <> y.peak GROUP BY ALL")
+def m3_saddles(spark: SparkSession, d: str) -> DataFrame:
+    return graph.saddles(*field(spark, d)).select("plant_id", "a", "b", r("saddle_val").alias("saddle_val"))
+
+
+@query()
+def t1_prominent_maxima(spark: SparkSession, d: str) -> DataFrame:
+    return graph.prominent_maxima(graph.prominences(*field(spark, d)), 5.0)
+
+
+@query(("occupied",), f"{_BASIN.replace('dt * 10 + (node_id * 7919) % 101 / 10.0 AS u', 'dt AS u')} SELECT plant_id, node_id, peak AS centre FROM bs WHERE node_id % 10 = 0")
+def g14_snap_to_centre(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d)
+    return graph.snap_to_centre(transformed(spark, d), components.cut(graph.edges(n)), n.where("node_id % 10 = 0").select("plant_id", "node_id"))
+
+
+# --- curves
+
+SIGMA = 2.0
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "curve_points")
+
+
+_ARC = "WITH st AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)), 0.0) AS dd FROM curve_points WINDOW w AS (PARTITION BY curve_id ORDER BY seq)), arc AS MATERIALIZED (SELECT curve_id, seq, x, y, z, sum(dd) OVER (PARTITION BY curve_id ORDER BY seq) AS t FROM st)"
+_ENDS = f"{_ARC}, en AS (SELECT *, first_value(t) OVER w AS ft, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, first_value(z) OVER w AS fz, last_value(t) OVER w AS lt, last_value(x) OVER w AS lx, last_value(y) OVER w AS ly, last_value(z) OVER w AS lz FROM arc WINDOW w AS (PARTITION BY curve_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), pad AS MATERIALIZED (SELECT curve_id, t, x, y, z FROM arc UNION ALL SELECT curve_id, 2*ft - t, 2*fx - x, 2*fy - y, 2*fz - z FROM en WHERE abs(t - ft) <= 12 AND t <> ft UNION ALL SELECT curve_id, 2*lt - t, 2*lx - x, 2*ly - y, 2*lz - z FROM en WHERE abs(t - lt) <= 12 AND t <> lt)"
+_UNIFORM = "un AS (SELECT curve_id, n, unnest(range(1, n + 1)) AS seq, len FROM (SELECT curve_id, max(t) AS len, greatest(2, ceil(max(t) / 5.0)::BIGINT + 1) AS n FROM arc GROUP BY curve_id)), qs AS MATERIALIZED (SELECT curve_id, seq, len * (seq - 1) / (n - 1) AS t FROM un)"
+_LOOK = "SELECT curve_id, seq, {x}, {y}, {z} FROM (SELECT q.curve_id, q.seq, q.t, lo.t AS t0, lo.x AS x0, lo.y AS y0, lo.z AS z0, hi.t AS t1, hi.x AS x1, hi.y AS y1, hi.z AS z1 FROM qs q ASOF JOIN arc lo ON q.curve_id = lo.curve_id AND q.t >= lo.t ASOF LEFT JOIN arc hi ON q.curve_id = hi.curve_id AND q.t <= hi.t)"
+
+
+@query(("curve_points",), f"{_ARC} SELECT curve_id, seq, {q('t')} AS t FROM arc")
+def w2_arc_length(spark: SparkSession, d: str) -> DataFrame:
+    return curves.arc_length(points(spark, d)).select("curve_id", "seq", r("t").alias("t"))
+
+
+@query(("curve_points",), f"{_ENDS} SELECT curve_id, {q('t', 3)} AS t, {q('x', 3)} AS x, {q('y', 3)} AS y, {q('z', 3)} AS z FROM pad")
+def w8_padded(spark: SparkSession, d: str) -> DataFrame:
+    return curves.padded(curves.arc_length(points(spark, d)), 12.0).select("curve_id", *(r(c, 3).alias(c) for c in "txyz"))
+
+
+def queries_at(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    profile = components.cut(curves.arc_length(points(spark, d)))
+    return profile, curves.uniform_samples(profile.groupBy("curve_id").agg(F.max("t").alias("length")), 5.0)
+
+
+@query(("curve_points",), f"{_ARC}, {_UNIFORM} SELECT curve_id, seq, {q('t')} AS t FROM qs")
+def k5_uniform_samples(spark: SparkSession, d: str) -> DataFrame:
+    return queries_at(spark, d)[1].select("curve_id", "seq", r("t").alias("t"))
+
+
+_KERNEL = f"{_ENDS}, {_UNIFORM}, near AS (SELECT q.curve_id, q.seq, q.t AS t0, p.*, exp(-pow((p.t - q.t) / 2.0, 2) / 2) AS w, (p.t - q.t) / 4.0 AS dw FROM qs q JOIN pad p ON q.curve_id = p.curve_id AND abs(p.t - q.t) <= 12)"
+
+
+@query(("curve_points",), f"{_KERNEL}, kp AS (SELECT curve_id, seq, sum(w*x)/sum(w) AS x, sum(w*y)/sum(w) AS y, sum(w*z)/sum(w) AS z FROM near GROUP BY ALL), lost AS (SELECT * FROM ({_LOOK.format(x='CASE WHEN t1 > t0 THEN x0 + (t - t0) / (t1 - t0) * (x1 - x0) ELSE x0 END AS x', y='CASE WHEN t1 > t0 THEN y0 + (t - t0) / (t1 - t0) * (y1 - y0) ELSE y0 END AS y', z='CASE WHEN t1 > t0 THEN z0 + (t - t0) / (t1 - t0) * (z1 - z0) ELSE z0 END AS z')}) ANTI JOIN kp USING (curve_id, seq)) SELECT curve_id, seq, {q('x', 3)} AS x, {q('y', 3)} AS y, {q('z', 3)} AS z FROM (SELECT * FROM kp UNION ALL SELECT * FROM lost)")
+def k1_smoothed_positions(spark: SparkSession, d: str) -> DataFrame:
+    profile, at = queries_at(spark, d)
+    at = components.cut(at)
+    return at.join(curves.kernel_positions(at, profile, SIGMA), ["curve_id", "t"]).select("curve_id", "seq", *(r(c, 3).alias(c) for c in "xyz"))
+
+
+@query(("curve_points",), f"{_KERNEL}, s AS (SELECT curve_id, seq, sum(w) AS s0, sum(w*dw) AS d0, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*z) AS sz, sum(w*dw*x) AS ex, sum(w*dw*y) AS ey, sum(w*dw*z) AS ez FROM near GROUP BY ALL), v AS (SELECT curve_id, seq, (ex - sx/s0*d0)/s0 AS dx, (ey - sy/s0*d0)/s0 AS dy, (ez - sz/s0*d0)/s0 AS dz FROM s), m AS (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) AS n FROM v) SELECT curve_id, seq, {q('dx/n', 3)} AS dx, {q('dy/n', 3)} AS dy, {q('dz/n', 3)} AS dz FROM m WHERE n > 1e-9")
+def k4_tangents(spark: SparkSession, d: str) -> DataFrame:
+    profile, at = queries_at(spark, d)
+    at = components.cut(at)
+    return at.join(curves.kernel_tangents(at, profile, SIGMA), ["curve_id", "t"]).where(~F.isnan("dx")).select("curve_id", "seq", *(r(c, 3).alias(c) for c in ("dx", "dy", "dz")))
+
+
+@query(("curve_points",), f"{_ARC}, {_UNIFORM} {_LOOK.format(x=q('CASE WHEN t1 > t0 THEN x0 + (t - t0) / (t1 - t0) * (x1 - x0) ELSE x0 END', 3) + ' AS x', y=q('CASE WHEN t1 > t0 THEN y0 + (t - t0) / (t1 - t0) * (y1 - y0) ELSE y0 END', 3) + ' AS y', z=q('CASE WHEN t1 > t0 THEN z0 + (t - t0) / (t1 - t0) * (z1 - z0) ELSE z0 END', 3) + ' AS z')}")
+def k3_lookup(spark: SparkSession, d: str) -> DataFrame:
+    profile, at = queries_at(spark, d)
+    at = components.cut(at)
+    return at.join(curves.lookup(at, profile, "t", ["x", "y", "z"]), ["curve_id", "t"]).select("curve_id", "seq", *(r(c, 3).alias(c) for c in "xyz"))
+
+
+@query(("curve_points",), f"{_ARC}, tg AS (SELECT curve_id, seq AS target_id, x + 1.0 AS qx, y AS qy, z + 0.2 AS qz FROM curve_points WHERE seq % 7 = 1) SELECT curve_id, target_id, seq, {q('dist2')} AS dist2 FROM (SELECT g.curve_id, target_id, seq, pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2) AS dist2 FROM tg g JOIN arc a ON a.curve_id = g.curve_id) QUALIFY row_number() OVER (PARTITION BY curve_id, target_id ORDER BY dist2, seq) = 1")
+def j8_nearest_points(spark: SparkSession, d: str) -> DataFrame:
+    profile = curves.arc_length(points(spark, d))
+    targets = points(spark, d).where("seq % 7 = 1").select("curve_id", F.col("seq").alias("target_id"), (F.col("x") + 1.0).alias("qx"), F.col("y").alias("qy"), (F.col("z") + 0.2).alias("qz"))
+    return curves.nearest_points(targets, profile.withColumn("s", F.col("t"))).select("curve_id", "target_id", "seq", r("dist2").alias("dist2"))
+
+
+# --- measurements
+
+
+def fruits(spark: SparkSession, d: str) -> DataFrame:
+    return measure.fruit_rank(load(spark, d, "fruits"))
+
+
+_RANK = "WITH fr AS (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY arc, node_id) AS fruit_id FROM fruits)"
+_TWO_PI = repr(2 * math.pi)
+_TURN = f"{_RANK}, tn AS (SELECT *, azimuth - lag(azimuth) OVER w AS turn, arc - lag(arc) OVER w AS internode FROM fr WINDOW w AS (PARTITION BY plant_id ORDER BY fruit_id)), ch AS (SELECT plant_id, sum(CASE WHEN sin(turn) > 0 THEN 1 ELSE 0 END) AS up, sum(CASE WHEN sin(turn) < 0 THEN 1 ELSE 0 END) AS down FROM tn GROUP BY 1), wind AS (SELECT plant_id, CASE WHEN up > down THEN 'ccw' WHEN up < down THEN 'cw' ELSE 'ambiguous' END AS orientation FROM ch), dv AS (SELECT t.*, orientation, degrees(CASE WHEN orientation = 'cw' THEN -turn - floor(-turn / {_TWO_PI}) * {_TWO_PI} ELSE turn - floor(turn / {_TWO_PI}) * {_TWO_PI} END) AS div_angle FROM tn t JOIN wind USING (plant_id))"
+
+
+@query(("fruits",), f"{_RANK} SELECT plant_id, node_id, fruit_id FROM fr")
+def w6_fruit_rank(spark: SparkSession, d: str) -> DataFrame:
+    return fruits(spark, d).select("plant_id", "node_id", "fruit_id")
+
+
+@query(("fruits",), f"{_TURN} SELECT plant_id, fruit_id, internode FROM tn")
+def w4_internodes(spark: SparkSession, d: str) -> DataFrame:
+    return measure.internodes(fruits(spark, d)).select("plant_id", "fruit_id", "internode")
+
+
+@query(("fruits",), f"{_TURN} SELECT plant_id, orientation FROM wind")
+def a10_chirality(spark: SparkSession, d: str) -> DataFrame:
+    return measure.chirality(fruits(spark, d))
+
+
+@query(("fruits",), f"{_TURN} SELECT plant_id, fruit_id, orientation, {q('div_angle')} AS div_angle FROM dv")
+def w5_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return measure.divergence(fruits(spark, d)).select("plant_id", "fruit_id", "orientation", r("div_angle").alias("div_angle"))
+
+
+@query(("fruits",), f"{_TURN} SELECT plant_id, orientation, count(*) AS n_fruits, string_agg(arc::VARCHAR, ',' ORDER BY fruit_id) AS arcs, coalesce(string_agg(internode::VARCHAR, ',' ORDER BY fruit_id) FILTER (fruit_id > 1), '') AS internodes, {q('coalesce(sum(div_angle), 0)', 2)} AS turned FROM dv GROUP BY 1, 2")
+def a11_roll_up(spark: SparkSession, d: str) -> DataFrame:
+    out = measure.roll_up(measure.internodes(measure.divergence(fruits(spark, d))))
+    return out.select("plant_id", "orientation", "n_fruits", F.array_join("arcs", ",").alias("arcs"), F.array_join("internodes", ",").alias("internodes"), r(F.aggregate("div_angles", F.lit(0.0), lambda a, x: a + x), 2).alias("turned"))
+
+
+@query(("fruits",), f"{_TURN} SELECT plant_id AS key_plant, fruit_id AS key_fruit, CASE WHEN fruit_id = 1 THEN plant_id END AS plant_id, CASE WHEN fruit_id = 1 THEN orientation END AS chirality, arc, internode, {q('div_angle')} AS div_angle FROM dv")
+def s11_export_rows(spark: SparkSession, d: str) -> DataFrame:
+    out = results.export_rows(measure.internodes(measure.divergence(fruits(spark, d))))
+    return out.withColumn("div_angle", r("div_angle"))
+
+
+@query(("fruits",), f"{_TURN} SELECT plant_id, fruit_id, step, {q('azimuth + step / 4.0 * (CASE WHEN orientation = chr(99) || chr(119) THEN -((azimuth - nxt) - floor((azimuth - nxt) / ' + _TWO_PI + ') * ' + _TWO_PI + ') ELSE (nxt - azimuth) - floor((nxt - azimuth) / ' + _TWO_PI + ') * ' + _TWO_PI + ' END)', 8)} AS angle FROM (SELECT *, lead(azimuth) OVER (PARTITION BY plant_id ORDER BY fruit_id) AS nxt FROM dv), (SELECT unnest(range(0, 5)) AS step) WHERE nxt IS NOT NULL")
+def q11_divergence_arcs(spark: SparkSession, d: str) -> DataFrame:
+    return measure.arc_samples(measure.divergence(fruits(spark, d)), 4).select("plant_id", "fruit_id", "step", r("angle", 8).alias("angle"))
+
+
+_DIRS = "WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS sx, embedding[2]::DOUBLE AS sy, embedding[3]::DOUBLE AS sz, embedding[4]::DOUBLE AS bx, embedding[5]::DOUBLE AS by_, embedding[6]::DOUBLE AS bz FROM embeddings), n AS (SELECT vec_id, sx / s AS sx, sy / s AS sy, sz / s AS sz, bx / b AS bx, by_ / b AS by_, bz / b AS bz FROM (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS s, sqrt(bx*bx+by_*by_+bz*bz) AS b FROM e) WHERE s > 0 AND b > 0), g AS (SELECT *, sx*bx+sy*by_+sz*bz AS c FROM n), a AS (SELECT *, bx - sx * c AS px, bz * -sy + by_ * sz AS py FROM g)"
+
+
+def directions(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings")
+    at = lambda k: F.get("embedding", F.lit(k)).cast("double")
+    out = e.select("vec_id", *(at(k).alias(n) for k, n in enumerate(("sx", "sy", "sz", "bx", "by", "bz"))))
+    for p in "sb":
+        n = F.sqrt(sum(F.col(f"{p}{c}") * F.col(f"{p}{c}") for c in "xyz"))
+        out = out.withColumn("_n", n).where("_n > 0").withColumns({f"{p}{c}": F.col(f"{p}{c}") / F.col("_n") for c in "xyz"}).drop("_n")
+    return out.withColumns({"rx": F.lit(1.0), "ry": F.lit(0.0), "rz": F.lit(0.0)})
+
+
+@query((), f"{_DIRS} SELECT vec_id, {q('acos(greatest(-1.0, least(1.0, c)))')} AS theta, {q(f'atan2(py, px) - floor(atan2(py, px) / {_TWO_PI}) * {_TWO_PI}')} AS phi FROM a WHERE abs(c) < 0.999 AND abs(sx) < 0.999")
+def q4_polar_azimuth(spark: SparkSession, d: str) -> DataFrame:
+    out = measure.polar_azimuth(directions(spark, d)).where((F.abs(F.col("sx") * F.col("bx") + F.col("sy") * F.col("by") + F.col("sz") * F.col("bz")) < 0.999) & (F.abs("sx") < 0.999))
+    return out.select("vec_id", r("theta").alias("theta"), r("phi").alias("phi"))
+
+
+@query((), f"{_DIRS} SELECT vec_id, {q('degrees(sqrt(0.0004 / 2 + 0.0009 / 2))')} AS se_polar FROM a WHERE abs(c) < 0.999 AND abs(sx) < 0.999")
+def q5_angle_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The polar error of unit directions does not depend on the angle: the root of half of both variances."""
+    rows = directions(spark, d).withColumns({"se_s": F.lit(0.02), "se_b": F.lit(0.03)})
+    rows = rows.where((F.abs(F.col("sx") * F.col("bx") + F.col("sy") * F.col("by") + F.col("sz") * F.col("bz")) < 0.999) & (F.abs("sx") < 0.999))
+    return measure.angle_errors(rows).select("vec_id", r("se_polar").alias("se_polar"))
+
+
+@query(("curve_points",), f"""WITH sm AS (SELECT curve_id, (seq % 31) / 10.0 - 1.5 AS u, exp(-pow((seq % 31) / 10.0 - 1.5, 2) / 2) AS w, x, y, z FROM curve_points WHERE seq <= 31),
+ fit AS (SELECT curve_id, count(*) AS n, sum(w) AS w0 FROM sm GROUP BY 1 HAVING count(*) >= 8) SELECT curve_id, 0.0::DOUBLE AS gradient FROM fit""")
+def a9_quadratic_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted quadratic fits: the largest of the nine sums of weighted residual times power, 0 at the optimum."""
+    u = (F.col("seq") % 31) / 10.0 - 1.5
+    sm = points(spark, d).where("seq <= 31").select("curve_id", u.alias("u"), F.exp(-u * u / 2).alias("w"), "x", "y", "z")
+    many = sm.groupBy("curve_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
+    sm = sm.join(many, "curve_id", "left_semi")
+    both = sm.join(measure.quadratic_fit(sm, ["curve_id"]), "curve_id")
+    left = {c: F.col(c) - (F.col(f"b0{c}") + F.col(f"b1{c}") * F.col("u") + F.col(f"b2{c}") * F.col("u") * F.col("u")) for c in "xyz"}
+    sums = [F.abs(F.sum(F.col("w") * F.pow("u", F.lit(k)) * left[c])) for c in "xyz" for k in range(3)]
+    return both.groupBy("curve_id").agg(r(F.greatest(*sums), 6).alias("gradient"))
+
+
+@query(("fruits",), f"{_RANK}, er AS (SELECT plant_id, abs(degrees(0.01 * fruit_id) - 360.0 * round_even(degrees(0.01 * fruit_id) / 360.0, 0)) AS e FROM fr) SELECT plant_id, {q('avg(e)')} AS mean_error, {q('max(e)')} AS max_error FROM er GROUP BY plant_id")
+def a12_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    f = fruits(spark, d)
+    truth = f.withColumn("azimuth", F.col("azimuth") + 0.01 * F.col("fruit_id"))
+    return measure.accuracy(f, truth).select("plant_id", r("mean_error").alias("mean_error"), r("max_error").alias("max_error"))
+
+
+# --- results, updates, work lists
+
+
+def old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = load(spark, d, "orders")
+    old = o.select(F.col("o_orderkey").alias("plant_id"), F.lit(0).alias("version"), F.col("o_custkey").alias("value"), (F.col("o_custkey") % 3 == 0).alias("complete"))
+    new = o.where("o_orderkey % 5 < 2").select((F.col("o_orderkey") + 1).alias("plant_id"), F.lit(1).alias("version"), F.col("o_custkey").alias("value"), F.lit(False).alias("complete"))
+    return old, new
+
+
+_ON = "WITH old AS (SELECT o_orderkey AS plant_id, 0 AS version, o_custkey AS value, o_custkey % 3 = 0 AS full_ FROM orders), new AS (SELECT o_orderkey + 1 AS plant_id, 1 AS version, o_custkey AS value, false AS full_ FROM orders WHERE o_orderkey % 5 < 2)"
+
+
+@query((), f"{_ON} SELECT plant_id, version, value, full_ AS complete FROM old ANTI JOIN new USING (plant_id) UNION ALL SELECT * FROM new".replace("SELECT * FROM new", "SELECT plant_id, version, value, full_ FROM new"))
+def u1_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return results.upsert(*old_new(spark, d), ["plant_id"])
+
+
+@query((), f"{_ON}, sh AS (SELECT plant_id FROM old WHERE full_), ok AS (SELECT * FROM new ANTI JOIN sh USING (plant_id)) SELECT plant_id, version, value, false AS rejected FROM old ANTI JOIN ok USING (plant_id) UNION ALL SELECT plant_id, version, value, false FROM ok UNION ALL SELECT plant_id, version, value, true FROM new SEMI JOIN sh USING (plant_id)")
+def p16_guarded_upsert(spark: SparkSession, d: str) -> DataFrame:
+    good, bad = results.guarded_upsert(*old_new(spark, d), ["plant_id"], "complete")
+    return good.withColumn("rejected", F.lit(False)).unionByName(bad.withColumn("rejected", F.lit(True))).drop("complete")
+
+
+@query((), f"{_ON} SELECT plant_id, version, value FROM old ANTI JOIN new USING (plant_id)")
+def u4_remove(spark: SparkSession, d: str) -> DataFrame:
+    return results.remove(*old_new(spark, d), ["plant_id"]).drop("complete")
+
+
+@query((), "SELECT n.o_orderkey AS plant_id, n.o_custkey AS node_id, coalesce(o.o_custkey % 7, 0) AS stem_target FROM orders n LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) o ON o.o_orderkey = n.o_orderkey")
+def u6_keep_options(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("plant_id"), F.col("o_custkey").alias("node_id"))
+    old = o.where("plant_id % 3 = 0").withColumn("stem_target", F.col("node_id") % 7)
+    return results.keep_options(o.withColumn("stem_target", F.lit(0).cast("long")), old, ["plant_id", "node_id"], ["stem_target"])
+
+
+def scans_done(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("plant_id"), F.col("c_nationkey").alias("grp")), load(spark, d, "orders").select(F.col("o_custkey").alias("plant_id"))
+
+
+@query((), "SELECT c_custkey AS plant_id, c_nationkey AS grp, c_custkey IN (SELECT o_custkey FROM orders) AS finished FROM customer")
+def j11_done_and_to_do(spark: SparkSession, d: str) -> DataFrame:
+    pair = scans_done(spark, d)
+    return results.done(*pair).withColumn("finished", F.lit(True)).unionByName(results.to_do(*pair).withColumn("finished", F.lit(False)))
+
+
+@query((), "SELECT coalesce(min(c_custkey) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders)), min(c_custkey)) AS plant_id FROM customer")
+def t3_next_plant(spark: SparkSession, d: str) -> DataFrame:
+    return results.next_plant(*scans_done(spark, d))
+
+
+@query((), "SELECT c_nationkey AS grp, c_custkey AS plant_id, coalesce(lag(c_custkey) OVER w, max(c_custkey) OVER (PARTITION BY c_nationkey)) AS previous, coalesce(lead(c_custkey) OVER w, min(c_custkey) OVER (PARTITION BY c_nationkey)) AS next FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)")
+def t4_around(spark: SparkSession, d: str) -> DataFrame:
+    return results.around(scans_done(spark, d)[0])
+
+
+@query(("voxels_seen",), "SELECT v.plant_id, i, j, k FROM voxels_seen v JOIN (SELECT plant_id, max(n) AS most FROM voxels_seen GROUP BY 1) USING (plant_id) WHERE n >= CASE WHEN plant_id % 2 = 0 THEN 1 ELSE least(7, most) END")
+def s8_binarise_counts(spark: SparkSession, d: str) -> DataFrame:
+    seen = load(spark, d, "voxels_seen")
+    meta = load(spark, d, "plants").select("plant_id", F.when(F.col("plant_id") % 2 == 0, "carving").otherwise("averaging").alias("method"), F.lit(7).alias("threshold"))
+    return results.binarise_counts(seen, meta)
+
+
+@query((), "SELECT o_orderkey AS plant_id, o_custkey AS value, 'new' AS note FROM orders")
+def s14_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Dump with a field that the target lacks and without one that it has."""
+    from pyspark.sql import types as T
+
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("plant_id"), F.col("o_custkey").alias("value"), F.lit(1).alias("gone"))
+    schema = T.StructType([T.StructField("value", T.LongType()), T.StructField("note", T.StringType())])
+    return results.from_plain(results.to_plain(rows, ["plant_id"]), ["plant_id"], schema, {"note": "new"})[0]
+
+
+@query((), "SELECT o_orderkey AS plant_id FROM orders WHERE false")
+def s13_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that a dump and restore changes: none."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("plant_id"), "o_custkey", "o_orderstatus", "o_totalprice")
+    return results.round_trip_differences(rows, ["plant_id"]).select("plant_id")
