@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,13 +31,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantmill.llm.common import cut, new_folder
+from plantmill.llm.pieces import Memo
 
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, KEPT = 1_000, 8_192, 65_536, 3, 300_000
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, KEPT = 1_000, 8_192, 65_536, 3, 200_000
 MAGIC = b"PMTOK1\n\0"
 
 
+# Letters that every Unicode version calls letters; the cuts below rest on nothing else.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
+# Parts that end where the byte-level pre-tokeniser must end a token: a word before an ASCII non-letter, marks before
+# white space or a letter, a line break before a letter, and otherwise all up to a space that a non-space follows.
+PARTS = re.compile(rf" ?[{LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|\Z)|[.,;:!?]+(?=[\s{LETTERS}]|\Z)|\n(?=[{LETTERS}])|[\s\S]+?(?= \S|\Z)")
+WORD = re.compile(rf" ?[{LETTERS}]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class Encoder:
-    """A tokenizer with the ids of recent words. Its pre-tokeniser always starts anew at a space before a non-space."""
+    """A tokenizer with the ids of recent parts of texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,37 +64,23 @@ class Encoder:
         pre = spec["pre_tokenizer"] or {}
         self.by_word = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
+        self.parts = Memo(self.part_ids, KEPT)
+        self.letters = dict(enumerate(byte_letters()))
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """Pieces of text that the pre-tokeniser never joins: cut before each space that a non-space follows."""
-        first, *rest = text.split(" ")
-        if "" in rest or any(map(str.isspace, (w[0] for w in rest))):
-            out = [first]
-            for w in rest:
-                if w and not w[0].isspace():
-                    out.append(" " + w)
-                else:
-                    out[-1] += " " + w
-            return out
-        return [first, *map(" ".__add__, rest)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.by_word or any(s in t for s in self.special) for t in texts]
-        cuts = [[] if w else self.parts(t) for t, w in zip(texts, whole, strict=True)]
-        missing = list({p for c in cuts for p in c} - self.words.keys())
-        if len(self.words) + len(missing) > KEPT:
-            self.words = {}
-            missing = list({p for c in cuts for p in c})
-        for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.words[p] = self.pack(e.ids)
-        get = self.words.__getitem__
-        return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if w else b"".join(map(get, c)) for t, c, w in zip(texts, cuts, whole, strict=True)]
+        return array(self.code, ids).tobytes()
+
+    def part_ids(self, part: str) -> bytes:
+        if WORD.fullmatch(part):  # one token of the pre-tokeniser
+            return self.pack([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+        return self.pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
+
+    def encode(self, text: str) -> bytes:
+        if self.by_word and not any(s in text for s in self.special):
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(text)))
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
@@ -93,7 +97,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
+                ids = [enc.encode(t or "") + end for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -103,8 +107,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int =
     """A dictionary from the serialised ids of a bounded sample; empty if there is too little to learn from."""
     short = docs.where(F.col("doc_id").isNotNull() & F.octet_length("text").between(1, SAMPLE_BYTES))
     rows = short.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "text").limit(sample).collect()
-    samples = [x for x in encoder(tokenizer).encode([r["text"] for r in rows])]
-    samples = [x + encoder(tokenizer).pack([end_id]) for x in samples]
+    enc = encoder(tokenizer)
+    samples = [enc.encode(r["text"]) + enc.pack([end_id]) for r in rows]
     total = sum(map(len, samples))
     if len(samples) < 16 or total < 4_096:
         return b""
