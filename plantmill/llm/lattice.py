@@ -5,7 +5,7 @@ the piece table keeps those that are pieces, and the edges meet by word. A Viter
 end positions: the model is a BPE model, whose best path is not a sum of scores but the one path whose adjacent pieces are
 compatible (see `pieces`), so the state at a position is its one surviving last edge, and a second fold walks back.
 
-A text is its words' codes side by side. The words of the lattice table are those with at least the count at which the
+A text is its words' codes side by side (see `pieces` for what counts as a word). The words of the lattice table are those with at least the count at which the
 table has no more than `TABLE` rows, so that its size is bounded at any size of corpus; it goes to all tasks. A rarer word
 gets the same search in the task that meets it. No text is shuffled: the alternative, joining every word of
 every document to its code and collecting each document again, moves more bytes than the corpus has.
@@ -13,10 +13,12 @@ every document to its code and collecting each document again, moves more bytes
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 from plantmill.llm import pieces
 from plantmill.llm.common import cut
 
-TABLE, LONGEST_WORD, KEPT = 100_000, 64, 200_000
+TABLE, LONGEST_WORD, KEPT = 100_000, 64, 150_000
 
 EDGE = T.StructType([T.StructField("len", T.IntegerType()), T.StructField("rank", T.IntegerType())])
 PIECES = T.StructType([
@@ -41,9 +43,10 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(rows, PIECES)
 
 
-def frequent_words(docs: DataFrame, most: int = TABLE) -> DataFrame:
-    """word (with its space mark), n: all words with at least the count at which there are no more than `most`."""
-    parts = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: (F.length(w) > 0) & (F.length(w) < LONGEST_WORD))
+def frequent_words(docs: DataFrame, chunk: str, most: int = TABLE) -> DataFrame:
+    """word (a chunk, its leading space as a space mark), n: all with at least the count at which there are no more than `most`."""
+    found = F.regexp_extract_all(F.concat(F.lit(" "), "text"), F.lit(chunk), F.lit(0))
+    parts = F.filter(found, lambda w: (F.length(w) < LONGEST_WORD) & ~F.contains(w, F.lit(pieces.MARK)))
     counts = cut(docs.select(F.explode(parts).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     kept, least = 0, 2
     for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
@@ -51,7 +54,7 @@ def frequent_words(docs: DataFrame, most: int = TABLE) -> DataFrame:
         if kept > most:
             least = r["n"] + 1
             break
-    return counts.where((F.col("n") >= least) & ~F.contains("w", F.lit(pieces.MARK))).select(F.concat(F.lit(pieces.MARK), "w").alias("word"), "n")
+    return counts.where(F.col("n") >= least).select(F.translate("w", " ", pieces.MARK).alias("word"), "n")
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
@@ -101,42 +104,44 @@ def viterbi(lattices: DataFrame, first_byte: int) -> DataFrame:
 def word_codes(docs: DataFrame, model: str, most: int = TABLE) -> DataFrame:
     """word, ids of the frequent words of docs."""
     m = pieces.load(model)
-    return viterbi(lattice(frequent_words(docs, most).select("word"), piece_table(docs.sparkSession, model), m.longest), m.bytes[0])
+    return viterbi(lattice(frequent_words(docs, m.chunk_pattern, most).select("word"), piece_table(docs.sparkSession, model), m.longest), m.bytes[0])
 
 
-class Codes(dict):
-    """word -> ids as bytes of int32; words outside the table are searched when they are met."""
+class Codes(pieces.Memo):
+    """chunk -> ids as bytes of int32; chunks outside the table are searched when they are met."""
 
     def __init__(self, table: dict[str, bytes], model: str):
-        super().__init__(table)
-        self.pieces, self.own = pieces.load(model), {}
+        m = self.pieces = pieces.load(model)
+        super().__init__(lambda chunk: table.get(chunk) or array("i", m.encode(chunk.replace(" ", pieces.MARK))).tobytes(), KEPT)
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.own.get(word)
-        if found is None:
-            found = np.array(self.pieces.encode(pieces.MARK + word), np.int32).tobytes()
-            if len(self.own) >= KEPT:
-                self.own.clear()
-            if len(word) < LONGEST_WORD:
-                self.own[word] = found
-        return found
+
+_CODES: dict[tuple[int, str], Codes] = {}
+
+
+def _codes(shared: Broadcast, model: str) -> Codes:
+    """The codes of this broadcast table, kept for the worker's next tasks."""
+    key = (id(shared.value), model)
+    if key not in _CODES:
+        _CODES.clear()
+        _CODES[key] = Codes(shared.value, model)
+    return _CODES[key]
 
 
 def encode_text(text: str, codes: Codes) -> np.ndarray:
     if not text:
         return np.zeros(0, np.int32)
-    words = text.split(" ")
-    if "" not in words and pieces.MARK not in text:
-        return np.frombuffer(b"".join(map(codes.__getitem__, words)), np.int32)
-    out, mark = [], codes.pieces.ids[pieces.MARK]
+    m = codes.pieces
+    if not ("  " in text or text[0] == " " or text[-1] == " " or pieces.MARK in text):
+        return np.frombuffer(b"".join(map(codes.__getitem__, m.chunks(text))), np.int32)
+    out, mark = [], m.ids[pieces.MARK]
     for run, word in pieces.segments(text):
         if not run:
-            out += codes.pieces.encode(word)
+            out += m.encode(word)
         elif not word:
-            out += codes.pieces.mark_ids(run)
+            out += m.mark_ids(run)
         else:
-            ids = np.frombuffer(codes[word], np.int32).tolist()
-            out += codes.pieces.mark_ids(run) + ids[1:] if ids[0] == mark else codes.pieces.mark_ids(run - 1) + ids
+            ids = m.encode(pieces.MARK + word)
+            out += m.mark_ids(run) + ids[1:] if ids[0] == mark else m.mark_ids(run - 1) + ids
     return np.array(out, np.int32)
 
 
@@ -148,10 +153,10 @@ def encode(docs: DataFrame, model: str, most: int = TABLE) -> DataFrame:
     """
     docs = docs.drop("ids")
     rows = word_codes(docs, model, most).toLocalIterator(prefetchPartitions=True)
-    shared = docs.sparkSession.sparkContext.broadcast({r["word"][1:]: np.array(r["ids"], np.int32).tobytes() for r in rows})
+    shared = docs.sparkSession.sparkContext.broadcast({r["word"].replace(pieces.MARK, " "): np.array(r["ids"], np.int32).tobytes() for r in rows})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes(shared.value, model)
+        codes = _codes(shared, model)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

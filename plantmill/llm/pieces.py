@@ -7,17 +7,23 @@ right one's tree join to a piece that ranks before the merges that consume them.
 as (length, rank of the consuming merge), which is all that a lattice search needs.
 
 Runs of the space mark only join each other, after everything else and from the left; they are counted apart (`marks`),
-and no other piece has a mark anywhere but at its start. So a text falls into segments at its spaces.
+and no other piece has a mark anywhere but at its start. So a text falls into segments at its spaces. Where no piece holds a
+letter beside another character, a segment falls further into chunks, which recur more often than whole words.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import sentencepiece
 
 MARK = "▁"
 NEVER = 1 << 30
+LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
+CHUNK = re.compile(rf" ?(?:[{LETTERS}]+|[^{LETTERS} ]+)")
+SEAM = re.compile(rf"[{LETTERS}][^{LETTERS}]|[^{LETTERS}{MARK}][{LETTERS}]")
 
 
 class Pieces:
@@ -37,10 +43,14 @@ class Pieces:
         self.rank = {p: k for k, p in enumerate(scored)}
         self.single = {p for p in self.ids if len(p) == 1}
         self.longest = max(map(len, scored))
+        # The ends of pieces, and whether each is a piece itself.
+        self.tails = {p[k:]: p[k:] in self.rank for p in scored for k in range(len(p) - 1)}
         self.text = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self._split: dict[str, tuple[str, str] | None] = {}
+        self.apart = not any(map(SEAM.search, scored))
+        self.chunk_pattern = CHUNK.pattern if self.apart else " [^ ]+"
         self._spines: dict[tuple[str, bool], list[tuple[str, int]]] = {}
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[str, dict[str, bool]] = {}
 
     def split(self, piece: str) -> tuple[str, str] | None:
         """The last merge that makes a piece of two characters or more; None if the encoder never makes it."""
@@ -62,15 +72,22 @@ class Pieces:
             found = self._spines[(piece, right)] = [(piece, NEVER), *((x, min(r, self.rank[piece])) if k == 0 else (x, r) for k, (x, r) in enumerate(inner))]
         return found
 
+    def follows(self, a: str) -> dict[str, bool]:
+        """What is known of the pieces that can follow a in an encoding; `fits` adds to it."""
+        if len(self._fits) > 40_000:
+            self._fits.clear()
+        return self._fits.setdefault(a, {})
+
     def fits(self, a: str, b: str) -> bool:
-        """Whether b can follow a in an encoding."""
-        key = (a, b)
-        found = self._fits.get(key)
+        """Whether b can follow a in an encoding; with an empty a, whether b can begin one."""
+        row = self.follows(a)
+        found = row.get(b)
         if found is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            get, right = self.rank.get, self.spine(b, False)
-            found = self._fits[key] = not any(get(x + y, NEVER) < min(before, until + 1) for x, before in self.spine(a, True) for y, until in right)
+            found = len(b) == 1 or self.split(b) is not None
+            if found and a:
+                get, right = self.rank.get, self.spine(b, False)
+                found = not any(get(x + y, NEVER) < min(before, until + 1) for x, before in self.spine(a, True) for y, until in right)
+            row[b] = found
         return found
 
     def prefixes(self, word: str) -> tuple[list[int], list[bool], list[str]]:
@@ -78,22 +95,37 @@ class Pieces:
 
         The encoding of a prefix ends in the one piece that is compatible with the encoding of what is before it.
         """
-        counts, lone, last = [0], [False], [""]
-        rank, single, fits = self.rank, self.single, self.fits
+        counts, lone, last, rows = [0], [False], [""], [self.follows("")]
+        tails, single = self.tails, self.single
         for i in range(1, len(word) + 1):
-            for j in range(max(0, i - self.longest), i - 1):
+            for j in range(i - 2, -1, -1):
                 piece = word[j:i]
-                if piece in rank and self.split(piece) is not None and (j == 0 or fits(last[j], piece)):
-                    counts.append(counts[j] + 1)
-                    lone.append(lone[j])
+                whole = tails.get(piece)
+                if whole is None:  # no longer piece ends here
+                    piece = ""
                     break
+                if whole:
+                    found = rows[j].get(piece)
+                    if found is None:
+                        found = self.fits(last[j], piece)
+                    if found:
+                        counts.append(counts[j] + 1)
+                        lone.append(lone[j])
+                        break
             else:
+                piece = ""
+            if not piece:
                 piece = word[i - 1]
                 counts.append(counts[i - 1] + (1 if piece in single else len(piece.encode())))
                 lone.append(lone[i - 1] if i > 1 else piece == MARK)
             last.append(piece)
+            rows.append(self.follows(piece))
         return counts[1:], lone[1:], last[1:]
 
+    def chunks(self, text: str) -> list[str]:
+        """A text without runs of spaces or marks, in independent chunks; a leading space is a space mark. The first is the dummy's."""
+        return CHUNK.findall(" " + text) if self.apart else list(map(" ".__add__, text.split(" ")))
+
     def encode(self, word: str) -> list[int]:
         """The ids of a segment, by walking the last pieces back."""
         last, i, out = self.prefixes(word)[2] if word else [], len(word), []
@@ -118,6 +150,25 @@ class Pieces:
         return [self.ids[MARK * k] for k in self.marks(n)]
 
 
+class Memo(dict):
+    """Values of recent chunks. Two generations: what is in use outlives a full table."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.make(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 @lru_cache(maxsize=4)
 def load(model: str) -> Pieces:
     return Pieces(model)

@@ -2,14 +2,16 @@
 
 The table of a text holds the exact number of tokens of every prefix, as if each had been encoded alone. It is filled from
 left to right: the encoding of a prefix ends in the one piece that is compatible with the encoding before it, so its count
-is one more than that of a shorter prefix (`Pieces.prefixes`). The table falls into segments at spaces; those of frequent
-segments are kept for the next texts. Truncation and budget questions are lookups: `longest_prefix` finds where to
+is one more than that of a shorter prefix (`Pieces.prefixes`). The table falls into chunks; those of frequent
+chunks are kept for the next texts. Truncation and budget questions are lookups: `longest_prefix` finds where to
 cut, `budget_cut` does so for a table of documents, and nothing is encoded again.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,40 +21,27 @@ from pyspark.sql import functions as F
 from plantmill.llm import pieces
 from plantmill.llm.common import raw_texts
 
-KEPT = 300_000  # segments that a worker keeps
+KEPT = 250_000  # chunks in each of a worker's two generations
 
 
-class Segments(dict):
-    """word -> counts of the prefixes of a space mark and the word, as bytes of uint32."""
-
-    def __init__(self, model: str):
-        super().__init__()
-        self.pieces = pieces.load(model)
-
-    def __missing__(self, word: str) -> bytes:
-        found = np.array(self.pieces.prefixes(pieces.MARK + word)[0], np.uint32).tobytes()
-        if len(word) <= 64:
-            if len(self) >= KEPT:
-                self.clear()
-            self[word] = found
-        return found
-
-
-_SEGMENTS: dict[str, Segments] = {}
+@lru_cache(maxsize=4)
+def chunk_tables(model: str) -> pieces.Memo:
+    """chunk -> counts of its prefixes, as bytes of uint32."""
+    m = pieces.load(model)
+    return pieces.Memo(lambda chunk: array("I", m.prefixes(chunk.replace(" ", pieces.MARK))[0]).tobytes(), KEPT)
 
 
 def prefix_table(text: str, model: str) -> np.ndarray:
     """Token counts of text[:1], text[:2], ... text: int64 array of the text's length."""
-    memo = _SEGMENTS.get(model) or _SEGMENTS.setdefault(model, Segments(model))
     if not text:
         return np.zeros(0, np.int64)
-    words = text.split(" ")
-    if "" in words or pieces.MARK in text:
-        return _with_runs(text, memo.pieces)
-    local = np.frombuffer(b"".join(map(memo.__getitem__, words)), np.uint32)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes)
-    totals = np.cumsum(local[ends - 1], dtype=np.int64)
+    m = pieces.load(model)
+    if "  " in text or text[0] == " " or text[-1] == " " or pieces.MARK in text:
+        return _with_runs(text, m)
+    chunks = m.chunks(text)
+    local = np.frombuffer(b"".join(map(chunk_tables(model).__getitem__, chunks)), np.uint32)
+    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    totals = np.cumsum(local[np.cumsum(sizes) - 1], dtype=np.int64)
     return (local + np.repeat(np.r_[0, totals[:-1]], sizes))[1:]
 
 
