@@ -66,6 +66,7 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.dtype, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
+        self.model = self.tokenizer.model
         self.parts = Memo(self.part_ids, KEPT)
         self.letters = dict(enumerate(byte_letters()))
 
@@ -73,8 +74,10 @@ class Encoder:
         return array(self.code, ids).tobytes()
 
     def part_ids(self, part: str) -> bytes:
-        if WORD.fullmatch(part):  # one token of the pre-tokeniser
-            return self.pack([t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+        if part.isascii() and part[part[0] == " " :].isalpha():  # one token of the pre-tokeniser, of bytes that mostly stand for themselves
+            return self.pack([t.id for t in self.model.tokenize(part.replace(" ", self.letters[32]))])
+        if WORD.fullmatch(part):
+            return self.pack([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
         return self.pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
