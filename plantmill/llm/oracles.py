@@ -98,7 +98,7 @@ def quality_judged(source: str = "documents") -> str:
     listed = "[" + ", ".join(map(_quoted, quality.WORDS)) + "]"
     term = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2.0 * {x} / ({x} + {y})) ELSE 0.0 END"
     js = lambda p, q, k: f"sqrt(greatest(0.0, list_sum([{term(f'{p}[i]', f'{q}[i]')} + {term(f'{q}[i]', f'{p}[i]')} for i in range(1, {k} + 1)]) / 2))"
-    with_rest = lambda c, total: f"list_concat([x / {total} for x in {c}], [1.0 - list_sum({c}) / {total}])"
+    with_rest = lambda c, total: f"list_concat([x / {total} for x in {c}], [1.0 - list_sum([x / {total} for x in {c}])])"
     sums = lambda c, k: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(k)) + "]"
     return rf"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

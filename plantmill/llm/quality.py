@@ -24,8 +24,9 @@ COMMON = {
     "es": "de la que el en y los se del las un por con una no es para al lo como",
 }
 WORDS = sorted({w for line in COMMON.values() for w in line.split()})
-# Character classes; what none of them has is the class "other".
-CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": SPACE, "stop": r".,;:!?", "symbol": r"#*$%&|<>"}
+LONGEST = max(len(w.encode()) for w in WORDS)
+# Character classes; what none of them has, lower-case letters most of all, is the class "other".
+CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "stop": r".,;:!?", "symbol": r"#*$%&|<>", "space": SPACE}
 REPEAT = 5
 
 
@@ -68,33 +69,39 @@ def features(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]")))
     without = lambda c: F.length("text") - F.length(F.regexp_replace("text", f"[{c}]+", ""))
     listed = F.array(*(F.lit(w) for w in WORDS))
-    common = F.filter(F.transform("words", lambda w: F.array_position(listed, F.lower(w)).cast("int")), lambda k: k > 0)
+    short = F.filter("words", lambda w: F.octet_length(w) <= LONGEST)
+    common = F.filter(F.transform(short, lambda w: F.array_position(listed, F.lower(w)).cast("int")), lambda k: k > 0)
     tally = let(common, lambda c: F.array(*(F.size(c) - F.size(F.array_remove(c, F.lit(k + 1))) for k in range(len(WORDS)))))
-    return own.select(
-        "doc_id", "lang",
+    counted = own.select(
+        "doc_id", "lang", "text", "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        without(CLASSES["symbol"]).cast("long").alias("n_symbols"),
+        F.length("text").alias("n_chars"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
-        F.length("text").alias("n_chars"),
-        F.array(*(without(c) for c in CLASSES.values())).alias("class_counts"),
         tally.alias("word_counts"),
     )
+    # White space is what no word holds, and symbols are counted already.
+    known = {"space": F.col("n_chars") - F.col("word_chars"), "symbol": F.col("n_symbols")}
+    classes = F.array(*((known[k] if k in known else without(c)).cast("int") for k, c in CLASSES.items()))
+    n_common = F.aggregate("word_counts", F.lit(0), lambda a, x: a + x)
+    return counted.withColumns({"class_counts": classes, "n_common": n_common}).drop("text", "words")
 
 
 def references(rows: DataFrame, rules: Rules) -> DataFrame:
-    """lang, ref_classes, ref_words: the summed histograms of each language; tiny, one row per language."""
-    total = lambda c, n: [F.sum(F.get(c, F.lit(k))).alias(f"{c}_{k}") for k in range(n)]
+    """lang, ref_classes, ref_words: the shares of each language's summed histograms; tiny, one row per language."""
     n, m = len(CLASSES), len(WORDS)
-    out = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), *total("class_counts", n), *total("word_counts", m))
-    ref = lambda c, k: F.array(*(F.col(f"{c}_{i}") for i in range(k)))
-    return out.where(F.col("docs") >= rules.least_docs).select("lang", F.col("chars").alias("ref_chars"), ref("class_counts", n).alias("ref_classes"), ref("word_counts", m).alias("ref_words"))
+    total = lambda c, n: [F.sum(F.get(c, F.lit(k))).alias(f"{c}_{k}") for k in range(n)]
+    out = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.sum("n_common").alias("common"), *total("class_counts", n), *total("word_counts", m))
+    part = lambda c, k, of: F.array(*(F.col(f"{c}_{i}") / of for i in range(k)))
+    some = lambda of: F.when(F.col(of) > 0, F.col(of))
+    return out.where(F.col("docs") >= rules.least_docs).select("lang", with_rest(part("class_counts", n, some("chars"))).alias("ref_classes"), part("word_counts", m, some("common")).alias("ref_words"))
 
 
-def shares(counts: Column, total: Column, rest: bool) -> Column:
-    part = F.transform(counts, lambda x: x / total)
-    return F.concat(part, F.array(F.lit(1.0) - F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x) / total)) if rest else part
+def with_rest(shares: Column) -> Column:
+    """Shares and what is left of 1."""
+    return F.concat(shares, F.array(F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -111,16 +118,14 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     are judged each; extra columns are ignored; an empty table gives no row. A distance is null where its guard bars it.
     """
     rows = cut(features(docs))
-    n_common = F.aggregate("word_counts", F.lit(0), lambda a, x: a + x)
     joined = rows.join(references(rows, rules), "lang", "left")
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    class_js = js_distance(shares(F.col("class_counts").cast("array<long>"), F.col("n_chars"), True), shares(F.col("ref_classes"), F.col("ref_chars"), True))
-    word_js = js_distance(shares(F.col("word_counts").cast("array<long>"), n_common, False), shares(F.col("ref_words"), total("ref_words"), False))
+    class_js = js_distance(with_rest(F.transform("class_counts", lambda x: x / F.col("n_chars"))), F.col("ref_classes"))
+    word_js = js_distance(F.transform("word_counts", lambda x: x / F.col("n_common")), F.col("ref_words"))
     out = joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < rules.least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.most_repeat_percent)).alias("base_failed"),
         F.when((F.col("n_chars") >= rules.least_chars) & F.col("ref_classes").isNotNull(), class_js).alias("class_js"),
-        F.when((n_common >= rules.least_common) & F.col("ref_words").isNotNull(), word_js).alias("word_js"),
+        F.when((F.col("n_common") >= rules.least_common) & F.col("ref_words").isNotNull(), word_js).alias("word_js"),
     )
     near = (F.coalesce("class_js", F.lit(0.0)) <= rules.class_distance) & (F.coalesce("word_js", F.lit(0.0)) <= rules.word_distance)
     return out.withColumn("kept", ~F.col("base_failed") & near)
