@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANT, SIDE, ROWS, COLS, FRAMES, RADIUS, FOCAL, DENSE = 16_384, 16, 48, 64, 7, 100.0, 200.0, 6
+PLANT, SIDE, ROWS, COLS, FRAMES, RADIUS, FOCAL, DENSE = 4_096, 16, 48, 64, 7, 100.0, 200.0, 6
 
 #: name -> SQL over the driver's tables, or over earlier names. `//` is written idiv(a, b).
 SQL = {
