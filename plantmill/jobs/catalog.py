@@ -603,9 +603,9 @@ def s11_export_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("div_angle", r("div_angle"))
 
 
-@query(("fruits",), f"{_TURN} SELECT plant_id, fruit_id, step, {q('azimuth + step / 4.0 * (CASE WHEN orientation = chr(99) || chr(119) THEN -((azimuth - nxt) - floor((azimuth - nxt) / ' + _TWO_PI + ') * ' + _TWO_PI + ') ELSE (nxt - azimuth) - floor((nxt - azimuth) / ' + _TWO_PI + ') * ' + _TWO_PI + ' END)', 8)} AS angle FROM (SELECT *, lead(azimuth) OVER (PARTITION BY plant_id ORDER BY fruit_id) AS nxt FROM dv), (SELECT unnest(range(0, 5)) AS step) WHERE nxt IS NOT NULL")
+@query(("fruits",), f"{_TURN} SELECT plant_id, fruit_id, step, {q('azimuth + step / 4.0 * (CASE WHEN orientation = chr(99) || chr(119) THEN -((azimuth - nxt) - floor((azimuth - nxt) / ' + _TWO_PI + ') * ' + _TWO_PI + ') ELSE (nxt - azimuth) - floor((nxt - azimuth) / ' + _TWO_PI + ') * ' + _TWO_PI + ' END)')} AS angle FROM (SELECT *, lead(azimuth) OVER (PARTITION BY plant_id ORDER BY fruit_id) AS nxt FROM dv), (SELECT unnest(range(0, 5)) AS step) WHERE nxt IS NOT NULL")
 def q11_divergence_arcs(spark: SparkSession, d: str) -> DataFrame:
-    return measure.arc_samples(measure.divergence(fruits(spark, d)), 4).select("plant_id", "fruit_id", "step", r("angle", 8).alias("angle"))
+    return measure.arc_samples(measure.divergence(fruits(spark, d)), 4).select("plant_id", "fruit_id", "step", r("angle").alias("angle"))
 
 
 _DIRS = "WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS sx, embedding[2]::DOUBLE AS sy, embedding[3]::DOUBLE AS sz, embedding[4]::DOUBLE AS bx, embedding[5]::DOUBLE AS by_, embedding[6]::DOUBLE AS bz FROM embeddings), n AS (SELECT vec_id, sx / s AS sx, sy / s AS sy, sz / s AS sz, bx / b AS bx, by_ / b AS by_, bz / b AS bz FROM (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS s, sqrt(bx*bx+by_*by_+bz*bz) AS b FROM e) WHERE s > 0 AND b > 0), g AS (SELECT *, sx*bx+sy*by_+sz*bz AS c FROM n), a AS (SELECT *, bx - sx * c AS px, bz * -sy + by_ * sz AS py FROM g)"

@@ -25,7 +25,7 @@ SQL = {
         CAST(0.0 AS DOUBLE) AS t1, CAST(0.25 AS DOUBLE) AS t2, CAST({RADIUS} AS DOUBLE) + plant_id % 5 AS t3, {COLS} AS width, {ROWS} AS height, CAST({FOCAL} AS DOUBLE) AS fx, CAST({FOCAL} AS DOUBLE) AS fy, CAST({COLS / 2} AS DOUBLE) AS cx, CAST({ROWS / 2} AS DOUBLE) AS cy,
         CAST(0.01 AS DOUBLE) AS k1, CAST(0.001 AS DOUBLE) AS k2, CAST(0.0005 AS DOUBLE) AS p1, CAST(-0.0005 AS DOUBLE) AS p2 FROM plants, angles""",
     "grids": f"SELECT plant_id, CAST({-SIDE / 2} AS DOUBLE) AS ox, CAST({-SIDE / 2} AS DOUBLE) AS oy, CAST({-SIDE / 2} AS DOUBLE) AS oz, CAST({SIDE - 1} AS DOUBLE) AS wx, CAST({SIDE - 1} AS DOUBLE) AS wy, CAST({SIDE - 1} AS DOUBLE) AS wz, CAST(1.0 AS DOUBLE) AS voxel_size FROM plants",
-    "fruits": """SELECT o_custkey AS plant_id, o_orderkey AS node_id, round((o_orderkey % 10007) * 2.399963, 6) AS azimuth, CAST(round(o_totalprice * 100) AS BIGINT) % 1000000 AS arc FROM orders""",
+    "fruits": """SELECT o_custkey AS plant_id, o_orderkey AS node_id, (o_orderkey % 10007) * CAST(2.399963229728653 AS DOUBLE) AS azimuth, CAST(round(o_totalprice * 100) AS BIGINT) % 1000000 AS arc FROM orders""",
     "curve_points": "SELECT user_id AS curve_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, round(CAST(value AS DOUBLE), 3) / 10.0 AS x, (event_id % 97) / 10.0 AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) / 2.0 AS z FROM events",
     "images": "SELECT l_orderkey AS plant_id, l_linenumber AS frame_idx, max(CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 0 END) AS has_pose, round(CAST(max(l_quantity) AS DOUBLE), 3) AS x, round(CAST(max(l_tax) AS DOUBLE), 3) AS y, round(CAST(max(l_discount) AS DOUBLE), 3) AS z FROM lineitem GROUP BY 1, 2",
 }
