@@ -656,6 +656,36 @@ def a12_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return measure.accuracy(f, truth).select("plant_id", r("mean_error").alias("mean_error"), r("max_error").alias("max_error"))
 
 
+_EDGE = """WITH cn AS (SELECT plant_id, n AS corner, ox + (n & 1) * wx AS x, oy + ((n >> 1) & 1) * wy AS y, oz + ((n >> 2) & 1) * wz AS z FROM grids, (SELECT unnest(range(0, 8)) AS n)),
+cam AS (SELECT c.plant_id, c.corner, c.x, c.y, c.z, f.* EXCLUDE (plant_id), {cam} FROM cn c JOIN frames f USING (plant_id)),
+nrm AS (SELECT *, xc / d AS a, yc / d AS b FROM cam WHERE d > 0),
+sub AS ({sub}),
+ed AS (SELECT p.plant_id, p.frame_idx, p.corner * 3 + bit AS edge, p.width, p.height, p.u AS x1, p.v AS y1, o.u AS x2, o.v AS y2, o.u - p.u AS dx, o.v - p.v AS dy FROM sub p, (SELECT unnest(range(0, 3)) AS bit), sub o WHERE o.plant_id = p.plant_id AND o.frame_idx = p.frame_idx AND (p.corner >> bit) & 1 = 0 AND o.corner = p.corner + (1 << bit)),
+cl AS (SELECT *, greatest(0.0, CASE WHEN dx > 0 THEN -x1 / dx WHEN dx < 0 THEN (width - x1) / dx ELSE 0.0 END, CASE WHEN dy > 0 THEN -y1 / dy WHEN dy < 0 THEN (height - y1) / dy ELSE 0.0 END) AS t0,
+  least(1.0, CASE WHEN dx < 0 THEN -x1 / dx WHEN dx > 0 THEN (width - x1) / dx ELSE 1.0 END, CASE WHEN dy < 0 THEN -y1 / dy WHEN dy > 0 THEN (height - y1) / dy ELSE 1.0 END) AS t1
+  FROM ed WHERE NOT (dx = 0 AND (x1 < 0 OR x1 > width)) AND NOT (dy = 0 AND (y1 < 0 OR y1 > height)))
+""".format(cam=_CAM, sub=_SEEN.split("sub AS (")[1].split("),\npx")[0])
+
+
+@query(("frames", "grids"), f"{_EDGE} SELECT plant_id, frame_idx, edge, {q('x1 + dx * t0', 3)} AS x1, {q('y1 + dy * t0', 3)} AS y1, {q('x1 + dx * t1', 3)} AS x2, {q('y1 + dy * t1', 3)} AS y2 FROM cl WHERE t0 <= t1")
+def p8_box_edges(spark: SparkSession, d: str) -> DataFrame:
+    return camera.project_boxes(load(spark, d, "grids"), frames(spark, d)).select("plant_id", "frame_idx", "edge", *(r(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query(("fruits",), """SELECT plant_id, count(*) AS n_fruits, count(*) FILTER (isnan(phi)) AS n_flagged FROM (SELECT plant_id, CASE WHEN node_id % 11 = 0 THEN 'nan'::DOUBLE WHEN node_id % 7 = 0 THEN 'nan'::DOUBLE ELSE azimuth END AS phi FROM fruits) GROUP BY plant_id""")
+def q6_flagged(spark: SparkSession, d: str) -> DataFrame:
+    """Degenerate fits lose both angles, an undefined azimuth only itself; both are flagged."""
+    nan = F.lit(float("nan"))
+    rows = load(spark, d, "fruits").select("plant_id", F.lit(1.0).alias("theta"), F.when(F.col("node_id") % 7 == 0, nan).otherwise(F.col("azimuth")).alias("phi"), (F.col("node_id") % 11 == 0).alias("degenerate"))
+    return measure.flag_angles(rows).groupBy("plant_id").agg(F.count(F.lit(1)).alias("n_fruits"), F.count(F.when(F.col("flagged"), 1)).alias("n_flagged"))
+
+
+@query(("curve_points",), f"WITH ln AS (SELECT curve_id, count(*) / 2.0 AS length FROM curve_points GROUP BY 1) SELECT curve_id, {q('least(3.0, greatest(length - 6.0, 0.0))')} AS s0 FROM ln")
+def q3_fit_position(spark: SparkSession, d: str) -> DataFrame:
+    lengths = load(spark, d, "curve_points").groupBy("curve_id").agg((F.count(F.lit(1)) / 2.0).alias("length"))
+    return measure.fit_position(lengths, 2.0, 1.5, 2.0).select("curve_id", r("s0").alias("s0"))
+
+
 # --- results, updates, work lists
 
 
