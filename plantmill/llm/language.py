@@ -5,6 +5,10 @@ to length 1). A family is chosen one against the rest; within it every pair of l
 language with most wins is taken, the sum of margins breaking ties. The machines learn from a bounded sample of labelled
 rows: about `SAMPLE` for each language, by hash, so any order of the table gives the same ones. The driver trains them on
 the sample's vectors (16 KB a row); prediction reads whole texts and needs no shuffle.
+
+The score compares languages with each other, so it is never low. Whether a text is in any of them is told by how far
+it lies inside its winner (`Model.inside`): the least raw margin, and the cosine to the winner's mean vector. The least
+values allowed come from the sample: machines of one half read the other half (`limits`).
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from plantmill.llm.common import raw_texts
 
 SAMPLE, BUCKETS, CHUNK = 400, 4_096, 1 << 20
+# The percentile of clean rows that sets a limit, and the shares of it that a margin and a cosine must reach.
+CLEAN, MARGIN_SHARE, COSINE_SHARE = 1.0, 0.5, 0.8
 # Families of languages; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "da", "sv", "no", "is"),
@@ -78,6 +84,14 @@ class Model:
     members: dict[str, list[str]]
     by_family: np.ndarray  # a row of weights for each family
     by_pair: dict[tuple[str, str], np.ndarray]
+    centres: dict[str, np.ndarray]  # each language's mean vector, of length 1
+
+    def inside(self, x: np.ndarray, lang: str) -> tuple[float, float]:
+        """The least raw margin of lang's machines (infinite without any), and the cosine to its mean vector."""
+        one, family = np.append(x, np.float32(1)), FAMILY.get(lang, lang)
+        margins = [float(self.by_family[self.families.index(family)] @ one)] if len(self.families) > 1 else []
+        margins += [float(w @ one) * (1 if lang == a else -1) for (a, b), w in self.by_pair.items() if lang in (a, b)]
+        return min(margins, default=np.inf), float(self.centres[lang] @ x)
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         x = np.append(x, np.float32(1))
@@ -118,7 +132,21 @@ def fit(labels: list[str], x: np.ndarray) -> Model | None:
         for a, b in combinations(own, 2):
             rows = (label == a) | (label == b)
             by_pair[a, b] = train_svm(x[rows], np.where(label[rows] == a, 1.0, -1.0))
-    return Model(families, members, by_family.astype(np.float32), {k: w.astype(np.float32) for k, w in by_pair.items()})
+    means = {k: x[label == k].mean(0) for k in langs}
+    centres = {k: v / max(float(np.linalg.norm(v)), 1e-9) for k, v in means.items()}
+    return Model(families, members, by_family.astype(np.float32), {k: w.astype(np.float32) for k, w in by_pair.items()}, centres)
+
+
+def limits(labels: list[str], x: np.ndarray) -> tuple[float, float]:
+    """The least margin and cosine of a text that counts as identified, from rows that the machines have not seen."""
+    half, found = np.arange(len(labels)) % 2 == 0, []
+    for own in (half, ~half):
+        model = fit([k for k, o in zip(labels, own, strict=True) if o], x[own])
+        found += [model.inside(v, model.predict(v)[0]) for v in x[~own]] if model else []
+    if not found:
+        return -np.inf, -np.inf
+    margins, cosines = (np.percentile(v, CLEAN, method="lower") for v in np.array(found).T)
+    return max(0.0, float(margins)) * MARGIN_SHARE, float(cosines) * COSINE_SHARE
 
 
 def held_out(doc_id: Column) -> Column:
@@ -127,11 +155,16 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, per_language: int = SAMPLE) -> Model | None:
     """The model of docs' labelled rows that are not held out. At most `per_language` rows of each language are used."""
+    return fit(*sample_of(docs, per_language))
+
+
+def sample_of(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """Labels and vectors of the rows to learn from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     place = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        return None
+        return [], np.zeros((0, BUCKETS), np.float32)
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, 1.2 * per_language / n) * 1_000_000)).otherwise(share)
@@ -154,7 +187,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Model | None:
         used[r["lang"]] = used.get(r["lang"], 0) + 1
         if used[r["lang"]] <= per_language:
             kept.append(r)
-    return fit([r["lang"] for r in kept], np.array([np.frombuffer(r["x"], np.float32) for r in kept]).reshape(-1, BUCKETS))
+    return [r["lang"] for r in kept], np.array([np.frombuffer(r["x"], np.float32) for r in kept]).reshape(-1, BUCKETS)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -174,14 +207,26 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose text has a language with at least this score; columns as given, no shuffle."""
-    model = train(docs)
+    """The rows of docs whose text is in a learned language; columns as given, no shuffle.
+
+    Texts without a letter go, those with a lower score than `least`, and those that lie less far inside their winner than
+    `limits` allows: other languages, nonsense, and texts on the boundary.
+    """
+    labels, x = sample_of(docs)
+    model, (margin, cosine) = fit(labels, x), limits(labels, x)
+
+    def known(text: bytes) -> bool:
+        if model is None or not has_letter(text):
+            return False
+        v = vector(text)
+        lang, score = model.predict(v)
+        m, c = model.inside(v, lang)
+        return score >= least and m >= margin and c >= cosine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-                yield part.filter(pa.array([bool(model) and has_letter(t) and model.predict(vector(t))[1] >= least for t in texts], pa.bool_()))
+                yield part.filter(pa.array([known(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -278,6 +278,19 @@ def test_language(spark, odd, empty):
     assert language.keep_identified(docs).count() == 500
 
 
+def test_foreign_and_nonsense_texts_go(spark):
+    rng = random.Random(9)
+    own = {"en": "the and of with stone thing which house under river", "de": "der und von mit stein ding welches haus unter fluss", "fr": "le et de avec pierre chose laquelle maison sous riviere", "es": "el y de con piedra cosa cual casa bajo rio"}
+    langs = {k: rng.choice(list(own)) for k in range(600)}
+    texts = [prose(rng, 40, own[langs[k]].split()) for k in range(600)]
+    foreign = ["talon katolla istuu vanha harmaa kissa joka katselee kuinka lapset juoksevat", "старый дом стоит на берегу реки и дети бегут к воде", "kucing hitam tidur pada waktu malam bawah pokok nyiur"]
+    texts += [prose(rng, 40, words.split()) for words in foreign for _ in range(10)]
+    texts += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(10)]
+    docs = documents(spark, texts, langs).withColumn("lang", F.when(F.col("doc_id") < 600, F.col("lang")))
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == set(range(600))
+
+
 def test_vector_of_a_long_text_is_that_of_its_n_grams():
     text = ("abc déf " * 200_000).encode()
     whole, size = language.vector(text), language.CHUNK
