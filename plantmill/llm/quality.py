@@ -5,6 +5,10 @@ is the sum over all its documents, so the rules learn from the whole corpus and
 kept unless the fixed rules fail or the Jensen-Shannon distance of a histogram from its language's is too large. Short
 documents have noisy histograms, so a guard of least counts stands before each comparison; languages with too few
 documents judge nothing. All of it is DataFrame functions.
+
+`judge` is what the SQL says: its word histogram holds common words only, and its guard counts them. A long text without
+them is not compared there. `keep_good` therefore also compares the histogram of all words, with a class for the words
+that are not listed, and its guard is the number of common words that a document of this length should have.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ class Rules:
     least_chars: int = 100  # guard of the class histogram
     least_common: int = 30  # guard of the word histogram: words of the list in the document
     least_docs: int = 20  # guard of a reference
+    missing_share: float = 0.8  # of the distance that a text without any common word has
 
 
 def repeat_words(words: Column) -> Column:
@@ -90,13 +95,16 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def references(rows: DataFrame, rules: Rules) -> DataFrame:
-    """lang, ref_classes, ref_words: the shares of each language's summed histograms; tiny, one row per language."""
+    """lang, ref_classes, ref_words, ref_all: the shares of each language's summed histograms; tiny, one row per language.
+
+    ref_words are shares of the common words, ref_all those of all words, with the rest as the last one.
+    """
     n, m = len(CLASSES), len(WORDS)
     total = lambda c, n: [F.sum(F.get(c, F.lit(k))).alias(f"{c}_{k}") for k in range(n)]
-    out = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.sum("n_common").alias("common"), *total("class_counts", n), *total("word_counts", m))
+    out = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.sum("n_common").alias("common"), F.sum("n_words").alias("n_all"), *total("class_counts", n), *total("word_counts", m))
     part = lambda c, k, of: F.array(*(F.col(f"{c}_{i}") / of for i in range(k)))
     some = lambda of: F.when(F.col(of) > 0, F.col(of))
-    return out.where(F.col("docs") >= rules.least_docs).select("lang", with_rest(part("class_counts", n, some("chars"))).alias("ref_classes"), part("word_counts", m, some("common")).alias("ref_words"))
+    return out.where(F.col("docs") >= rules.least_docs).select("lang", with_rest(part("class_counts", n, some("chars"))).alias("ref_classes"), part("word_counts", m, some("common")).alias("ref_words"), with_rest(part("word_counts", m, some("n_all"))).alias("ref_all"))
 
 
 def with_rest(shares: Column) -> Column:
@@ -112,26 +120,37 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, the base counts, base_failed, class_js, word_js, kept: one row per row of docs.
+    """doc_id, the base counts, base_failed, class_js, word_js, kept, common_missing: one row per row of docs.
 
     Null text counts as empty: no words, so it fails the fixed rules. A null lang is a language of its own. Repeated rows
     are judged each; extra columns are ignored; an empty table gives no row. A distance is null where its guard bars it.
+    common_missing: with all words counted, the text is about as far from its language as one without any common word, or
+    farther; `kept` does not look at it.
     """
     rows = cut(features(docs))
     joined = rows.join(references(rows, rules), "lang", "left")
     class_js = js_distance(with_rest(F.transform("class_counts", lambda x: x / F.col("n_chars"))), F.col("ref_classes"))
     word_js = js_distance(F.transform("word_counts", lambda x: x / F.col("n_common")), F.col("ref_words"))
+    other = F.get("ref_all", F.lit(len(WORDS)))
+    none_listed = F.transform("ref_all", lambda x, k: F.when(k == len(WORDS), 1.0).otherwise(0.0))
+    all_js = js_distance(with_rest(F.transform("word_counts", lambda x: x / F.col("n_words"))), F.col("ref_all"))
+    due = (F.col("n_words") * (1 - other) >= rules.least_common) & F.col("ref_all").isNotNull()
+    missing = F.when(due, all_js >= rules.missing_share * js_distance(none_listed, F.col("ref_all")))
     out = joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < rules.least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.most_repeat_percent)).alias("base_failed"),
         F.when((F.col("n_chars") >= rules.least_chars) & F.col("ref_classes").isNotNull(), class_js).alias("class_js"),
         F.when((F.col("n_common") >= rules.least_common) & F.col("ref_words").isNotNull(), word_js).alias("word_js"),
+        F.coalesce(missing, F.lit(False)).alias("common_missing"),
     )
     near = (F.coalesce("class_js", F.lit(0.0)) <= rules.class_distance) & (F.coalesce("word_js", F.lit(0.0)) <= rules.word_distance)
     return out.withColumn("kept", ~F.col("base_failed") & near)
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that `judge` keeps; columns as given. A doc_id goes if one of its rows is rejected."""
-    lost = judge(docs, rules).where(~F.col("kept")).select("doc_id").distinct()
+    """The rows of docs that `judge` keeps and that do not miss their language's common words; columns as given.
+
+    A doc_id goes if one of its rows is rejected.
+    """
+    lost = judge(docs, rules).where(~F.col("kept") | F.col("common_missing")).select("doc_id").distinct()
     return docs.join(lost, docs["doc_id"].eqNullSafe(lost["doc_id"]), "left_anti")

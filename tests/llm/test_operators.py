@@ -367,6 +367,16 @@ def test_junk_is_far_from_its_language(spark):
     assert all(rows[k].kept for k in range(80)) and not rows[80].kept and rows[80].class_js > 0.45
 
 
+def test_long_texts_without_common_words_go(spark):
+    rng = random.Random(3)
+    en, de = "the of and in to stone river walk old tree blue house".split(), "der und das mit ist stein fluss alter baum haus blau wald".split()
+    junk = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    texts = [" ".join(rng.choice(en) for _ in range(120)) for _ in range(80)] + [junk(120), junk(900)] + [" ".join(rng.choice(de) for _ in range(200)), junk(12)]
+    docs = documents(spark, texts)
+    assert all(r.kept for r in quality.judge(docs).where("doc_id in (80, 81)").collect())  # the SQL's rules do not compare them
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {*range(80), 83}  # 83: too short to tell
+
+
 def test_distance(spark):
     p, q = F.array(F.lit(0.5), F.lit(0.5), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
     row = spark.range(1).select(quality.js_distance(p, p).alias("same"), quality.js_distance(p, q).alias("apart")).first()
