@@ -7,14 +7,15 @@ once; suffix positions are sampled at every `SAMPLE`-th symbol of a run and at e
 occurrences walk back to one. Occurrences of a document merge into spans. No row leaves its task: there is no shuffle.
 
 The phrases go to all executors. Their size is checked: a benchmark of more than `BLOCK` windows is searched in
-blocks of that many, one pass each, whose hits are joined by document.
+blocks of that many, one pass each over the texts as given. Each block's hits are written to the shared folder before the
+next block is loaded; then they are joined by document, and texts are cut once.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -22,11 +23,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plantmill.llm.common import cut, raw_texts
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW, SHARD, SAMPLE, BLOCK = 10, 400_000, 8, 2_000_000
+SEED = 42  # of Spark's xxhash64
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -224,7 +227,7 @@ FOUND = "doc_id long, print long, n_words long, hit array<long>, spans array<str
 
 
 def scan(docs: DataFrame, phrases: Phrases, shard: int = SHARD) -> DataFrame:
-    """One row per document (FOUND) for one block of phrases. print: a hash of the text."""
+    """One row per document (FOUND) for one block of phrases. print: Spark's xxhash64 of the text."""
 
     def judged(ids: list, texts: list[bytes]) -> pa.RecordBatch:
         found = hits(texts, phrases)
@@ -232,7 +235,7 @@ def scan(docs: DataFrame, phrases: Phrases, shard: int = SHARD) -> DataFrame:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         columns = {
             "doc_id": pa.array(ids, pa.int64()),
-            "print": pa.array([xxhash.xxh64_intdigest(t) >> 1 for t in texts], pa.int64()),
+            "print": pa.array(np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64).view(np.int64)),
             "n_words": pa.array([n for n, _, _ in found], pa.int64()),
             "hit": pa.array([h.tolist() for _, h, _ in found], pa.list_(pa.int64())),
             "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(span)),
@@ -256,14 +259,34 @@ def scan(docs: DataFrame, phrases: Phrases, shard: int = SHARD) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
 
 
-def blocks_of(benchmark: DataFrame, width: int = WINDOW, block: int = BLOCK) -> Iterator[Phrases]:
-    """The benchmark's windows, at most `block` at a time on the driver and in a task."""
+def blocks_of(benchmark: DataFrame, width: int = WINDOW, block: int = BLOCK) -> tuple[int, Iterator[Phrases]]:
+    """The number of blocks, and the benchmark's windows: at most about `block` at a time on the driver and in a task."""
     ready = cut(windows(benchmark, width))
-    n = ready.count()
-    parts = max(1, -(-n // block))
-    for k in range(parts):
-        own = ready if parts == 1 else ready.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == k)
-        yield Phrases([([bytes(w) for w in r["words"]], r["items"]) for r in own.toLocalIterator()], width)
+    parts = max(1, -(-ready.count() // block))
+
+    def load() -> Iterator[Phrases]:
+        for k in range(parts):
+            own = ready if parts == 1 else ready.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == k)
+            yield Phrases([([bytes(w) for w in r["words"]], r["items"]) for r in own.toLocalIterator()], width)
+
+    return parts, load()
+
+
+def united(docs: DataFrame, blocks: Iterator[Phrases], shard: int) -> DataFrame:
+    """doc_id, print, hit, items: what all blocks find in the documents that have a hit. One block is held at a time."""
+    out = None
+    for phrases in blocks:
+        found = cut(scan(docs, phrases, shard).where(F.size("hit") > 0).select("doc_id", "print", "hit", "items"))
+        out = found if out is None else out.unionByName(found)
+    joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return out.groupBy("doc_id", "print").agg(joined("hit"), joined("items"))  # equal rows of docs have equal rows here
+
+
+def with_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs and, as `_hit` and `_items`, what `united` found in each row; null without a hit."""
+    found = found.select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), F.col("hit").alias("_hit"), F.col("items").alias("_items"))
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_print"])
+    return docs.join(found, same, "left").drop("_doc", "_print")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -273,36 +296,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     byte spans of hit words. Null and empty texts have no words and no hit; repeated rows each keep a row; extra columns
     are ignored; an empty benchmark hits nothing.
     """
-    found = [scan(docs, p, shard) for p in blocks_of(benchmark, width, block)]
-    out = found[0]
-    if len(found) > 1:  # the blocks' rows of one document meet; equal rows of the table have equal rows here
-        for more in found[1:]:
-            out = out.unionByName(more)
-        joined = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-        out = out.groupBy("doc_id", "print", "n_words").agg(joined("hit"), joined("items"), joined("spans"), (F.count(F.lit(1)) / len(found)).cast("int").alias("n"))
-        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
-    return out.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "spans", "items")
+    parts, blocks = blocks_of(benchmark, width, block)
+    if parts == 1:
+        return scan(docs, next(blocks), shard).select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "spans", "items")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for b in batches:
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            hit = [np.array(h or [], np.int64) for h in b.column("_hit").to_pylist()]
+            spans = [[{"start": x, "end": y} for x, y in spans_of(t, h)] if len(h) else [] for t, h in zip(texts, hit, strict=True)]
+            counts = pa.array([len(words_of(t)) for t in texts], pa.int64()), pa.array(list(map(len, hit)), pa.int64())
+            items = pa.array([i or [] for i in b.column("_items").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array(spans, span), items], ["doc_id", "n_words", "n_hit", "spans", "items"])
+
+    schema = "doc_id long, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<string>"
+    return with_hits(rows, united(docs, blocks, shard)).mapInArrow(run, schema)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shard: int = SHARD, block: int = BLOCK, least: int = 1) -> DataFrame:
     """docs without the benchmark's spans; a document that loses all but fewer than `least` words goes.
 
-    Columns as given; n_chars, if there, follows the text. One pass for each block of phrases, over what the pass before
-    has left. Documents without a hit stay as they are, null and empty texts too.
+    Columns as given; n_chars, if there, follows the text. Every block of phrases is searched in the text as given, and the
+    text is cut once. Documents without a hit stay as they are, null and empty texts too.
     """
-    for phrases in blocks_of(benchmark, width, block):
-        docs = _cleaned(docs, phrases, shard, least)
-    return docs
+    parts, blocks = blocks_of(benchmark, width, block)
+    if parts == 1:
+        phrases = next(blocks)
+        return _cleaned(docs, lambda texts, rows: [(n, h) for n, h, _ in hits(texts, phrases)], docs.schema, shard, least)
+
+    def found(texts: list[bytes], rows: pa.Table) -> list[tuple[int, np.ndarray]]:
+        hit = [np.array(h or [], np.int64) for h in rows["_hit"].to_pylist()]
+        return [(len(words_of(t)) if len(h) else 0, h) for t, h in zip(texts, hit, strict=True)]
+
+    return _cleaned(with_hits(docs, united(docs, blocks, shard)).drop("_items"), found, docs.schema, shard, least)
+
 
+def _cleaned(docs: DataFrame, search: Callable[[list[bytes], pa.Table], list[tuple[int, np.ndarray]]], schema: StructType, shard: int, least: int) -> DataFrame:
+    """docs in the given schema, cut at what `search` gives for each text of a shard: its words, and those hit."""
 
-def _cleaned(docs: DataFrame, phrases: Phrases, shard: int, least: int) -> DataFrame:
     def judged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         texts = [t or b"" for t in rows["text"].cast(pa.binary()).to_pylist()]
         old, keep, changed = rows["text"].to_pylist(), [], {}
-        for k, (t, (n, hit, _)) in enumerate(zip(texts, hits(texts, phrases), strict=True)):
+        for k, (t, (n, hit)) in enumerate(zip(texts, search(texts, rows), strict=True)):
             keep.append(not len(hit) or n - len(hit) >= least)
             if len(hit):
                 changed[k] = old[k] = without(t, spans_of(t, hit))
+        rows = rows.select(names)
         if changed:
             rows = rows.set_column(rows.column_names.index("text"), rows.schema.field("text"), pa.array(old, rows.schema.field("text").type))
             if "n_chars" in rows.column_names:
@@ -324,4 +365,5 @@ def _cleaned(docs: DataFrame, phrases: Phrases, shard: int, least: int) -> DataF
         if held:
             yield from judged(pa.Table.from_batches(held))
 
-    return docs.mapInArrow(run, docs.schema)
+    names = schema.names
+    return docs.mapInArrow(run, schema)

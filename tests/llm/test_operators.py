@@ -174,6 +174,22 @@ def test_decontamination(spark, odd, empty, block):
     assert all(r.n_chars == len(r.text) for r in left if r.doc_id not in clean)
 
 
+@pytest.mark.parametrize("block", [2_000_000, 3])
+def test_cleaned_texts_equal_brute_force(spark, block):
+    rng = random.Random(12)
+    passages = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(3)] + ["short one here"]
+    texts = [f"a b c {rng.choice(passages)} d e f {rng.choice(passages)}. g" for _ in range(20)] + ["x y z", passages[0], "p0w3 p0w4"]
+    docs = documents(spark, texts)
+    docs = docs.union(docs.where("doc_id = 0")).union(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long"))).union(documents(spark, [None]))
+    benchmark = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    clean = lambda t: None if t is None else re.sub("|".join(map(re.escape, passages)), "", t)
+    want = sorted(repr((r.doc_id, clean(r.text))) for r in docs.collect() if r.text is None or clean(r.text))
+    left = decontaminate.remove_spans(docs, benchmark, shard=200, block=block)
+    assert left.columns == docs.columns and sorted(repr((r.doc_id, r.text)) for r in left.collect()) == want
+    whole = decontaminate.contamination(docs, benchmark, shard=200).collect()
+    assert sorted(map(repr, decontaminate.contamination(docs, benchmark, shard=200, block=block).collect())) == sorted(map(repr, whole))
+
+
 def test_index_counts_and_places():
     rng = np.random.default_rng(0)
     symbols = np.concatenate([rng.integers(0, 4, 400), [0]]).astype(np.int64)
