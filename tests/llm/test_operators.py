@@ -271,6 +271,17 @@ def test_distrust_goes_against_links(spark):
     assert {r.host: r.trust for r in urls.propagate(edges, seeds, 4).collect()} == pytest.approx(t)
 
 
+def test_distrust_does_not_shrink_with_the_graph(spark):
+    link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a>' for h in hosts)
+    rows = [(1, "http://example.com/de/a", link("far.com")), (2, "http://example.com/de/b", ""), (3, "http://example.com/en", "")]
+    rows += [(10 + k, f"http://fan{k}.com/", link("example.com")) for k in range(40)]
+    rows += [(100 + k, f"http://second{k}.com/", link("fan0.com")) for k in range(20)]
+    rows += [(200, "http://hub.com/", link("example.com", *(f"ok{k}.com" for k in range(30))))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, urls.rules_frame(spark)).collect()}
+    assert got == {r[0]: "allow" if r[0] == 200 else "block" for r in rows}
+
+
 # --- language
 
 
