@@ -17,11 +17,13 @@ SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    `spark.checkpoint.dir` names it on a cluster. Only where neither the session nor the context has one
-    (tests in one process) a temporary folder is set.
+    `spark.checkpoint.dir` names it on a cluster. Only where neither the session nor the context has one and driver and
+    executors are one process (tests) a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="plantmill-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)

@@ -4,7 +4,7 @@ The table of a text holds the exact number of tokens of every prefix, as if each
 left to right: the encoding of a prefix ends in the one piece that is compatible with the encoding before it, so its count
 is one more than that of a shorter prefix (`Pieces.prefixes`). The table falls into chunks; those of frequent
 chunks are kept for the next texts. Truncation and budget questions are lookups: `longest_prefix` finds where to
-cut, `budget_cut` does so for a table of documents, and nothing is encoded again.
+cut, `budget_cut` does so for a table of documents, and nothing is encoded twice.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from plantmill.llm import pieces
 from plantmill.llm.common import raw_texts
 
-KEPT = 250_000  # chunks in each of a worker's two generations
+KEPT = 200_000  # chunks in each of a worker's two generations
 
 
 @lru_cache(maxsize=4)
@@ -89,8 +89,17 @@ def token_counts(docs: DataFrame, model: str, budget: int, with_table: bool = Fa
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def budget_cut(counted: DataFrame, docs: DataFrame) -> DataFrame:
-    """docs with each text cut to its longest prefix within the budget that `counted` was made for."""
-    cuts = counted.groupBy("doc_id").agg(F.min("fits_chars").alias("_fits"))
-    out = docs.join(cuts, "doc_id", "left")
-    return out.select(*(F.expr("substring(text, 1, cast(_fits as int))").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+def budget_cut(docs: DataFrame, model: str, budget: int) -> DataFrame:
+    """docs with each text cut to its longest prefix of at most `budget` tokens; all rows and columns as given.
+
+    The cut is a lookup in the text's prefix table, so nothing is joined: repeated rows, equal ids with other texts and a null
+    doc_id are each cut on their own. A null text stays null, an empty one empty.
+    """
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is None else t[: longest_prefix(prefix_table(t, model), budget)] for t in batch.column(place).to_pylist()]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+
+    return docs.mapInArrow(run, docs.schema)
