@@ -13,11 +13,17 @@ any size of corpus; the result is the same for any code. Exact copies are one fi
 anchor with more than `DENSE` members (a large group of almost equal documents) is not compared pair by pair: its members
 go on to the finest code, whose 2^64 anchors have radius 0. All members of such an anchor are within 1 bit of it, so
 within 2 of each other, and one star of links says all that the pairs would say.
+
+`keep_one` owes more: one document of each group whose sets of five-word shingles have a Jaccard similarity of `SIMILAR` = 0.8
+or more. At 0.8 about 15 % of the bits of two fingerprints differ, 10 of 64, and a covering code for that needs thousands of
+copies of each. So links of 2 bits are only its first candidates. The others come from `BANDS` shorter prints of a set,
+each of `ROWS` minima under random functions: a pair at 0.8 shares one with probability 1 - (1 - 0.8^6)^16 = 0.992. Every
+candidate is confirmed by the exact similarity of the two sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,33 +31,55 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantmill.llm.common import cut, raw_texts
+from plantmill.llm.common import cut, new_folder, raw_texts
 
 BITS, THRESHOLD, SEED = 64, 2, 42
 DENSE = 64
 CHUNK = 1 << 15
+SIMILAR, BANDS, ROWS = 0.8, 16, 6
+FEW = 1_000_000  # row numbers that may be broadcast
+_FUNCTIONS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """The 64-bit fingerprint of a UTF-8 text, as a signed integer; 0 if it has no word."""
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, repeats included, some at a time, so that memory is bounded on very long texts."""
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, CHUNK):  # bounds memory on very long texts
+        return
+    for at in range(0, max(1, len(words) - shingle + 1), CHUNK):
         part = words[at : at + CHUNK + shingle - 1]
         if len(words) < shingle:
             items = [b" ".join(words)]
         else:
             items = list(map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False)))
-        hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in items), np.uint64, len(items))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.int64)
+        yield np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in items), np.uint64, len(items))
+
+
+def fingerprint_of(parts: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     value = int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
     return value - (1 << 64) if value >> 63 else value
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The 64-bit fingerprint of a UTF-8 text, as a signed integer; 0 if it has no word."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def band_prints(hashes: np.ndarray) -> np.ndarray:
+    """`BANDS` prints of a set of shingle hashes, each of `ROWS` of its minima under the fixed random functions."""
+    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    factor, shift = _FUNCTIONS[0] | np.uint64(1), _FUNCTIONS[1]
+    for at in range(0, len(hashes), 4096):
+        some = hashes[at : at + 4096, None]
+        np.minimum(low, ((some ^ (some >> np.uint64(31))) * factor + shift).min(0), out=low)
+    low = (low >> np.uint64(16)).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low)], np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp long: one row per document, read once."""
 
@@ -118,7 +146,8 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def links(classes: DataFrame, dense: int = DENSE, blocks: int | None = None) -> DataFrame:
     """u, v: links between `classes(fp, node)` at most THRESHOLD bits apart, enough of them for the same components."""
     blocks = blocks or blocks_for(classes.count())
-    placed = classes.select("node", "fp", F.explode(anchors(F.col("fp"), blocks)).alias("anchor"))
+    spread = classes.repartition("fp")  # few partitions before they grow
+    placed = spread.select("node", "fp", F.explode(anchors(F.col("fp"), blocks)).alias("anchor"))
     size = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = cut(size.where(F.col("n") > dense).select("anchor"))
     sparse = placed.join(size.where(F.col("n") <= dense).select("anchor"), "anchor", "left_semi")
@@ -137,21 +166,118 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, dense: int = DENSE, block
     """doc_id, fp, component_id, component_size: every document with the smallest doc_id that links reach from it.
 
     Null and empty texts, and texts without a word, have fingerprint 0, which is linked like any other. Repeated rows of
-    one doc_id each keep a row. Rows with a null doc_id keep a row with a null component. Extra columns are ignored; an
-    empty table gives no row.
+    one doc_id each keep a row, and so do rows of one doc_id with other texts, each with its own fingerprint's component. Rows with
+    a null doc_id keep a row with a null component. Very long texts are read whole, some shingles at a time. Extra columns
+    are ignored; an empty table gives no row.
     """
     prints = cut(fingerprints(docs, shingle))
-    classes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
-    found = star_components(links(classes.select("fp", "node"), dense, blocks))
-    named = classes.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
-    total = named.groupBy("component_id").agg(F.sum("n").alias("component_size"))
-    named = named.join(total, "component_id").select("fp", "component_id", "component_size")
+    classes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    found = star_components(links(classes.select("fp", F.col("fp").alias("node")), dense, blocks))
+    named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("top"))
+    total = named.groupBy("top").agg(F.sum("n").alias("component_size"), F.min("least").alias("component_id"))
+    named = named.join(total, "top").select("fp", "component_id", "component_size")
     out = prints.join(named, "fp", "left")
     known = F.col("doc_id").isNotNull()
     return out.select("doc_id", "fp", F.when(known, F.col("component_id")).alias("component_id"), F.when(known, F.col("component_size")).alias("component_size"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The documents of which no smaller doc_id is a near-duplicate; rows with a null doc_id stay. Columns as given."""
-    lost = near_duplicates(docs, shingle).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+MARKS = "row long, doc_id long, fp long, print binary, bands array<long>"
+
+
+def marks(rows: DataFrame, shingle: int) -> DataFrame:
+    """row, doc_id, fp, print (of the set of shingles), bands: one row per row of rows(row, doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in raw_texts(batches, "key"):
+            fps, prints, bands = [], [], []
+            for t in texts:
+                parts = list(shingle_hashes(t, shingle))
+                own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                fps.append(fingerprint_of(parts))
+                prints.append(xxhash.xxh128_digest(own.tobytes()))
+                bands.append(band_prints(own))
+            flat = pa.array(np.concatenate(bands), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([keys.field(0), keys.field(1), pa.array(fps, pa.int64()), pa.array(prints, pa.binary()), lists], ["row", "doc_id", "fp", "print", "bands"])
+
+    return rows.select(F.struct("row", F.col("doc_id").cast("long").alias("doc_id")).alias("key"), "text").mapInArrow(run, MARKS)
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """node, own array<long>: the set of shingle hashes of each of rows(row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in raw_texts(batches, "row", 64):
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])).view(np.int64) for t in texts]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, lists], ["node", "own"])
+
+    return rows.select("row", "text").mapInArrow(run, "node long, own array<long>")
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, least: float = SIMILAR) -> DataFrame:
+    """The pairs (u, v) whose sets have at least this Jaccard similarity. Only texts of rows in a pair are read again."""
+    pairs = cut(pairs)
+    nodes = cut(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
+    sets = cut(shingle_sets(within(rows.select("row", "text"), nodes, "left_semi"), shingle))
+    a, b = sets.select(F.col("node").alias("u"), F.col("own").alias("a")), sets.select(F.col("node").alias("v"), F.col("own").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return cut(pairs.join(a, "u").join(b, "v").where(both >= least * (F.size("a") + F.size("b") - both)).select("u", "v"))
+
+
+def within(rows: DataFrame, keys: DataFrame, how: str, key: str = "row") -> DataFrame:
+    """rows joined to a table of row numbers, which goes to all tasks only if it has at most `FEW`."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, key, how)
+
+
+def band_links(members: DataFrame, judge: Callable[[DataFrame], DataFrame], dense: int = DENSE) -> DataFrame:
+    """u, v: confirmed links between the members(bucket, node) of each bucket; `judge` confirms pairs.
+
+    In a bucket of at most `dense` open members all of them are compared with the whole bucket. In a larger one the smallest
+    open member is; those that it is linked to, and itself, are no longer open, and the next round goes on with the others.
+    """
+    members = cut(members)
+    many = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = cut(members.join(many, "bucket", "left_semi"))
+    open_, found = members, None
+    while True:
+        size = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+        lead = cut(open_.join(size, "bucket").where((F.col("n") <= dense) | (F.col("node") == F.col("least"))).select("bucket", F.col("node").alias("leader"), (F.col("n") > dense).alias("crowded")))
+        pairs = lead.join(members, "bucket").where("leader <> node").select(F.greatest("leader", "node").alias("u"), F.least("leader", "node").alias("v")).distinct()
+        new = judge(pairs)
+        found = new if found is None else found.union(new)
+        left = lead.where("crowded").select("bucket", "leader")
+        if not left.limit(1).count():
+            return found.distinct()
+        near = new.select(F.col("u").alias("node"), F.col("v").alias("leader")).union(new.select(F.col("v").alias("node"), F.col("u").alias("leader")))
+        open_ = cut(open_.join(left, "bucket").where("node <> leader").join(near, ["node", "leader"], "left_anti").select("bucket", "node"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR, dense: int = DENSE) -> DataFrame:
+    """The rows of docs without those that a kept one nearly repeats: of each group the smallest doc_id stays, once. Columns as given.
+
+    A group is what links of similarity `least` or more connect; texts with one set of shingles are a group from the start. A
+    text of fewer words than a shingle is one shingle, and texts without a word (null and empty ones too) are equal. Rows
+    with a null doc_id stay; of repeated rows of one doc_id one stays, and of its rows with unlike texts each. Very long texts
+    are read whole. An empty table gives no row.
+    """
+    spark = docs.sparkSession
+    key = next(c for c in map("_row{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
+    folder = new_folder(spark, "rows")
+    docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    rows = stored.select(F.col(key).alias("row"), "doc_id", "text")
+    marked = cut(marks(rows.where("doc_id is not null"), shingle))
+    first = F.min(F.struct("doc_id", "row")).alias("first")
+    classes = cut(marked.groupBy("print").agg(first).select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("doc_id")))
+    heads = cut(marked.join(classes.select("row"), "row", "left_semi").select(F.col("row").alias("node"), "fp", "bands"))
+    by_fp = heads.groupBy("fp").agg(F.min("node").alias("node"))
+    same = heads.select("fp", F.col("node").alias("u")).join(by_fp.select("fp", F.col("node").alias("v")), "fp").where("u <> v").select("u", "v")
+    judge = lambda pairs: confirmed(pairs, rows, shingle, least)
+    close = judge(links(cut(by_fp)).select("u", "v").union(same).distinct())
+    bands = heads.select("node", F.explode("bands").alias("bucket"))
+    found = star_components(close.union(band_links(bands, judge, dense)))
+    groups = classes.join(found, classes["row"] == found["node"], "left").select("row", "doc_id", F.coalesce("component", "row").alias("group"))
+    kept = groups.groupBy("group").agg(first).select(F.col("first.row").alias("row"))
+    lost = cut(marked.select("row").join(kept, "row", "left_anti"))
+    return within(stored, lost.withColumnRenamed("row", key), "left_anti", key).select(*docs.columns)

@@ -116,6 +116,7 @@ def test_links_reach_all_within_two_bits(spark, dense, blocks):
     fps = {k: x for x, k in {x: k for k, x in sorted(fps.items(), reverse=True)}.items()}
     classes = spark.createDataFrame([(signed(x), k) for k, x in fps.items()], "fp long, node long")
     found = {r.node: r.component for r in simhash.star_components(simhash.links(classes, dense, blocks)).collect()}
+    assert all(k >= c for k, c in found.items())
     assert {k: found.get(k, k) for k in fps} == brute_components(fps)
 
 
@@ -128,6 +129,40 @@ def test_near_duplicates_on_odd_rows(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {0, None, 4} and not kept.where("doc_id = 13").count()
+    assert kept.where("doc_id = 6").count() == 1 and simhash.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("dense", [64, 3])
+def test_one_of_each_similar_group_stays(spark, dense):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for n in (30, 80, 200, 600, 300):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        for k in range(25):
+            own = list(base)
+            for _ in range(k % 9 * n // 120):
+                own[rng.randrange(n)] = rng.choice(vocabulary)
+            texts.append(" ".join(own))
+    texts += [" ".join(rng.choice(vocabulary) for _ in range(100)) for _ in range(60)]
+    docs = documents(spark, texts).union(documents(spark, ["one two", "one two"])).union(documents(spark, [texts[0]]))
+    rows = docs.collect()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (r.text.lower().split() for r in rows)]
+    top = list(range(len(rows)))
+
+    def find(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((find(a), find(b)), key=lambda k: (rows[k].doc_id, k))
+            top[y] = x
+    want = sorted((rows[k].doc_id, rows[k].text) for k in range(len(rows)) if find(k) == k)
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one(docs, dense=dense).collect())
+    assert set(want) <= set(got) and len(got) <= len(want) + 0.02 * len(rows)
 
 
 def test_long_chain_is_one_component(spark):
@@ -221,15 +256,20 @@ def test_counts_and_ids_equal_the_library(spark, odd, empty):
     for most in (100_000, 5):
         out = lattice.decode(lattice.encode(docs, MODEL, most), MODEL)
         rows = out.collect()
+        assert sorted(map(repr, lattice.encode(docs, MODEL, most, spell=True).select(out.columns).collect())) == sorted(map(repr, rows))
         assert len(rows) == docs.count() and "source" in out.columns
         assert all(list(r.ids) == sp.encode(r.text or "") and r.decoded == (r.text or "").replace("▁", " ") for r in rows)
     assert prefix_counts.token_counts(empty, MODEL, 10).count() == 0 and lattice.encode(empty, MODEL).count() == 0
 
 
-def test_budget_cut(spark):
-    docs = documents(spark, [prose(random.Random(2), 60), "short"])
-    cut = prefix_counts.budget_cut(prefix_counts.token_counts(docs, MODEL, 20), docs)
+def test_budget_cut(spark, odd, empty):
+    long = prose(random.Random(2), 60)
+    docs = documents(spark, [long, "short"]).union(documents(spark, ["another text " * 30])).union(odd.withColumn("doc_id", F.col("doc_id") + 100))
+    cut = prefix_counts.budget_cut(docs, MODEL, 20)
     assert cut.columns == docs.columns and prefix_counts.token_counts(cut, MODEL, 20).agg(F.max("n_tokens")).first()[0] <= 20
+    before, after = docs.collect(), cut.collect()
+    assert len(before) == len(after) and all((a.text is None) == (b.text is None) and (b.text or "").startswith(a.text or "") for a, b in zip(after, before, strict=True))
+    assert after[1].text == "short" and len(after[2].text) > 30 and after[-1].text and prefix_counts.budget_cut(empty, MODEL, 20).count() == 0
 
 
 def test_fold_equals_search(spark):
