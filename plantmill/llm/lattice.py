@@ -5,15 +5,17 @@ the piece table keeps those that are pieces, and the edges meet by word. A Viter
 end positions: the model is a BPE model, whose best path is not a sum of scores but the one path whose adjacent pieces are
 compatible (see `pieces`), so the state at a position is its one surviving last edge, and a second fold walks back.
 
-A text is its words' codes side by side (see `pieces` for what counts as a word). The words of the lattice table are those with at least the count at which the
-table has no more than `TABLE` rows, so that its size is bounded at any size of corpus; it goes to all tasks. A rarer word
-gets the same search in the task that meets it. No text is shuffled: the alternative, joining every word of
+A text is its words' codes side by side (see `pieces` for what counts as a word), runs of spaces apart. The words of the lattice
+table are those with at least the count at which the table has no more than `TABLE` rows, so that its size is bounded at
+any size of corpus; it goes to all tasks. A rarer word, and one of `LONGEST_WORD` characters or more, gets the same search in
+the task that meets it. No text is shuffled: the alternative, joining every word of
 every document to its code and collecting each document again, moves more bytes than the corpus has.
 """
 
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from plantmill.llm import pieces
 from plantmill.llm.common import cut
 
-TABLE, LONGEST_WORD, KEPT = 100_000, 64, 150_000
+TABLE, LONGEST_WORD, KEPT, HELD = 100_000, 64, 150_000, 250_000
 
 EDGE = T.StructType([T.StructField("len", T.IntegerType()), T.StructField("rank", T.IntegerType())])
 PIECES = T.StructType([
@@ -43,11 +45,31 @@ def piece_table(spark: SparkSession, model: str) -> DataFrame:
     return spark.createDataFrame(rows, PIECES)
 
 
-def frequent_words(docs: DataFrame, chunk: str, most: int = TABLE) -> DataFrame:
+def chunk_counts(docs: DataFrame, model: str) -> DataFrame:
+    """w (a chunk of a text), n: partial counts of all chunks that can be in the table; a task holds `HELD` distinct ones at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, held = pieces.load(model).chunks, Counter()
+
+        def some() -> pa.RecordBatch:
+            own = [w for w in held if len(w) < LONGEST_WORD and pieces.MARK not in w]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([held[w] for w in own], pa.int64())], ["w", "n"])
+
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                if t:
+                    held.update(chunks(t))
+                    if len(held) > HELD:
+                        yield some()
+                        held.clear()
+        yield some()
+
+    return docs.select("text").mapInArrow(run, "w string, n long")
+
+
+def frequent_words(docs: DataFrame, model: str, most: int = TABLE) -> DataFrame:
     """word (a chunk, its leading space as a space mark), n: all with at least the count at which there are no more than `most`."""
-    found = F.regexp_extract_all(F.concat(F.lit(" "), "text"), F.lit(chunk), F.lit(0))
-    parts = F.filter(found, lambda w: (F.length(w) < LONGEST_WORD) & ~F.contains(w, F.lit(pieces.MARK)))
-    counts = cut(docs.select(F.explode(parts).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counts = cut(chunk_counts(docs, model).groupBy("w").agg(F.sum("n").alias("n")).where("n > 1"))
     kept, least = 0, 2
     for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
         kept += r["words"]
@@ -104,7 +126,7 @@ def viterbi(lattices: DataFrame, first_byte: int) -> DataFrame:
 def word_codes(docs: DataFrame, model: str, most: int = TABLE) -> DataFrame:
     """word, ids of the frequent words of docs."""
     m = pieces.load(model)
-    return viterbi(lattice(frequent_words(docs, m.chunk_pattern, most).select("word"), piece_table(docs.sparkSession, model), m.longest), m.bytes[0])
+    return viterbi(lattice(frequent_words(docs, model, most).select("word"), piece_table(docs.sparkSession, model), m.longest), m.bytes[0])
 
 
 class Codes(pieces.Memo):
@@ -133,25 +155,25 @@ def encode_text(text: str, codes: Codes) -> np.ndarray:
     m = codes.pieces
     if not ("  " in text or text[0] == " " or text[-1] == " " or pieces.MARK in text):
         return np.frombuffer(b"".join(map(codes.__getitem__, m.chunks(text))), np.int32)
-    out, mark = [], m.ids[pieces.MARK]
-    for run, word in pieces.segments(text):
-        if not run:
-            out += m.encode(word)
-        elif not word:
-            out += m.mark_ids(run)
-        else:
-            ids = m.encode(pieces.MARK + word)
-            out += m.mark_ids(run) + ids[1:] if ids[0] == mark else m.mark_ids(run - 1) + ids
-    return np.array(out, np.int32)
-
-
-def encode(docs: DataFrame, model: str, most: int = TABLE) -> DataFrame:
+    out, mark = [], array("i", [m.ids[pieces.MARK]]).tobytes()
+    runs = lambda n: array("i", m.mark_ids(n)).tobytes()
+    for run, word in pieces.segments(text):  # every word follows a mark
+        if not word:
+            out.append(runs(run))
+            continue
+        ids = b"".join(map(codes.__getitem__, m.chunks(word)))
+        out += [runs(run), ids[4:]] if ids.startswith(mark) else [runs(run - 1), ids]
+    return np.frombuffer(b"".join(out), np.int32)
+
+
+def encode(docs: DataFrame, model: str, most: int = TABLE, spell: bool = False) -> DataFrame:
     """docs with `ids` array<int>: the model's encoding of each whole text, no begin or end added.
 
-    A null text has no id, like an empty one. Every row stays, with all its columns (a column that is named ids is
-    replaced). Very long words take time in proportion to their length.
+    With `spell`, also `decoded`: the text that those ids spell (as `decode` gives it, in the same pass). A null text has no
+    id, like an empty one. Every row stays, repeated ones too, with all its columns (columns named ids or decoded are
+    replaced). Very long texts and words take time and memory in proportion to their length; an empty table gives no row.
     """
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *(["decoded"] if spell else []))
     rows = word_codes(docs, model, most).toLocalIterator(prefetchPartitions=True)
     shared = docs.sparkSession.sparkContext.broadcast({r["word"].replace(pieces.MARK, " "): np.array(r["ids"], np.int32).tobytes() for r in rows})
 
@@ -162,21 +184,29 @@ def encode(docs: DataFrame, model: str, most: int = TABLE) -> DataFrame:
                 part = batch.slice(at, 512)
                 ids = [encode_text(t or "", codes) for t in part.column("text").to_pylist()]
                 offsets = np.cumsum([0, *map(len, ids)])
-                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "ids"])
+                columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))]
+                if spell:
+                    columns.append(pa.array([spelled(x, codes.pieces) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *added])
+
+    added = ["ids", "decoded"] if spell else ["ids"]
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, kinds[c]) for c in added)]))
+
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+def spelled(ids: np.ndarray, m: pieces.Pieces) -> str:
+    return b"".join(map(m.text.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """encoded with `decoded` string: the text that the ids of each row spell."""
+    """encoded with `decoded` string: the text that the ids of each row spell; null ids spell an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = pieces.load(model).text.__getitem__
+        m = pieces.load(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [b"".join(map(spell, ids.tolist()))[1:].decode("utf-8", "replace") for ids in (x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32) for x in part.column("ids"))]
+                texts = [spelled(ids, m) for ids in (x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32) for x in part.column("ids"))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     encoded = encoded.drop("decoded")

@@ -21,6 +21,7 @@ import sentencepiece
 
 MARK = "▁"
 NEVER = 1 << 30
+SPINES, FITS = 50_000, 300_000  # entries that a worker remembers of each kind; a split belongs to a piece, so their number is the model's
 LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
 CHUNK = re.compile(rf" ?(?:[{LETTERS}]+|[^{LETTERS} ]+)")
 SEAM = re.compile(rf"[{LETTERS}][^{LETTERS}]|[^{LETTERS}{MARK}][{LETTERS}]")
@@ -43,7 +44,8 @@ class Pieces:
         self.rank = {p: k for k, p in enumerate(scored)}
         self.single = {p for p in self.ids if len(p) == 1}
         self.longest = max(map(len, scored))
-        # The ends of pieces, and whether each is a piece itself.
+        # The ends and the beginnings of pieces, and whether each is a piece itself.
+        self.heads = {p[:k]: p[:k] in self.rank for p in scored for k in range(2, len(p) + 1)}
         self.tails = {p[k:]: p[k:] in self.rank for p in scored for k in range(len(p) - 1)}
         self.text = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self._split: dict[str, tuple[str, str] | None] = {}
@@ -51,6 +53,7 @@ class Pieces:
         self.chunk_pattern = CHUNK.pattern if self.apart else " [^ ]+"
         self._spines: dict[tuple[str, bool], list[tuple[str, int]]] = {}
         self._fits: dict[str, dict[str, bool]] = {}
+        self._known = 0  # entries of all rows of _fits
 
     def split(self, piece: str) -> tuple[str, str] | None:
         """The last merge that makes a piece of two characters or more; None if the encoder never makes it."""
@@ -68,15 +71,22 @@ class Pieces:
         """The pieces on one edge of a piece's merge tree, outermost first, each with the rank of the merge that consumes it."""
         found = self._spines.get((piece, right))
         if found is None:
+            if len(self._spines) > SPINES:
+                self._spines.clear()
             inner = self.spine(self.split(piece)[right], right) if len(piece) > 1 else []
             found = self._spines[(piece, right)] = [(piece, NEVER), *((x, min(r, self.rank[piece])) if k == 0 else (x, r) for k, (x, r) in enumerate(inner))]
         return found
 
     def follows(self, a: str) -> dict[str, bool]:
         """What is known of the pieces that can follow a in an encoding; `fits` adds to it."""
-        if len(self._fits) > 40_000:
-            self._fits.clear()
-        return self._fits.setdefault(a, {})
+        row = self._fits.get(a)
+        if row is None:
+            if self._known > FITS:
+                self._fits.clear()
+                self._known = 0
+            self._known += 4  # a row of its own
+            row = self._fits[a] = {}
+        return row
 
     def fits(self, a: str, b: str) -> bool:
         """Whether b can follow a in an encoding; with an empty a, whether b can begin one."""
@@ -88,6 +98,7 @@ class Pieces:
                 get, right = self.rank.get, self.spine(b, False)
                 found = not any(get(x + y, NEVER) < min(before, until + 1) for x, before in self.spine(a, True) for y, until in right)
             row[b] = found
+            self._known += 1
         return found
 
     def prefixes(self, word: str) -> tuple[list[int], list[bool], list[str]]:
@@ -126,13 +137,59 @@ class Pieces:
         """A text without runs of spaces or marks, in independent chunks; a leading space is a space mark. The first is the dummy's."""
         return CHUNK.findall(" " + text) if self.apart else list(map(" ".__add__, text.split(" ")))
 
+    def longest_at(self, word: str, at: int) -> str:
+        """The longest piece that starts here; the character itself if there is none."""
+        heads, best = self.heads, at + 1
+        for end in range(at + 2, len(word) + 1):
+            whole = heads.get(word[at:end])
+            if whole is None:
+                break
+            if whole:
+                best = end
+        return word[at:best]
+
+    def shorter(self, piece: str) -> str:
+        """The longest piece that begins this one and is shorter; empty for a character."""
+        for end in range(len(piece) - 1, 1, -1):
+            if piece[:end] in self.rank:
+                return piece[:end]
+        return piece[:1] if len(piece) > 1 else ""
+
+    def path(self, word: str) -> list[str]:
+        """The pieces of a segment's encoding: the one path whose neighbours fit, longest pieces tried first, places that end nowhere once."""
+        out, row, at, dead, n = [], self.follows(""), 0, set(), len(word)
+        rows, piece = [], self.longest_at(word, 0) if word else ""
+        while at < n:
+            end = at + len(piece)
+            found = False
+            if end not in dead:
+                found = row.get(piece)
+                if found is None:
+                    found = self.fits(out[-1] if out else "", piece)
+            if found:
+                out.append(piece)
+                rows.append(row)
+                row, at = self.follows(piece), end
+                piece = self.longest_at(word, at) if at < n else ""
+                continue
+            piece = self.shorter(piece)
+            while not piece:
+                dead.add(at)
+                last = out.pop()
+                row, at = rows.pop(), at - len(last)
+                piece = self.shorter(last)
+        return out
+
     def encode(self, word: str) -> list[int]:
-        """The ids of a segment, by walking the last pieces back."""
-        last, i, out = self.prefixes(word)[2] if word else [], len(word), []
-        while i:
-            out.append(last[i - 1])
-            i -= len(last[i - 1])
-        return [x for p in reversed(out) for x in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
+        """The ids of a segment."""
+        ids, own = self.ids.get, []
+        for p in self.path(word):
+            k = ids(p)
+            if k is None:
+                own += [self.bytes[b] for b in p.encode()]
+            else:
+                own.append(k)
+        return own
 
     def marks(self, n: int) -> list[int]:
         """The lengths of the pieces that a run of n space marks becomes, if nothing else joins it."""
