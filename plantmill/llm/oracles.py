@@ -99,12 +99,13 @@ def quality_judged(source: str = "documents") -> str:
     term = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2(2.0 * {x} / ({x} + {y})) ELSE 0.0 END"
     js = lambda p, q, k: f"sqrt(greatest(0.0, list_sum([{term(f'{p}[i]', f'{q}[i]')} + {term(f'{q}[i]', f'{p}[i]')} for i in range(1, {k} + 1)]) / 2))"
     with_rest = lambda c, total: f"list_concat([x / {total} for x in {c}], [1.0 - list_sum([x / {total} for x in {c}])])"
+    none = "[" + "0.0, " * m + "1.0]"
     sums = lambda c, k: "[" + ", ".join(f"sum({c}[{i + 1}])" for i in range(k)) + "]"
     return rf"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed
   AND (n_chars < {r.least_chars} OR ref_c IS NULL OR {js(with_rest('cls', 'n_chars'), 'ref_c', n + 1)} <= {r.class_distance})
-  AND (n_common < {r.least_common} OR ref_w IS NULL OR {js('[x / n_common for x in cw]', 'ref_w', m)} <= {r.word_distance}) AS kept
+  AND (ref_w IS NULL OR n_words * (1.0 - ref_w[{m + 1}]) < {r.least_common} OR {js(with_rest('cw', 'n_words'), 'ref_w', m + 1)} < {r.missing_share} * {js(none, 'ref_w', m + 1)}) AS kept
 FROM (
   SELECT f.*, n_words < {r.least_words} OR 100 * n_repeat_words > {r.most_repeat_percent} * n_words AS base_failed, ref_c, ref_w
   FROM (
@@ -120,10 +121,10 @@ FROM (
       twice AS (SELECT doc_id, k FROM spots GROUP BY doc_id, k HAVING count(*) > 1)
       SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM spots SEMI JOIN twice USING (doc_id, k)) GROUP BY doc_id) rep ON rep.doc_id = t.doc_id) f
   LEFT JOIN (
-    SELECT lang, {with_rest('c', 'chars')} AS ref_c, [x / list_sum(w) for x in w] AS ref_w FROM (
-      SELECT lang, sum(n_chars) AS chars, {sums('cls', n)} AS c, {sums('cw', m)} AS w FROM (
-        SELECT lang, length(text) AS n_chars, [{', '.join(without(c) for c in quality.CLASSES.values())}] AS cls, [len([x for x in common if x = k]) for k in {listed}] AS cw
-        FROM (SELECT *, [lower(x) for x in string_split_regex(text, '{WHITE}') if list_contains({listed}, lower(x))] AS common
+    SELECT lang, {with_rest('c', 'chars')} AS ref_c, {with_rest('w', 'n_all')} AS ref_w FROM (
+      SELECT lang, sum(n_chars) AS chars, sum(n_words) AS n_all, {sums('cls', n)} AS c, {sums('cw', m)} AS w FROM (
+        SELECT lang, length(text) AS n_chars, n_words, [{', '.join(without(c) for c in quality.CLASSES.values())}] AS cls, [len([x for x in common if x = k]) for k in {listed}] AS cw
+        FROM (SELECT *, len([x for x in string_split_regex(text, '{WHITE}') if x <> '']) AS n_words, [lower(x) for x in string_split_regex(text, '{WHITE}') if list_contains({listed}, lower(x))] AS common
           FROM (SELECT coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM {source})))
       GROUP BY lang HAVING count(*) >= {r.least_docs})) refs ON refs.lang = f.lang)"""
 

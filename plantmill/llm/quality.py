@@ -3,12 +3,11 @@
 Two histograms describe a document: its characters by class, and its words by common word. A language's reference
 is the sum over all its documents, so the rules learn from the whole corpus and not from a list of scores. A document is
 kept unless the fixed rules fail or the Jensen-Shannon distance of a histogram from its language's is too large. Short
-documents have noisy histograms, so a guard of least counts stands before each comparison; languages with too few
+documents have noisy histograms, so a guard of least length stands before each comparison; languages with too few
 documents judge nothing. All of it is DataFrame functions.
 
-`judge` is what the SQL says: its word histogram holds common words only, and its guard counts them. A long text without
-them is not compared there. `keep_good` therefore also compares the histogram of all words, with a class for the words
-that are not listed, and its guard is the number of common words that a document of this length should have.
+The word histogram has a class for the words that are not listed, so a text that misses its language's common words is far
+from it; its guard is the number of common words that a document of this length should have.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantmill.llm.common import SPACE, ascii_words, cut, let
+from plantmill.llm.common import SPACE, ascii_words, cut, let, new_folder
 
 # Frequent function words of the languages served.
 COMMON = {
@@ -39,11 +38,10 @@ class Rules:
     least_words: int = 10
     most_repeat_percent: int = 20
     class_distance: float = 0.45
-    word_distance: float = 0.75
+    missing_share: float = 0.8  # largest word distance, as a share of the one that a text without any common word has
     least_chars: int = 100  # guard of the class histogram
-    least_common: int = 30  # guard of the word histogram: words of the list in the document
+    least_common: int = 30  # guard of the word histogram: common words that a document of this length should have
     least_docs: int = 20  # guard of a reference
-    missing_share: float = 0.8  # of the distance that a text without any common word has
 
 
 def repeat_words(words: Column) -> Column:
@@ -67,10 +65,10 @@ def repeat_words(words: Column) -> Column:
     return F.when(n < REPEAT, F.lit(0)).otherwise(let(hashes, count)).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Base counts and the two histograms, one row per row of docs, all from the whole text."""
+def features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`carry`, base counts and the two histograms, one row per row of docs, all from the whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"), ascii_words(F.col("text")).alias("words"))
+    own = docs.select(*carry, F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"), ascii_words(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]")))
     without = lambda c: F.length("text") - F.length(F.regexp_replace("text", f"[{c}]+", ""))
     listed = F.array(*(F.lit(w) for w in WORDS))
@@ -78,7 +76,7 @@ def features(docs: DataFrame) -> DataFrame:
     common = F.filter(F.transform(short, lambda w: F.array_position(listed, F.lower(w)).cast("int")), lambda k: k > 0)
     tally = let(common, lambda c: F.array(*(F.size(c) - F.size(F.array_remove(c, F.lit(k + 1))) for k in range(len(WORDS)))))
     counted = own.select(
-        "doc_id", "lang", "text", "words",
+        *carry, "lang", "text", "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         without(CLASSES["symbol"]).cast("long").alias("n_symbols"),
@@ -95,16 +93,13 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def references(rows: DataFrame, rules: Rules) -> DataFrame:
-    """lang, ref_classes, ref_words, ref_all: the shares of each language's summed histograms; tiny, one row per language.
-
-    ref_words are shares of the common words, ref_all those of all words, with the rest as the last one.
-    """
+    """lang, ref_classes, ref_words: the shares of each language's summed histograms, with the rest as the last one; tiny, one row per language."""
     n, m = len(CLASSES), len(WORDS)
     total = lambda c, n: [F.sum(F.get(c, F.lit(k))).alias(f"{c}_{k}") for k in range(n)]
-    out = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.sum("n_common").alias("common"), F.sum("n_words").alias("n_all"), *total("class_counts", n), *total("word_counts", m))
+    out = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"), F.sum("n_words").alias("n_all"), *total("class_counts", n), *total("word_counts", m))
     part = lambda c, k, of: F.array(*(F.col(f"{c}_{i}") / of for i in range(k)))
     some = lambda of: F.when(F.col(of) > 0, F.col(of))
-    return out.where(F.col("docs") >= rules.least_docs).select("lang", with_rest(part("class_counts", n, some("chars"))).alias("ref_classes"), part("word_counts", m, some("common")).alias("ref_words"), with_rest(part("word_counts", m, some("n_all"))).alias("ref_all"))
+    return out.where(F.col("docs") >= rules.least_docs).select("lang", with_rest(part("class_counts", n, some("chars"))).alias("ref_classes"), with_rest(part("word_counts", m, some("n_all"))).alias("ref_words"))
 
 
 def with_rest(shares: Column) -> Column:
@@ -119,38 +114,44 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
+def _judged(rows: DataFrame, rules: Rules) -> DataFrame:
+    """rows of `features` with base_failed, class_js, word_js, word_limit and kept."""
+    refs = cut(references(rows, rules))
+    n_words, m = F.col("n_words"), len(WORDS)
+    class_js = js_distance(with_rest(F.transform("class_counts", lambda x: x / F.col("n_chars"))), F.col("ref_classes"))
+    word_js = js_distance(with_rest(F.transform("word_counts", lambda x: x / n_words)), F.col("ref_words"))
+    none_listed = F.transform("ref_words", lambda x, k: F.when(k == m, 1.0).otherwise(0.0))
+    # The limit is the language's, not the document's.
+    refs = refs.withColumns({"word_limit": rules.missing_share * js_distance(none_listed, F.col("ref_words")), "due_share": 1 - F.get("ref_words", F.lit(m))})
+    out = rows.join(refs, "lang", "left").withColumns({
+        "base_failed": (n_words < rules.least_words) | (F.col("n_repeat_words") * 100 > n_words * rules.most_repeat_percent),
+        "class_js": F.when((F.col("n_chars") >= rules.least_chars) & F.col("ref_classes").isNotNull(), class_js),
+        "word_js": F.when((n_words * F.col("due_share") >= rules.least_common) & F.col("ref_words").isNotNull(), word_js),
+    })
+    near = (F.coalesce("class_js", F.lit(0.0)) <= rules.class_distance) & F.coalesce(F.col("word_js") < F.col("word_limit"), F.lit(True))
+    return out.withColumn("kept", ~F.col("base_failed") & near)
+
+
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, the base counts, base_failed, class_js, word_js, kept, common_missing: one row per row of docs.
+    """doc_id, the base counts, base_failed, class_js, word_js, kept: one row per row of docs.
 
     Null text counts as empty: no words, so it fails the fixed rules. A null lang is a language of its own. Repeated rows
-    are judged each; extra columns are ignored; an empty table gives no row. A distance is null where its guard bars it.
-    common_missing: with all words counted, the text is about as far from its language as one without any common word, or
-    farther; `kept` does not look at it.
+    are judged each; very long texts are counted whole; extra columns are ignored; an empty table gives no row. A distance is
+    null where its guard bars it.
     """
-    rows = cut(features(docs))
-    joined = rows.join(references(rows, rules), "lang", "left")
-    class_js = js_distance(with_rest(F.transform("class_counts", lambda x: x / F.col("n_chars"))), F.col("ref_classes"))
-    word_js = js_distance(F.transform("word_counts", lambda x: x / F.col("n_common")), F.col("ref_words"))
-    other = F.get("ref_all", F.lit(len(WORDS)))
-    none_listed = F.transform("ref_all", lambda x, k: F.when(k == len(WORDS), 1.0).otherwise(0.0))
-    all_js = js_distance(with_rest(F.transform("word_counts", lambda x: x / F.col("n_words"))), F.col("ref_all"))
-    due = (F.col("n_words") * (1 - other) >= rules.least_common) & F.col("ref_all").isNotNull()
-    missing = F.when(due, all_js >= rules.missing_share * js_distance(none_listed, F.col("ref_all")))
-    out = joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        ((F.col("n_words") < rules.least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.most_repeat_percent)).alias("base_failed"),
-        F.when((F.col("n_chars") >= rules.least_chars) & F.col("ref_classes").isNotNull(), class_js).alias("class_js"),
-        F.when((F.col("n_common") >= rules.least_common) & F.col("ref_words").isNotNull(), word_js).alias("word_js"),
-        F.coalesce(missing, F.lit(False)).alias("common_missing"),
-    )
-    near = (F.coalesce("class_js", F.lit(0.0)) <= rules.class_distance) & (F.coalesce("word_js", F.lit(0.0)) <= rules.word_distance)
-    return out.withColumn("kept", ~F.col("base_failed") & near)
+    out = _judged(cut(features(docs)), rules)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_js", "word_js", "kept")
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that `judge` keeps and that do not miss their language's common words; columns as given.
+    """The rows of docs that `judge` keeps; columns as given. Every row stands for itself, also those of one doc_id.
 
-    A doc_id goes if one of its rows is rejected.
+    Rows go to the shared folder once with their counts; the references, a row per language, come back to them, so no text is
+    shuffled.
     """
-    lost = judge(docs, rules).where(~F.col("kept") | F.col("common_missing")).select("doc_id").distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["doc_id"]), "left_anti")
+    spark = docs.sparkSession
+    own = next(c for c in map("_row{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
+    whole = F.struct(*docs.columns).alias(own)
+    folder = new_folder(spark, "counted")
+    features(docs.select("text", "lang", whole), (own,)).write.parquet(folder)
+    return _judged(spark.read.parquet(folder), rules).where("kept").select(*(F.col(own)[c].alias(c) for c in docs.columns))
