@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plantmill.llm.common import cut
 
-ROUNDS, DAMPING, LEAST, TOLERANCE = 10, 0.85, 0.25, 1e-4
+ROUNDS, DAMPING, LEAST, TOLERANCE, SALT = 10, 0.85, 0.25, 1e-4, 16
 # Fixed values: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,6 +105,13 @@ def settle(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
     return score.groupBy(F.col("u").alias("host")).agg(pick("t").alias("trust"), pick("d").alias("distrust"))
 
 
+def by_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """pages(host, page_id, path) with the columns of hosts (one row a host) or nulls. A host's pages are dealt over `SALT` keys, so a host that has most of them is many tasks."""
+    spread = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = pages.withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
+    return dealt.join(spread, ["host", "_salt"], "left").drop("_salt")
+
+
 def judge(pages: DataFrame, rules: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, least: float = LEAST) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: one row per row of pages.
 
@@ -116,10 +123,10 @@ def judge(pages: DataFrame, rules: DataFrame, tolerance: float = TOLERANCE, damp
     placed = own.select("page_id", "host", "path")
     fitting = host_rules(placed.select("host").distinct(), rules)
     first = F.get(F.filter(F.col("rules"), lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
-    ruled = cut(placed.join(fitting, "host", "left").withColumn("first", first).select("page_id", "host", "path", "first.rule", F.col("first.verdict").alias("ruled")))
+    ruled = cut(by_host(placed, fitting).withColumn("first", first).select("page_id", "host", "path", "first.rule", F.col("first.verdict").alias("ruled")))
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
     scores = cut(settle(cut(edges), cut(seeds), damping, tolerance))
     bad = (F.col("distrust") >= least) & (F.col("distrust") > F.col("trust"))
     verdict = F.coalesce("ruled", F.when(bad, "block"), F.lit("allow"))
-    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
+    return by_host(ruled, scores).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
