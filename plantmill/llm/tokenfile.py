@@ -14,6 +14,7 @@ attempt, so a lost executor leaves nothing half-written.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -34,6 +35,7 @@ from plantmill.llm.common import cut, new_folder
 from plantmill.llm.pieces import Memo
 
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, KEPT = 1_000, 8_192, 65_536, 3, 200_000
+SHARD_BYTES, BOUND_ROWS, NULL_ID = 64 << 20, 20, -(1 << 63)
 MAGIC = b"PMTOK1\n\0"
 
 
@@ -109,7 +111,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE) -> bytes:
     """A dictionary from the serialised ids of a bounded sample; empty if there is too little to learn from."""
     short = docs.where(F.col("doc_id").isNotNull() & F.octet_length("text").between(1, SAMPLE_BYTES))
-    rows = short.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "text").limit(sample).collect()
+    rows = short.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    # A share of the hashes that holds about twice the sample, so that no partition sends a sample of its own to the driver.
+    share = min(1.0, 2 * sample / max(1, short.count()))
+    some = rows if share == 1.0 else rows.where(F.col("h") < F.lit(int((2 * share - 1) * (1 << 63))))
+    rows = some.orderBy("h", "doc_id", "text").limit(sample).collect()
     enc = encoder(tokenizer)
     samples = [enc.encode(r["text"]) + enc.pack([end_id]) for r in rows]
     total = sum(map(len, samples))
@@ -141,43 +147,58 @@ def _zdict(dictionary: bytes) -> dict:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int | None = None) -> DataFrame:
     """Write docs as token files in `folder`; return the manifest: shard, path, n_docs, n_tokens, one row per file.
 
-    Shards are ranges of doc_id in ascending order; rows of one doc_id stay together, ordered by their ids' bytes; a null
-    doc_id comes first. An empty table writes a dictionary and no shard. Extra columns are ignored.
+    Shards are ranges of doc_id in ascending order, of about `SHARD_BYTES` of text unless their number is given; rows of one
+    doc_id stay together, ordered by their ids' bytes; a null doc_id comes first. Very long texts are encoded whole. An empty
+    table writes a dictionary and no shard. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = shards or max(1, -(-size // SHARD_BYTES))
     dictionary = train_dictionary(docs, tokenizer, end_id)
     digest = hashlib.sha256(dictionary).hexdigest()
     _put(f"{folder}/dictionary", [dictionary], 0)
     width = encoder(tokenizer).dtype.itemsize
-    ids = docs.select(F.col("doc_id").cast("long"))
-    bounds = sorted(set(ids.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards))) if shards > 1 else []
-    below = F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b < F.coalesce("doc_id", F.lit(-(1 << 63))))
-    shard = F.size(below) if bounds else F.lit(0)
+    # Bounds from a share of the ids by hash: about `BOUND_ROWS` numbers a shard reach the driver.
+    ids = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
+    share = min(1.0, BOUND_ROWS * shards / max(1, n))
+    some = ids if share == 1.0 else ids.where(F.xxhash64("doc_id") < F.lit(int((2 * share - 1) * (1 << 63))))
+    known = np.sort(some.toPandas()["doc_id"].to_numpy(np.int64)) if shards > 1 else np.zeros(0, np.int64)
+    bounds = spark.sparkContext.broadcast(np.unique(known[np.arange(1, shards) * len(known) // shards]) if len(known) else known)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **_zdict(dictionary))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array([zip_.compress(x) for x in b.column("ids").to_pylist()], pa.binary())], ["doc_id", "n_tokens", "frame"])
+            frames = pa.array([zip_.compress(x) for x in b.column("ids").to_pylist()], pa.binary())
+            shard = np.searchsorted(bounds.value, b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), frames, pa.array(shard, pa.int32())], ["doc_id", "n_tokens", "frame", "shard"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        name, frames, keys, sizes, tokens = f"{folder}/shard-{context.partitionId():06d}", [], [], [], []
-        for b in batches:
-            keys += b.column("doc_id").to_pylist()
-            own = b.column("frame").to_pylist()
-            frames.append(b"".join(own))
-            sizes += map(len, own)
-            tokens += b.column("n_tokens").to_pylist()
-        if not keys:
+        name, keys, ends, tokens, at = f"{folder}/shard-{context.partitionId():06d}", [], [], [], 0
+        filled = (b for b in batches if b.num_rows)
+        first = next(filled, None)
+        if first is None:
             return
-        index = [np.array([-(1 << 63) if k is None else k for k in keys], "<i8"), np.cumsum(sizes, dtype="<u8"), np.array(tokens, "<u8")]
-        head = json.dumps({"docs": len(keys), "width": width, "dictionary_sha256": digest, "data": int(index[1][-1])}).encode()
-        _put(name, [*frames, *(x.tobytes() for x in index), head, struct.pack("<Q", len(head)), MAGIC], context.taskAttemptId())
-        yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "path": [name], "n_docs": [len(keys)], "n_tokens": [sum(tokens)]}, pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
-
-    rows = encoded(docs, tokenizer, end_id).mapInArrow(squeeze, "doc_id long, n_tokens long, frame binary")
-    dealt = rows.withColumn("_shard", shard.cast("int")).repartitionById(max(1, len(bounds) + 1), "_shard").sortWithinPartitions("doc_id", "frame").drop("_shard")
+        files, path = _open(name)
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+        # Frames go out as they come; only the index stays.
+        with files.open_output_stream(f"{path}.{context.taskAttemptId()}") as out:
+            for b in itertools.chain([first], filled):
+                keys.append(b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+                own = b.column("frame").to_pylist()
+                out.write(b"".join(own))
+                ends.append(at + np.cumsum(np.fromiter(map(len, own), np.int64)))
+                at = int(ends[-1][-1])
+                tokens.append(b.column("n_tokens").to_numpy())
+            index = [np.concatenate(keys).astype("<i8"), np.concatenate(ends).astype("<u8"), np.concatenate(tokens).astype("<u8")]
+            head = json.dumps({"docs": len(index[0]), "width": width, "dictionary_sha256": digest, "data": at}).encode()
+            for x in (*(x.tobytes() for x in index), head, struct.pack("<Q", len(head)), MAGIC):
+                out.write(x)
+        files.move(f"{path}.{context.taskAttemptId()}", path)
+        yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "path": [name], "n_docs": [len(index[0])], "n_tokens": [int(index[2].sum())]}, pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+
+    rows = encoded(docs, tokenizer, end_id).mapInArrow(squeeze, "doc_id long, n_tokens long, frame binary, shard int")
+    dealt = rows.repartitionById(len(bounds.value) + 1, "shard").sortWithinPartitions("doc_id", "frame").drop("shard")
     return cut(dealt.mapInArrow(store, "shard long, path string, n_docs long, n_tokens long"))
 
 
@@ -224,7 +245,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 starts = base + np.cumsum(shard.n_tokens.astype(np.int64)) - shard.n_tokens.astype(np.int64)
                 for at in range(0, len(starts), 512):
                     some = range(at, min(at + 512, len(starts)))
-                    keys = [None if shard.doc_ids[k] == -(1 << 63) else int(shard.doc_ids[k]) for k in some]
+                    keys = [None if shard.doc_ids[k] == NULL_ID else int(shard.doc_ids[k]) for k in some]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys, pa.int64()), pa.array(starts[at : some.stop]), pa.array(shard.n_tokens[at : some.stop].astype(np.int64)), pa.array([shard.ids(k).astype("<u4").tobytes() for k in some], pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"],
