@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from plantmill.llm.common import cut, raw_texts
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-WINDOW, SHARD, SAMPLE, BLOCK = 10, 400_000, 8, 2_000_000
+WINDOW, SHARD, SAMPLE, BLOCK, BLOCK_BYTES = 10, 400_000, 8, 500_000, 32 << 20
 SEED = 42  # of Spark's xxhash64
 
 
@@ -260,9 +260,11 @@ def scan(docs: DataFrame, phrases: Phrases, shard: int = SHARD) -> DataFrame:
 
 
 def blocks_of(benchmark: DataFrame, width: int = WINDOW, block: int = BLOCK) -> tuple[int, Iterator[Phrases]]:
-    """The number of blocks, and the benchmark's windows: at most about `block` at a time on the driver and in a task."""
+    """The number of blocks, and the benchmark's windows: about `block` at a time on the driver and in a task, and `BLOCK_BYTES` of words at most."""
     ready = cut(windows(benchmark, width))
-    parts = max(1, -(-ready.count() // block))
+    size = F.coalesce(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w))), F.lit(0))
+    n, total = ready.agg(F.count(F.lit(1)), size).first()
+    parts = max(1, -(-n // block), -(-total // BLOCK_BYTES))
 
     def load() -> Iterator[Phrases]:
         for k in range(parts):
