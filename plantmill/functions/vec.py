@@ -35,9 +35,9 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def mod2pi(x: Column) -> Column:
-    """x in [0, 2 pi)."""
+    """x in [0, 2 pi); NaN stays NaN."""
     y = x - F.floor(x / TWO_PI) * TWO_PI
-    return F.when(y >= TWO_PI, F.lit(0.0)).when(y < 0, F.lit(0.0)).otherwise(y)
+    return F.when(F.isnan(x), x).when(y >= TWO_PI, F.lit(0.0)).when(y < 0, F.lit(0.0)).otherwise(y)
 
 
 def wrap_pi(x: Column) -> Column:

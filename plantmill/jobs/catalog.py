@@ -7,11 +7,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plantmill.functions.vec import angdist_deg
+from plantmill.jobs import measurement, skeleton
 from plantmill.operators import camera, components, curves, graph, image, measure, results, volume
+from plantmill.sources import scans
 from plantmill.sources.tables import COLS, ROWS, SIDE, load, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +63,7 @@ _COUNTS = f"""{_SEEN}, msk AS ({_MASK}),
 counts AS (SELECT v.plant_id, v.i, v.j, v.k, count(p.frame_idx) AS seen, count(m.row) AS hits FROM vox v LEFT JOIN px p USING (plant_id, i, j, k) LEFT JOIN msk m ON m.plant_id = p.plant_id AND m.frame_idx = p.frame_idx AND m.row = p.row AND m.col = p.col GROUP BY ALL)"""
 _P = volume.VoteParams()
 _HIT, _MISS, _PRIOR = math.log(_P.tpr / _P.fpr), math.log((1 - _P.tpr) / (1 - _P.fpr)), math.log(_P.prior / (1 - _P.prior))
-_LOD = f"{_COUNTS}, lod AS (SELECT plant_id, i, j, k, {_PRIOR!r} + hits * {_HIT!r} + (seen - hits) * {_MISS!r} AS lod FROM counts)"
+_LOD = f"{_COUNTS}, lod AS MATERIALIZED (SELECT plant_id, i, j, k, {_PRIOR!r} + hits * {_HIT!r} + (seen - hits) * {_MISS!r} AS lod FROM counts)"
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +79,7 @@ def green_mask(spark: SparkSession, d: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    return volume.vote_counts(voxels(spark, d), frames(spark, d), green_mask(spark, d))
+    return volume.vote_counts(load(spark, d, "grids"), frames(spark, d), green_mask(spark, d))
 
 
 # --- cameras, boxes, grids, projections
@@ -107,9 +112,9 @@ def p4_grid_bounds(spark: SparkSession, d: str) -> DataFrame:
     return camera.grid_bounds(voxels(spark, d), 1.0)
 
 
-@query(("frames", "grids"), f"{_SEEN} SELECT plant_id, i, j, k, frame_idx, {q('u')} AS u, {q('v')} AS v FROM sub WHERE k = 3")
+@query(("frames", "grids"), f"{_SEEN} SELECT plant_id, i, j, k, frame_idx, {q('u')} AS u, {q('v')} AS v FROM sub")
 def p5_project(spark: SparkSession, d: str) -> DataFrame:
-    return camera.project(voxels(spark, d).where("k = 3"), frames(spark, d), to_pixel=False).select("plant_id", "i", "j", "k", "frame_idx", r("u").alias("u"), r("v").alias("v"))
+    return camera.project(voxels(spark, d), frames(spark, d), to_pixel=False).select("plant_id", "i", "j", "k", "frame_idx", r("u").alias("u"), r("v").alias("v"))
 
 
 @query(("frames", "grids"), f"{_SEEN} SELECT plant_id, i, j, k, frame_idx, row, col FROM px")
@@ -246,22 +251,28 @@ def _opened(op: str, source: str, sign: str, offsets: list[tuple[int, int]]) ->
     return f"(SELECT f.plant_id, f.frame_idx, f.row, f.col, {op}(g.feat) AS feat FROM {source} f, (VALUES {values}) o(a, b), {source} g WHERE g.plant_id = f.plant_id AND g.frame_idx = f.frame_idx AND g.row = f.row {sign} a AND g.col = f.col {sign} b GROUP BY ALL)"
 
 
-_LINE = image.line_element(2, math.pi / 4)
+# One half of each line of half-length 2, by 22.5 degrees from level up; the other half is its mirror.
+_HALVES = (
+    ((0, 1), (0, 2)), ((1, 1), (1, 2)), ((1, 1), (2, 2)), ((1, 1), (2, 1)),
+    ((1, 0), (2, 0)), ((1, -1), (2, -1)), ((1, -1), (2, -2)), ((1, -1), (1, -2)),
+)
+_LINES = [[*h, *((-a, -b) for a, b in h)] for h in _HALVES]
 _GREY = "WITH grey AS MATERIALIZED (SELECT plant_id, frame_idx, row, col, round((0.299 * r + 0.587 * g + 0.114 * b)::DOUBLE * 255) / 255 AS feat FROM pixels)"
 
 
-@query(("pixels",), f"{_GREY}, er AS MATERIALIZED {_opened('min', 'grey', '+', _LINE)} SELECT plant_id, frame_idx, row, col, feat FROM {_opened('max', 'er', '-', _LINE)}")
+@query(("pixels",), f"{_GREY}, er AS MATERIALIZED {_opened('min', 'grey', '+', _LINES[2])} SELECT plant_id, frame_idx, row, col, feat FROM {_opened('max', 'er', '-', _LINES[2])}")
 def i4_opening(spark: SparkSession, d: str) -> DataFrame:
-    return image.opening(image.grey(load(spark, d, "pixels")), _LINE)
+    return image.opening(image.grey(load(spark, d, "pixels")), image.line_element(2, math.pi / 4))
 
 
-_LINES = [image.line_element(1, math.pi * k / 4) for k in range(4)]
-_BOX = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
+_BOX = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a, b) != (0, 0)]
+_THIN = _GREY + "".join(f", e{k} AS MATERIALIZED {_opened('min', 'grey', '+', o)}, o{k} AS MATERIALIZED {_opened('max', f'e{k}', '-', o)}" for k, o in enumerate([*_LINES, _BOX]))
+_JOINED = "o0" + "".join(f" JOIN o{k} USING (plant_id, frame_idx, row, col)" for k in range(1, 9))
 
 
-@query(("pixels",), _GREY + "".join(f", e{k} AS MATERIALIZED {_opened('min', 'grey', '+', o)}, o{k} AS MATERIALIZED {_opened('max', f'e{k}', '-', o)}" for k, o in enumerate([*_LINES, _BOX])) + f" SELECT plant_id, frame_idx, row, col, {q('greatest(o0.feat, o1.feat, o2.feat, o3.feat) - o4.feat', 6)} AS feat FROM o0 JOIN o1 USING (plant_id, frame_idx, row, col) JOIN o2 USING (plant_id, frame_idx, row, col) JOIN o3 USING (plant_id, frame_idx, row, col) JOIN o4 USING (plant_id, frame_idx, row, col)")
+@query(("pixels",), f"{_THIN} SELECT plant_id, frame_idx, row, col, {q('greatest(' + ', '.join(f'o{k}.feat' for k in range(8)) + ') - o8.feat', 6)} AS feat FROM {_JOINED}")
 def i5_thin_lines(spark: SparkSession, d: str) -> DataFrame:
-    return image.thin_lines(image.grey(load(spark, d, "pixels")), 1).select("plant_id", "frame_idx", "row", "col", r("feat", 6).alias("feat"))
+    return image.thin_lines(image.grey(load(spark, d, "pixels")), 2).select("plant_id", "frame_idx", "row", "col", r("feat", 6).alias("feat"))
 
 
 def _blurred(source: str, axis: str) -> str:
@@ -275,6 +286,25 @@ def i1_blur(spark: SparkSession, d: str) -> DataFrame:
     return image.blur(image.grey(load(spark, d, "pixels")), 1.0).select("plant_id", "frame_idx", "row", "col", r("feat").alias("feat"))
 
 
+_SOFT = "WITH " + ", ".join(f"c{c} AS (SELECT plant_id, frame_idx, row, col, {c} AS feat FROM pixels), d{c} AS MATERIALIZED {_blurred(f'c{c}', 'row')}, b{c} AS MATERIALIZED {_blurred(f'd{c}', 'col')}" for c in "rgb") + ", soft AS (SELECT plant_id, frame_idx, row, col, br.feat AS r, bg.feat AS g, bb.feat AS b FROM br JOIN bg USING (plant_id, frame_idx, row, col) JOIN bb USING (plant_id, frame_idx, row, col))"
+
+
+@query(("pixels",), f"{_SOFT} SELECT plant_id, frame_idx, row, col, {q(f'round({_GREEN} * 255) / 255', 6)} AS feat FROM soft")
+def i6_features(spark: SparkSession, d: str) -> DataFrame:
+    """The green index of blurred images, on the grid of 1/255."""
+    return image.features(load(spark, d, "pixels"), image.MaskParams(use_line=False, sigma=1.0)).select("plant_id", "frame_idx", "row", "col", r("feat", 6).alias("feat"))
+
+
+@query(("pixels",), f"WITH m AS (SELECT plant_id, frame_idx, row, col, 1 AS step FROM pixels WHERE round({_GREEN} * 255) / 255 > 0.4 UNION ALL SELECT plant_id, frame_idx, row, col, 2 FROM pixels WHERE round({_GREEN.replace(repr(127 / 255), '1.5')} * 255) / 255 > 0.4) SELECT DISTINCT step, plant_id, frame_idx, row + a AS row, col + b AS col FROM m, {_DIAMOND} WHERE row + a BETWEEN 1 AND {ROWS} AND col + b BETWEEN 1 AND {COLS}")
+def i11_changed_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Masks after a change of the threshold, which keeps the features, and after one of the least brightness, which does not."""
+    pixels, old = load(spark, d, "pixels"), image.MaskParams(use_line=False, t=0.3)
+    feats, out = image.features(pixels, old), []
+    for step, new in ((1, replace(old, t=0.4)), (2, replace(old, t=0.4, least=1.5))):
+        out.append(image.frame_masks(image.changed_features(feats, pixels, old, new), new, ROWS, COLS).withColumn("step", F.lit(step)))
+    return out[0].unionByName(out[1])
+
+
 # --- votes and volumes
 
 
@@ -298,9 +328,9 @@ def p13_occupied(spark: SparkSession, d: str) -> DataFrame:
     return volume.occupied(volume.log_odds(counts(spark, d)), 0.5)
 
 
-@query(("pixels", "frames", "grids"), f"{_COUNTS} SELECT plant_id, max(seen) AS frames, {q(f'{_PRIOR!r} + max(seen) * {_MISS!r}')} AS low, {q(f'{_PRIOR!r} + max(seen) * {_HIT!r}')} AS high, {q(f'1 / (1 + exp(-({_PRIOR!r} + max(seen) * {_HIT!r})))')} AS p_high FROM counts GROUP BY plant_id")
+@query(("frames",), f"SELECT plant_id, n AS frames, {q(f'{_PRIOR!r} + n * {_MISS!r}')} AS low, {q(f'{_PRIOR!r} + n * {_HIT!r}')} AS high, {q(f'1 / (1 + exp(-({_PRIOR!r} + n * {_HIT!r})))')} AS p_high FROM (SELECT plant_id, count(*) AS n FROM frames GROUP BY 1)")
 def p14_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return volume.bounds(counts(spark, d)).select("plant_id", "frames", r("low").alias("low"), r("high").alias("high"), r(volume.probability(F.col("high"))).alias("p_high"))
+    return volume.bounds(frames(spark, d)).select("plant_id", "frames", r("low").alias("low"), r("high").alias("high"), r(volume.probability(F.col("high"))).alias("p_high"))
 
 
 @query(("pixels", "frames", "grids"), f"{_LOD} SELECT plant_id, count(*) AS voxels, count(*) FILTER (lod > 0.5) AS occupied, {q('max(lod)')} AS max_lod FROM lod GROUP BY plant_id")
@@ -308,7 +338,9 @@ def v7_voxel_counts(spark: SparkSession, d: str) -> DataFrame:
     return volume.voxel_counts(volume.log_odds(counts(spark, d)), 0.5).select("plant_id", "voxels", "occupied", r("max_lod").alias("max_lod"))
 
 
-_EDGES = "ed AS (SELECT a.plant_id, a.i, a.j, a.k, b.i AS i2, b.j AS j2, b.k AS k2, exp(-pow((a.lod - b.lod) / 10.0, 2)) AS w, a.lod AS x1, b.lod AS x2 FROM lod a, (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(p, q, s), lod b WHERE a.plant_id = b.plant_id AND b.i = a.i + p AND b.j = a.j + q AND b.k = a.k + s)"
+_EDGES = f"""nb AS MATERIALIZED (SELECT plant_id, i, j, k, lod, ((plant_id * {SIDE} + i) * {SIDE} + j) * {SIDE} + k AS n, ((plant_id * {SIDE} + i + p) * {SIDE} + j + q) * {SIDE} + k + s AS m FROM lod, (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(p, q, s)
+  WHERE i + p BETWEEN 0 AND {SIDE - 1} AND j + q BETWEEN 0 AND {SIDE - 1} AND k + s BETWEEN 0 AND {SIDE - 1}),
+ed AS MATERIALIZED (SELECT a.plant_id, a.i, a.j, a.k, a.n, a.m, exp(-pow((a.lod - b.lod) / 10.0, 2)) AS w, a.lod AS x1, b.lod AS x2 FROM nb a JOIN (SELECT DISTINCT n, lod FROM nb) b ON b.n = a.m)"""
 
 
 @query(("pixels", "frames", "grids"), f"{_LOD}, {_EDGES} SELECT plant_id, i, j, k, count(*) AS n, {q('sum(w)')} AS diag FROM ed GROUP BY ALL")
@@ -324,14 +356,47 @@ def v4_laplacian(spark: SparkSession, d: str) -> DataFrame:
     return volume.laplacian(volume.gmrf_edges(lod, 10.0), x).select("plant_id", "u.i", "u.j", "u.k", r("lx").alias("lx"))
 
 
-@query(("plants",), "SELECT plant_id, true AS solved FROM plants")
+def _solved(steps: list[tuple[float, float]]) -> str:
+    """The same iteration over the table of edges, further than the query goes."""
+    out = f", s0 AS (SELECT plant_id, i, j, k, ((plant_id * {SIDE} + i) * {SIDE} + j) * {SIDE} + k AS n, lod AS b, lod AS x, 0.0::DOUBLE AS p FROM lod)"
+    for n, (old, new) in enumerate(steps):
+        flow = f"SELECT e.n, sum(w * y.x) AS g, sum(w) AS d FROM ed e JOIN s{n} y ON y.n = e.m GROUP BY e.n"
+        out += f", s{n + 1} AS MATERIALIZED (SELECT plant_id, i, j, k, n, b, x + step AS x, step AS p FROM (SELECT s.*, {old!r} * p + {new!r} * (b - x - coalesce(d * x - g, 0.0)) AS step FROM s{n} s LEFT JOIN ({flow}) f USING (n)))"
+    return out
+
+
+@query(("pixels", "frames", "grids"), f"{_LOD}, {_EDGES}{_solved(volume._steps(1.0, 1e-11))} SELECT plant_id, i, j, k, {q('b', 3)} AS lod, {q('x', 3)} AS smoothed FROM s{len(volume._steps(1.0, 1e-11))}")
 def v5_smooth(spark: SparkSession, d: str) -> DataFrame:
-    """Per plant: the solution of (1 + L) x = lod leaves a residual below 1e-5 of the right-hand side."""
-    lod = components.cut(volume.log_odds(counts(spark, d)))
-    x = components.cut(volume.smooth(lod, 10.0, 1.0)).select("plant_id", F.struct("i", "j", "k").alias("u"), "lod", F.col("smoothed").alias("x"))
-    lx = volume.laplacian(volume.gmrf_edges(lod, 10.0), x).join(x, ["plant_id", "u"])
-    e = F.col("x") + F.col("lx") - F.col("lod")
-    return lx.groupBy("plant_id").agg((F.sqrt(F.sum(e * e)) <= 1e-5 * F.sqrt(F.sum(F.col("lod") * F.col("lod")))).alias("solved"))
+    """Every voxel's log-odds, smoothed with lam = 1."""
+    out = volume.smooth(components.cut(volume.log_odds(counts(spark, d))), 10.0, 1.0)
+    return out.select("plant_id", "i", "j", "k", r("lod", 3).alias("lod"), r("smoothed", 3).alias("smoothed"))
+
+
+_CROSSED = f"""{_LOD}, ce AS (SELECT a.plant_id, a.i, a.j, a.k, a.i + p AS i2, a.j + q AS j2, a.k + s AS k2, a.lod AS v1 FROM lod a, (VALUES (1,0,0),(0,1,0),(0,0,1),(1,1,0),(1,0,1),(0,1,1),(1,1,1)) o(p, q, s)),
+cx AS (SELECT c.*, b.lod AS v2 FROM ce c JOIN lod b ON b.plant_id = c.plant_id AND b.i = c.i2 AND b.j = c.j2 AND b.k = c.k2 WHERE (v1 > -15) <> (b.lod > -15))"""
+_AT = lambda o, a: q(f"{o} + ({a} + (-15 - v1) / (v2 - v1) * ({a}2 - {a}) + 0.5) * voxel_size")
+
+
+@query(("pixels", "frames", "grids"), f"{_CROSSED} SELECT plant_id, i, j, k, i2, j2, k2, {_AT('ox', 'i')} AS x, {_AT('oy', 'j')} AS y, {_AT('oz', 'k')} AS z FROM cx JOIN grids USING (plant_id)")
+def v6_isosurface(spark: SparkSession, d: str) -> DataFrame:
+    """The vertices of the surface, each on an edge between two voxels."""
+    vertices, _ = volume.isosurface(volume.log_odds(counts(spark, d)), load(spark, d, "grids"), -15.0)
+    return vertices.select("plant_id", *(F.col(f"a.{a}").alias(a) for a in "ijk"), *(F.col(f"b.{a}").alias(f"{a}2") for a in "ijk"), *(r(c).alias(c) for c in "xyz"))
+
+
+# The voxels of a tetrahedron are those on a way along the axes in some order; k of its four corners above give 1, 2, 1 triangles.
+_STEP = lambda corner: (corner & 1) * SIDE * SIDE + (corner >> 1 & 1) * SIDE + (corner >> 2 & 1)
+_WAYS = ", ".join(f"({_STEP(a)}, {_STEP(b)})" for _, a, b, _ in volume.TETRAHEDRA)
+
+
+@query(("pixels", "frames", "grids"), f"""{_LOD}, up AS MATERIALIZED (SELECT plant_id, i, j, k, ((plant_id * {SIDE} + i) * {SIDE} + j) * {SIDE} + k AS n, CASE WHEN lod > -15 THEN 1 ELSE 0 END AS u FROM lod),
+  te AS MATERIALIZED (SELECT plant_id, i, j, k, u, n + a AS n1, n + b AS n2, n + {_STEP(7)} AS n3 FROM up, (VALUES {_WAYS}) w(a, b) WHERE i < {SIDE - 1} AND j < {SIDE - 1} AND k < {SIDE - 1}),
+  tn AS (SELECT t.*, t.u + x.u + y.u + z.u AS m FROM te t JOIN up x ON x.n = n1 JOIN up y ON y.n = n2 JOIN up z ON z.n = n3)
+  SELECT plant_id, i, j, k, sum(CASE m WHEN 2 THEN 2 ELSE 1 END)::BIGINT AS triangles FROM tn WHERE m BETWEEN 1 AND 3 GROUP BY ALL""")
+def v6_triangles(spark: SparkSession, d: str) -> DataFrame:
+    """The number of triangles of every cube that the surface crosses."""
+    _, triangles = volume.isosurface(volume.log_odds(counts(spark, d)), load(spark, d, "grids"), -15.0)
+    return triangles.groupBy("plant_id", "i", "j", "k").agg(F.count(F.lit(1)).alias("triangles"))
 
 
 # --- the voxel graph
@@ -344,12 +409,13 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
 _NODES = "WITH nd AS MATERIALIZED (SELECT plant_id, i, j, k, row_number() OVER (PARTITION BY plant_id ORDER BY k, j, i) AS node_id FROM occupied)"
 _ADJ = f"""{_NODES}, adj AS MATERIALIZED (SELECT a.plant_id, a.node_id AS u, b.node_id AS v, sqrt((p*p + q*q + s*s)::DOUBLE) AS d FROM nd a, (SELECT unnest([-1, 0, 1]) AS p) x, (SELECT unnest([-1, 0, 1]) AS q) y, (SELECT unnest([-1, 0, 1]) AS s) z, nd b
   WHERE (p, q, s) <> (0, 0, 0) AND a.plant_id = b.plant_id AND b.i = a.i + p AND b.j = a.j + q AND b.k = a.k + s)"""
-_DT = f"""{_ADJ},
-side AS (SELECT unnest(range(0, {SIDE})) AS c),
-bg AS (SELECT g.plant_id, x.c AS i, y.c AS j, z.c AS k FROM (SELECT DISTINCT plant_id FROM nd) g, side x, side y, side z ANTI JOIN nd ON nd.plant_id = g.plant_id AND nd.i = x.c AND nd.j = y.c AND nd.k = z.c),
-dt AS MATERIALIZED (SELECT n.plant_id, n.node_id, n.i, n.j, n.k, sqrt(min((n.i - b.i) * (n.i - b.i) + (n.j - b.j) * (n.j - b.j) + (n.k - b.k) * (n.k - b.k))::DOUBLE) AS dt FROM nd n JOIN bg b ON n.plant_id = b.plant_id AND b.i BETWEEN n.i - 4 AND n.i + 4 AND b.j BETWEEN n.j - 4 AND n.j + 4 AND b.k BETWEEN n.k - 4 AND n.k + 4 GROUP BY ALL)"""
+_OFF = "off AS MATERIALIZED (SELECT p, q, s, p*p + q*q + s*s AS d2 FROM (SELECT unnest(range(-4, 5)) AS p) x, (SELECT unnest(range(-4, 5)) AS q) y, (SELECT unnest(range(-4, 5)) AS s) z)"
+_DT = f"""{_ADJ}, {_OFF},
+near AS (SELECT plant_id, node_id, i + p AS bi, j + q AS bj, k + s AS bk, d2 FROM nd, off WHERE i + p BETWEEN 0 AND {SIDE - 1} AND j + q BETWEEN 0 AND {SIDE - 1} AND k + s BETWEEN 0 AND {SIDE - 1}),
+dt AS MATERIALIZED (SELECT nd.*, dt FROM nd LEFT JOIN (SELECT plant_id, node_id, sqrt(min(d2)::DOUBLE) AS dt FROM near ANTI JOIN nd m ON m.plant_id = near.plant_id AND m.i = bi AND m.j = bj AND m.k = bk GROUP BY ALL) USING (plant_id, node_id))"""
 _MB = f"""{_DT}, mb AS MATERIALIZED (SELECT * FROM dt ANTI JOIN (SELECT a.plant_id, a.u AS node_id FROM adj a JOIN dt x ON x.plant_id = a.plant_id AND x.node_id = a.u JOIN dt y ON y.plant_id = a.plant_id AND y.node_id = a.v WHERE y.dt >= x.dt + a.d - 1e-9) USING (plant_id, node_id)),
-rad AS MATERIALIZED (SELECT n.plant_id, n.node_id, n.dt, max(b.dt) AS radius FROM dt n JOIN mb b ON n.plant_id = b.plant_id AND (n.i - b.i) * (n.i - b.i) + (n.j - b.j) * (n.j - b.j) + (n.k - b.k) * (n.k - b.k) <= (b.dt + 0.5) * (b.dt + 0.5) GROUP BY ALL),
+ball AS (SELECT plant_id, i + p AS i, j + q AS j, k + s AS k, max(dt) AS radius FROM mb, off WHERE d2 <= (dt + 0.5) * (dt + 0.5) GROUP BY ALL),
+rad AS MATERIALIZED (SELECT n.plant_id, n.node_id, n.dt, radius FROM dt n JOIN ball USING (plant_id, i, j, k)),
 gam AS MATERIALIZED (SELECT plant_id, node_id, 0.01 + 0.99 * pow(CASE WHEN radius = 1 THEN 1.0 ELSE (dt - 1) / (radius - 1) END, 2) AS gamma FROM rad)"""
 
 
@@ -417,6 +483,14 @@ def g7_travel_times(spark: SparkSession, d: str) -> DataFrame:
     return graph.travel_times(graph.edges(nodes(spark, d)), graph.conductance(dt, graph.local_radius(dt))).select("plant_id", "u", "v", r("w").alias("w"))
 
 
+@query(("occupied",), f"{_MB.replace('0.01 + 0.99', '0.05 + 0.95').replace('END, 2)', 'END, 3)')} SELECT a.plant_id, u, v, {q('d / ((x.gamma + y.gamma) / 2)')} AS w FROM adj a JOIN gam x ON x.plant_id = a.plant_id AND x.node_id = u JOIN gam y ON y.plant_id = a.plant_id AND y.node_id = v WHERE u < v")
+def g8_reweighted(spark: SparkSession, d: str) -> DataFrame:
+    """Other conductance parameters on the stored radii and edges; the graph is not built again."""
+    dt = transformed(spark, d)
+    e, radius = components.cut(graph.edges(nodes(spark, d))), components.cut(graph.local_radius(dt))
+    return graph.reweighted(e, dt, radius, 3.0, 0.05).select("plant_id", "u", "v", r("w").alias("w"))
+
+
 _ROOT = "rt AS (SELECT plant_id, node_id FROM dt QUALIFY row_number() OVER (PARTITION BY plant_id ORDER BY k, dt DESC, node_id) = 1)"
 
 
@@ -426,7 +500,7 @@ def g15_root(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Distances by relaxation in SQL: as many rounds as any path needs here.
-_ROUNDS = 26
+_ROUNDS = 80
 _RELAX = "".join(f", b{n + 1} AS MATERIALIZED (SELECT plant_id, node_id, min(x) AS x FROM (SELECT plant_id, node_id, x FROM b{n} UNION ALL SELECT a.plant_id, a.v, x + a.d FROM b{n} b JOIN adj a ON a.plant_id = b.plant_id AND a.u = b.node_id) GROUP BY ALL)" for n in range(_ROUNDS))
 
 
@@ -447,12 +521,32 @@ def g11_bounded_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.shortest_paths(e, graph.root(transformed(spark, d)), max_dist=6.0).select("plant_id", "node_id", r("dist").alias("dist"))
 
 
-@query(("occupied",), f"{_DT}, {_ROOT}, b0 AS (SELECT plant_id, node_id, 0.0::DOUBLE AS x FROM rt){_RELAX}, far AS (SELECT plant_id, node_id AS tip, x FROM b{_ROUNDS} QUALIFY row_number() OVER (PARTITION BY plant_id ORDER BY x DESC, node_id) = 1) SELECT plant_id, tip, {q('x')} AS dist, {q('x')} AS walked FROM far")
+@query(("occupied",), f"{_DT}, {_ROOT}, b0 AS (SELECT plant_id, node_id, 0.0::DOUBLE AS x FROM rt){_RELAX}, goal AS (SELECT plant_id, x AS far FROM b{_ROUNDS} QUALIFY row_number() OVER (PARTITION BY plant_id ORDER BY (node_id * 7919) % 1009, node_id) = 1) SELECT plant_id, node_id, {q('x')} AS dist FROM b{_ROUNDS} JOIN goal USING (plant_id) WHERE x <= far")
+def g11_target_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The search that ends at one target a plant: what is at most as far."""
+    e, sp = rooted(spark, d)
+    best = sp.groupBy("plant_id").agg(F.min(F.struct((F.col("node_id") * 7919 % 1009).alias("h"), "node_id")).alias("b"))
+    goal = best.select("plant_id", F.col("b.node_id").alias("node_id"))
+    return graph.shortest_paths(e, graph.root(transformed(spark, d)), targets=goal).select("plant_id", "node_id", r("dist").alias("dist"))
+
+
+_SOURCES = "sr AS MATERIALIZED (SELECT plant_id, node_id FROM nd WHERE (node_id * 31) % 211 < 2)"
+_SPREAD = "".join(f", c{n + 1} AS MATERIALIZED (SELECT plant_id, node_id, min_by(src, x * 1000000.0 + src) AS src, min(x) AS x FROM (SELECT * FROM c{n} UNION ALL SELECT a.plant_id, a.v, src, x + round(a.d * a.d) FROM c{n} c JOIN adj a ON a.plant_id = c.plant_id AND a.u = c.node_id) GROUP BY ALL)" for n in range(_ROUNDS))
+
+
+@query(("occupied",), f"{_ADJ}, {_SOURCES}, c0 AS (SELECT plant_id, node_id, node_id AS src, 0.0::DOUBLE AS x FROM sr){_SPREAD} SELECT plant_id, node_id, x AS dist, src AS nearest_source FROM c{_ROUNDS}")
+def g10_nearest_source(spark: SparkSession, d: str) -> DataFrame:
+    """Many sources at once, over squared lengths, which add up exactly: of equally near sources the smaller one."""
+    n = components.cut(nodes(spark, d))
+    e = graph.edges(n).withColumn("q", F.round(F.col("d") * F.col("d")))
+    return graph.shortest_paths(e, n.where("(node_id * 31) % 211 < 2"), "q").select("plant_id", "node_id", "dist", "nearest_source")
+
+
+@query(("occupied",), f"{_DT}, {_ROOT}, b0 AS (SELECT plant_id, node_id, 0.0::DOUBLE AS x FROM rt){_RELAX} SELECT plant_id, node_id AS tip, {q('x')} AS dist, {q('x')} AS walked FROM b{_ROUNDS}")
 def g12_extract_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The way from each plant's farthest node: its steps sum to the distance."""
+    """The way from every node that the root reaches: its steps sum to the distance."""
     e, sp = rooted(spark, d)
-    tip = sp.groupBy("plant_id").agg(F.min(F.struct((-F.round("dist", 9)).alias("x"), "node_id")).alias("b")).select("plant_id", F.col("b.node_id").alias("node_id"))
-    steps = graph.extract_paths(sp, tip).join(sp, ["plant_id", "node_id"])
+    steps = graph.extract_paths(sp, sp).join(sp, ["plant_id", "node_id"])
     walk = steps.join(graph.both_ways(e).withColumnsRenamed({"u": "node_id", "v": "prev"}), ["plant_id", "node_id", "prev"], "left")
     return walk.groupBy("plant_id", "tip").agg(r(F.max("dist")).alias("dist"), r(F.coalesce(F.sum("d"), F.lit(0.0))).alias("walked"))
 
@@ -472,25 +566,45 @@ def m1_local_maxima(spark: SparkSession, d: str) -> DataFrame:
     return graph.local_maxima(*field(spark, d))
 
 
-@query(("occupied",), f"{_BASIN} SELECT plant_id, node_id, peak FROM bs")
+# The sweep by brute force: what each node reaches through nodes swept before it.
+_SWEEP = f"""{_FIELD}, rk AS MATERIALIZED (SELECT plant_id, node_id, u, row_number() OVER (PARTITION BY plant_id ORDER BY u DESC, node_id) AS o FROM fd),
+ae AS MATERIALIZED (SELECT a.plant_id, x.o AS ou, y.o AS ov FROM adj a JOIN rk x ON x.plant_id = a.plant_id AND x.node_id = a.u JOIN rk y ON y.plant_id = a.plant_id AND y.node_id = a.v),
+reach AS (SELECT plant_id, o AS v, o AS w FROM rk UNION SELECT r.plant_id, r.v, e.ov FROM reach r JOIN ae e ON e.plant_id = r.plant_id AND e.ou = r.w WHERE e.ov < r.v),
+met AS MATERIALIZED (SELECT * FROM reach),
+lab AS MATERIALIZED (SELECT plant_id, v, min(w) AS top FROM met GROUP BY ALL),
+tops AS (SELECT plant_id, v AS peak FROM lab WHERE v = top),
+ends AS (SELECT t.plant_id, t.peak, min(m.v) AS at FROM tops t JOIN met m ON m.plant_id = t.plant_id AND m.w = t.peak JOIN lab l ON l.plant_id = m.plant_id AND l.v = m.v AND l.top <> t.peak GROUP BY ALL),
+tree AS MATERIALIZED (SELECT t.plant_id, p.node_id AS peak, p.u, s.node_id AS saddle_node, s.u AS saddle_val, r.node_id AS parent, coalesce(p.u - s.u, 'infinity'::DOUBLE) AS prominence
+  FROM tops t JOIN rk p ON p.plant_id = t.plant_id AND p.o = t.peak LEFT JOIN ends e ON e.plant_id = t.plant_id AND e.peak = t.peak LEFT JOIN rk s ON s.plant_id = t.plant_id AND s.o = e.at
+  LEFT JOIN lab l ON l.plant_id = t.plant_id AND l.v = e.at LEFT JOIN rk r ON r.plant_id = t.plant_id AND r.o = l.top)""".replace("WITH nd", "WITH RECURSIVE nd")
+
+
+@query(("occupied",), f"{_SWEEP} SELECT l.plant_id, x.node_id, y.node_id AS peak FROM lab l JOIN rk x ON x.plant_id = l.plant_id AND x.o = l.v JOIN rk y ON y.plant_id = l.plant_id AND y.o = l.top")
 def m2_basins(spark: SparkSession, d: str) -> DataFrame:
     return graph.basins(*field(spark, d))
 
 
-@query(("occupied",), f"{_BASIN} SELECT a.plant_id, least(x.peak, y.peak) AS a, greatest(x.peak, y.peak) AS b, {q('max(least(p.u, o.u))')} AS saddle_val FROM adj a JOIN bs x ON x.plant_id = a.plant_id AND x.node_id = a.u JOIN bs y ON y.plant_id = a.plant_id AND y.node_id = a.v JOIN fd p ON p.plant_id = a.plant_id AND p.node_id = a.u JOIN fd o ON o.plant_id = a.plant_id AND o.node_id = a.v WHERE x.peak <> y.peak GROUP BY ALL")
+@query(("occupied",), f"{_SWEEP} SELECT plant_id, peak, {q('u')} AS u, saddle_node, {q('saddle_val')} AS saddle_val, parent, {q('prominence')} AS prominence FROM tree")
 def m3_saddles(spark: SparkSession, d: str) -> DataFrame:
-    return graph.saddles(*field(spark, d)).select("plant_id", "a", "b", r("saddle_val").alias("saddle_val"))
+    return graph.prominences(*field(spark, d)).select("plant_id", "peak", r("u").alias("u"), "saddle_node", r("saddle_val").alias("saddle_val"), "parent", r("prominence").alias("prominence"))
+
 
+@query(("occupied",), f"{_SWEEP} SELECT l.plant_id, x.node_id, t.peak, t.saddle_node, t.parent FROM lab l JOIN rk x ON x.plant_id = l.plant_id AND x.o = l.v JOIN rk y ON y.plant_id = l.plant_id AND y.o = l.top JOIN tree t ON t.plant_id = l.plant_id AND t.peak = y.node_id")
+def m4_join_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with its peak, and where that peak ends."""
+    peaks, labels = graph.join_tree(*field(spark, d))
+    return labels.join(peaks, ["plant_id", "peak"]).select("plant_id", "node_id", "peak", "saddle_node", "parent")
 
-@query()
+
+@query(("occupied",), f"{_SWEEP} SELECT plant_id, peak, {q('u')} AS u, {q('prominence')} AS prominence, row_number() OVER (PARTITION BY plant_id ORDER BY prominence DESC, peak) AS rank FROM tree WHERE prominence >= 5")
 def t1_prominent_maxima(spark: SparkSession, d: str) -> DataFrame:
-    return graph.prominent_maxima(graph.prominences(*field(spark, d)), 5.0)
+    return graph.prominent_maxima(graph.prominences(*field(spark, d)), 5.0).select("plant_id", "peak", r("u").alias("u"), r("prominence").alias("prominence"), "rank")
 
 
-@query(("occupied",), f"{_BASIN.replace('dt * 10 + (node_id * 7919) % 101 / 10.0 AS u', 'dt AS u')} SELECT plant_id, node_id, peak AS centre FROM bs WHERE node_id % 10 = 0")
+@query(("occupied",), f"{_BASIN.replace('dt * 10 + (node_id * 7919) % 101 / 10.0 AS u', 'dt AS u')} SELECT plant_id, node_id, peak AS centre FROM bs")
 def g14_snap_to_centre(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return graph.snap_to_centre(transformed(spark, d), components.cut(graph.edges(n)), n.where("node_id % 10 = 0").select("plant_id", "node_id"))
+    return graph.snap_to_centre(transformed(spark, d), components.cut(graph.edges(n)), n.select("plant_id", "node_id"))
 
 
 # --- curves
@@ -503,7 +617,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ARC = "WITH st AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)), 0.0) AS dd FROM curve_points WINDOW w AS (PARTITION BY curve_id ORDER BY seq)), arc AS MATERIALIZED (SELECT curve_id, seq, x, y, z, sum(dd) OVER (PARTITION BY curve_id ORDER BY seq) AS t FROM st)"
-_ENDS = f"{_ARC}, en AS (SELECT *, first_value(t) OVER w AS ft, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, first_value(z) OVER w AS fz, last_value(t) OVER w AS lt, last_value(x) OVER w AS lx, last_value(y) OVER w AS ly, last_value(z) OVER w AS lz FROM arc WINDOW w AS (PARTITION BY curve_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), pad AS MATERIALIZED (SELECT curve_id, t, x, y, z FROM arc UNION ALL SELECT curve_id, 2*ft - t, 2*fx - x, 2*fy - y, 2*fz - z FROM en WHERE abs(t - ft) <= 12 AND t <> ft UNION ALL SELECT curve_id, 2*lt - t, 2*lx - x, 2*ly - y, 2*lz - z FROM en WHERE abs(t - lt) <= 12 AND t <> lt)"
+_ENDS = f"{_ARC}, en AS (SELECT *, first_value(seq) OVER w AS fs, first_value(t) OVER w AS ft, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, first_value(z) OVER w AS fz, last_value(seq) OVER w AS ls, last_value(t) OVER w AS lt, last_value(x) OVER w AS lx, last_value(y) OVER w AS ly, last_value(z) OVER w AS lz FROM arc WINDOW w AS (PARTITION BY curve_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), pad AS MATERIALIZED (SELECT curve_id, t, x, y, z FROM arc UNION ALL SELECT curve_id, 2*ft - t, 2*fx - x, 2*fy - y, 2*fz - z FROM en WHERE abs(t - ft) <= 12 AND seq <> fs UNION ALL SELECT curve_id, 2*lt - t, 2*lx - x, 2*ly - y, 2*lz - z FROM en WHERE abs(t - lt) <= 12 AND seq <> ls)"
 _UNIFORM = "un AS (SELECT curve_id, n, unnest(range(1, n + 1)) AS seq, len FROM (SELECT curve_id, max(t) AS len, greatest(2, ceil(max(t) / 5.0)::BIGINT + 1) AS n FROM arc GROUP BY curve_id)), qs AS MATERIALIZED (SELECT curve_id, seq, len * (seq - 1) / (n - 1) AS t FROM un)"
 _LOOK = "SELECT curve_id, seq, {x}, {y}, {z} FROM (SELECT q.curve_id, q.seq, q.t, lo.t AS t0, lo.x AS x0, lo.y AS y0, lo.z AS z0, hi.t AS t1, hi.x AS x1, hi.y AS y1, hi.z AS z1 FROM qs q ASOF JOIN arc lo ON q.curve_id = lo.curve_id AND q.t >= lo.t ASOF LEFT JOIN arc hi ON q.curve_id = hi.curve_id AND q.t <= hi.t)"
 
@@ -528,34 +642,118 @@ def k5_uniform_samples(spark: SparkSession, d: str) -> DataFrame:
     return queries_at(spark, d)[1].select("curve_id", "seq", r("t").alias("t"))
 
 
-_KERNEL = f"{_ENDS}, {_UNIFORM}, near AS (SELECT q.curve_id, q.seq, q.t AS t0, p.*, exp(-pow((p.t - q.t) / 2.0, 2) / 2) AS w, (p.t - q.t) / 4.0 AS dw FROM qs q JOIN pad p ON q.curve_id = p.curve_id AND abs(p.t - q.t) <= 12)"
+def _smoothed(name: str, source: str, key: str = "seq") -> str:
+    """CTEs that end in `name`: the rows of source(curve_id, key, t) with x, y, z and dx, dy, dz of the curve of width 2."""
+    k = ", ".join(f"q.{c.strip()}" for c in key.split(","))
+    return f"""{name}_in AS MATERIALIZED (SELECT q.curve_id, {k}, q.t, p.t AS pt, p.x, p.y, p.z, 0.0::DOUBLE AS near FROM {source} q JOIN pad p ON q.curve_id = p.curve_id AND abs(p.t - q.t) <= 12),
+{name}_two AS (SELECT q.curve_id, {k}, q.t, lo.t AS t0, lo.x AS x0, lo.y AS y0, lo.z AS z0, hi.t AS t1, hi.x AS x1, hi.y AS y1, hi.z AS z1, least(abs(lo.t - q.t), abs(hi.t - q.t)) AS near FROM (SELECT * FROM {source} ANTI JOIN {name}_in USING (curve_id, {key})) q ASOF JOIN pad lo ON q.curve_id = lo.curve_id AND q.t >= lo.t ASOF JOIN pad hi ON q.curve_id = hi.curve_id AND q.t < hi.t),
+{name}_all AS (SELECT * FROM {name}_in UNION ALL SELECT curve_id, {key}, t, t0, x0, y0, z0, near FROM {name}_two UNION ALL SELECT curve_id, {key}, t, t1, x1, y1, z1, near FROM {name}_two),
+{name}_w AS (SELECT *, exp(-(pow((pt - t) / 2.0, 2) - pow(near / 2.0, 2)) / 2) AS w, (pt - t) / 4.0 AS e FROM {name}_all),
+{name}_s AS (SELECT curve_id, {key}, t, sum(w) AS s0, sum(w*e) AS d0, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*z) AS sz, sum(w*e*x) AS ex, sum(w*e*y) AS ey, sum(w*e*z) AS ez FROM {name}_w GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT curve_id, {key}, t, sx/s0 AS x, sy/s0 AS y, sz/s0 AS z, (ex - sx/s0*d0)/s0 AS dx, (ey - sy/s0*d0)/s0 AS dy, (ez - sz/s0*d0)/s0 AS dz FROM {name}_s)"""
+
+
+_UNIT = lambda n, digits=3: ", ".join(f"CASE WHEN n > 1e-9 THEN {q(f'{c}/n', digits)} ELSE 'nan'::DOUBLE END AS {c}" for c in n.split())
 
 
-@query(("curve_points",), f"{_KERNEL}, kp AS (SELECT curve_id, seq, sum(w*x)/sum(w) AS x, sum(w*y)/sum(w) AS y, sum(w*z)/sum(w) AS z FROM near GROUP BY ALL), lost AS (SELECT * FROM ({_LOOK.format(x='CASE WHEN t1 > t0 THEN x0 + (t - t0) / (t1 - t0) * (x1 - x0) ELSE x0 END AS x', y='CASE WHEN t1 > t0 THEN y0 + (t - t0) / (t1 - t0) * (y1 - y0) ELSE y0 END AS y', z='CASE WHEN t1 > t0 THEN z0 + (t - t0) / (t1 - t0) * (z1 - z0) ELSE z0 END AS z')}) ANTI JOIN kp USING (curve_id, seq)) SELECT curve_id, seq, {q('x', 3)} AS x, {q('y', 3)} AS y, {q('z', 3)} AS z FROM (SELECT * FROM kp UNION ALL SELECT * FROM lost)")
+@query(("curve_points",), f"{_ENDS}, {_UNIFORM}, {_smoothed('kp', 'qs')} SELECT curve_id, seq, {q('x', 3)} AS x, {q('y', 3)} AS y, {q('z', 3)} AS z FROM kp")
 def k1_smoothed_positions(spark: SparkSession, d: str) -> DataFrame:
     profile, at = queries_at(spark, d)
-    at = components.cut(at)
-    return at.join(curves.kernel_positions(at, profile, SIGMA), ["curve_id", "t"]).select("curve_id", "seq", *(r(c, 3).alias(c) for c in "xyz"))
+    return curves.kernel_positions(at, profile, SIGMA).select("curve_id", "seq", *(r(c, 3).alias(c) for c in "xyz"))
 
 
-@query(("curve_points",), f"{_KERNEL}, s AS (SELECT curve_id, seq, sum(w) AS s0, sum(w*dw) AS d0, sum(w*x) AS sx, sum(w*y) AS sy, sum(w*z) AS sz, sum(w*dw*x) AS ex, sum(w*dw*y) AS ey, sum(w*dw*z) AS ez FROM near GROUP BY ALL), v AS (SELECT curve_id, seq, (ex - sx/s0*d0)/s0 AS dx, (ey - sy/s0*d0)/s0 AS dy, (ez - sz/s0*d0)/s0 AS dz FROM s), m AS (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) AS n FROM v) SELECT curve_id, seq, {q('dx/n', 3)} AS dx, {q('dy/n', 3)} AS dy, {q('dz/n', 3)} AS dz FROM m WHERE n > 1e-9")
+@query(("curve_points",), f"{_ENDS}, {_UNIFORM}, {_smoothed('kp', 'qs')} SELECT curve_id, seq, {_UNIT('dx dy dz')} FROM (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) AS n FROM kp)")
 def k4_tangents(spark: SparkSession, d: str) -> DataFrame:
     profile, at = queries_at(spark, d)
-    at = components.cut(at)
-    return at.join(curves.kernel_tangents(at, profile, SIGMA), ["curve_id", "t"]).where(~F.isnan("dx")).select("curve_id", "seq", *(r(c, 3).alias(c) for c in ("dx", "dy", "dz")))
+    return curves.kernel_tangents(at, profile, SIGMA).select("curve_id", "seq", *(r(c, 3).alias(c) for c in ("dx", "dy", "dz")))
+
+
+_DENSE = f"""{_ENDS}, dn AS (SELECT curve_id, max(t) AS len, greatest(100, ceil(max(t) / 0.5)::BIGINT + 1) AS n FROM arc GROUP BY 1 HAVING count(*) > 1), dq AS MATERIALIZED (SELECT curve_id, seq, len * (seq - 1) / (n - 1) AS t FROM (SELECT curve_id, len, n, unnest(range(1, n + 1)) AS seq FROM dn)),
+{_smoothed('dk', 'dq')}, ds AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2) + pow(z - lag(z) OVER w, 2)), 0.0) AS step FROM dk WINDOW w AS (PARTITION BY curve_id ORDER BY seq)), dense AS MATERIALIZED (SELECT curve_id, seq, t, x, y, z, sum(step) OVER (PARTITION BY curve_id ORDER BY seq) AS s FROM ds),
+ln AS MATERIALIZED (SELECT curve_id, max(s) AS len FROM dense GROUP BY 1), sl AS MATERIALIZED (SELECT curve_id, s, min(t) AS t0, max(t) AS t1 FROM dense GROUP BY ALL)"""
+
+
+def _s_to_t(name: str, source: str, keys: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT q.curve_id, {', '.join('q.' + k for k in keys.split())}, CASE WHEN hi.s > lo.s THEN lo.t1 + (q.s - lo.s) / (hi.s - lo.s) * (hi.t0 - lo.t1) ELSE lo.t1 END AS t FROM {source} q ASOF JOIN sl lo ON q.curve_id = lo.curve_id AND q.s >= lo.s ASOF LEFT JOIN sl hi ON q.curve_id = hi.curve_id AND q.s < hi.s)"
+
+
+def dense_curves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = components.cut(points(spark, d))
+    return p, components.cut(curves.smooth_curves(p, SIGMA))
+
+
+@query(("curve_points",), f"{_DENSE} SELECT curve_id, seq, {q('t', 3)} AS t, {q('s', 3)} AS s, {q('x', 3)} AS x, {q('y', 3)} AS y, {q('z', 3)} AS z FROM dense")
+def k2_dense_curves(spark: SparkSession, d: str) -> DataFrame:
+    return dense_curves(spark, d)[1].select("curve_id", "seq", *(r(c, 3).alias(c) for c in ("t", "s", "x", "y", "z")))
+
+
+_STEPS = "us AS MATERIALIZED (SELECT curve_id, seq, n, len * (seq - 1) / (n - 1) AS s FROM (SELECT curve_id, len, n, unnest(range(1, n + 1)) AS seq FROM (SELECT curve_id, len, greatest(2, ceil(len / 1.5)::BIGINT + 1) AS n FROM ln)))"
+
+
+@query(("curve_points",), f"{_DENSE}, {_STEPS}, {_s_to_t('ut', 'us', 'seq n s')}, {_smoothed('uk', 'ut', 'seq, n, s')} SELECT u.curve_id, u.seq, {q('u.s', 3)} AS s, " + ", ".join(f"{q(f'CASE WHEN u.seq = 1 THEN f{c} WHEN u.seq = n THEN l{c} ELSE u.{c} END', 3)} AS {c}" for c in "xyz") + f", {_UNIT('dx dy dz')} FROM (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) AS nn FROM uk) u JOIN (SELECT DISTINCT curve_id, fx, fy, fz, lx, ly, lz FROM en) USING (curve_id)".replace("WHEN n > 1e-9", "WHEN nn > 1e-9").replace("/n", "/nn"))
+def k5_sampled_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Positions and unit tangents at equal steps of arc length, the ends pinned."""
+    p, dense = dense_curves(spark, d)
+    return curves.sample_uniform(dense, p, SIGMA, 1.5).select("curve_id", "seq", *(r(c, 3).alias(c) for c in ("s", "x", "y", "z", "dx", "dy", "dz")))
+
+
+# Targets beside every smoothed sample; the foot by bisection around the nearest dense point.
+_TARGETS = f"{_DENSE}, {_STEPS}, {_s_to_t('ut', 'us', 'seq')}, {_smoothed('uk', 'ut')}, tg AS MATERIALIZED (SELECT curve_id, seq AS target_id, x + 0.05 AS qx, y - 0.03 AS qy, z + 0.02 AS qz FROM uk), nr AS MATERIALIZED (SELECT g.*, d.seq, d.t AS td, row_number() OVER (PARTITION BY curve_id, target_id ORDER BY pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2), d.seq) AS k FROM tg g JOIN dense d USING (curve_id))"
+_NEAR = "b0 AS MATERIALIZED (SELECT curve_id, target_id, qx, qy, qz, CASE WHEN seq = 1 THEN 0.0 WHEN seq = n THEN len ELSE greatest(0.0, td - len / (n - 1)) END AS lo, CASE WHEN seq = 1 THEN 0.0 WHEN seq = n THEN len ELSE least(len, td + len / (n - 1)) END AS hi FROM nr JOIN dn USING (curve_id) WHERE k = 1)"
+
+
+def _halved(rounds: int) -> str:
+    out = ""
+    for k in range(rounds):
+        out += f", m{k} AS MATERIALIZED (SELECT *, (lo + hi) / 2 AS t FROM b{k}), {_smoothed(f'h{k}', f'm{k}', 'target_id, qx, qy, qz, lo, hi')}, b{k + 1} AS MATERIALIZED (SELECT curve_id, target_id, qx, qy, qz, CASE WHEN f < 0 THEN t ELSE lo END AS lo, CASE WHEN f < 0 THEN hi ELSE t END AS hi FROM (SELECT *, (x - qx) * dx + (y - qy) * dy + (z - qz) * dz AS f FROM h{k}))"
+    return out
+
+
+@query(("curve_points",), f"{_TARGETS}, {_NEAR}{_halved(34)}, fin AS (SELECT curve_id, target_id, qx, qy, qz, (lo + hi) / 2 AS t FROM b34), {_smoothed('ff', 'fin', 'target_id, qx, qy, qz')} SELECT curve_id, target_id, {q('t', 3)} AS t, {q('sqrt(pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2))', 3)} AS dist FROM ff")
+def k6_projected_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points beside the smoothed curves, projected back on them."""
+    p, dense = dense_curves(spark, d)
+    at = curves.sample_uniform(dense, p, SIGMA, 1.5).select("curve_id", F.col("seq").alias("target_id"), "s")
+    near = curves.evaluate(at, dense, p, SIGMA).select("curve_id", "target_id", (F.col("x") + 0.05).alias("qx"), (F.col("y") - 0.03).alias("qy"), (F.col("z") + 0.02).alias("qz"))
+    return curves.project_points(near, dense, p, SIGMA).select("curve_id", "target_id", r("t", 3).alias("t"), r("dist", 3).alias("dist"))
+
+
+def _fitted(samples: str, keys: str) -> str:
+    """CTEs over samples(keys, u, w, x, y, z) that end in `fit`: the coefficients of quadratics, nu and se, in closed form."""
+    m = [[f"m{a + b}" for b in range(3)] for a in range(3)]
+    cof = lambda a, b: f"({m[(a + 1) % 3][(b + 1) % 3]} * {m[(a + 2) % 3][(b + 2) % 3]} - {m[(a + 1) % 3][(b + 2) % 3]} * {m[(a + 2) % 3][(b + 1) % 3]})"
+    sums = ", ".join([*(f"sum(w * pow(u, {k})) AS m{k}, sum(w * w * pow(u, {k})) AS q{k}" for k in range(5)), *(f"sum(w * pow(u, {k}) * {c}) AS p{k}{c}" for k in range(3) for c in "xyz")])
+    det = " + ".join(f"{m[0][b]} * {cof(0, b)}" for b in range(3))
+    inv = ", ".join(f"{cof(b, a)} / ({det}) AS i{a}{b}" for a in range(3) for b in range(3))
+    coef = ", ".join(" + ".join(f"i{a}{k} * p{k}{c}" for k in range(3)) + f" AS b{a}{c}" for a in range(3) for c in "xyz")
+    trace = " + ".join(f"i{a}{b} * q{a + b}" for a in range(3) for b in range(3))
+    left = " + ".join(f"pow({c} - (b0{c} + b1{c} * u + b2{c} * u * u), 2)" for c in "xyz")
+    return f"""mo AS MATERIALIZED (SELECT {keys}, {sums} FROM {samples} GROUP BY {keys}), iv AS (SELECT *, {inv} FROM mo), co AS MATERIALIZED (SELECT {keys}, {coef}, greatest(m0 - ({trace}), 1.0) AS nu, i11 FROM iv),
+fit AS MATERIALIZED (SELECT *, sqrt(2.0) * sqrt(rss / (3 * nu) * i11) / sqrt(b1x*b1x + b1y*b1y + b1z*b1z) AS se FROM co JOIN (SELECT {keys}, sum(w * ({left})) AS rss FROM {samples} JOIN co USING ({keys}) GROUP BY {keys}) USING ({keys}))"""
+
+
+_FITS = f"{_DENSE}, fa AS (SELECT curve_id, 1 AS fit_id, 0.25 * len AS c0 FROM ln UNION ALL SELECT curve_id, 2, 0.0 FROM ln UNION ALL SELECT curve_id, 3, len FROM ln), fw AS MATERIALIZED (SELECT f.*, greatest(0.0, c0 - 6.0) AS s_min, least(len, c0 + 6.0) AS s_max FROM fa f JOIN ln USING (curve_id)), fs AS MATERIALIZED (SELECT curve_id, fit_id, c0, k, s_min + (s_max - s_min) * k / 30.0 AS s FROM (SELECT *, unnest(range(0, 31)) AS k FROM fw WHERE s_max - s_min >= 0.2)), {_s_to_t('ft', 'fs', 'fit_id c0 k s')}, {_smoothed('fk', 'ft', 'fit_id, c0, k, s')}, sm AS MATERIALIZED (SELECT curve_id, fit_id, (s - c0) / 2.0 AS u, exp(-pow((s - c0) / 2.0, 2) / 2) AS w, x, y, z FROM fk), {_fitted('sm', 'curve_id, fit_id')}"
+
+
+@query(("curve_points",), f"{_FITS} SELECT curve_id, fit_id, f.curve_id IS NULL AS degenerate, " + ", ".join(f"coalesce({q(f'b1{c} / sqrt(b1x*b1x + b1y*b1y + b1z*b1z)', 3)}, 'nan'::DOUBLE) AS t{c}" for c in "xyz") + f", coalesce({q('b2x', 3)}, 'nan'::DOUBLE) AS b2x, coalesce({q('nu', 3)}, 'nan'::DOUBLE) AS nu, coalesce({q('se', 3)}, 'nan'::DOUBLE) AS se FROM fw LEFT JOIN fit f USING (curve_id, fit_id)".replace("f.curve_id IS NULL", "f.nu IS NULL"))
+def q1_tangent_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Three fits a curve: at a quarter of its length and at both ends."""
+    p, dense = dense_curves(spark, d)
+    ends = dense.groupBy("curve_id").agg(F.max("s").alias("l")).select("curve_id", F.posexplode(F.array(0.25 * F.col("l"), F.lit(0.0), F.col("l"))).alias("k", "s0"))
+    out = measure.tangent_fit(ends.select("curve_id", (F.col("k") + 1).alias("fit_id"), "s0"), dense, p, SIGMA, 2.0)
+    return out.select("curve_id", "fit_id", "degenerate", *(r(c, 3).alias(c) for c in ("tx", "ty", "tz", "b2x", "nu", "se")))
 
 
 @query(("curve_points",), f"{_ARC}, {_UNIFORM} {_LOOK.format(x=q('CASE WHEN t1 > t0 THEN x0 + (t - t0) / (t1 - t0) * (x1 - x0) ELSE x0 END', 3) + ' AS x', y=q('CASE WHEN t1 > t0 THEN y0 + (t - t0) / (t1 - t0) * (y1 - y0) ELSE y0 END', 3) + ' AS y', z=q('CASE WHEN t1 > t0 THEN z0 + (t - t0) / (t1 - t0) * (z1 - z0) ELSE z0 END', 3) + ' AS z')}")
 def k3_lookup(spark: SparkSession, d: str) -> DataFrame:
     profile, at = queries_at(spark, d)
-    at = components.cut(at)
-    return at.join(curves.lookup(at, profile, "t", ["x", "y", "z"]), ["curve_id", "t"]).select("curve_id", "seq", *(r(c, 3).alias(c) for c in "xyz"))
+    return curves.lookup(at, profile, "t", ["x", "y", "z"]).select("curve_id", "seq", *(r(c, 3).alias(c) for c in "xyz"))
 
 
-@query(("curve_points",), f"{_ARC}, tg AS (SELECT curve_id, seq AS target_id, x + 1.0 AS qx, y AS qy, z + 0.2 AS qz FROM curve_points WHERE seq % 7 = 1) SELECT curve_id, target_id, seq, {q('dist2')} AS dist2 FROM (SELECT g.curve_id, target_id, seq, pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2) AS dist2 FROM tg g JOIN arc a ON a.curve_id = g.curve_id) QUALIFY row_number() OVER (PARTITION BY curve_id, target_id ORDER BY dist2, seq) = 1")
+@query(("curve_points",), f"{_ARC}, tg AS (SELECT curve_id, seq AS target_id, x + 1.0 AS qx, y AS qy, z + 0.2 AS qz FROM curve_points) SELECT curve_id, target_id, seq, {q('dist2')} AS dist2 FROM (SELECT g.curve_id, target_id, seq, pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2) AS dist2 FROM tg g JOIN arc a ON a.curve_id = g.curve_id) QUALIFY row_number() OVER (PARTITION BY curve_id, target_id ORDER BY dist2, seq) = 1")
 def j8_nearest_points(spark: SparkSession, d: str) -> DataFrame:
     profile = curves.arc_length(points(spark, d))
-    targets = points(spark, d).where("seq % 7 = 1").select("curve_id", F.col("seq").alias("target_id"), (F.col("x") + 1.0).alias("qx"), F.col("y").alias("qy"), (F.col("z") + 0.2).alias("qz"))
+    targets = points(spark, d).select("curve_id", F.col("seq").alias("target_id"), (F.col("x") + 1.0).alias("qx"), F.col("y").alias("qy"), (F.col("z") + 0.2).alias("qz"))
     return curves.nearest_points(targets, profile.withColumn("s", F.col("t"))).select("curve_id", "target_id", "seq", r("dist2").alias("dist2"))
 
 
@@ -597,10 +795,43 @@ def a11_roll_up(spark: SparkSession, d: str) -> DataFrame:
     return out.select("plant_id", "orientation", "n_fruits", F.array_join("arcs", ",").alias("arcs"), F.array_join("internodes", ",").alias("internodes"), r(F.aggregate("div_angles", F.lit(0.0), lambda a, x: a + x), 2).alias("turned"))
 
 
-@query(("fruits",), f"{_TURN} SELECT plant_id AS key_plant, fruit_id AS key_fruit, CASE WHEN fruit_id = 1 THEN plant_id END AS plant_id, CASE WHEN fruit_id = 1 THEN orientation END AS chirality, arc, internode, {q('div_angle')} AS div_angle FROM dv")
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    """Fruits with all columns of a measurement, those without a source derived from the node."""
+    f = measure.internodes(measure.divergence(fruits(spark, d)))
+    n = F.col("node_id")
+    return f.withColumns({"length": n % 97 / 4.0, "polar": n % 31 / 10.0, "se_polar": n % 7 / 8.0, "se_azimuth": n % 5 / 4.0, "cov": n % 3 - 1.0, "flagged": n % 11 == 0, "azimuth": r("azimuth", 3), "div_angle": r("div_angle", 3)})
+
+
+_MEASURED = f"{_TURN}, me AS (SELECT plant_id, fruit_id, orientation, node_id % 97 / 4.0 AS length, node_id % 31 / 10.0 AS polar, node_id % 7 / 8.0 AS se_polar, {q('azimuth', 3)} AS azimuth, node_id % 5 / 4.0 AS se_azimuth, node_id % 3 - 1.0::DOUBLE AS cov, node_id % 11 = 0 AS flagged, internode, {q('div_angle', 3)} AS div_angle FROM dv)"
+_CSV = ", ".join(f"{f'CASE WHEN fruit_id = 1 THEN {c} END' if c in ('plant_id', 'orientation') else f'CASE WHEN fruit_id > 1 THEN {c} END' if c in ('internode', 'div_angle') else c} AS \"{name}\"" for name, c in results.CSV.items())
+
+
+@query(("fruits",), f"{_MEASURED} SELECT plant_id AS key_plant, fruit_id AS key_fruit, {_CSV} FROM me")
 def s11_export_rows(spark: SparkSession, d: str) -> DataFrame:
-    out = results.export_rows(measure.internodes(measure.divergence(fruits(spark, d))))
-    return out.withColumn("div_angle", r("div_angle"))
+    return results.export_rows(measured(spark, d))
+
+
+@query(("fruits",), f"{_MEASURED} SELECT plant_id, orientation, string_agg(length::VARCHAR, ',' ORDER BY fruit_id) AS lengths, string_agg(flagged::VARCHAR, ',' ORDER BY fruit_id) AS flags, coalesce(string_agg(internode::VARCHAR, ',' ORDER BY fruit_id) FILTER (fruit_id > 1), '') AS internodes FROM me GROUP BY 1, 2")
+def s12_json_export(spark: SparkSession, d: str) -> DataFrame:
+    """What the JSON text of each plant says."""
+    text = results.json_rows(measured(spark, d))
+    read = F.from_json("measurement", "orientation string, lengths array<string>, flagged array<string>, internodes array<string>")
+    return text.select("plant_id", read.alias("m")).select("plant_id", "m.orientation", F.array_join("m.lengths", ",").alias("lengths"), F.array_join("m.flagged", ",").alias("flags"), F.array_join("m.internodes", ",").alias("internodes"))
+
+
+@query(("images",), "SELECT plant_id, frame_idx, concat_ws(' ', frame_idx::VARCHAR || '_rgb.jpg', x::VARCHAR, y::VARCHAR, z::VARCHAR) AS value FROM images")
+def s9_pose_lines(spark: SparkSession, d: str) -> DataFrame:
+    return results.pose_lines(load(spark, d, "images").withColumn("img_name", F.concat("frame_idx", F.lit("_rgb.jpg"))))
+
+
+@query((), "SELECT o_orderkey AS plant_id, o_custkey AS value, 'saved' AS found FROM orders")
+def s10_loaded_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results saved and loaded; a place where nothing has been saved gives none."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("plant_id"), F.col("o_custkey").alias("value"))
+    folder = components.new_folder(spark, "results")
+    none = results.load_results(spark, f"{folder}/none", rows.schema)
+    results.save_results(rows, none, f"{folder}/saved")
+    return results.load_results(spark, f"{folder}/saved", rows.schema).withColumn("found", F.lit("saved")).unionByName(none.withColumn("found", F.lit("none")))
 
 
 @query(("fruits",), f"{_TURN} SELECT plant_id, fruit_id, step, {q('azimuth + step / 4.0 * (CASE WHEN orientation = chr(99) || chr(119) THEN -((azimuth - nxt) - floor((azimuth - nxt) / ' + _TWO_PI + ') * ' + _TWO_PI + ') ELSE (nxt - azimuth) - floor((nxt - azimuth) / ' + _TWO_PI + ') * ' + _TWO_PI + ' END)')} AS angle FROM (SELECT *, lead(azimuth) OVER (PARTITION BY plant_id ORDER BY fruit_id) AS nxt FROM dv), (SELECT unnest(range(0, 5)) AS step) WHERE nxt IS NOT NULL")
@@ -608,45 +839,66 @@ def q11_divergence_arcs(spark: SparkSession, d: str) -> DataFrame:
     return measure.arc_samples(measure.divergence(fruits(spark, d)), 4).select("plant_id", "fruit_id", "step", r("angle").alias("angle"))
 
 
-_DIRS = "WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS sx, embedding[2]::DOUBLE AS sy, embedding[3]::DOUBLE AS sz, embedding[4]::DOUBLE AS bx, embedding[5]::DOUBLE AS by_, embedding[6]::DOUBLE AS bz FROM embeddings), n AS (SELECT vec_id, sx / s AS sx, sy / s AS sy, sz / s AS sz, bx / b AS bx, by_ / b AS by_, bz / b AS bz FROM (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS s, sqrt(bx*bx+by_*by_+bz*bz) AS b FROM e) WHERE s > 0 AND b > 0), g AS (SELECT *, sx*bx+sy*by_+sz*bz AS c FROM n), a AS (SELECT *, bx - sx * c AS px, bz * -sy + by_ * sz AS py FROM g)"
+# Some branches run along the stem, some stems along the reference, either way.
+_DIRS = """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS sx, embedding[2]::DOUBLE AS sy, embedding[3]::DOUBLE AS sz, embedding[4]::DOUBLE AS bx, embedding[5]::DOUBLE AS by_, embedding[6]::DOUBLE AS bz FROM embeddings),
+e2 AS (SELECT vec_id, CASE vec_id % 10 WHEN 1 THEN 1.0 WHEN 2 THEN -1.0 ELSE sx END AS sx, CASE WHEN vec_id % 10 IN (1, 2) THEN 0.0 ELSE sy END AS sy, CASE WHEN vec_id % 10 IN (1, 2) THEN 0.0 ELSE sz END AS sz, CASE WHEN vec_id % 10 = 0 THEN sx ELSE bx END AS bx, CASE WHEN vec_id % 10 = 0 THEN sy ELSE by_ END AS by_, CASE WHEN vec_id % 10 = 0 THEN sz ELSE bz END AS bz FROM e),
+n AS (SELECT vec_id, sx / s AS sx, sy / s AS sy, sz / s AS sz, bx / b AS bx, by_ / b AS by_, bz / b AS bz FROM (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS s, sqrt(bx*bx+by_*by_+bz*bz) AS b FROM e2) WHERE s > 0 AND b > 0), g AS (SELECT *, greatest(-1.0, least(1.0, sx*bx+sy*by_+sz*bz)) AS c FROM n),
+a AS (SELECT *, bx - sx * c AS px, bz * -sy + by_ * sz AS py, sqrt(pow(bx - c*sx, 2) + pow(by_ - c*sy, 2) + pow(bz - c*sz, 2)) < 1.4901161193847656e-8 OR abs(sx) > 1 - 1.4901161193847656e-8 AS flat FROM g),
+"""
+_ANGLES = f"{_DIRS} v AS (SELECT *, acos(c) AS theta, CASE WHEN flat THEN 'nan'::DOUBLE ELSE atan2(py, px) - floor(atan2(py, px) / {_TWO_PI}) * {_TWO_PI} END AS phi FROM a)"
 
 
 def directions(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings")
     at = lambda k: F.get("embedding", F.lit(k)).cast("double")
     out = e.select("vec_id", *(at(k).alias(n) for k, n in enumerate(("sx", "sy", "sz", "bx", "by", "bz"))))
+    kind = F.col("vec_id") % 10
+    out = out.withColumns({f"b{c}": F.when(kind == 0, F.col(f"s{c}")).otherwise(F.col(f"b{c}")) for c in "xyz"})
+    out = out.withColumns({"sx": F.when(kind == 1, 1.0).when(kind == 2, -1.0).otherwise(F.col("sx")), **{f"s{c}": F.when(kind.isin(1, 2), 0.0).otherwise(F.col(f"s{c}")) for c in "yz"}})
     for p in "sb":
         n = F.sqrt(sum(F.col(f"{p}{c}") * F.col(f"{p}{c}") for c in "xyz"))
         out = out.withColumn("_n", n).where("_n > 0").withColumns({f"{p}{c}": F.col(f"{p}{c}") / F.col("_n") for c in "xyz"}).drop("_n")
     return out.withColumns({"rx": F.lit(1.0), "ry": F.lit(0.0), "rz": F.lit(0.0)})
 
 
-@query((), f"{_DIRS} SELECT vec_id, {q('acos(greatest(-1.0, least(1.0, c)))')} AS theta, {q(f'atan2(py, px) - floor(atan2(py, px) / {_TWO_PI}) * {_TWO_PI}')} AS phi FROM a WHERE abs(c) < 0.999 AND abs(sx) < 0.999")
+@query((), f"{_ANGLES} SELECT vec_id, {q('theta')} AS theta, {q('phi')} AS phi FROM v")
 def q4_polar_azimuth(spark: SparkSession, d: str) -> DataFrame:
-    out = measure.polar_azimuth(directions(spark, d)).where((F.abs(F.col("sx") * F.col("bx") + F.col("sy") * F.col("by") + F.col("sz") * F.col("bz")) < 0.999) & (F.abs("sx") < 0.999))
-    return out.select("vec_id", r("theta").alias("theta"), r("phi").alias("phi"))
+    return measure.polar_azimuth(directions(spark, d)).select("vec_id", r("theta").alias("theta"), r("phi").alias("phi"))
 
 
-@query((), f"{_DIRS} SELECT vec_id, {q('degrees(sqrt(0.0004 / 2 + 0.0009 / 2))')} AS se_polar FROM a WHERE abs(c) < 0.999 AND abs(sx) < 0.999")
+# The gradient of the azimuth in the stem direction, from vectors: g = (X * (r x b) + Y * (c * r + (s . r) * b)) / (X^2 + Y^2), across s.
+_ERRORS = f"""{_ANGLES}, gr AS (SELECT *, (py * (c + sx * bx)) / (px*px + py*py) AS gx, (px * -bz + py * sx * by_) / (px*px + py*py) AS gy, (px * by_ + py * sx * bz) / (px*px + py*py) AS gz FROM v),
+tg AS (SELECT *, gx - k * sx AS hx, gy - k * sy AS hy, gz - k * sz AS hz FROM (SELECT *, gx*sx + gy*sy + gz*sz AS k FROM gr)),
+er AS (SELECT *, sqrt((0.0004 + 0.0009) / 2) AS e_t, sqrt(0.0002 * (hx*hx + hy*hy + hz*hz) + 0.00045 / (1 - c*c)) AS e_p, -0.0002 * (hx * (bx - c*sx) + hy * (by_ - c*sy) + hz * (bz - c*sz)) / sqrt(1 - c*c) AS e_c FROM tg WHERE NOT flat)"""
+
+
+@query((), f"{_ERRORS} SELECT v.vec_id, v.vec_id % 17 = 3 OR v.flat AS flagged, CASE WHEN v.vec_id % 17 = 3 THEN 'nan'::DOUBLE ELSE {q('v.theta')} END AS theta, CASE WHEN v.vec_id % 17 = 3 THEN 'nan'::DOUBLE WHEN v.flat THEN {q('degrees(0.02)')} ELSE {q('degrees(e_t)')} END AS se_polar, CASE WHEN v.vec_id % 17 = 3 OR v.flat THEN 'nan'::DOUBLE ELSE {q('degrees(e_p)', 3)} END AS se_azimuth, CASE WHEN v.vec_id % 17 = 3 OR v.flat THEN 'nan'::DOUBLE ELSE {q('degrees(degrees(e_c))', 3)} END AS cov FROM v LEFT JOIN er USING (vec_id)")
 def q5_angle_errors(spark: SparkSession, d: str) -> DataFrame:
-    """The polar error of unit directions does not depend on the angle: the root of half of both variances."""
-    rows = directions(spark, d).withColumns({"se_s": F.lit(0.02), "se_b": F.lit(0.03)})
-    rows = rows.where((F.abs(F.col("sx") * F.col("bx") + F.col("sy") * F.col("by") + F.col("sz") * F.col("bz")) < 0.999) & (F.abs("sx") < 0.999))
-    return measure.angle_errors(rows).select("vec_id", r("se_polar").alias("se_polar"))
+    """Angles with their errors and covariance; some fits are degenerate, some directions have no azimuth."""
+    rows = directions(spark, d).withColumns({"se_s": F.lit(0.02), "se_b": F.lit(0.03), "degenerate": F.col("vec_id") % 17 == 3})
+    out = measure.emergence_angles(rows)
+    return out.select("vec_id", "flagged", r("theta").alias("theta"), r("se_polar").alias("se_polar"), r("se_azimuth", 3).alias("se_azimuth"), r("cov", 3).alias("cov"))
+
+
+@query((), f"{_ANGLES} SELECT vec_id AS fruit_id, step, " + ", ".join(q(f"vec_id + 2.0 * (sin((1 - step / 7.0) * theta) * s{c} + sin(step / 7.0 * theta) * b{'y_' if c == 'y' else c}) / sin(theta)", 3) + f" AS {c}" for c in "xyz") + " FROM v, (SELECT unnest(range(0, 8)) AS step) WHERE theta > 1e-3")
+def q11_polar_arcs(spark: SparkSession, d: str) -> DataFrame:
+    """The arc from each stem direction to its branch direction, about a junction."""
+    rows = measure.polar_azimuth(directions(spark, d)).select(F.lit(0).alias("plant_id"), F.col("vec_id").alias("fruit_id"), "theta", *(f"{p}{c}" for p in "sb" for c in "xyz"), *(F.col("vec_id").cast("double").alias(f"p{c}") for c in "xyz"))
+    return measure.polar_arcs(rows, 4.0, 8).select("fruit_id", "step", *(r(c, 3).alias(c) for c in "xyz"))
+
+
+_WHOLE = "WITH sm AS MATERIALIZED (SELECT curve_id, (seq % 31) / 10.0 - 1.5 AS u, exp(-pow((seq % 31) / 10.0 - 1.5, 2) / 2) AS w, x, y, z FROM curve_points WHERE curve_id IN (SELECT curve_id FROM curve_points GROUP BY 1 HAVING count(DISTINCT seq % 31) >= 5))"
 
 
-@query(("curve_points",), f"""WITH sm AS (SELECT curve_id, (seq % 31) / 10.0 - 1.5 AS u, exp(-pow((seq % 31) / 10.0 - 1.5, 2) / 2) AS w, x, y, z FROM curve_points WHERE seq <= 31),
- fit AS (SELECT curve_id, count(*) AS n, sum(w) AS w0 FROM sm GROUP BY 1 HAVING count(*) >= 8) SELECT curve_id, 0.0::DOUBLE AS gradient FROM fit""")
+@query(("curve_points",), f"{_WHOLE}, {_fitted('sm', 'curve_id')} SELECT curve_id, " + ", ".join(f"{q(f'b{k}{c}', 3)} AS b{k}{c}" for k in range(3) for c in "xyz") + f", {q('nu', 3)} AS nu, {q('se', 3)} AS se FROM fit")
 def a9_quadratic_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted quadratic fits: the largest of the nine sums of weighted residual times power, 0 at the optimum."""
+    """Weighted quadratic fits through all points of each curve that has five places or more: coefficients, degrees of freedom and error."""
+    own = points(spark, d)
+    many = own.groupBy("curve_id").agg(F.countDistinct(F.col("seq") % 31).alias("n")).where("n >= 5")
     u = (F.col("seq") % 31) / 10.0 - 1.5
-    sm = points(spark, d).where("seq <= 31").select("curve_id", u.alias("u"), F.exp(-u * u / 2).alias("w"), "x", "y", "z")
-    many = sm.groupBy("curve_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
-    sm = sm.join(many, "curve_id", "left_semi")
-    both = sm.join(measure.quadratic_fit(sm, ["curve_id"]), "curve_id")
-    left = {c: F.col(c) - (F.col(f"b0{c}") + F.col(f"b1{c}") * F.col("u") + F.col(f"b2{c}") * F.col("u") * F.col("u")) for c in "xyz"}
-    sums = [F.abs(F.sum(F.col("w") * F.pow("u", F.lit(k)) * left[c])) for c in "xyz" for k in range(3)]
-    return both.groupBy("curve_id").agg(r(F.greatest(*sums), 6).alias("gradient"))
+    sm = components.cut(own.join(many, "curve_id", "left_semi").select("curve_id", u.alias("u"), F.exp(-u * u / 2).alias("w"), "x", "y", "z"))
+    out = measure.quadratic_fit(sm, ["curve_id"])
+    return out.select("curve_id", *(r(f"b{k}{c}", 3).alias(f"b{k}{c}") for k in range(3) for c in "xyz"), r("nu", 3).alias("nu"), r("se", 3).alias("se"))
 
 
 @query(("fruits",), f"{_RANK}, er AS (SELECT plant_id, abs(degrees(0.01 * fruit_id) - 360.0 * round_even(degrees(0.01 * fruit_id) / 360.0, 0)) AS e FROM fr) SELECT plant_id, {q('avg(e)')} AS mean_error, {q('max(e)')} AS max_error FROM er GROUP BY plant_id")
@@ -686,6 +938,164 @@ def q3_fit_position(spark: SparkSession, d: str) -> DataFrame:
     return measure.fit_position(lengths, 2.0, 1.5, 2.0).select("curve_id", r("s0").alias("s0"))
 
 
+# --- whole plants: canes with five side shoots of known place
+
+SHOOTS = skeleton.Params(h=3.0)
+MID = SIDE // 2
+_TIPS = "tp AS (SELECT plant_id, fruit, i, j, k FROM twig_voxels WHERE is_tip)"
+
+
+def canes(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "canes")
+
+
+def grown(spark: SparkSession, d: str) -> skeleton.Skeleton:
+    return skeleton.skeleton(canes(spark, d), DIMS, SHOOTS)
+
+
+def at_voxel(rows: DataFrame, sk: skeleton.Skeleton) -> DataFrame:
+    """rows(plant_id, node_id, ...) with the voxel i, j, k of the node."""
+    return rows.join(sk.nodes.select("plant_id", "node_id", "i", "j", "k"), ["plant_id", "node_id"])
+
+
+def voxel_node(rows: DataFrame, sk: skeleton.Skeleton) -> DataFrame:
+    """rows(plant_id, i, j, k) as plant_id, node_id."""
+    return rows.select("plant_id", *(F.col(a).cast("long").alias(a) for a in "ijk")).join(sk.nodes, ["plant_id", "i", "j", "k"]).select("plant_id", "node_id")
+
+
+def shown_tips(sk: skeleton.Skeleton) -> DataFrame:
+    return at_voxel(sk.tips, sk).select("plant_id", "i", "j", "k")
+
+
+@query(("canes", "twig_voxels"), f"""WITH {_TIPS} SELECT plant_id, 'tip' AS part, i, j, k, true AS right_place FROM tp UNION ALL SELECT plant_id, 'root', {MID}, {MID}, 0, true FROM plants UNION ALL SELECT plant_id, 'top', {MID}, {MID}, {SIDE - 1}, true FROM plants
+  UNION ALL SELECT plant_id, 'stem', {MID}, {MID}, k, true FROM plants, levels UNION ALL SELECT plant_id, 'branch', i, j, k, true FROM tp""")
+def g17_skeletons(spark: SparkSession, d: str) -> DataFrame:
+    """Root, top, tips, stem nodes, and for each branch its last node and whether it begins on the stem and ends at its tip."""
+    sk = grown(spark, d)
+    one = lambda rows, part: at_voxel(rows, sk).select("plant_id", F.lit(part).alias("part"), "i", "j", "k", F.lit(True).alias("right_place"))
+    ends = sk.branches.groupBy("plant_id", "tip").agg(F.min_by("node_id", "seq").alias("first"), F.max_by("node_id", "seq").alias("node_id"))
+    stem = sk.stem.select("plant_id", F.col("node_id").alias("first"), F.lit(True).alias("on_stem"))
+    ends = at_voxel(ends.join(stem, ["plant_id", "first"], "left"), sk)
+    branches = ends.select("plant_id", F.lit("branch").alias("part"), "i", "j", "k", (F.coalesce("on_stem", F.lit(False)) & (F.col("node_id") == F.col("tip"))).alias("right_place"))
+    return one(sk.tips, "tip").union(one(sk.root, "root")).union(one(sk.top, "top")).union(one(sk.stem, "stem")).union(branches)
+
+
+@query(("canes", "twig_voxels"), f"WITH {_TIPS} SELECT t.plant_id, t.fruit, {MID} AS i, {MID} AS j, CASE WHEN t.fruit % 2 = 0 THEN 1 ELSE 2 END AS k, CASE WHEN t.fruit % 2 = 0 THEN true END AS passes, true AS ends FROM tp t WHERE t.fruit < 3")
+def g13_waypoint_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Branches tied to a stem node, every second one also to two waypoints below: where they begin, and whether they pass and end right."""
+    sk, tips = grown(spark, d), load(spark, d, "twig_voxels").where("is_tip and fruit < 3")
+    spot = lambda k: voxel_node(load(spark, d, "plants").select("plant_id", F.lit(MID).alias("i"), F.lit(MID).alias("j"), F.lit(k).alias("k")), sk)
+    ends = tips.select("plant_id", "fruit", *(F.col(a).cast("long").alias(a) for a in "ijk")).join(sk.nodes, ["plant_id", "i", "j", "k"]).select("plant_id", "fruit", "node_id")
+    for k, name in ((1, "n1"), (2, "n2"), (3, "n3")):
+        ends = ends.join(spot(k).withColumnRenamed("node_id", name), "plant_id")
+    even = F.col("fruit") % 2 == 0
+    tied = components.cut(ends.select("plant_id", "fruit", "node_id", F.when(even, F.col("n1")).otherwise(F.col("n2")).alias("stem_target"), F.when(even, F.array("n3", "n2")).alias("waypoints")))
+    moved = skeleton.change_tips(sk, tied)
+    way = moved.branches.groupBy("plant_id", "tip").agg(F.min_by("node_id", "seq").alias("first"), F.max_by("node_id", "seq").alias("last"), F.array_sort(F.collect_list(F.struct("seq", "node_id")))["node_id"].alias("path"))
+    met = way.join(tied.withColumnRenamed("node_id", "tip"), ["plant_id", "tip"])
+    first, last = F.array_position("path", F.get("waypoints", F.lit(0))), F.size("path") + 1 - F.array_position(F.reverse("path"), F.get("waypoints", F.lit(1)))
+    out = met.select("plant_id", "fruit", F.col("first").alias("node_id"), F.when(F.col("waypoints").isNotNull(), (first > 0) & (last > first)).alias("passes"), (F.col("last") == F.col("tip")).alias("ends"))
+    return at_voxel(out, moved).select("plant_id", "fruit", "i", "j", "k", "passes", "ends")
+
+
+@query(("canes", "twig_voxels"), f"""WITH {_TIPS} SELECT plant_id, 'root' AS moved, 'tip' AS part, i, j, k FROM tp UNION ALL SELECT plant_id, 'root', 'stem', {MID}, {MID}, k FROM plants, levels WHERE k >= 2 UNION ALL SELECT plant_id, 'root', 'tip', {MID}, {MID}, 0 FROM plants WHERE false
+  UNION ALL SELECT plant_id, 'top', 'stem', {MID}, {MID}, k FROM plants, levels WHERE k <= 20 UNION ALL SELECT plant_id, 'top', 'tip', i, j, k FROM tp""")
+def g21_moved_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Stem and tips after the root has moved up two voxels, and after the top has moved down three."""
+    sk, out = grown(spark, d), None
+    spot = lambda k: voxel_node(load(spark, d, "plants").select("plant_id", F.lit(MID).alias("i"), F.lit(MID).alias("j"), F.lit(k).alias("k")), sk)
+    for name, new in (("root", skeleton.move_root(sk, spot(2), DIMS, SHOOTS)), ("top", skeleton.move_top(sk, spot(20), SHOOTS))):
+        for part, rows in (("stem", new.stem), ("tip", new.tips)):
+            one = at_voxel(rows, new).select("plant_id", F.lit(name).alias("moved"), F.lit(part).alias("part"), "i", "j", "k")
+            out = one if out is None else out.union(one)
+    return out
+
+
+@query(("canes", "twig_voxels"), f"""WITH {_TIPS}, shorter AS (SELECT plant_id, fruit, i, j, k FROM twig_voxels v WHERE r = (SELECT max(r) - 1 FROM twig_voxels w WHERE w.plant_id = v.plant_id AND w.fruit = v.fruit))
+  SELECT plant_id, 'conductance' AS changed, i, j, k FROM tp UNION ALL SELECT plant_id, 'back', i, j, k FROM tp UNION ALL SELECT plant_id, 'threshold', i, j, k FROM shorter""")
+def g23_changed_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Tips after a huge prominence (none is left), after the first one again, after other conductance, and after a threshold that takes the last voxel of each shoot."""
+    sk, out = grown(spark, d), None
+    few = load(spark, d, "twig_voxels").where("is_tip").select("plant_id", *(F.col(a).cast("long").alias(a) for a in "ijk"))
+    huge = skeleton.change_prominence(sk, 500.0, DIMS, SHOOTS)
+    changed = {
+        "huge": huge, "back": skeleton.change_prominence(huge, SHOOTS.h, DIMS, SHOOTS), "conductance": skeleton.change_conductance(sk, replace(SHOOTS, beta=3.0, nu_min=0.05)),
+        "threshold": skeleton.change_threshold(sk, canes(spark, d).join(few, ["plant_id", "i", "j", "k"], "left_anti"), DIMS, SHOOTS),
+    }
+    for name, new in changed.items():
+        one = shown_tips(new).select("plant_id", F.lit(name).alias("changed"), "i", "j", "k")
+        out = one if out is None else out.union(one)
+    return out
+
+
+_TRUTH = "tr AS (SELECT plant_id, fruit, row_number() OVER (PARTITION BY plant_id ORDER BY height) AS fruit_id, CASE WHEN side = 1 THEN 'ccw' ELSE 'cw' END AS orientation FROM twigs)"
+
+
+def known(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Measured fruits beside what is known of their shoots, in the tolerances of voxel plants."""
+    twigs, ways = load(spark, d, "twigs"), load(spark, d, "ways")
+    truth = twigs.join(ways, "way").withColumn("fruit_id", F.row_number().over(Window.partitionBy("plant_id").orderBy("height")))
+    met = rows.join(truth.select("plant_id", "fruit_id", "dx", "dy", "len"), ["plant_id", "fruit_id"], "left")
+    true_azimuth = F.degrees(F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")))
+    true_length = F.col("len") * F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.lit(1 / 9))
+    return met.select(
+        "plant_id", F.col("fruit_id").cast("long").alias("fruit_id"), "orientation", "flagged", (F.abs(F.coalesce("internode", F.lit(4.0)) - 4) <= 1).alias("internode_right"),
+        (angdist_deg(F.degrees("azimuth"), true_azimuth) < 10).alias("azimuth_right"), (angdist_deg(F.coalesce("div_angle", F.lit(135.0)), F.lit(135.0)) < 20).alias("divergence_right"),
+        (F.abs(F.col("length") - true_length) <= 2).alias("length_right"), F.degrees("polar").between(60, 90).alias("polar_right"), (F.col("se_azimuth") >= 0).alias("has_error"),
+    )
+
+
+_RIGHT = "SELECT plant_id, fruit_id, orientation, false AS flagged, true AS internode_right, true AS azimuth_right, true AS divergence_right, true AS length_right, true AS polar_right, true AS has_error FROM tr"
+THIN = measurement.CurveParams(sigma_stem=3.0, sigma_branch=1.0)
+
+
+@query(("twigs",), f"WITH {_TRUTH} {_RIGHT}")
+def q9_measurements(spark: SparkSession, d: str) -> DataFrame:
+    """From occupied voxels to fruits: internodes within a voxel, azimuths within 10 degrees of the shoots' own."""
+    c = measurement.smoothed(grown(spark, d), load(spark, d, "grids"), THIN)
+    return known(measurement.measured(c, 1.0, THIN), spark, d)
+
+
+@query(("twigs",), f"WITH {_TRUTH} SELECT plant_id, fruit_id, 25 AS points, true AS near_axis, true AS fitted, true AS unit FROM tr")
+def q10_fit_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Behind each fruit's angles: the junction on the stem's axis, unit tangents, and a curve and its quadratic that stay together."""
+    c = measurement.smoothed(grown(spark, d), load(spark, d, "grids"), THIN)
+    rows, window = measurement.fit_geometry(c, 1.0, THIN)
+    apart = window.groupBy("plant_id", "tip").agg(F.count(F.lit(1)).alias("points"), F.max(F.sqrt(sum((F.col(k) - F.col(f"q{k}")) * (F.col(k) - F.col(f"q{k}")) for k in "xyz"))).alias("apart"))
+    met = rows.join(apart, ["plant_id", "tip"]).join(load(spark, d, "grids").select("plant_id", "ox", "oy"), "plant_id")
+    axis = F.sqrt(F.pow(F.col("px") - F.col("ox") - MID - 0.5, 2) + F.pow(F.col("py") - F.col("oy") - MID - 0.5, 2))
+    size = lambda p: F.sqrt(sum(F.col(f"{p}{k}") * F.col(f"{p}{k}") for k in "xyz"))
+    ranked = met.withColumn("fruit_id", F.row_number().over(Window.partitionBy("plant_id").orderBy("pz")).cast("long"))
+    return ranked.select("plant_id", "fruit_id", F.col("points").cast("int").alias("points"), (axis < 0.5).alias("near_axis"), (F.col("apart") < 0.5).alias("fitted"), ((F.abs(size("s") - 1) < 1e-9) & (F.abs(size("b") - 1) < 1e-9)).alias("unit"))
+
+
+@query(("twigs",), f"WITH {_TRUTH} SELECT s.changed, r.* FROM ({_RIGHT}) r, (VALUES ('branches'), ('stems')) s(changed)")
+def k9_resmoothed(spark: SparkSession, d: str) -> DataFrame:
+    """The measurement after other smoothing of the branches, and of the stems."""
+    sk, grids = grown(spark, d), load(spark, d, "grids")
+    first, out = measurement.smoothed(sk, grids, measurement.CurveParams(sigma_stem=3.0, sigma_branch=1.5)), None
+    before = measurement.CurveParams(sigma_stem=3.0, sigma_branch=1.5)
+    for name, after in (("branches", THIN), ("stems", replace(THIN, sigma_stem=4.0))):
+        c = measurement.resmoothed(sk, grids, first, before, after)
+        one = known(measurement.measured(c, 1.0, after), spark, d).withColumn("changed", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(("twigs",), "SELECT plant_id, 5 AS fruits, 0 AS changed, true AS same_ends FROM (SELECT DISTINCT plant_id FROM twigs)")
+def q12_reopened(spark: SparkSession, d: str) -> DataFrame:
+    """Skeletons rebuilt from saved root, top and tips measure the same; rows of the other kind of run are not used."""
+    sk, grids = grown(spark, d), load(spark, d, "grids")
+    saved = components.cut(skeleton.saved_state(sk).withColumn("complete", F.col("plant_id") % 2 == 0))
+    again = skeleton.reopened(canes(spark, d), DIMS, saved, True, SHOOTS)
+    values = ["plant_id", "fruit_id", *(r(c, 6).alias(c) for c in ("length", "polar", "azimuth", "internode"))]
+    rows = [components.cut(measurement.measured(measurement.smoothed(x, grids, THIN), 1.0, THIN).select(*values)) for x in (sk, again)]
+    lost = rows[0].exceptAll(rows[1]).unionByName(rows[1].exceptAll(rows[0])).groupBy("plant_id").agg(F.count(F.lit(1)).alias("changed"))
+    ends = [x.root.select("plant_id", F.col("node_id").alias(f"r{k}")).join(x.top.select("plant_id", F.col("node_id").alias(f"t{k}")), "plant_id") for k, x in enumerate((sk, again))]
+    met = rows[1].groupBy("plant_id").agg(F.count(F.lit(1)).cast("int").alias("fruits")).join(lost, "plant_id", "left").join(ends[0], "plant_id").join(ends[1], "plant_id")
+    return met.select("plant_id", "fruits", F.coalesce("changed", F.lit(0)).cast("int").alias("changed"), ((F.col("r0") == F.col("r1")) & (F.col("t0") == F.col("t1"))).alias("same_ends"))
+
+
 # --- results, updates, work lists
 
 
@@ -737,11 +1147,24 @@ def t3_next_plant(spark: SparkSession, d: str) -> DataFrame:
     return results.next_plant(*scans_done(spark, d))
 
 
-@query((), "SELECT c_nationkey AS grp, c_custkey AS plant_id, coalesce(lag(c_custkey) OVER w, max(c_custkey) OVER (PARTITION BY c_nationkey)) AS previous, coalesce(lead(c_custkey) OVER w, min(c_custkey) OVER (PARTITION BY c_nationkey)) AS next FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)")
+@query((), "SELECT c_custkey AS plant_id, coalesce(lag(c_custkey) OVER w, max(c_custkey) OVER ()) AS previous, coalesce(lead(c_custkey) OVER w, min(c_custkey) OVER ()) AS next FROM customer WINDOW w AS (ORDER BY c_custkey)")
 def t4_around(spark: SparkSession, d: str) -> DataFrame:
     return results.around(scans_done(spark, d)[0])
 
 
+@query(("images",), "SELECT plant_id, frame_idx, row_number() OVER (PARTITION BY plant_id ORDER BY name) AS place FROM (SELECT plant_id, frame_idx, (frame_idx * 7919) % 10007 AS name FROM images)")
+def t2_sorted_images(spark: SparkSession, d: str) -> DataFrame:
+    """The images of each scan numbered by their name, which is not the order in which they come."""
+    own = load(spark, d, "images").select("plant_id", "frame_idx", F.format_string("%05d_rgb", F.col("frame_idx") * 7919 % 10007).alias("stem"))
+    return scans.numbered(own.select("plant_id", "stem", F.col("frame_idx").alias("own"))).select("plant_id", F.col("own").alias("frame_idx"), F.col("frame_idx").alias("place"))
+
+
+@query((), f"{_ON} SELECT plant_id, version, value FROM old ANTI JOIN new USING (plant_id) UNION ALL SELECT plant_id, version, value FROM new")
+def u5_replaced_tips(spark: SparkSession, d: str) -> DataFrame:
+    """A plant's tips are replaced whole."""
+    return results.replace_plants(*old_new(spark, d)).drop("complete")
+
+
 @query(("voxels_seen",), "SELECT v.plant_id, i, j, k FROM voxels_seen v JOIN (SELECT plant_id, max(n) AS most FROM voxels_seen GROUP BY 1) USING (plant_id) WHERE n >= CASE WHEN plant_id % 2 = 0 THEN 1 ELSE least(7, most) END")
 def s8_binarise_counts(spark: SparkSession, d: str) -> DataFrame:
     seen = load(spark, d, "voxels_seen")
@@ -749,18 +1172,22 @@ def s8_binarise_counts(spark: SparkSession, d: str) -> DataFrame:
     return results.binarise_counts(seen, meta)
 
 
-@query((), "SELECT o_orderkey AS plant_id, o_custkey AS value, 'new' AS note FROM orders")
+@query((), "SELECT o_orderkey AS plant_id, CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS value, CASE WHEN o_orderkey % 7 > 0 THEN 'new' END AS note, CASE WHEN o_orderkey % 7 = 1 THEN '' ELSE 'gone' END AS dropped, CASE WHEN o_orderkey % 7 = 0 THEN 'value' ELSE '' END AS missing FROM orders")
 def s14_restore(spark: SparkSession, d: str) -> DataFrame:
-    """Dump with a field that the target lacks and without one that it has."""
-    from pyspark.sql import types as T
-
+    """Dumps with a field that the target lacks, without one that has a default, and without one that has none: rows and report."""
     rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("plant_id"), F.col("o_custkey").alias("value"), F.lit(1).alias("gone"))
     schema = T.StructType([T.StructField("value", T.LongType()), T.StructField("note", T.StringType())])
-    return results.from_plain(results.to_plain(rows, ["plant_id"]), ["plant_id"], schema, {"note": "new"})[0]
+    kind, key = F.col("plant_id") % 7, ["plant_id"]
+    plain = results.to_plain(rows.where(kind > 1), key).unionByName(results.to_plain(rows.where(kind == 0).drop("value"), key)).unionByName(results.to_plain(rows.where(kind == 1).drop("gone"), key))
+    good, report = results.from_plain(plain, key, schema, {"note": "new"})
+    both = good.join(report, key, "full")
+    return both.select("plant_id", "value", "note", *(F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("dropped", "missing")))
 
 
-@query((), "SELECT o_orderkey AS plant_id FROM orders WHERE false")
+@query((), "SELECT 'narrow' AS target, o_orderkey AS plant_id, o_custkey, o_orderstatus FROM orders UNION ALL SELECT 'narrow', o_orderkey, o_custkey, NULL FROM orders")
 def s13_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """The rows that a dump and restore changes: none."""
-    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("plant_id"), "o_custkey", "o_orderstatus", "o_totalprice")
-    return results.round_trip_differences(rows, ["plant_id"]).select("plant_id")
+    """The rows that a dump and restore changes: none in their own schema, all in one that cannot hold a column's values."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("plant_id"), "o_custkey", "o_orderstatus")
+    narrow = T.StructType([T.StructField("o_custkey", T.LongType()), T.StructField("o_orderstatus", T.IntegerType())])
+    out = [results.round_trip_differences(rows, ["plant_id"], s).withColumn("target", F.lit(name)) for name, s in (("own", None), ("narrow", narrow))]
+    return out[0].unionByName(out[1])

@@ -43,8 +43,10 @@ def bounding_boxes(frames: DataFrame, params: BoxParams = BoxParams()) -> DataFr
 
 
 def _centres(grids: DataFrame, counts: list[Column]) -> DataFrame:
-    out = grids
-    for axis, n in zip("ijk", counts, strict=True):
+    """Slices are dealt over the session's shuffle partitions before they grow, so that few plants keep all cores busy."""
+    parts = int(grids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = grids.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), counts[2] - 1))).repartition(parts, "plant_id", "k")
+    for axis, n in zip("ij", counts, strict=False):
         out = out.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     at = [(F.col(o) + (F.col(a) + 0.5) * F.col("voxel_size")).alias(c) for o, a, c in zip(("ox", "oy", "oz"), "ijk", "xyz", strict=True)]
     return out.select("plant_id", "i", "j", "k", *at)
@@ -75,15 +77,18 @@ def project(points: DataFrame, frames: DataFrame, to_pixel: bool = True) -> Data
     met = points.join(frames, "plant_id")
     p = vec("x", "y", "z")
     depth = dot3(vec("r31", "r32", "r33"), p) + F.col("t3")
-    met = met.withColumn("_d", depth).where("_d > 0")
-    met = met.withColumn("_a", (dot3(vec("r11", "r12", "r13"), p) + F.col("t1")) / F.col("_d")).withColumn("_b", (dot3(vec("r21", "r22", "r23"), p) + F.col("t2")) / F.col("_d"))
+    # A generator of one row keeps what it makes: the filters and columns after it do not compute it again.
+    met = met.select("*", F.inline(F.array(F.struct(depth.alias("_d"))))).where("_d > 0")
+    a = (dot3(vec("r11", "r12", "r13"), p) + F.col("t1")) / F.col("_d")
+    b = (dot3(vec("r21", "r22", "r23"), p) + F.col("t2")) / F.col("_d")
+    met = met.select("*", F.inline(F.array(F.struct(a.alias("_a"), b.alias("_b")))))
     a, b = F.col("_a"), F.col("_b")
     r2 = a * a + b * b
     radial = 1 + F.col("k1") * r2 + F.col("k2") * r2 * r2
     u = F.col("fx") * (a * radial + 2 * F.col("p1") * a * b + F.col("p2") * (r2 + 2 * a * a)) + F.col("cx")
     v = F.col("fy") * (b * radial + F.col("p1") * (r2 + 2 * b * b) + 2 * F.col("p2") * a * b) + F.col("cy")
     keys = [c for c in points.columns]
-    met = met.select(*keys, "frame_idx", "width", "height", u.alias("u"), v.alias("v"))
+    met = met.select(*keys, "frame_idx", "width", "height", F.inline(F.array(F.struct(u.alias("u"), v.alias("v")))))
     if not to_pixel:
         return met.select(*keys, "frame_idx", "u", "v")
     inside = (F.col("u") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") >= 0) & (F.col("v") < F.col("height"))

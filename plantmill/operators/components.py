@@ -3,16 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def whole_unions(spark: SparkSession) -> None:
+    """Spark 4.1 lets a union keep its sides' partitioning; where adaptive execution has given the sides unlike numbers of partitions, rows are lost. This turns that off."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names; one of its own only where none is set and driver and executors are one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="plantmill-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that `spark.checkpoint.dir` names; a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plantmill-"))
+    """`df` written to the shared folder: later steps neither compute it again nor depend on one executor."""
+    whole_unions(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

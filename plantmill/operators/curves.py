@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plantmill.operators.components import cut, whole_unions
+
 XYZ = ("x", "y", "z")
 
 
@@ -24,61 +30,80 @@ def arc_length(points: DataFrame) -> DataFrame:
 
 def padded(points: DataFrame, reach: float) -> DataFrame:
     """curve_id, t, x, y, z with both ends mirrored through their end point as far as `reach`."""
+    whole_unions(points.sparkSession)
     w = Window.partitionBy("curve_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     both = points
-    for c in ("t", *XYZ):
+    for c in ("seq", "t", *XYZ):
         both = both.withColumn(f"f{c}", F.first(c).over(w)).withColumn(f"l{c}", F.last(c).over(w))
-    mirror = lambda e: both.where((F.abs(F.col("t") - F.col(f"{e}t")) <= reach) & (F.col("t") != F.col(f"{e}t"))).select("curve_id", *((2 * F.col(f"{e}{c}") - F.col(c)).alias(c) for c in ("t", *XYZ)))
+    mirror = lambda e: both.where((F.abs(F.col("t") - F.col(f"{e}t")) <= reach) & (F.col("seq") != F.col(f"{e}seq"))).select("curve_id", *((2 * F.col(f"{e}{c}") - F.col(c)).alias(c) for c in ("t", *XYZ)))
     return points.select("curve_id", "t", *XYZ).union(mirror("f")).union(mirror("l"))
 
 
-def _met(at: DataFrame, pad: DataFrame, reach: float) -> DataFrame:
-    """Queries (curve_id, t) with the padded points within reach: an equi-join on curve and bucket of width `reach`, then the range."""
+def kernel(at: DataFrame, points: DataFrame, sigma: float, k_trunc: float = 6.0) -> DataFrame:
+    """at(curve_id, t, ...) with x, y, z of the smoothed curve and its derivative dx, dy, dz by t; one row for each row of at.
+
+    Gaussian weights over the padded points within k_trunc * sigma: an equi-join on curve and bucket of that width, then the
+    range. A query that meets no point takes the two padded points around it with their weights, which are scaled by the
+    nearer one's, so that they do not vanish.
+    """
+    reach, keys = k_trunc * sigma, at.columns
+    pad = padded(points, reach)
     bucket = lambda c: F.floor(F.col(c) / reach)
     near = pad.withColumn("_b", F.explode(F.sequence(bucket("t") - 1, bucket("t") + 1))).withColumnRenamed("t", "_t")
-    return at.select("curve_id", "t").distinct().withColumn("_b", bucket("t")).join(near, ["curve_id", "_b"]).where(F.abs(F.col("_t") - F.col("t")) <= reach)
+    met = at.withColumn("_b", bucket("t")).join(near, ["curve_id", "_b"], "left").withColumn("_in", F.coalesce(F.abs(F.col("_t") - F.col("t")) <= reach, F.lit(False)))
+    u = (F.col("_t") - F.col("t")) / sigma
+    w = F.when(F.col("_in"), F.exp(-u * u / 2))
+    sums = [F.sum("_w").alias("_s0"), F.sum("_d").alias("_d0"), *(e for c in XYZ for e in (F.sum(F.col("_w") * F.col(c)).alias(f"_s{c}"), F.sum(F.col("_d") * F.col(c)).alias(f"_e{c}")))]
+    weighed = lambda rows: rows.withColumn("_d", F.col("_w") * u / sigma).groupBy(*keys).agg(*sums)
+    found = weighed(met.withColumn("_w", w))
+    lost = found.where("_s0 is null").select(*keys)
+    row = F.struct(F.col("t").alias("_t"), *XYZ)
+    around = pad.select("curve_id", "t", row.alias("_row"), F.lit(0).alias("_q"), *(F.lit(None).alias(c) for c in keys if c not in ("curve_id", "t")))
+    around = around.unionByName(lost.withColumns({"_row": F.lit(None), "_q": F.lit(1)}))
+    order = Window.partitionBy("curve_id").orderBy("t", "_q")
+    pair = F.array(F.last("_row", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first("_row", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    two = around.withColumn("_p", F.array_compact(pair)).where("_q = 1")
+    least = F.array_min(F.transform("_p", lambda p: F.abs(p["_t"] - F.col("t"))))
+    two = two.withColumn("_m", least).select(*keys, "_m", F.inline("_p"))
+    two = weighed(two.withColumn("_w", F.exp(-(u * u - F.pow(F.col("_m") / sigma, 2)) / 2)))
+    out = found.where("_s0 is not null").unionByName(two)
+    place = {c: F.col(f"_s{c}") / F.col("_s0") for c in XYZ}
+    slope = {f"d{c}": (F.col(f"_e{c}") - place[c] * F.col("_d0")) / F.col("_s0") for c in XYZ}
+    return out.select(*keys, *(e.alias(c) for c, e in (place | slope).items()))
+
+
+def tangent(slopes: DataFrame) -> DataFrame:
+    """dx, dy, dz as a unit vector; NaN where the curve stands still."""
+    size = F.sqrt(sum(F.col(f"d{c}") * F.col(f"d{c}") for c in XYZ))
+    return slopes.withColumn("_n", size).withColumns({f"d{c}": F.when(F.col("_n") > 1e-9, F.col(f"d{c}") / F.col("_n")).otherwise(float("nan")) for c in XYZ}).drop("_n")
 
 
 def kernel_positions(at: DataFrame, points: DataFrame, sigma: float, k_trunc: float = 6.0) -> DataFrame:
-    """curve_id, t, x, y, z: the smoothed position at each query: Gaussian weights over the padded points within k_trunc * sigma.
-
-    points have t. A query that meets no point takes the line between its two neighbours.
-    """
-    reach = k_trunc * sigma
-    met = _met(at, padded(points, reach), reach)
-    w = F.exp(-F.pow((F.col("_t") - F.col("t")) / sigma, 2) / 2)
-    smooth = met.withColumn("w", w).groupBy("curve_id", "t").agg(F.sum("w").alias("sw"), *(F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in XYZ))
-    smooth = smooth.select("curve_id", "t", *((F.col(f"s{c}") / F.col("sw")).alias(c) for c in XYZ))
-    lost = at.select("curve_id", "t").distinct().join(smooth, ["curve_id", "t"], "left_anti")
-    return smooth.unionByName(lookup(lost, points, "t", list(XYZ)))
+    """at with the smoothed position x, y, z."""
+    return kernel(at, points, sigma, k_trunc).drop("dx", "dy", "dz")
 
 
 def kernel_tangents(at: DataFrame, points: DataFrame, sigma: float, k_trunc: float = 6.0) -> DataFrame:
-    """curve_id, t, dx, dy, dz: the unit derivative of the smoothed curve; NaN where it stands still."""
-    reach = k_trunc * sigma
-    met = _met(at, padded(points, reach), reach)
-    u = (F.col("_t") - F.col("t")) / sigma
-    met = met.withColumn("w", F.exp(-u * u / 2)).withColumn("dw", F.col("w") * u / sigma)
-    sums = met.groupBy("curve_id", "t").agg(F.sum("w").alias("s0"), F.sum("dw").alias("d0"), *(e for c in XYZ for e in (F.sum(F.col("w") * F.col(c)).alias(f"s{c}"), F.sum(F.col("dw") * F.col(c)).alias(f"e{c}"))))
-    d = {c: (F.col(f"e{c}") - F.col(f"s{c}") / F.col("s0") * F.col("d0")) / F.col("s0") for c in XYZ}
-    size = F.sqrt(sum(x * x for x in d.values()))
-    return sums.select("curve_id", "t", *(F.when(size > 1e-9, d[c] / size).otherwise(float("nan")).alias(f"d{c}") for c in XYZ))
+    """at with dx, dy, dz: the unit derivative of the smoothed curve."""
+    return tangent(kernel(at, points, sigma, k_trunc)).drop(*XYZ)
 
 
 def lookup(at: DataFrame, profile: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Values of `profile` at the queries (curve_id, key): straight between the two rows around, clamped at the ends.
+    """at(curve_id, key, ...) with values of `profile`: straight between the two rows around, clamped at the ends.
 
     An as-of step without a range join: queries and rows sort together, and each query takes the last row at or before
     it and the first one after it.
     """
-    own = profile.select("curve_id", key, *values, F.lit(0).alias("_q"))
-    asked = at.select("curve_id", key, *(F.lit(None).cast("double").alias(v) for v in values), F.lit(1).alias("_q"))
-    both = own.unionByName(asked).withColumn("_row", F.when(F.col("_q") == 0, F.struct(F.col(key).cast("double").alias("k"), *(F.col(v).cast("double").alias(v) for v in values))))
+    whole_unions(at.sparkSession)
+    rest = [c for c in at.columns if c not in ("curve_id", key)]
+    row = F.struct(F.col(key).cast("double").alias("k"), *(F.col(v).cast("double").alias(v) for v in values))
+    own = profile.select("curve_id", F.col(key).cast("double").alias(key), row.alias("_row"), F.lit(0).alias("_q"), *(F.lit(None).alias(c) for c in rest))
+    asked = at.withColumn(key, F.col(key).cast("double")).withColumns({"_row": F.lit(None), "_q": F.lit(1)})
     w = Window.partitionBy("curve_id").orderBy(key, "_q")
-    both = both.withColumn("_lo", F.last("_row", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first("_row", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    both = own.unionByName(asked).withColumn("_lo", F.last("_row", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first("_row", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     lo, hi = F.coalesce("_lo", "_hi"), F.coalesce("_hi", "_lo")
     part = F.when(hi["k"] > lo["k"], (F.col(key) - lo["k"]) / (hi["k"] - lo["k"])).otherwise(0.0)
-    return both.where("_q = 1").select("curve_id", key, *((lo[v] + part * (hi[v] - lo[v])).alias(v) for v in values))
+    return both.where("_q = 1").select(*at.columns, *((lo[v] + part * (hi[v] - lo[v])).alias(v) for v in values))
 
 
 def uniform_samples(curves: DataFrame, step: float) -> DataFrame:
@@ -89,35 +114,135 @@ def uniform_samples(curves: DataFrame, step: float) -> DataFrame:
 
 
 def smooth_curves(points: DataFrame, sigma: float, dt_factor: float = 0.25, n_min: int = 100, k_trunc: float = 6.0) -> DataFrame:
-    """curve_id, seq, t, s, x, y, z: dense smoothed points and their arc length s."""
+    """curve_id, seq, t, s, x, y, z: dense smoothed points and their arc length s, for points(curve_id, seq, x, y, z)."""
     profile = arc_length(points)
-    curves = profile.groupBy("curve_id").agg(F.max("t").alias("length"))
+    ends = profile.groupBy("curve_id").agg(F.max("t").alias("length"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     n = F.greatest(F.lit(n_min), F.ceil(F.col("length") / (sigma * dt_factor)).cast("int") + 1)
-    at = curves.withColumn("n", n).withColumn("seq", F.explode(F.sequence(F.lit(1), F.col("n")))).select("curve_id", "seq", (F.col("length") * (F.col("seq") - 1) / (F.col("n") - 1)).alias("t"))
-    dense = at.join(kernel_positions(at, profile, sigma, k_trunc), ["curve_id", "t"])
+    at = ends.withColumn("n", n).withColumn("seq", F.explode(F.sequence(F.lit(1), F.col("n")))).select("curve_id", "seq", (F.col("length") * (F.col("seq") - 1) / (F.col("n") - 1)).alias("t"))
+    dense = kernel_positions(at, profile, sigma, k_trunc)
     return arc_length(dense.withColumnRenamed("t", "t0")).withColumnsRenamed({"t": "s", "t0": "t"}).select("curve_id", "seq", "t", "s", *XYZ)
 
 
-def nearest_points(targets: DataFrame, dense: DataFrame) -> DataFrame:
-    """targets(curve_id, target_id, qx, qy, qz) with the nearest dense point: seq, t, s, dist2. Of equals the first."""
-    d2 = sum((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in XYZ)
-    met = targets.join(dense, "curve_id").groupBy("curve_id", "target_id").agg(F.min(F.struct(d2.alias("dist2"), "seq", "t", "s")).alias("m"))
-    return met.select("curve_id", "target_id", "m.seq", "m.t", "m.s", "m.dist2")
+def evaluate(at: DataFrame, dense: DataFrame, points: DataFrame, sigma: float, k_trunc: float = 6.0) -> DataFrame:
+    """at(curve_id, s, ...) with t, position x, y, z and unit tangent dx, dy, dz at arc length s of the curves `smooth_curves(points, sigma)`."""
+    return tangent(kernel(lookup(at, dense, "s", ["t"]), arc_length(points), sigma, k_trunc))
 
 
-def project_points(targets: DataFrame, dense: DataFrame) -> DataFrame:
-    """targets with t, s and x, y, z of the nearest place on the dense polyline: the best foot on the two segments at the nearest point."""
-    w = Window.partitionBy("curve_id").orderBy("seq")
-    near = nearest_points(targets, dense).select("curve_id", "target_id", F.col("seq").alias("at"))
-    seg = dense
-    for c in (*XYZ, "t", "s"):
-        seg = seg.withColumn(f"n{c}", F.lead(c).over(w))
-    met = targets.join(near, ["curve_id", "target_id"]).withColumn("seq", F.explode(F.array(F.col("at") - 1, F.col("at")))).join(seg.where("nt is not null"), ["curve_id", "seq"])
-    d = {c: F.col(f"n{c}") - F.col(c) for c in XYZ}
-    size = sum(x * x for x in d.values())
-    part = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum((F.col(f"q{c}") - F.col(c)) * d[c] for c in XYZ) / size))).otherwise(0.0)
-    foot = met.withColumn("_a", part)
-    place = {c: F.col(c) + F.col("_a") * (F.col(f"n{c}") - F.col(c)) for c in (*XYZ, "t", "s")}
-    dist2 = sum((F.col(f"q{c}") - place[c]) * (F.col(f"q{c}") - place[c]) for c in XYZ)
-    best = foot.groupBy("curve_id", "target_id").agg(F.min(F.struct(dist2.alias("dist2"), place["t"].alias("t"), place["s"].alias("s"), *(place[c].alias(c) for c in XYZ))).alias("m"))
-    return best.select("curve_id", "target_id", "m.t", "m.s", "m.x", "m.y", "m.z", F.sqrt("m.dist2").alias("dist"))
+def sample_uniform(dense: DataFrame, points: DataFrame, sigma: float, step: float, k_trunc: float = 6.0) -> DataFrame:
+    """curve_id, seq, s, x, y, z, dx, dy, dz: positions and tangents at equal steps of arc length; the ends are the raw end points."""
+    at = uniform_samples(dense.groupBy("curve_id").agg(F.max("s").alias("length")), step).withColumnRenamed("t", "s")
+    ends = points.groupBy("curve_id").agg(*(f(F.struct("seq", *XYZ)).alias(n) for f, n in ((F.min, "_a"), (F.max, "_z"))))
+    last = F.max("seq").over(Window.partitionBy("curve_id"))
+    out = evaluate(at, dense, points, sigma, k_trunc).withColumn("_last", last).join(ends, "curve_id")
+    pinned = {c: F.when(F.col("seq") == 1, F.col("_a")[c]).when(F.col("seq") == F.col("_last"), F.col("_z")[c]).otherwise(F.col(c)) for c in XYZ}
+    return out.withColumns(pinned).select("curve_id", "seq", "s", *XYZ, "dx", "dy", "dz")
+
+
+def nearest_points(targets: DataFrame, dense: DataFrame) -> DataFrame:
+    """targets(curve_id, target_id, qx, qy, qz) with the nearest dense point: seq, t, s, dist2. Of equals the first.
+
+    Points and targets meet in cells: a target sees the 27 cells around it, which hold every point within a cell's width.
+    One that finds none that near goes on to cells of twice the width, so no curve's targets meet all its points.
+    """
+    targets, dense = cut(targets.select("curve_id", "target_id", "qx", "qy", "qz")), cut(dense.select("curve_id", "seq", "t", "s", *XYZ))
+    spread = dense.groupBy("curve_id").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s")).agg(F.sum("s") / F.sum("n")).collect()[0][0]
+    width, out = max(4.0 * (spread or 0.0), 1e-6), None
+    targets = targets.join(dense.select("curve_id").distinct(), "curve_id", "left_semi")
+    d2 = sum((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in XYZ)
+    while not targets.isEmpty():
+        cell = lambda c, w=width: F.floor(F.col(c) / w).cast("long")
+        asked = targets
+        for c in XYZ:
+            asked = asked.withColumn(f"_{c}", F.explode(F.sequence(cell(f"q{c}") - 1, cell(f"q{c}") + 1)))
+        met = asked.join(dense.withColumns({f"_{c}": cell(c) for c in XYZ}), ["curve_id", "_x", "_y", "_z"])
+        best = met.groupBy("curve_id", "target_id").agg(F.min(F.struct(d2.alias("dist2"), "seq", "t", "s")).alias("m"))
+        sure = cut(best.where(F.col("m.dist2") <= width * width).select("curve_id", "target_id", "m.seq", "m.t", "m.s", "m.dist2"))
+        out = sure if out is None else out.union(sure)
+        targets, width = cut(targets.join(sure, ["curve_id", "target_id"], "left_anti")), 2 * width
+    return targets.select("curve_id", "target_id", F.lit(0).alias("seq"), F.lit(0.0).alias("t"), F.lit(0.0).alias("s"), F.lit(0.0).alias("dist2")) if out is None else out
+
+
+def _foot(q: np.ndarray, low: float, high: float, start: float, t: np.ndarray, xyz: np.ndarray, sigma: float, reach: float) -> float:
+    """The zero of (p(t) - q) . p'(t) between low and high by Newton steps that bisection guards; NaN if the ends have one sign."""
+
+    def residual(at: float) -> tuple[float, float]:
+        a, b = np.searchsorted(t, at - reach), np.searchsorted(t, at + reach, "right")
+        if a >= b:
+            a = min(max(int(np.searchsorted(t, at, "right")) - 1, 0), len(t) - 2)
+            b = a + 2
+        u = (t[a:b] - at) / sigma
+        w = np.exp((np.min(u * u) - u * u) / 2)
+        p = w @ xyz[a:b] / w.sum()
+        slope = ((w * u / sigma) @ xyz[a:b] - p * (w @ u / sigma)) / w.sum()
+        return float((p - q) @ slope), float(slope @ slope)
+
+    f_low, f_high = residual(low)[0], residual(high)[0]
+    if f_low * f_high > 0:
+        return float("nan")
+    if f_low == 0 or f_high == 0:
+        return low if f_low == 0 else high
+    if f_low > 0:
+        low, high = high, low
+    x = start
+    for _ in range(200):
+        f, slope = residual(x)
+        low, high = (x, high) if f < 0 else (low, x)
+        nxt = x - f / slope if slope > 0 else float("nan")
+        if not min(low, high) < nxt < max(low, high):
+            nxt = (low + high) / 2
+        if abs(nxt - x) < 1e-10:
+            return nxt
+        x = nxt
+    return x
+
+
+def project_points(targets: DataFrame, dense: DataFrame, points: DataFrame, sigma: float, k_trunc: float = 6.0) -> DataFrame:
+    """targets(curve_id, target_id, qx, qy, qz) with t, s and x, y, z of the closest place on the smoothed curves of `smooth_curves(points, sigma)`.
+
+    The nearest dense point gives the bracket; the foot is searched there on the smooth curve, from the padded points within
+    its reach. A target whose bracket has no sign change takes the curve's end that it lies beyond, else the whole curve is
+    the bracket, else the dense point stays.
+    """
+    profile, reach = cut(arc_length(points)), k_trunc * sigma
+    pad = cut(padded(profile, reach))
+    ends = dense.groupBy("curve_id").agg(F.max("seq").alias("n"), F.max("t").alias("t1"))
+    near = nearest_points(targets, dense).join(ends, "curve_id").select("curve_id", "target_id", "seq", "t", "n", "t1")
+    step = F.col("t1") / (F.col("n") - 1)
+    near = near.select("*", F.greatest(F.lit(0.0), F.col("t") - step).alias("low"), F.least(F.col("t1"), F.col("t") + step).alias("high"))
+    asked = cut(targets.select("curve_id", "target_id", "qx", "qy", "qz").join(near, ["curve_id", "target_id"]))
+    point = F.struct("t", *XYZ).alias("p")
+
+    def solve(rows: DataFrame, low: str, high: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = []
+                for row in batch.itertuples():
+                    own = sorted((p["t"], p["x"], p["y"], p["z"]) for p in row.own)
+                    a = np.array(own)
+                    found.append(_foot(np.array([row.qx, row.qy, row.qz]), getattr(row, low), getattr(row, high), row.t, a[:, 0], a[:, 1:], sigma, reach))
+                yield batch[["curve_id", "target_id"]].assign(foot=found)
+
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("curve_id", "target_id"))
+        return rows.mapInPandas(run, f"{kinds}, foot double")
+
+    inner = asked.where("seq > 1 and seq < n")
+    buckets = lambda a, b: F.explode(F.sequence(F.floor(a / reach), F.floor(b / reach)))
+    ranged = inner.withColumn("_b", buckets(F.col("low") - reach, F.col("high") + reach)).join(pad.select("curve_id", F.floor(F.col("t") / reach).alias("_b"), point), ["curve_id", "_b"])
+    gathered = ranged.where(F.col("p.t").between(F.col("low") - reach, F.col("high") + reach)).groupBy(*inner.columns).agg(F.collect_list("p").alias("own")).where("size(own) > 1")
+    first = cut(solve(gathered, "low", "high"))
+    # Where the bracket does not hold the foot: the signs at both ends of the curve.
+    odd = inner.join(first.where("not isnan(foot)"), ["curve_id", "target_id"], "left_anti")
+    sides = odd.select(*odd.columns, F.explode(F.array(F.lit(0.0), F.col("t1"))).alias("e")).withColumnsRenamed({"t": "t0", "e": "t"})
+    slope = kernel(sides, profile, sigma, k_trunc).withColumn("f", sum((F.col(c) - F.col(f"q{c}")) * F.col(f"d{c}") for c in XYZ))
+    signs = cut(slope.groupBy("curve_id", "target_id").agg(F.max(F.when(F.col("t") == F.col("t1"), F.col("f"))).alias("f1"), F.max(F.when(F.col("t") == 0, F.col("f"))).alias("f0")))
+    odd = cut(odd.join(signs, ["curve_id", "target_id"]))
+    whole = odd.where("f1 > 0 and f0 < 0").withColumn("zero", F.lit(0.0))
+    curve = pad.join(whole.select("curve_id").distinct(), "curve_id", "left_semi").groupBy("curve_id").agg(F.collect_list(point).alias("own"))
+    second = solve(whole.join(curve, "curve_id"), "zero", "t1")
+    rest = odd.where("f1 <= 0 or f0 >= 0").select("curve_id", "target_id", F.when(F.col("f1") <= 0, F.col("t1")).otherwise(0.0).alias("foot"))
+    ended = asked.where("seq = 1 or seq = n").select("curve_id", "target_id", F.when(F.col("seq") == 1, 0.0).otherwise(F.col("t1")).alias("foot"))
+    feet = first.where("not isnan(foot)").union(second).union(rest).union(ended)
+    at = asked.join(feet, ["curve_id", "target_id"], "left").select("curve_id", "target_id", "qx", "qy", "qz", F.coalesce(F.when(~F.isnan("foot"), F.col("foot")), F.col("t")).alias("t"))
+    out = kernel_positions(lookup(at, dense, "t", ["s"]), profile, sigma, k_trunc)
+    dist2 = sum((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in XYZ)
+    return out.select("curve_id", "target_id", "t", "s", *XYZ, F.sqrt(dist2).alias("dist"))

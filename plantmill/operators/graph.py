@@ -5,7 +5,12 @@ A node id is the rank of an occupied voxel in (k, j, i) order, from 1. Ties alwa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantmill.operators import components
@@ -15,6 +20,7 @@ AXES = ["i", "j", "k"]
 NODE = ["plant_id", "node_id"]
 # One of each pair of opposite offsets to the 26 neighbours.
 HALF = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (c, b, a) > (0, 0, 0)]
+BLOCK = 1 << 14  # node ids of a block
 FULL = HALF + [(-a, -b, -c) for a, b, c in HALF]
 
 
@@ -126,34 +132,115 @@ def travel_times(e: DataFrame, gamma: DataFrame) -> DataFrame:
     return e.join(u, ["plant_id", "u"]).join(v, ["plant_id", "v"]).select("plant_id", "u", "v", "d", (F.col("d") / ((F.col("gu") + F.col("gv")) / 2)).alias("w"))
 
 
+def reweighted(e: DataFrame, dt: DataFrame, radius: DataFrame, beta: float, least: float) -> DataFrame:
+    """Stored edges with the travel times of other conductance parameters."""
+    return travel_times(e.select("plant_id", "u", "v", "d"), conductance(dt, radius, beta, least))
+
+
 def root(dt: DataFrame) -> DataFrame:
     """plant_id, node_id: the deepest voxel of the lowest slice."""
     best = dt.groupBy("plant_id").agg(F.min(F.struct("k", (-F.col("dt")).alias("d"), "node_id")).alias("b"))
     return best.select("plant_id", F.col("b.node_id").alias("node_id"))
 
 
-def shortest_paths(e: DataFrame, sources: DataFrame, weight: str = "d", max_dist: float | None = None, most: int = 400) -> DataFrame:
+def _block(node: str, block: int) -> Column:
+    """Node ids follow (k, j, i), so a block of ids is a stretch of slices, or a part of one slice of a thick plant."""
+    return F.floor(F.col(node) / block).cast("long")
+
+
+LABEL = "nodes array<long>, dist array<double>, src array<long>, prev array<long>"
+OFFERS = "o_block array<long>, o_node array<long>, o_dist array<double>, o_src array<long>, o_prev array<long>"
+
+
+def _relaxed(row: object, block: int, max_dist: float) -> tuple[list, ...]:
+    """One block's labels after the offers in its inbox have gone through it, and the offers that it makes to other blocks."""
+    u = np.zeros(0, np.int64) if row.u is None else np.asarray(row.u)
+    order = np.argsort(u, kind="stable")
+    starts, ends = {}, {}
+    if len(u):
+        u, v, c = u[order], np.asarray(row.v)[order].tolist(), np.asarray(row.c)[order].tolist()
+        own, first = np.unique(u, return_index=True)
+        starts = dict(zip(own.tolist(), first.tolist(), strict=True))
+        ends = dict(zip(own.tolist(), [*first[1:].tolist(), len(u)], strict=True))
+    label = {} if row.nodes is None else {n: x for n, *x in zip(row.nodes.tolist(), row.dist.tolist(), row.src.tolist(), row.prev.tolist(), strict=True)}
+    heap: list[tuple[float, int, int]] = []
+    offers: dict[int, list] = {}
+
+    def offer(n: int, d: float, s: int, p: int) -> None:
+        known = label.get(n)
+        if known is None or (d, s) < (known[0], known[1]):
+            label[n] = [d, s, p]
+            heapq.heappush(heap, (d, s, n))
+        elif (d, s) == (known[0], known[1]) and known[2] >= 0 and p < known[2]:
+            known[2] = p
+
+    for m in row.inbox:
+        offer(m["node"], m["dist"], m["src"], m["prev"])
+    while heap:
+        d, s, n = heapq.heappop(heap)
+        if (d, s) != (label[n][0], label[n][1]):
+            continue
+        for k in range(starts.get(n, 0), ends.get(n, 0)):
+            far, m = d + c[k], v[k]
+            if far > max_dist:
+                continue
+            if m // block == row.block:
+                offer(m, far, s, n)
+            elif m not in offers or [far, s, n] < offers[m]:
+                offers[m] = [far, s, n]
+    flat = lambda rows, k: [x[k] for x in rows.values()]
+    return [*label], *(flat(label, k) for k in range(3)), [m // block for m in offers], [*offers], *(flat(offers, k) for k in range(3))
+
+
+def shortest_paths(e: DataFrame, sources: DataFrame, weight: str = "d", max_dist: float | None = None, targets: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """plant_id, node_id, dist, prev, nearest_source: distances from the nearest of a plant's sources (plant_id, node_id).
 
-    Each round, the nodes that improved offer their neighbours a path; so a round handles the whole front of all plants,
-    and only improved nodes move. Among equal paths the smaller source, then the smaller previous node wins.
+    A block of `block` node ids is one row with its arcs. In a round, each block that other blocks made offers to searches
+    them through inside, best first, and makes offers across its border; so the rounds are as many as the blocks that a way
+    crosses, not its steps, and settled blocks rest. With max_dist, or targets (plant_id, node_id), nothing farther than
+    that, or than the plant's farthest target, is kept. Of equal ways the one with the smaller source wins, then the one
+    with the smaller previous node.
     """
-    arcs = cut(both_ways(e.select("plant_id", "u", "v", F.col(weight).alias("c"))))
-    best = cut(sources.select("plant_id", "node_id", F.lit(0.0).alias("dist"), F.col("node_id").alias("nearest_source"), F.lit(None).cast("long").alias("prev"), F.lit(True).alias("moved")).distinct())
-    for _ in range(most):
-        front = best.where("moved").select("plant_id", F.col("node_id").alias("u"), "dist", "nearest_source")
-        offers = front.join(arcs, ["plant_id", "u"]).select("plant_id", F.col("v").alias("node_id"), (F.col("dist") + F.col("c")).alias("dist"), "nearest_source", F.col("u").alias("prev"))
-        offers = offers if max_dist is None else offers.where(F.col("dist") <= max_dist)
-        offers = offers.groupBy("plant_id", "node_id").agg(F.min(F.struct("dist", "nearest_source", "prev")).alias("o"))
-        old = best.select("plant_id", "node_id", F.struct("dist", "nearest_source", "prev").alias("b"))
-        met = old.join(offers, NODE, "full")
-        closer = F.col("b").isNull() | (F.col("o.dist") < F.col("b.dist") - 1e-12) | ((F.abs(F.col("o.dist") - F.col("b.dist")) <= 1e-12) & F.col("b.prev").isNotNull() & (F.struct("o.nearest_source", "o.prev") < F.struct("b.nearest_source", "b.prev")))
-        better = F.coalesce(F.col("o").isNotNull() & closer, F.lit(False))
-        take = F.when(better, F.col("o")).otherwise(F.col("b"))
-        best = cut(met.select("plant_id", "node_id", take["dist"].alias("dist"), take["nearest_source"].alias("nearest_source"), take["prev"].alias("prev"), better.alias("moved")))
-        if not best.where("moved").limit(1).count():
-            return best.select("plant_id", "node_id", "dist", "prev", "nearest_source")
-    raise RuntimeError("distances have not settled")
+    kind, bound = e.schema["plant_id"].dataType.simpleString(), float("inf") if max_dist is None else float(max_dist)
+    key = ["plant_id", "block"]
+    arcs = both_ways(e.select("plant_id", "u", "v", F.col(weight).cast("double").alias("c")))
+    arcs = arcs.groupBy("plant_id", _block("u", block).alias("block")).agg(F.collect_list(F.struct("u", "v", "c")).alias("a"))
+    arcs = cut(arcs.select(*key, F.col("a.u").alias("u"), F.col("a.v").alias("v"), F.col("a.c").alias("c")))
+    node = F.col("node_id").cast("long")
+    mail = cut(sources.select("plant_id", _block("node_id", block).alias("block"), node.alias("node"), F.lit(0.0).alias("dist"), node.alias("src"), F.lit(-1).cast("long").alias("prev")).distinct())
+    state = arcs.sparkSession.createDataFrame([], f"plant_id {kind}, block long, {LABEL}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                done = _relaxed(row, block, bound)
+                yield pd.DataFrame([[row.plant_id, row.block, *done]], columns=[*key, "nodes", "dist", "src", "prev", "o_block", "o_node", "o_dist", "o_src", "o_prev"])
+
+    while not mail.isEmpty():
+        inbox = mail.groupBy(*key).agg(F.collect_list(F.struct("node", "dist", "src", "prev")).alias("inbox"))
+        active = inbox.join(state, key, "left").join(arcs, key, "left")
+        new = cut(active.mapInPandas(run, f"plant_id {kind}, block long, {LABEL}, {OFFERS}"))
+        state = cut(state.join(new.select(*key), key, "left_anti").unionByName(new.select(*key, "nodes", "dist", "src", "prev")))
+        sent = new.select("plant_id", F.explode(F.arrays_zip("o_block", "o_node", "o_dist", "o_src", "o_prev")).alias("o"))
+        mail = sent.select("plant_id", F.col("o.o_block").alias("block"), F.col("o.o_node").alias("node"), F.col("o.o_dist").alias("dist"), F.col("o.o_src").alias("src"), F.col("o.o_prev").alias("prev"))
+        if targets is not None:
+            mail = mail.join(_farthest(_labels(state), targets), "plant_id", "left").where(F.col("far").isNull() | (F.col("dist") <= F.col("far"))).drop("far")
+        mail = cut(mail)
+    out = _labels(state)
+    if targets is not None:
+        out = out.join(_farthest(out, targets), "plant_id", "left").where(F.col("far").isNull() | (F.col("dist") <= F.col("far"))).drop("far")
+    return out
+
+
+def _labels(state: DataFrame) -> DataFrame:
+    rows = state.select("plant_id", F.explode(F.arrays_zip("nodes", "dist", "src", "prev")).alias("x"))
+    return rows.select("plant_id", F.col("x.nodes").alias("node_id"), F.col("x.dist").alias("dist"), F.when(F.col("x.prev") >= 0, F.col("x.prev")).alias("prev"), F.col("x.src").alias("nearest_source"))
+
+
+def _farthest(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """plant_id, far: the distance of a plant's farthest target, once all its targets are reached."""
+    met = targets.select("plant_id", "node_id").distinct().join(found.select(*NODE, "dist"), NODE, "left")
+    return met.groupBy("plant_id").agg(F.max("dist").alias("far"), F.count(F.when(F.col("dist").isNull(), 1)).alias("open")).where("open = 0").drop("open")
 
 
 def pointer_roots(pointers: DataFrame, most: int = 40) -> DataFrame:
@@ -168,21 +255,41 @@ def pointer_roots(pointers: DataFrame, most: int = 40) -> DataFrame:
     raise RuntimeError("pointers have not settled")
 
 
-def extract_paths(sp: DataFrame, starts: DataFrame, most: int = 40) -> DataFrame:
+def extract_paths(sp: DataFrame, starts: DataFrame, block: int = BLOCK) -> DataFrame:
     """plant_id, tip, seq, node_id: the way from each start (plant_id, node_id) back to its source, the start first.
 
-    Ways double in each round: the pieces that end at a node take on that node's own piece.
+    The previous nodes lie in blocks of ids, as in `shortest_paths`; in a round each way goes as far as its block has it,
+    so only the ways of the starts move. Starts that sp does not have give no row.
     """
-    jump = cut(sp.select("plant_id", "node_id", F.coalesce("prev", "node_id").alias("next"), F.array("node_id").alias("part")))
-    ways = starts.select("plant_id", F.col("node_id").alias("tip"), F.col("node_id").alias("at"), F.array().cast("array<long>").alias("path"), F.lit(False).alias("done"))
-    for _ in range(most):
-        on = jump.select("plant_id", F.col("node_id").alias("at"), "next", "part")
-        ways = cut(ways.join(on, ["plant_id", "at"]).select("plant_id", "tip", F.when(F.col("done"), F.col("at")).otherwise(F.col("next")).alias("at"), F.when(F.col("done"), F.col("path")).otherwise(F.concat("path", "part")).alias("path"), (F.col("done") | (F.col("next") == F.col("at"))).alias("done")))
-        if not ways.where("not done").limit(1).count():
-            break
-        then = jump.select("plant_id", F.col("node_id").alias("next"), F.col("next").alias("n2"), F.col("part").alias("p2"))
-        jump = cut(jump.join(then, ["plant_id", "next"]).select("plant_id", "node_id", F.when(F.col("next") == F.col("node_id"), F.col("next")).when(F.col("n2") == F.col("next"), F.col("next")).otherwise(F.col("n2")).alias("next"), F.when((F.col("next") == F.col("node_id")) | (F.col("n2") == F.col("next")), F.col("part")).otherwise(F.concat("part", "p2")).alias("part")))
-    return ways.select("plant_id", "tip", F.posexplode("path").alias("seq", "node_id"))
+    kind, key = sp.schema["plant_id"].dataType.simpleString(), ["plant_id", "block"]
+    rows = sp.groupBy("plant_id", _block("node_id", block).alias("block")).agg(F.collect_list(F.struct("node_id", F.coalesce("prev", F.lit(-1)).alias("prev"))).alias("a"))
+    rows = cut(rows.select(*key, F.col("a.node_id").alias("nodes"), F.col("a.prev").alias("prev")))
+    node = F.col("node_id").cast("long")
+    asked = cut(starts.select("plant_id", _block("node_id", block).alias("block"), node.alias("tip"), node.alias("at"), F.lit(0).cast("long").alias("seq")).distinct())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                prev, out = dict(zip(row.nodes.tolist(), row.prev.tolist(), strict=True)), []
+                for a in row.asked:
+                    at, part = a["at"], []
+                    while at in prev:
+                        part.append(at)
+                        at = prev[at]
+                    if part:
+                        out.append([row.plant_id, a["tip"], a["seq"], part, at])
+                yield pd.DataFrame(out, columns=["plant_id", "tip", "seq", "part", "at"])
+
+    parts = None
+    while not asked.isEmpty():
+        inbox = asked.groupBy(*key).agg(F.collect_list(F.struct("tip", "at", "seq")).alias("asked"))
+        new = cut(inbox.join(rows, key).mapInPandas(run, f"plant_id {kind}, tip long, seq long, part array<long>, at long"))
+        parts = new if parts is None else parts.union(new)
+        asked = cut(new.where("at >= 0").select("plant_id", _block("at", block).alias("block"), "tip", "at", (F.col("seq") + F.size("part")).alias("seq")))
+    if parts is None:
+        return starts.select("plant_id", node.alias("tip"), F.lit(0).cast("long").alias("seq"), node.alias("node_id")).limit(0)
+    spread = parts.select("plant_id", "tip", "seq", F.posexplode("part").alias("k", "node_id"))
+    return spread.select("plant_id", "tip", (F.col("seq") + F.col("k")).alias("seq"), "node_id")
 
 
 def ascent(nodes_u: DataFrame, e: DataFrame) -> DataFrame:
@@ -198,58 +305,91 @@ def local_maxima(nodes_u: DataFrame, e: DataFrame) -> DataFrame:
     return ascent(nodes_u, e).where("next = node_id").select(*NODE)
 
 
-def basins(nodes_u: DataFrame, e: DataFrame) -> DataFrame:
+def ascents(nodes_u: DataFrame, e: DataFrame) -> DataFrame:
     """plant_id, node_id, peak: where steepest ascent ends."""
     return pointer_roots(ascent(nodes_u, e)).select(*NODE, F.col("top").alias("peak"))
 
 
 def snap_to_centre(dt: DataFrame, e: DataFrame, starts: DataFrame) -> DataFrame:
     """starts with `centre`: the end of steepest ascent of dt."""
-    tops = basins(dt.select(*NODE, F.col("dt").alias("u")), e)
+    tops = ascents(dt.select(*NODE, F.col("dt").alias("u")), e)
     return starts.join(tops, NODE).select(*NODE, F.col("peak").alias("centre"))
 
 
-def saddles(nodes_u: DataFrame, e: DataFrame) -> DataFrame:
-    """plant_id, a, b, saddle_val: the highest pass between each pair of adjacent basins (a < b)."""
-    top = basins(nodes_u, e).join(nodes_u, NODE)
-    u = top.select("plant_id", F.col("node_id").alias("u"), F.col("peak").alias("pu"), F.col("u").alias("hu"))
-    v = top.select("plant_id", F.col("node_id").alias("v"), F.col("peak").alias("pv"), F.col("u").alias("hv"))
+def _turn() -> Column:
+    """A node's turn in the sweep from high to low; of equals the smaller id comes first."""
+    return F.struct((-F.col("u")).alias("h"), F.col("node_id").alias("id"))
+
+
+def passes(nodes_u: DataFrame, climbs: DataFrame, e: DataFrame) -> DataFrame:
+    """plant_id, a, b, pass: for each pair of adjacent ascent areas (a < b) the turn of the first swept node that joins them."""
+    placed = climbs.join(nodes_u, NODE).select(*NODE, "peak", _turn().alias("t"))
+    u = placed.select("plant_id", F.col("node_id").alias("u"), F.col("peak").alias("pu"), F.col("t").alias("tu"))
+    v = placed.select("plant_id", F.col("node_id").alias("v"), F.col("peak").alias("pv"), F.col("t").alias("tv"))
     cross = e.select("plant_id", "u", "v").join(u, ["plant_id", "u"]).join(v, ["plant_id", "v"]).where("pu <> pv")
-    return cross.groupBy("plant_id", F.least("pu", "pv").alias("a"), F.greatest("pu", "pv").alias("b")).agg(F.max(F.least("hu", "hv")).alias("saddle_val"))
+    return cross.groupBy("plant_id", F.least("pu", "pv").alias("a"), F.greatest("pu", "pv").alias("b")).agg(F.min(F.greatest("tu", "tv")).alias("pass"))
 
 
-def prominences(nodes_u: DataFrame, e: DataFrame) -> DataFrame:
-    """plant_id, peak, u, prominence, parent: the join tree of each plant's field; the highest peak of a component has no parent.
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """The join tree of one plant's ascent areas: peaks (no b), and the passes between them."""
+    own, links = rows[rows.b.isna()], rows[rows.b.notna()].sort_values(["h", "id", "a", "b"])
+    height = dict(zip(own.a, own.h, strict=True))
+    top, out = {p: p for p in height}, {p: (float("inf"), None, None, None) for p in height}
+
+    def find(p: int) -> int:
+        while top[p] != p:
+            top[p] = top[top[p]]
+            p = top[p]
+        return p
 
-    Basins and passes are found in parallel; only the passes between basins, a small table, meet by plant, where the
-    peaks merge from the highest pass down.
+    for (h, at), met in links.groupby(["h", "id"], sort=True):
+        # All that a node joins meet at once: the highest stays and is the parent of the others.
+        roots = sorted({find(int(p)) for p in [*met.a, *met.b]}, key=lambda p: (height[p], p))
+        for low in roots[1:]:
+            out[low], top[low] = (h - height[low], int(at), -h, roots[0]), roots[0]
+    number = lambda k: pd.array([out[p][k] for p in height], dtype="Int64")
+    return pd.DataFrame({"plant_id": rows.plant_id.iloc[0], "peak": list(height), "u": [-h for h in height.values()], "prominence": [out[p][0] for p in height], "saddle_node": number(1), "saddle_val": pd.array([out[p][2] for p in height], dtype="Float64"), "parent": number(3)})
+
+
+def join_tree(nodes_u: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The join tree of a field u on each plant's graph: peaks and labels.
+
+    peaks(plant_id, peak, u, prominence, saddle_node, saddle_val, parent): the sweep from high to low joins components at
+    saddles, where all peaks but the highest die; the highest of a connected part never does (infinite prominence).
+    labels(plant_id, node_id, peak): the highest peak of the component that a node is in when it is swept.
+
+    Ascents and passes are found in parallel. Only the passes between ascent areas, a small table next to the nodes, meet by
+    plant. Labels climb the tree from the end of their ascent by jumps of halving length.
     """
-    import pandas as pd
-
-    passes = saddles(nodes_u, e)
-    peaks = local_maxima(nodes_u, e).join(nodes_u, NODE).select("plant_id", F.col("node_id").alias("peak"), "u")
-    rows = peaks.select("plant_id", F.col("peak").alias("a"), F.lit(None).cast("long").alias("b"), F.col("u").alias("h")).union(passes.select("plant_id", "a", "b", F.col("saddle_val").alias("h")))
-
-    def merge(x: pd.DataFrame) -> pd.DataFrame:
-        own = x[x.b.isna()]
-        height = dict(zip(own.a, own.h, strict=True))
-        top, out = {p: p for p in height}, {p: (float("inf"), None) for p in height}
-
-        def find(p: int) -> int:
-            while top[p] != p:
-                top[p] = top[top[p]]
-                p = top[p]
-            return p
-
-        links = x[x.b.notna()].sort_values(["h", "a", "b"], ascending=[False, True, True])
-        for a, b, h in zip(links.a, links.b.astype("int64"), links.h, strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                low, high = sorted((a, b), key=lambda p: (height[p], -p))
-                out[low], top[low] = (height[low] - h, high), high
-        return pd.DataFrame({"plant_id": x.plant_id.iloc[0], "peak": list(height), "u": list(height.values()), "prominence": [out[p][0] for p in height], "parent": pd.array([out[p][1] for p in height], dtype="Int64")})
-
-    return rows.groupBy("plant_id").applyInPandas(merge, "plant_id long, peak long, u double, prominence double, parent long")
+    climbs = cut(ascents(nodes_u, e))
+    met = passes(nodes_u, climbs, e)
+    tops = climbs.where("peak = node_id").join(nodes_u, NODE).select("plant_id", F.col("node_id").alias("a"), F.lit(None).cast("long").alias("b"), (-F.col("u")).alias("h"), F.lit(None).cast("long").alias("id"))
+    rows = tops.union(met.select("plant_id", "a", "b", "pass.h", "pass.id"))
+    kind = nodes_u.schema["plant_id"].dataType.simpleString()
+    peaks = cut(rows.groupBy("plant_id").applyInPandas(_merged, f"plant_id {kind}, peak long, u double, prominence double, saddle_node long, saddle_val double, parent long"))
+    ends = F.struct((-F.col("saddle_val")).alias("h"), F.col("saddle_node").alias("id"))
+    jumps = [cut(peaks.where("parent is not null").select("plant_id", "peak", F.col("parent").alias("to"), ends.alias("end")))]
+    while True:
+        last = jumps[-1]
+        then = last.select("plant_id", F.col("peak").alias("to"), F.col("to").alias("to2"), F.col("end").alias("end2"))
+        longer = cut(last.join(then, ["plant_id", "to"]).select("plant_id", "peak", F.col("to2").alias("to"), F.col("end2").alias("end")))
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+    at = climbs.join(nodes_u, NODE).select(*NODE, "peak", _turn().alias("t"))
+    for jump in reversed(jumps):
+        at = at.join(jump, ["plant_id", "peak"], "left").select(*NODE, F.when(F.col("end") <= F.col("t"), F.col("to")).otherwise(F.col("peak")).alias("peak"), "t")
+    return peaks, at.select(*NODE, "peak")
+
+
+def basins(nodes_u: DataFrame, e: DataFrame) -> DataFrame:
+    """plant_id, node_id, peak: the labels of the join tree."""
+    return join_tree(nodes_u, e)[1]
+
+
+def prominences(nodes_u: DataFrame, e: DataFrame) -> DataFrame:
+    """The peaks of the join tree."""
+    return join_tree(nodes_u, e)[0]
 
 
 def prominent_maxima(peaks: DataFrame, h: float) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from plantmill.functions.vec import angdist_deg, clamp, cross3, dot3, mod2pi, norm3, unit3, vec, wrap_pi
+from plantmill.operators import curves
+from plantmill.operators.components import cut
 
 
 def by_fruit() -> WindowSpec:
@@ -52,7 +54,7 @@ def roll_up(fruits: DataFrame) -> DataFrame:
 def polar_azimuth(directions: DataFrame) -> DataFrame:
     """directions(sx.., bx.., rx..) with theta, phi of the branch b about the stem s, against a reference r; unit vectors are made here.
 
-    phi is in [0, 2 pi), and NaN where the reference or the branch runs along the stem.
+    phi is in [0, 2 pi), and NaN where the branch or the reference runs along the stem.
     """
     out = directions
     for p in "sbr":
@@ -61,7 +63,9 @@ def polar_azimuth(directions: DataFrame) -> DataFrame:
     s, b, r = (vec(*(f"_{p}{c}" for c in "xyz")) for p in "sbr")
     c = dot3(s, b)
     x, y = dot3(b, r) - dot3(s, r) * c, dot3(b, cross3(s, r))
-    flat = (F.abs(dot3(s, r)) > 1 - 1e-9) | (F.abs(c) > 1 - 1e-9)
+    across = [bk - c * sk for bk, sk in zip(b, s, strict=True)]
+    # The square root of the spacing of doubles at 1.
+    flat = (norm3(across) < 2.0**-26) | (F.abs(dot3(s, r)) > 1 - 2.0**-26)
     phi = F.when(flat, F.lit(float("nan"))).otherwise(mod2pi(F.atan2(y, x)))
     return out.withColumns({"theta": F.acos(clamp(c, -1.0, 1.0)), "phi": phi}).drop(*(f"_{p}{k}" for p in "sbr" for k in "xyz"))
 
@@ -88,17 +92,17 @@ def angle_errors(rows: DataFrame) -> DataFrame:
         for k, e in enumerate(_perpendicular(base)):
             out = out.withColumns({f"_{p}{k}{c}": x for c, x in zip("xyz", e, strict=True)})
     c = dot3(s, b)
-    sine = F.sqrt(1 - c * c)
+    sine = F.sqrt(F.greatest(F.lit(0.0), 1 - c * c))
     x, y = dot3(b, r) - dot3(s, r) * c, dot3(b, cross3(s, r))
     jacobian = []
     for p, se in (("s", F.col("se_s")), ("b", F.col("se_b"))):
         for k in range(2):
             e = vec(*(f"_{p}{k}{a}" for a in "xyz"))
             if p == "s":
-                dt, dx, dy = -dot3(b, e) / sine, -dot3(e, r) * c - dot3(s, r) * dot3(e, b), dot3(b, cross3(e, r))
+                dt, dx, dy = F.try_divide(-dot3(b, e), sine), -dot3(e, r) * c - dot3(s, r) * dot3(e, b), dot3(b, cross3(e, r))
             else:
-                dt, dx, dy = -dot3(s, e) / sine, dot3(e, r) - dot3(s, r) * dot3(s, e), dot3(e, cross3(s, r))
-            jacobian.append((dt, (x * dy - y * dx) / (x * x + y * y), se * se / 2))
+                dt, dx, dy = F.try_divide(-dot3(s, e), sine), dot3(e, r) - dot3(s, r) * dot3(s, e), dot3(e, cross3(s, r))
+            jacobian.append((dt, F.try_divide(x * dy - y * dx, x * x + y * y), se * se / 2))
     deg = 180 / 3.141592653589793
     total = lambda f: sum(f(t, p) * v for t, p, v in jacobian)
     out = out.withColumns({"se_polar": F.sqrt(total(lambda t, p: t * t)) * deg, "se_azimuth": F.sqrt(total(lambda t, p: p * p)) * deg, "cov": total(lambda t, p: t * p) * deg * deg})
@@ -111,6 +115,18 @@ def flag_angles(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"theta": F.when(F.col("degenerate"), nan).otherwise(F.col("theta")), "phi": F.when(F.col("degenerate"), nan).otherwise(F.col("phi")), "flagged": F.col("degenerate") | F.isnan("phi")})
 
 
+def emergence_angles(rows: DataFrame) -> DataFrame:
+    """rows(unit sx.., bx.., reference rx.., se_s, se_b, degenerate) with theta, phi, flagged, se_polar, se_azimuth and cov.
+
+    A degenerate fit has NaN for all. Where no azimuth is defined the polar angle stays, with the stem's error.
+    """
+    nan = F.lit(float("nan"))
+    out = flag_angles(polar_azimuth(angle_errors(rows)))
+    lost = F.isnan("phi")
+    polar = F.when(F.col("degenerate"), nan).when(lost, F.degrees("se_s")).otherwise(F.col("se_polar"))
+    return out.withColumns({"se_polar": polar, "se_azimuth": F.when(lost, nan).otherwise(F.col("se_azimuth")), "cov": F.when(lost, nan).otherwise(F.col("cov"))})
+
+
 def quadratic_fit(samples: DataFrame, keys: list[str]) -> DataFrame:
     """keys, b0x.., b1x.., b2x.., nu, se: weighted quadratic fits of samples(keys, u, w, x, y, z) and the error of their direction.
 
@@ -137,6 +153,27 @@ def quadratic_fit(samples: DataFrame, keys: list[str]) -> DataFrame:
     return g.join(rss, keys).select(*keys, *coef, "nu", (F.sqrt(F.lit(2.0)) * F.sqrt(F.col("rss") / (3 * F.col("nu")) * F.col("v")) / size).alias("se"))
 
 
+def tangent_fit(at: DataFrame, dense: DataFrame, points: DataFrame, sigma: float, h: float, n: int = 31, k_trunc: float = 6.0) -> DataFrame:
+    """at(curve_id, fit_id, s0) with tx, ty, tz, se (radians), degenerate, s_min, s_max and the coefficients b0x.. of the fit.
+
+    A quadratic in (s - s0) / h with Gaussian weights through n points of the smoothed curve within 3 h of s0. A window
+    narrower than h / 10 is degenerate: NaN.
+    """
+    length = dense.groupBy("curve_id").agg(F.max("s").alias("_l"))
+    low, high = F.greatest(F.lit(0.0), F.col("s0") - 3 * h), F.least(F.col("_l"), F.col("s0") + 3 * h)
+    own = at.select("curve_id", "fit_id", "s0").join(length, "curve_id").select("curve_id", "fit_id", "s0", low.alias("s_min"), high.alias("s_max"))
+    own = cut(own.withColumn("degenerate", F.col("s_max") - F.col("s_min") < h / 10))
+    asked = own.where("not degenerate").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    asked = asked.select("curve_id", "fit_id", "s0", (F.col("s_min") + (F.col("s_max") - F.col("s_min")) * F.col("_k") / (n - 1)).alias("s"))
+    found = curves.evaluate(asked, dense, points, sigma, k_trunc).withColumn("u", (F.col("s") - F.col("s0")) / h)
+    samples = cut(found.select("curve_id", "fit_id", "u", F.exp(-F.col("u") * F.col("u") / 2).alias("w"), "x", "y", "z"))
+    fit = quadratic_fit(samples, ["curve_id", "fit_id"])
+    size = norm3(vec("b1x", "b1y", "b1z"))
+    nan = F.lit(float("nan"))
+    out = own.join(fit, ["curve_id", "fit_id"], "left").withColumns({f"t{c}": F.coalesce(F.col(f"b1{c}") / size, nan) for c in "xyz"})
+    return out.withColumns({c: F.coalesce(c, nan) for c in ("se", "nu", *(f"b{k}{c}" for k in range(3) for c in "xyz"))})
+
+
 def fit_position(curves: DataFrame, offset: float, sigma: float, h: float) -> DataFrame:
     """curves(length) with s0: offset * sigma, moved back to max(length - 3h, 0)."""
     return curves.withColumn("s0", F.least(F.lit(offset * sigma), F.greatest(F.col("length") - 3 * h, F.lit(0.0))))
@@ -149,6 +186,17 @@ def accuracy(fruits: DataFrame, truth: DataFrame) -> DataFrame:
     return met.groupBy("plant_id").agg(F.avg(err).alias("mean_error"), F.max(err).alias("max_error"))
 
 
+def polar_arcs(rows: DataFrame, length: float, n: int = 30) -> DataFrame:
+    """plant_id, fruit_id, step, x, y, z: the arc from stem to branch tangent about the junction (px.., sx.., bx.., theta), n steps of equal angle.
+
+    Rows without both tangents, and those whose tangents are within 0.001 of each other, have none.
+    """
+    both = rows.where(~F.isnan("theta") & (F.col("theta") > 1e-3)).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    part = F.col("step") / (n - 1)
+    turn = lambda c: (F.sin((1 - part) * F.col("theta")) * F.col(f"s{c}") + F.sin(part * F.col("theta")) * F.col(f"b{c}")) / F.sin("theta")
+    return both.select("plant_id", "fruit_id", "step", *((F.col(f"p{c}") + 0.5 * length * turn(c)).alias(c) for c in "xyz"))
+
+
 def arc_samples(fruits: DataFrame, n: int) -> DataFrame:
     """plant_id, fruit_id, step, angle: the sweep from each azimuth to the next in the winding direction, n steps."""
     nxt = F.lead("azimuth").over(by_fruit())

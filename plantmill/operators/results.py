@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantmill.operators.components import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old without the keys of new, and new."""
@@ -50,21 +53,33 @@ def next_plant(scans: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def around(scans: DataFrame) -> DataFrame:
-    """plant_id, previous, next in cyclic order. Plant lists are small next to their data, but ranges keep the sort parallel."""
-    w = Window.partitionBy("grp").orderBy("plant_id")
-    ids = scans.select("plant_id", "grp").distinct()
-    whole = Window.partitionBy("grp")
-    return ids.select("grp", "plant_id", F.coalesce(F.lag("plant_id").over(w), F.max("plant_id").over(whole)).alias("previous"), F.coalesce(F.lead("plant_id").over(w), F.min("plant_id").over(whole)).alias("next"))
+    """plant_id, previous, next: the plants in cyclic order.
+
+    Ids are sorted by ranges; only the first and last id of each range meet in one task.
+    """
+    ids = cut(scans.select("plant_id").distinct().repartitionByRange("plant_id").withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_p").orderBy("plant_id")
+    ends = ids.groupBy("_p").agg(F.min("plant_id").alias("low"), F.max("plant_id").alias("high"))
+    order, whole = Window.orderBy("low"), Window.partitionBy()
+    ends = ends.select("_p", F.coalesce(F.lag("high").over(order), F.max("high").over(whole)).alias("before"), F.coalesce(F.lead("low").over(order), F.min("low").over(whole)).alias("after"))
+    met = ids.join(F.broadcast(ends), "_p")  # one row for each range
+    return met.select("plant_id", F.coalesce(F.lag("plant_id").over(w), F.col("before")).alias("previous"), F.coalesce(F.lead("plant_id").over(w), F.col("after")).alias("next"))
+
+
+# The header of the CSV export, and the column that each name stands for.
+CSV = {
+    "plant_id": "plant_id", "fruit_id": "fruit_id", "fruit_length (mm)": "length", "polar (rad)": "polar", "se_polar (°)": "se_polar", "azimuth (rad)": "azimuth",
+    "se_azimuth (°)": "se_azimuth", "cov_polar_azimuth (°²)": "cov", "flagged": "flagged", "internode (mm)": "internode", "div_angle (°)": "div_angle", "chirality": "orientation",
+}
+VALUES = ["length", "polar", "azimuth", "se_polar", "se_azimuth", "cov", "flagged"]
 
 
 def export_rows(fruits: DataFrame) -> DataFrame:
-    """The rows of the CSV export: plant and winding on the first fruit only, internode and divergence on the others; sorted by the keys kept aside."""
+    """The rows of the CSV export with the keys that sort them: plant and winding on the first fruit only, internode and divergence on the others."""
     first = F.col("fruit_id") == 1
-    return fruits.select(
-        F.col("plant_id").alias("key_plant"), F.col("fruit_id").cast("long").alias("key_fruit"),
-        F.when(first, F.col("plant_id")).alias("plant_id"), F.when(first, F.col("orientation")).alias("chirality"),
-        F.col("arc"), F.when(~first, F.col("internode")).alias("internode"), F.when(~first, F.col("div_angle")).alias("div_angle"),
-    )
+    shown = {"plant_id": first, "orientation": first, "internode": ~first, "div_angle": ~first}
+    own = [(F.when(shown[c], F.col(c)) if c in shown else F.col(c)).alias(name) for name, c in CSV.items()]
+    return fruits.select(F.col("plant_id").alias("key_plant"), F.col("fruit_id").cast("long").alias("key_fruit"), *own)
 
 
 def write_csv(fruits: DataFrame, path: str) -> None:
@@ -72,10 +87,55 @@ def write_csv(fruits: DataFrame, path: str) -> None:
     export_rows(fruits).orderBy("key_plant", "key_fruit").drop("key_plant", "key_fruit").write.csv(path, header=True)
 
 
+def measurements(fruits: DataFrame) -> DataFrame:
+    """One row a plant: plant_id, orientation, and arrays of the fruits' values by rank; internodes and div_angles from the second fruit on."""
+    own = F.array_sort(F.collect_list(F.struct("fruit_id", *VALUES, "internode", "div_angle")))
+    rest = lambda c: F.transform(F.filter("f", lambda x: x["fruit_id"] > 1), lambda x: x[c])
+    rows = fruits.groupBy("plant_id").agg(F.first("orientation").alias("orientation"), own.alias("f"))
+    return rows.select("plant_id", "orientation", *(F.col("f")[c].alias(f"{c}s" if c == "length" else c) for c in VALUES), rest("internode").alias("internodes"), rest("div_angle").alias("div_angles"))
+
+
+def json_rows(fruits: DataFrame) -> DataFrame:
+    """plant_id, measurement: each plant's arrays as JSON text."""
+    rows = measurements(fruits)
+    return rows.select("plant_id", F.to_json(F.struct(*(c for c in rows.columns if c != "plant_id"))).alias("measurement"))
+
+
+def write_json(fruits: DataFrame, path: str) -> None:
+    measurements(fruits).write.json(path)
+
+
+def load_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Saved results of this schema; none where nothing has been saved there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def save_results(new: DataFrame, old: DataFrame, path: str, guard: str | None = None) -> DataFrame:
+    """Writes old with the rows of new in place of those of the same plant to a new path; the rejected rows where `guard` names a protecting column."""
+    good, bad = (upsert(old, new, ["plant_id"]), new.limit(0)) if guard is None else guarded_upsert(old, new, ["plant_id"], guard)
+    good.write.parquet(path)
+    return bad
+
+
+def pose_lines(cnc: DataFrame) -> DataFrame:
+    """plant_id, frame_idx, value: `image x y z` of each pose(plant_id, frame_idx, img_name, x, y, z)."""
+    return cnc.select("plant_id", "frame_idx", F.concat_ws(" ", "img_name", *(F.col(c).cast("double").cast("string") for c in "xyz")).alias("value"))
+
+
+def write_poses(cnc: DataFrame, path: str) -> None:
+    """A folder of text a plant, lines by frame."""
+    pose_lines(cnc).repartition("plant_id").sortWithinPartitions("plant_id", "frame_idx").select("plant_id", "value").write.partitionBy("plant_id").text(path)
+
+
 def to_plain(rows: DataFrame, keys: list[str], version: int = 1) -> DataFrame:
     """keys, format, version, body: rows as JSON text."""
     rest = [c for c in rows.columns if c not in keys]
-    return rows.select(*keys, F.lit("plantmill").alias("format"), F.lit(version).alias("version"), F.to_json(F.struct(*rest)).alias("body"))
+    return rows.select(*keys, F.lit("plantmill").alias("format"), F.lit(version).alias("version"), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("body"))
 
 
 def from_plain(plain: DataFrame, keys: list[str], schema: T.StructType, defaults: dict[str, object]) -> tuple[DataFrame, DataFrame]:
@@ -94,11 +154,11 @@ def from_plain(plain: DataFrame, keys: list[str], schema: T.StructType, defaults
     return good.select(*keys, *(value(f) for f in schema)), report
 
 
-def round_trip_differences(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that a dump and restore would change; none for a faithful schema."""
-    schema = T.StructType([f for f in rows.schema if f.name not in keys])
+def round_trip_differences(rows: DataFrame, keys: list[str], schema: T.StructType | None = None) -> DataFrame:
+    """The rows that a dump and a restore in `schema` (default: their own) would lose, and those that would appear instead; none for a faithful one."""
+    schema = schema or T.StructType([f for f in rows.schema if f.name not in keys])
     back, _ = from_plain(to_plain(rows, keys), keys, schema, {})
-    back = back.select(*rows.columns)
+    back = back.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema))
     return rows.exceptAll(back).unionByName(back.exceptAll(rows))
 
 

@@ -6,6 +6,10 @@ listed where names suffice; JSON files are read whole, one row each, and parsed
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +34,46 @@ def _whole(spark: SparkSession, root: str, name: str) -> DataFrame:
     return text.select("value", F.col("_metadata.file_path").alias("path"))
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """found(plant_id, stem, ...) with frame_idx: the rank of the name within its plant."""
+    return found.withColumn("frame_idx", F.row_number().over(Window.partitionBy("plant_id").orderBy("stem")))
+
+
 def images(spark: SparkSession, root: str) -> DataFrame:
     """plant_id, stem, frame_idx: the images of all scans, numbered by name within a plant."""
-    found = _listed(spark, root, "*_rgb.jpg").select(*_parts(IMAGE)).where("plant_id <> ''")
-    return found.withColumn("frame_idx", F.row_number().over(Window.partitionBy("plant_id").orderBy("stem")))
+    return numbered(_listed(spark, root, "*_rgb.jpg").select(*_parts(IMAGE)).where("plant_id <> ''"))
+
+
+def discover_scans(spark: SparkSession, root: str) -> DataFrame:
+    """kind, plant_id: `single` with the folder's own name if root is a valid scan, else `experiment` with each valid scan right below it; else one row `invalid` with no plant."""
+    here, parts = root.rstrip("/").rsplit("/", 1)[-1], F.split("path", "/")
+    own = _listed(spark, root, "*_rgb.jpg").select(*_parts(IMAGE), parts.alias("parts")).where("plant_id <> ''")
+    # How far below the root a scan lies: its folder is the root itself, or a folder right in it.
+    own = own.select("plant_id", F.get("parts", F.size("parts") - 4).alias("above")).distinct()
+    good = own.join(validate_scans(spark, root).where("valid"), "plant_id", "left_semi")
+    single = good.where(F.col("plant_id") == here).select(F.lit(0).alias("rank"), F.lit("single").alias("kind"), "plant_id")
+    below = good.where(F.col("above") == here).select(F.lit(1).alias("rank"), F.lit("experiment").alias("kind"), "plant_id")
+    none = spark.range(1).select(F.lit(2).alias("rank"), F.lit("invalid").alias("kind"), F.lit(None).cast("string").alias("plant_id"))
+    found = single.union(below).union(none)
+    return found.join(found.agg(F.min("rank").alias("rank")), "rank").select("kind", "plant_id")
+
+
+def pixels(spark: SparkSession, root: str) -> DataFrame:
+    """plant_id, frame_idx, row, col (from 1), r, g, b in 0 to 1: the pixels of all images that Spark's image reader can decode."""
+    raw = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_rgb.jpg").option("dropInvalid", "true").load(root)
+    named = raw.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data").select(*_parts(IMAGE), "height", "width", "nChannels", "data")
+    own = named.join(images(spark, root), ["plant_id", "stem"]).select("plant_id", "frame_idx", "height", "width", "nChannels", "data")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for im in batch.itertuples():
+                # Rows of blue, green, red bytes; a grey image has one byte.
+                whole = np.frombuffer(im.data, np.uint8).reshape(im.height, im.width, im.nChannels)
+                blue, green, red = (whole[:, :, min(k, im.nChannels - 1)] for k in range(3))
+                row, col = np.divmod(np.arange(im.height * im.width), im.width)
+                yield pd.DataFrame({"plant_id": im.plant_id, "frame_idx": im.frame_idx, "row": row + 1, "col": col + 1, "r": red.ravel() / 255, "g": green.ravel() / 255, "b": blue.ravel() / 255})
+
+    return own.mapInPandas(run, "plant_id string, frame_idx int, row long, col long, r double, g double, b double")
 
 
 def validate_scans(spark: SparkSession, root: str) -> DataFrame:

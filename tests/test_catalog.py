@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = df.columns
-    same_rows(duck.execute(f"select {', '.join(columns)} from ({catalog.ORACLES[name]})").fetchall(), [tuple(r) for r in df.collect()])
+    same_rows(duck.execute(f"select {', '.join(f'"{c}"' for c in columns)} from ({catalog.ORACLES[name]})").fetchall(), [tuple(r) for r in df.collect()])
 
 
 def test_entry(spark):

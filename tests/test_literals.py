@@ -165,7 +165,138 @@ def test_curves(spark):
     zigzag = curve(spark, [(0.3 * (-1) ** k, 0, k / 2) for k in range(201)])
     assert curves.smooth_curves(zigzag, 1.5).agg(F.max("s")).first()[0] == pytest.approx(100, rel=0.02)
     target = spark.createDataFrame([(1, 1, 5.0, 10.0, 10.2)], "curve_id int, target_id int, qx double, qy double, qz double")
-    assert curves.project_points(target, curves.smooth_curves(line, 1.5)).first().t == pytest.approx((5 + 20 + 20.4) / 3, abs=1e-3)
+    assert curves.project_points(target, curves.smooth_curves(line, 1.5), line, 1.5).first().t == pytest.approx((5 + 20 + 20.4) / 3, abs=1e-3)
+
+
+def test_feet_on_smooth_curves(spark):
+    """The closest place of a helix by dense evaluation; beyond the ends the ends are it."""
+    way = curve(spark, [(10 * math.cos(t), 10 * math.sin(t), 2 * t) for t in (4 * math.pi * k / 199 for k in range(200))])
+    dense = curves.smooth_curves(way, 1.0)
+    asked = [(1, k, 12 * math.cos(0.7 * k), 9 * math.sin(0.7 * k), 1.3 * k) for k in range(1, 17)] + [(1, 90, 10.0, -9.0, -5.0), (1, 91, 10.0, 9.0, 60.0)]
+    got = {r.target_id: r for r in curves.project_points(spark.createDataFrame(asked, "curve_id int, target_id int, qx double, qy double, qz double"), dense, way, 1.0).collect()}
+    assert len(got) == len(asked)
+    end = dense.agg(F.max("t")).first()[0]
+    fine = spark.range(20001).select(F.lit(1).alias("curve_id"), F.col("id").alias("k"), (F.col("id") * end / 20000).alias("t"))
+    places = [(r.x, r.y, r.z) for r in curves.kernel_positions(fine, curves.arc_length(way), 1.0).orderBy("k").collect()]
+    for _, k, *q in asked:
+        assert got[k].dist == pytest.approx(min(math.dist(q, p) for p in places), abs=1e-4)
+
+
+def test_sparse_points_take_the_two_around(spark):
+    """No point lies within reach of the query: the two around it count, by their weights; every query keeps its row."""
+    way = curve(spark, [(0, 0, 0), (100, 0, 0), (200, 0, 0)])
+    at = spark.createDataFrame([(1, 49.0), (1, 50.0), (1, 100.0)], "curve_id int, t double")
+    out = {r.t: r for r in curves.kernel(at, curves.arc_length(way), 2.0).collect()}
+    assert out[50.0].x == pytest.approx(50) and out[50.0].dx > 0 and out[100.0].x == pytest.approx(100) and out[49.0].x < 1
+
+
+def test_line_elements():
+    """Offsets by hand at a half-length of 2; a line reaches its full length along its main axis at every angle."""
+    assert image.line_element(2, math.pi / 4) == [(-2, -2), (-1, -1), (1, 1), (2, 2)]
+    assert image.line_element(2, math.pi / 8) == [(-1, -2), (-1, -1), (1, 1), (1, 2)]
+    assert image.line_element(2, 0) == [(0, -2), (0, -1), (0, 1), (0, 2)] and image.line_element(0, 1.0) == []
+    assert all(max(max(abs(a), abs(b)) for a, b in image.line_element(5, k * math.pi / 20)) == 5 for k in range(20))
+
+
+def test_tiles_do_not_change_images(spark):
+    rng = random.Random(5)
+    rows = [(1, 1, r, c, rng.random()) for r in range(1, 31) for c in range(1, 24) if rng.random() < 0.95]
+    feat = spark.createDataFrame(rows, "plant_id int, frame_idx int, row int, col int, feat double")
+    whole = lambda f: {(r.row, r.col): round(r.feat, 9) for r in f.collect()}
+    for op in (lambda t: image.thin_lines(feat, 2, t), lambda t: image.blur(feat, 1.5, t), lambda t: image.opening(feat, image.box_element(1), t)):
+        assert whole(op(7)) == whole(op(256)) and len(whole(op(7))) == len(rows)
+
+
+def test_bricks_do_not_change_smoothing(spark):
+    """Bricks of three voxels, halos of four steps, and the dense solution."""
+    import numpy as np
+
+    rng = random.Random(2)
+    cells = [(i, j, k) for i in range(7) for j in range(5) for k in range(4) if rng.random() < 0.9]
+    lod = spark.createDataFrame([(1, *c, rng.uniform(-9, 9)) for c in cells], "plant_id int, i long, j long, k long, lod double")
+    value = {(r.i, r.j, r.k): r.lod for r in lod.collect()}
+    place = {c: n for n, c in enumerate(cells)}
+    a = np.eye(len(cells))
+    for c in cells:
+        for step in ((1, 0, 0), (0, 1, 0), (0, 0, 1)):
+            o = tuple(x + y for x, y in zip(c, step, strict=True))
+            if o in place:
+                w, u, v = 3.0 * math.exp(-(((value[c] - value[o]) / 10) ** 2)), place[c], place[o]
+                a[u, u] += w
+                a[v, v] += w
+                a[u, v] -= w
+                a[v, u] -= w
+    want = np.linalg.solve(a, [value[c] for c in cells])
+    for brick, halo in ((3, 4), (64, 20)):
+        got = {(r.i, r.j, r.k): r.smoothed for r in volume.smooth(lod, 10.0, 3.0, brick=brick, halo=halo).collect()}
+        assert [got[c] for c in cells] == pytest.approx(list(want), abs=1e-7)
+
+
+def test_votes_by_slab(spark):
+    grids = spark.createDataFrame([(1, -2.0, -2.0, 8.0, 4.0, 4.0, 4.0, 1.0), (2, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0)], "plant_id int, ox double, oy double, oz double, wx double, wy double, wz double, voxel_size double")
+    frames = spark.createDataFrame([frame()], FRAME)
+    mask = spark.createDataFrame([(1, 1, r, c) for r in range(1, 49) for c in range(1, 65) if (r + c) % 3], "plant_id int, frame_idx int, row int, col int")
+    counts = lambda slab: {tuple(r) for r in volume.vote_counts(grids, frames, mask, slab).collect()}
+    pixels = camera.project(camera.voxels_from_bbox(grids), frames).join(mask.withColumn("hit", F.lit(1)), ["plant_id", "frame_idx", "row", "col"], "left")
+    want = {(r.plant_id, r.i, r.j, r.k, 1, int(r.hit is not None)) for r in pixels.collect()}
+    got = counts(1 << 20)
+    assert got == counts(30) and {r for r in got if r[4]} == want and len(got) == 125 + 8
+
+
+def test_paths_do_not_depend_on_blocks(spark):
+    """A stem of 1200 steps in a row, and a mesh: blocks of any size give what a heap gives."""
+    rng = random.Random(9)
+    links = [(1, n, n + 1, 1.0 + n % 7) for n in range(1, 1200)] + [(2, a, b, float(rng.randint(1, 9))) for a in range(1, 90) for b in {rng.randint(1, 90) for _ in range(4)} if a < b]
+    e = spark.createDataFrame(links, "plant_id int, u long, v long, w double")
+    sources = spark.createDataFrame([(1, 1), (2, 5), (2, 60)], "plant_id int, node_id long")
+    near: dict[tuple[int, int], tuple[float, int]] = {}
+    around: dict[tuple[int, int], list[tuple[int, float]]] = {}
+    for p, u, v, w in links:
+        around.setdefault((p, u), []).append((v, w))
+        around.setdefault((p, v), []).append((u, w))
+    heap = [(0.0, n, p, n) for p, n in ((1, 1), (2, 5), (2, 60))]
+    while heap:
+        d, s, p, n = heapq.heappop(heap)
+        if (p, n) not in near:
+            near[p, n] = (d, s)
+            for m, w in around.get((p, n), []):
+                heapq.heappush(heap, (d + w, s, p, m))
+    for block in (16, 1 << 14):
+        sp = graph.shortest_paths(e, sources, "w", block=block)
+        got = {(r.plant_id, r.node_id): (r.dist, r.nearest_source) for r in sp.collect()}
+        assert got == near
+        ends = spark.createDataFrame([(1, 1200), (2, 33)], "plant_id int, node_id long")
+        ways = graph.extract_paths(sp, ends, block).orderBy("plant_id", "seq").collect()
+        assert [r.node_id for r in ways if r.plant_id == 1] == list(range(1200, 0, -1))
+        assert [r.node_id for r in ways if r.plant_id == 2][-1] == near[2, 33][1]
+    bound = graph.shortest_paths(e, sources, "w", targets=spark.createDataFrame([(1, 40)], "plant_id int, node_id long"), block=16)
+    assert {(r.plant_id, r.node_id) for r in bound.collect()} == {k for k, (d, _) in near.items() if k[0] == 2 or d <= near[1, 40][0]}
+
+
+def test_sweep_takes_the_tall_side(spark):
+    """A pass beside a low node of a tall peak and a higher node of a low one belongs to the tall peak when it is swept."""
+    u = spark.createDataFrame([(1, n + 1, float(h)) for n, h in enumerate((10, 5, 4, 6, 7))], "plant_id int, node_id long, u double")
+    e = spark.createDataFrame([(1, n, n + 1) for n in range(1, 5)], "plant_id int, u long, v long")
+    assert {r.node_id: r.peak for r in graph.basins(u, e).collect()} == {1: 1, 2: 1, 3: 1, 4: 5, 5: 5}
+    low = graph.prominences(u, e).where("peak = 5").first()
+    assert (low.saddle_node, low.saddle_val, low.parent, low.prominence) == (3, 4.0, 1, 3.0)
+
+
+def test_surface_of_a_ball_is_closed(spark):
+    cells = [(1, i, j, k, 3.2 - math.dist((i, j, k), (5, 5, 5))) for i in range(11) for j in range(11) for k in range(11)]
+    grids = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0)], "plant_id int, ox double, oy double, oz double, voxel_size double")
+    vertices, triangles = volume.isosurface(spark.createDataFrame(cells, "plant_id int, i long, j long, k long, lod double"), grids, 0.0)
+    at = {(tuple(r.a), tuple(r.b)): (r.x, r.y, r.z) for r in vertices.collect()}
+    assert all(abs(math.dist(p, (5.5, 5.5, 5.5)) - 3.2) < 0.2 for p in at.values())
+    sides, volume6 = {}, 0.0
+    for r in triangles.collect():
+        own = [(tuple(c.a), tuple(c.b)) for c in r.corners]
+        for a, b in zip(own, own[1:] + own[:1], strict=True):
+            sides[a, b] = sides.get((a, b), 0) + 1
+        p, q, s = (at[c] for c in own)
+        volume6 += p[0] * (q[1] * s[2] - q[2] * s[1]) - p[1] * (q[0] * s[2] - q[2] * s[0]) + p[2] * (q[0] * s[1] - q[1] * s[0])
+    assert all(n == 1 and sides.get((b, a)) == 1 for (a, b), n in sides.items())
+    assert volume6 / 6 == pytest.approx(4 / 3 * math.pi * 3.2**3, rel=0.05)
 
 
 def test_angles(spark):
