@@ -17,7 +17,7 @@ from plantmill.functions.vec import angdist_deg
 from plantmill.jobs import measurement, skeleton
 from plantmill.operators import camera, components, curves, graph, image, measure, results, volume
 from plantmill.sources import scans
-from plantmill.sources.tables import COLS, ROWS, SIDE, load, with_clause
+from plantmill.sources.tables import COLS, FRAMES, ROWS, SIDE, load, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,10 +161,72 @@ def j5_pose_priors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(("images",), "SELECT plant_id, count(*) AS n_images, count(*) FILTER (has_pose = 0) AS n_missing, count(*) > 0 AND count(*) FILTER (has_pose = 0) = 0 AS valid FROM images GROUP BY plant_id")
 def s2_valid_scans(spark: SparkSession, d: str) -> DataFrame:
-    images = load(spark, d, "images").select("plant_id", "frame_idx", "has_pose")
-    lost = images.join(images.where("has_pose = 1").select("plant_id", "frame_idx"), ["plant_id", "frame_idx"], "left_anti").select("plant_id", "frame_idx", F.lit(1).alias("lost"))
-    n, bad = F.count(F.lit(1)), F.count("lost")
-    return images.join(lost, ["plant_id", "frame_idx"], "left").groupBy("plant_id").agg(n.alias("n_images"), bad.alias("n_missing"), ((n > 0) & (bad == 0)).alias("valid"))
+    return scans.validity(*listed(spark, d)).withColumn("plant_id", F.col("plant_id").cast("long"))
+
+
+def listed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The images of scan folders with an image a row, and the paths of their metadata."""
+    own = load(spark, d, "images")
+    return scans.image_list(own.select(in_folder("images", F.lit("jpg")))), own.where("has_pose = 1").select(in_folder("metadata/images", F.lit("json")))
+
+
+def in_folder(folder: str, suffix: Column) -> Column:
+    return F.concat(F.lit("file:/data/field/"), "plant_id", F.lit(f"/{folder}/"), F.format_string("%05d_rgb.", "frame_idx"), suffix).alias("path")
+
+
+@query(("images",), "SELECT 'experiment' AS kind, plant_id::VARCHAR AS plant_id FROM images GROUP BY plant_id HAVING count(*) FILTER (has_pose = 0) = 0")
+def s1_scan_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The valid scans of a folder of scans."""
+    own, meta = listed(spark, d)
+    paths = load(spark, d, "images").select(in_folder("images", F.lit("jpg")))
+    return scans.folder_kind(paths, scans.validity(own, meta).where("valid"), "/data/field/")
+
+
+@query(("images",), "SELECT plant_id::VARCHAR AS plant_id, row_number() OVER (PARTITION BY plant_id ORDER BY frame_idx) AS frame_idx, x, y, z FROM images QUALIFY has_pose = 1")
+def s3_cnc_poses(spark: SparkSession, d: str) -> DataFrame:
+    """Poses out of the JSON text of each image; images without one are not listed."""
+    text = F.to_json(F.struct(F.array("x", "y", "z", F.lit(0.0)).alias("approximate_pose"), F.lit("rgb").alias("channel")))
+    texts = load(spark, d, "images").where("has_pose = 1").select(in_folder("metadata/images", F.lit("json")), text.alias("value"))
+    return scans.poses_in(texts, listed(spark, d)[0]).select("plant_id", "frame_idx", "x", "y", "z")
+
+
+_POSE = [f"r{a}{b}" for a in (1, 2, 3) for b in (1, 2, 3)] + ["t1", "t2", "t3"]
+_LENS = ["fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2"]
+
+
+@query(("frames",), f"SELECT plant_id::VARCHAR AS plant_id, frame_idx, {', '.join(_POSE)}, width, height, {', '.join(_LENS)} FROM frames")
+def s4_camera_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames out of the JSON texts of cameras and poses, a file of each kind a plant."""
+    own = frames(spark, d)
+    folder = lambda name: F.concat(F.lit("file:/data/field/"), "plant_id", F.lit(f"/{name}")).alias("path")
+    camera_of = F.struct("width", "height", F.lit("OPENCV").alias("model"), F.array(*_LENS).alias("params"))
+    cameras = own.groupBy("plant_id").agg(F.first(camera_of).alias("c")).select(folder("cameras.json"), F.to_json(F.create_map(F.lit("1"), "c")).alias("value"))
+    pose = F.struct(F.array(*(F.array(*(f"r{a}{b}" for b in (1, 2, 3))) for a in (1, 2, 3))).alias("rotmat"), F.array("t1", "t2", "t3").alias("tvec"))
+    named = F.struct(F.format_string("%05d_rgb.jpg", "frame_idx"), pose)
+    poses = own.groupBy("plant_id").agg(F.map_from_entries(F.collect_list(named)).alias("m")).select(folder("images.json"), F.to_json("m").alias("value"))
+    return scans.frames_in(cameras, poses, scans.image_list(own.select(in_folder("images", F.lit("jpg"))))).drop("img_name")
+
+
+@query(("grids", "frames"), f"SELECT plant_id::VARCHAR AS plant_id, ox, oy, oz, wx, wy, wz, voxel_size, CASE plant_id % 3 WHEN 0 THEN 'carving' WHEN 1 THEN 'counting' ELSE 'averaging' END AS method, {FRAMES} - CASE WHEN plant_id % 2 = 0 THEN 1 ELSE 2 END AS threshold FROM grids")
+def s7_voxel_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Grids out of JSON text: ends in any order, a type or a method or neither, a number of images that may miss or none."""
+    kind, even = F.col("plant_id") % 3, F.col("plant_id") % 2 == 0
+    box = F.struct(*(F.array(F.col(f"o{c}") + F.col(f"w{c}"), f"o{c}").alias(c) for c in "xyz"))
+    task = F.struct(box.alias("bounding_box"), "voxel_size", F.when(kind == 0, "carving").alias("type"), F.when(kind == 0, "other").when(kind == 1, "counting").alias("method"), F.when(even, 1).alias("missing_images_threshold"))
+    texts = load(spark, d, "grids").select(F.concat(F.lit("file:/data/field/"), "plant_id", F.lit("/metadata/Voxels_1.json")).alias("path"), F.to_json(F.struct(task.alias("task_params"))).alias("value"))
+    return scans.voxels_in(texts, scans.image_list(frames(spark, d).select(in_folder("images", F.lit("jpg")))))
+
+
+@query(("pixels",), f"SELECT a.plant_id, a.frame_idx, y.row, x.col, coalesce(round(p.r * 255), 0) / 255 AS r, coalesce(round(p.g * 255), 0) / 255 AS g, coalesce(round(p.b * 255), 0) / 255 AS b FROM (SELECT DISTINCT plant_id, frame_idx FROM pixels) a, (SELECT unnest(range(1, {ROWS + 1})) AS row) y, (SELECT unnest(range(1, {COLS + 1})) AS col) x LEFT JOIN pixels p ON p.plant_id = a.plant_id AND p.frame_idx = a.frame_idx AND p.row = y.row AND p.col = x.col")
+def s6_image_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels out of image bytes (rows of blue, green, red); where the table has none the byte is 0."""
+    at = ((F.col("row") - 1) * COLS + F.col("col") - 1).cast("int")
+    colour = F.concat(*(F.lpad(F.hex(F.round(F.col(c) * 255).cast("long")), 2, "0") for c in "bgr"))
+    entry = F.map_from_entries(F.collect_list(F.struct(at, colour)))
+    whole = load(spark, d, "pixels").groupBy("plant_id", "frame_idx").agg(entry.alias("m"))
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(ROWS * COLS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit("000000"))), ""))
+    rows = whole.select("plant_id", F.col("frame_idx").cast("int").alias("frame_idx"), F.lit(ROWS).alias("height"), F.lit(COLS).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
+    return scans.decoded(rows)
 
 
 # --- images and masks
@@ -458,7 +520,7 @@ def g2_truncation(spark: SparkSession, d: str) -> DataFrame:
 
 @query(("occupied",), f"{_TRUNC} SELECT plant_id, face, node_id FROM fb JOIN dt USING (plant_id, node_id) WHERE face <> 'k0' QUALIFY row_number() OVER (PARTITION BY plant_id, face, label ORDER BY dt DESC, node_id) = 1")
 def g16_truncated_tips(spark: SparkSession, d: str) -> DataFrame:
-    return graph.truncated_tips(nodes(spark, d), transformed(spark, d), DIMS)
+    return graph.truncated_tips(graph.truncation(nodes(spark, d), DIMS), transformed(spark, d))
 
 
 @query(("occupied",), f"{_MB} SELECT plant_id, node_id, {q('dt')} AS dt FROM mb")
@@ -1017,9 +1079,9 @@ def g23_changed_parameters(spark: SparkSession, d: str) -> DataFrame:
     """Tips after a huge prominence (none is left), after the first one again, after other conductance, and after a threshold that takes the last voxel of each shoot."""
     sk, out = grown(spark, d), None
     few = load(spark, d, "twig_voxels").where("is_tip").select("plant_id", *(F.col(a).cast("long").alias(a) for a in "ijk"))
-    huge = skeleton.change_prominence(sk, 500.0, DIMS, SHOOTS)
+    huge = skeleton.change_prominence(sk, 500.0)
     changed = {
-        "huge": huge, "back": skeleton.change_prominence(huge, SHOOTS.h, DIMS, SHOOTS), "conductance": skeleton.change_conductance(sk, replace(SHOOTS, beta=3.0, nu_min=0.05)),
+        "huge": huge, "back": skeleton.change_prominence(huge, SHOOTS.h), "conductance": skeleton.change_conductance(sk, replace(SHOOTS, beta=3.0, nu_min=0.05)),
         "threshold": skeleton.change_threshold(sk, canes(spark, d).join(few, ["plant_id", "i", "j", "k"], "left_anti"), DIMS, SHOOTS),
     }
     for name, new in changed.items():

@@ -34,6 +34,7 @@ class Skeleton:
     branches: DataFrame  # plant_id, tip, seq, node_id from stem to tip
     dist: DataFrame  # plant_id, node_id, dist: lengths from the root
     peaks: DataFrame  # the join tree of dist
+    faces: DataFrame  # where the plant leaves the box
 
 
 def build_graph(occupied: DataFrame, dims: tuple[int, int, int], params: Params = Params()) -> tuple[DataFrame, DataFrame]:
@@ -98,11 +99,11 @@ def with_options(tips: DataFrame) -> DataFrame:
     return tips.select(*NODE, *(F.col(c) if c in tips.columns else F.lit(None).cast(k).alias(c) for c, k in OPTIONS.items()))
 
 
-def _candidates(dt: DataFrame, peaks: DataFrame, dims: tuple[int, int, int], params: Params) -> tuple[DataFrame, DataFrame]:
+def _candidates(dt: DataFrame, peaks: DataFrame, faces: DataFrame, h: float) -> tuple[DataFrame, DataFrame]:
     """Peaks of enough prominence that do not touch the box, and the tips where a plant leaves the box other than below."""
-    high = graph.prominent_maxima(peaks, params.h).select("plant_id", F.col("peak").alias("node_id"))
-    maxima = cut(high.join(graph.truncation(dt.select(*NODE, *graph.AXES), dims, params.least).select(*NODE).distinct(), NODE, "left_anti"))
-    return maxima, cut(graph.truncated_tips(dt.select(*NODE, *graph.AXES), dt, dims, params.least))
+    high = graph.prominent_maxima(peaks, h).select("plant_id", F.col("peak").alias("node_id"))
+    maxima = cut(high.join(faces.select(*NODE).distinct(), NODE, "left_anti"))
+    return maxima, cut(graph.truncated_tips(faces, dt))
 
 
 def _fruit_tips(maxima: DataFrame, truncated: DataFrame, dist: DataFrame, e: DataFrame, root: DataFrame, top: DataFrame, h: float) -> DataFrame:
@@ -135,12 +136,13 @@ def _rooted(dt: DataFrame, e: DataFrame, dims: tuple[int, int, int], params: Par
     field = dist.select("plant_id", "node_id", F.col("dist").alias("u"))
     joined = e.join(field.select("plant_id", F.col("node_id").alias("u")), ["plant_id", "u"], "left_semi")
     peaks = cut(graph.prominences(field, joined))
-    maxima, truncated = _candidates(dt, peaks, dims, params)
+    faces = cut(graph.truncation(dt.select(*NODE, *graph.AXES), dims, params.least))
+    maxima, truncated = _candidates(dt, peaks, faces, params.h)
     top = stem_top(maxima, truncated, dt, dist)
     top = cut(top if tops is None else upsert(top, tops.select(*NODE), ["plant_id"]))
     found = with_options(_fruit_tips(maxima, truncated, dist, e, root, top, params.h))
     found = found if tips is None else upsert(found, with_options(tips), ["plant_id"])
-    return _attached(Skeleton(dt, e, root, top, found, found, found, dist, peaks), top, found)
+    return _attached(Skeleton(dt, e, root, top, found, found, found, dist, peaks, faces), top, found)
 
 
 def move_root(sk: Skeleton, roots: DataFrame, dims: tuple[int, int, int], params: Params = Params()) -> Skeleton:
@@ -155,9 +157,9 @@ def move_top(sk: Skeleton, tops: DataFrame, params: Params = Params()) -> Skelet
     return _attached(sk, top, graph.far_from_top(sk.tips, sk.edges, top, params.h))
 
 
-def change_prominence(sk: Skeleton, h: float, dims: tuple[int, int, int], params: Params = Params()) -> Skeleton:
+def change_prominence(sk: Skeleton, h: float) -> Skeleton:
     """Another prominence: the stored peaks are filtered again; tips of the same node keep their options, the stem stays."""
-    maxima, truncated = _candidates(sk.nodes, sk.peaks, dims, replace(params, h=h))
+    maxima, truncated = _candidates(sk.nodes, sk.peaks, sk.faces, h)
     found = _fruit_tips(maxima, truncated, sk.dist, sk.edges, sk.root, sk.top, h)
     tips = cut(retune_tips(found, sk.tips))
     return replace(sk, tips=tips, branches=cut(branch_paths(sk.edges, sk.stem, tips)))

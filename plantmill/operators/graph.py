@@ -91,10 +91,10 @@ def truncation(nodes: DataFrame, dims: tuple[int, int, int], least: int = 3, fac
     return found.join(big, ["plant_id", "face", "label"], "left_semi").join(on, ["plant_id", "face", *AXES]).select("plant_id", "face", "label", "node_id")
 
 
-def truncated_tips(nodes: DataFrame, dt: DataFrame, dims: tuple[int, int, int], least: int = 3) -> DataFrame:
-    """plant_id, face, node_id: the deepest voxel of each component on the faces other than the bottom."""
-    found = truncation(nodes, dims, least, ("i0", "i1", "j0", "j1", "k1")).join(dt.select(*NODE, "dt"), NODE)
-    best = found.groupBy("plant_id", "face", "label").agg(F.min(F.struct((-F.col("dt")).alias("d"), "node_id")).alias("b"))
+def truncated_tips(found: DataFrame, dt: DataFrame) -> DataFrame:
+    """plant_id, face, node_id: the deepest voxel of each component that `truncation` found on the faces other than the bottom."""
+    met = found.where("face <> 'k0'").join(dt.select(*NODE, "dt"), NODE)
+    best = met.groupBy("plant_id", "face", "label").agg(F.min(F.struct((-F.col("dt")).alias("d"), "node_id")).alias("b"))
     return best.select("plant_id", "face", F.col("b.node_id").alias("node_id"))
 
 
