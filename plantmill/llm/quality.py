@@ -47,7 +47,7 @@ class Rules:
 def repeat_words(words: Column) -> Column:
     """Words that lie in a window of 5 words found twice or more in the text."""
     n = F.size(words)
-    window = lambda i: F.array_join(F.slice(words, i + 1, REPEAT), " ")
+    window = lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(REPEAT)))
     hashes = F.transform(F.sequence(F.lit(0), n - REPEAT), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(REPEAT))))
 
     def count(h: Column) -> Column:
