@@ -43,7 +43,7 @@ def format_conversations(rows: DataFrame, template: Template = Template()) -> Da
 
     Rows sort by turn, then role and text, so ties and repeated rows have one order; a null turn comes first. Null role
     and text are empty. Rows with a null conv_id form one conversation. in_order: the machine accepts the roles. Turns out of
-    order are formatted all the same, so no row is lost. Extra columns are ignored; an empty table gives no row.
+    order are formatted all the same, so no row is lost. Very long texts are escaped and kept whole. Extra columns are ignored; an empty table gives no row.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text")))).alias("turns"))

@@ -295,7 +295,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     """doc_id, n_words, n_hit, spans, items: what of the benchmark each document holds.
 
     A window is `width` consecutive words of an item, or the whole of a shorter item that has a word. spans: merged
-    byte spans of hit words. Null and empty texts have no words and no hit; repeated rows each keep a row; extra columns
+    byte spans of hit words. Null and empty texts have no words and no hit; very long texts are searched whole; repeated rows
+    each keep a row, a null doc_id too; an item that occurs twice is named once; extra columns
     are ignored; an empty benchmark hits nothing.
     """
     parts, blocks = blocks_of(benchmark, width, block)

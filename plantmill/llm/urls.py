@@ -116,7 +116,8 @@ def judge(pages: DataFrame, rules: DataFrame, tolerance: float = TOLERANCE, damp
     """page_id, host, path, rule, verdict, trust, distrust: one row per row of pages.
 
     Null urls, and urls without ://, have an empty host and path and are allowed. Of rules of one length the first by name
-    decides. Null html has no link. Extra columns are ignored; an empty table gives no row.
+    decides. Null html has no link; very long html is read whole. Repeated rows are judged each, and count as often in a
+    host's weight. Extra columns are ignored, also those named like columns of the result; an empty table gives no row.
     """
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     edges = own.where("host <> ''").select(F.col("host").alias("src"), F.explode(link_hosts(F.col("html"), F.col("host"))).alias("dst")).where("dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))

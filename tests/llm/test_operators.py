@@ -296,6 +296,20 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0), urls.rules_frame(spark)).count() == 0
 
 
+def test_odd_pages(spark):
+    """Repeated rows, clashing columns, very long html, one host with most pages: every row keeps its own verdict."""
+    rows = [(1, "http://a.net/", None, "x", 0), (1, "http://a.net/", None, "x", 0), (2, "http://big.com/", '<a href="http://a.net/">x</a>' * 20_000, "x", 1), (None, None, "", None, None)]
+    rows += [(10 + k, f"http://hot.org/fr/{k}", f'<a href="/{k}">x</a>', "y", k) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, rules int").withColumn("_salt", F.lit("z")).withColumn("trust", F.lit(1))
+    got = urls.judge(pages, urls.rules_frame(spark)).select("page_id", "host", "verdict").collect()
+    assert len(got) == len(rows)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.page_id, []).append((r.host, r.verdict))
+    assert by_id[1] == [("a.net", "block")] * 2 and by_id[2] == [("big.com", "block")] and by_id[None] == [("", "allow")]
+    assert all(by_id[10 + k] == [("hot.org", "allow")] for k in range(300))
+
+
 def test_distrust_goes_against_links(spark):
     link = lambda *hosts: "".join(f'<a class="x" href="https://{h}/p">x</a>' for h in hosts)
     rows = [(1, "http://bad.net/", ""), (2, "http://fan.com/", link("bad.net")), (3, "http://good.org/fr/", link("friend.com")), (4, "http://friend.com/", link("bad.net")), (5, "http://lone.com/", '<a href="/x">x</a>')]
