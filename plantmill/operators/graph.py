@@ -351,22 +351,28 @@ def _merged(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"plant_id": rows.plant_id.iloc[0], "peak": list(height), "u": [-h for h in height.values()], "prominence": [out[p][0] for p in height], "saddle_node": number(1), "saddle_val": pd.array([out[p][2] for p in height], dtype="Float64"), "parent": number(3)})
 
 
-def join_tree(nodes_u: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The join tree of a field u on each plant's graph: peaks and labels.
-
-    peaks(plant_id, peak, u, prominence, saddle_node, saddle_val, parent): the sweep from high to low joins components at
-    saddles, where all peaks but the highest die; the highest of a connected part never does (infinite prominence).
-    labels(plant_id, node_id, peak): the highest peak of the component that a node is in when it is swept.
+def prominences(nodes_u: DataFrame, e: DataFrame, climbs: DataFrame | None = None) -> DataFrame:
+    """The peaks of the join tree of a field u on each plant's graph: plant_id, peak, u, prominence, saddle_node, saddle_val, parent.
 
-    Ascents and passes are found in parallel. Only the passes between ascent areas, a small table next to the nodes, meet by
-    plant. Labels climb the tree from the end of their ascent by jumps of halving length.
+    The sweep from high to low joins components at saddles, where all peaks but the highest die; the highest of a connected
+    part never does (infinite prominence). Ascents and passes are found in parallel; only the passes between ascent areas, a
+    small table next to the nodes, meet by plant.
     """
-    climbs = cut(ascents(nodes_u, e))
+    climbs = cut(ascents(nodes_u, e)) if climbs is None else climbs
     met = passes(nodes_u, climbs, e)
     tops = climbs.where("peak = node_id").join(nodes_u, NODE).select("plant_id", F.col("node_id").alias("a"), F.lit(None).cast("long").alias("b"), (-F.col("u")).alias("h"), F.lit(None).cast("long").alias("id"))
     rows = tops.union(met.select("plant_id", "a", "b", "pass.h", "pass.id"))
     kind = nodes_u.schema["plant_id"].dataType.simpleString()
-    peaks = cut(rows.groupBy("plant_id").applyInPandas(_merged, f"plant_id {kind}, peak long, u double, prominence double, saddle_node long, saddle_val double, parent long"))
+    return rows.groupBy("plant_id").applyInPandas(_merged, f"plant_id {kind}, peak long, u double, prominence double, saddle_node long, saddle_val double, parent long")
+
+
+def join_tree(nodes_u: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The peaks as `prominences` gives them, and labels(plant_id, node_id, peak): the highest peak of the component that a node is in when it is swept.
+
+    Labels climb the tree from the end of their ascent by jumps of halving length.
+    """
+    climbs = cut(ascents(nodes_u, e))
+    peaks = cut(prominences(nodes_u, e, climbs))
     ends = F.struct((-F.col("saddle_val")).alias("h"), F.col("saddle_node").alias("id"))
     jumps = [cut(peaks.where("parent is not null").select("plant_id", "peak", F.col("parent").alias("to"), ends.alias("end")))]
     while True:
@@ -387,11 +393,6 @@ def basins(nodes_u: DataFrame, e: DataFrame) -> DataFrame:
     return join_tree(nodes_u, e)[1]
 
 
-def prominences(nodes_u: DataFrame, e: DataFrame) -> DataFrame:
-    """The peaks of the join tree."""
-    return join_tree(nodes_u, e)[0]
-
-
 def prominent_maxima(peaks: DataFrame, h: float) -> DataFrame:
     """Peaks of at least this prominence, ranked from the most prominent down."""
     w = Window.partitionBy("plant_id").orderBy(F.desc("prominence"), "peak")
