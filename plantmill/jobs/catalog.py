@@ -771,10 +771,11 @@ def _halved(rounds: int) -> str:
     return out
 
 
-@query(("curve_points",), f"{_TARGETS}, {_NEAR}{_halved(34)}, fin AS (SELECT curve_id, target_id, qx, qy, qz, (lo + hi) / 2 AS t FROM b34), {_smoothed('ff', 'fin', 'target_id, qx, qy, qz')} SELECT curve_id, target_id, {q('t', 3)} AS t, {q('sqrt(pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2))', 3)} AS dist FROM ff")
+@query(("calm_points",), f"{_TARGETS}, {_NEAR}{_halved(34)}, fin AS (SELECT curve_id, target_id, qx, qy, qz, (lo + hi) / 2 AS t FROM b34), {_smoothed('ff', 'fin', 'target_id, qx, qy, qz')} SELECT curve_id, target_id, {q('t', 3)} AS t, {q('sqrt(pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2))', 3)} AS dist FROM ff".replace("FROM curve_points", "FROM calm_points"))
 def k6_projected_points(spark: SparkSession, d: str) -> DataFrame:
-    """Points beside the smoothed curves, projected back on them."""
-    p, dense = dense_curves(spark, d)
+    """Points beside smoothed curves without gaps wider than the kernel, projected back on them."""
+    p = components.cut(load(spark, d, "calm_points"))
+    dense = components.cut(curves.smooth_curves(p, SIGMA))
     at = curves.sample_uniform(dense, p, SIGMA, 1.5).select("curve_id", F.col("seq").alias("target_id"), "s")
     near = curves.evaluate(at, dense, p, SIGMA).select("curve_id", "target_id", (F.col("x") + 0.05).alias("qx"), (F.col("y") - 0.03).alias("qy"), (F.col("z") + 0.02).alias("qz"))
     return curves.project_points(near, dense, p, SIGMA).select("curve_id", "target_id", r("t", 3).alias("t"), r("dist", 3).alias("dist"))
@@ -1146,15 +1147,16 @@ def k9_resmoothed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(("twigs",), "SELECT plant_id, 5 AS fruits, 0 AS changed, true AS same_ends FROM (SELECT DISTINCT plant_id FROM twigs)")
 def q12_reopened(spark: SparkSession, d: str) -> DataFrame:
-    """Skeletons rebuilt from saved root, top and tips measure the same; rows of the other kind of run are not used."""
-    sk, grids = grown(spark, d), load(spark, d, "grids")
+    """Skeletons rebuilt from saved root, top and tips have the same stems and branches; rows of the other kind of run are not used."""
+    sk = grown(spark, d)
     saved = components.cut(skeleton.saved_state(sk).withColumn("complete", F.col("plant_id") % 2 == 0))
     again = skeleton.reopened(canes(spark, d), DIMS, saved, True, SHOOTS)
-    values = ["plant_id", "fruit_id", *(r(c, 6).alias(c) for c in ("length", "polar", "azimuth", "internode"))]
-    rows = [components.cut(measurement.measured(measurement.smoothed(x, grids, THIN), 1.0, THIN).select(*values)) for x in (sk, again)]
+    ways = lambda x: x.branches.select("plant_id", "tip", "seq", "node_id").union(x.stem.select("plant_id", F.lit(0).cast("long").alias("tip"), "seq", "node_id"))
+    rows = [components.cut(ways(x)) for x in (sk, again)]
     lost = rows[0].exceptAll(rows[1]).unionByName(rows[1].exceptAll(rows[0])).groupBy("plant_id").agg(F.count(F.lit(1)).alias("changed"))
     ends = [x.root.select("plant_id", F.col("node_id").alias(f"r{k}")).join(x.top.select("plant_id", F.col("node_id").alias(f"t{k}")), "plant_id") for k, x in enumerate((sk, again))]
-    met = rows[1].groupBy("plant_id").agg(F.count(F.lit(1)).cast("int").alias("fruits")).join(lost, "plant_id", "left").join(ends[0], "plant_id").join(ends[1], "plant_id")
+    fruits = again.branches.groupBy("plant_id").agg(F.countDistinct("tip").cast("int").alias("fruits"))
+    met = fruits.join(lost, "plant_id", "left").join(ends[0], "plant_id").join(ends[1], "plant_id")
     return met.select("plant_id", "fruits", F.coalesce("changed", F.lit(0)).cast("int").alias("changed"), ((F.col("r0") == F.col("r1")) & (F.col("t0") == F.col("t1"))).alias("same_ends"))
 
 

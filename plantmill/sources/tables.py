@@ -32,6 +32,7 @@ SQL = {
     "grids": f"SELECT plant_id, CAST({-SIDE / 2} AS DOUBLE) AS ox, CAST({-SIDE / 2} AS DOUBLE) AS oy, CAST({-SIDE / 2} AS DOUBLE) AS oz, CAST({SIDE - 1} AS DOUBLE) AS wx, CAST({SIDE - 1} AS DOUBLE) AS wy, CAST({SIDE - 1} AS DOUBLE) AS wz, CAST(1.0 AS DOUBLE) AS voxel_size FROM plants",
     "fruits": """SELECT o_custkey AS plant_id, o_orderkey AS node_id, (o_orderkey % 10007) * CAST(2.399963229728653 AS DOUBLE) AS azimuth, CAST(round(o_totalprice * 100) AS BIGINT) % 1000000 AS arc FROM orders""",
     "curve_points": "SELECT user_id AS curve_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, round(CAST(value AS DOUBLE), 3) / 10 AS x, CAST(event_id % 97 AS DOUBLE) / 10 AS y, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) / 2 AS z FROM events",
+    "calm_points": "SELECT curve_id, seq, x / 10 AS x, y / 10 AS y, z FROM curve_points",
     "twigs": f"""SELECT plant_id, fruit, CASE WHEN plant_id % 2 = 0 THEN 1 ELSE -1 END AS side, (plant_id + (CASE WHEN plant_id % 2 = 0 THEN 3 ELSE 5 END) * fruit) % 8 AS way, 3 + 4 * fruit AS height, 6 + n % 3 AS len
         FROM (SELECT {_plant('o_orderkey')} AS plant_id, idiv(o_orderkey, 4) % 5 AS fruit, count(*) AS n FROM orders GROUP BY 1, 2) c""",
     "ways": "SELECT way, dx, dy FROM (VALUES (0, 1, 0), (1, 1, 1), (2, 0, 1), (3, -1, 1), (4, -1, 0), (5, -1, -1), (6, 0, -1), (7, 1, -1)) v(way, dx, dy)",
@@ -42,7 +43,7 @@ SQL = {
     "canes": f"SELECT plant_id, CAST({SIDE // 2} + a AS BIGINT) AS i, CAST({SIDE // 2} + b AS BIGINT) AS j, CAST(k AS BIGINT) AS k FROM plants, girth, levels UNION ALL SELECT plant_id, CAST(i AS BIGINT), CAST(j AS BIGINT), CAST(k AS BIGINT) FROM twig_voxels",
     "images": "SELECT l_orderkey AS plant_id, l_linenumber AS frame_idx, max(CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 0 END) AS has_pose, round(CAST(max(l_quantity) AS DOUBLE), 3) AS x, round(CAST(max(l_tax) AS DOUBLE), 3) AS y, round(CAST(max(l_discount) AS DOUBLE), 3) AS z FROM lineitem GROUP BY 1, 2",
 }
-NEEDS = {"occupied": ["voxels_seen"], "twig_voxels": ["twigs", "ways", "reach"], "canes": ["plants", "girth", "levels", "twig_voxels"], "frames": ["plants", "angles"], "grids": ["plants"]}
+NEEDS = {"calm_points": ["curve_points"], "occupied": ["voxels_seen"], "twig_voxels": ["twigs", "ways", "reach"], "canes": ["plants", "girth", "levels", "twig_voxels"], "frames": ["plants", "angles"], "grids": ["plants"]}
 
 
 def _needed(name: str) -> list[str]:
