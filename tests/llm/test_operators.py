@@ -359,6 +359,14 @@ def test_language(spark, odd, empty):
     assert language.keep_identified(docs).count() == 500
 
 
+def test_language_of_the_test_table(spark):
+    """Held-out accuracy on the documents of the test tables, by the labels that the model has not seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.identify(docs, language.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
+    right, n = rows.agg(F.sum(F.when(F.col("lang") == F.col("lang_pred"), 1).otherwise(0)), F.count(F.lit(1))).first()
+    assert n > 200 and right >= 0.99 * n
+
+
 def test_foreign_and_nonsense_texts_go(spark):
     rng = random.Random(9)
     own = {"en": "the and of with stone thing which house under river", "de": "der und von mit stein ding welches haus unter fluss", "fr": "le et de avec pierre chose laquelle maison sous riviere", "es": "el y de con piedra cosa cual casa bajo rio"}
