@@ -93,21 +93,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids binary (little-endian, 2 or 4 bytes each): every whole text, null as empty, and the end id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        end = enc.pack([end_id])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [enc.encode(t or "") + end for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
-
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = SAMPLE) -> bytes:
     """A dictionary from the serialised ids of a bounded sample; empty if there is too little to learn from."""
     short = docs.where(F.col("doc_id").isNotNull() & F.octet_length("text").between(1, SAMPLE_BYTES))
@@ -166,11 +151,19 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int
     bounds = spark.sparkContext.broadcast(np.unique(known[np.arange(1, shards) * len(known) // shards]) if len(known) else known)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **_zdict(dictionary))
-        for b in batches:
-            frames = pa.array([zip_.compress(x) for x in b.column("ids").to_pylist()], pa.binary())
-            shard = np.searchsorted(bounds.value, b.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), frames, pa.array(shard, pa.int32())], ["doc_id", "n_tokens", "frame", "shard"])
+        """Ids and frames in one pass, so that a core has one Python worker."""
+        enc, zip_ = encoder(tokenizer), zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **_zdict(dictionary))
+        end = enc.pack([end_id])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                counts, frames = [], []
+                for t in part.column("text").to_pylist():
+                    ids = enc.encode(t or "") + end
+                    counts.append(len(ids) // width)
+                    frames.append(zip_.compress(ids))
+                shard = np.searchsorted(bounds.value, part.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary()), pa.array(shard, pa.int32())], ["doc_id", "n_tokens", "frame", "shard"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -197,7 +190,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int
         files.move(f"{path}.{context.taskAttemptId()}", path)
         yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "path": [name], "n_docs": [len(index[0])], "n_tokens": [int(index[2].sum())]}, pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = encoded(docs, tokenizer, end_id).mapInArrow(squeeze, "doc_id long, n_tokens long, frame binary, shard int")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(squeeze, "doc_id long, n_tokens long, frame binary, shard int")
     dealt = rows.repartitionById(len(bounds.value) + 1, "shard").sortWithinPartitions("doc_id", "frame").drop("shard")
     return cut(dealt.mapInArrow(store, "shard long, path string, n_docs long, n_tokens long"))
 
