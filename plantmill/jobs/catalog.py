@@ -309,8 +309,9 @@ def a5_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _opened(op: str, source: str, sign: str, offsets: list[tuple[int, int]]) -> str:
-    values = ", ".join(f"({a}, {b})" for a, b in [(0, 0), *offsets])
-    return f"(SELECT f.plant_id, f.frame_idx, f.row, f.col, {op}(g.feat) AS feat FROM {source} f, (VALUES {values}) o(a, b), {source} g WHERE g.plant_id = f.plant_id AND g.frame_idx = f.frame_idx AND g.row = f.row {sign} a AND g.col = f.col {sign} b GROUP BY ALL)"
+    values, back = ", ".join(f"({a}, {b})" for a, b in [(0, 0), *offsets]), "-" if sign == "+" else "+"
+    moved = f"SELECT plant_id, frame_idx, row {back} a AS row, col {back} b AS col, feat FROM {source}, (VALUES {values}) o(a, b)"
+    return f"(SELECT plant_id, frame_idx, row, col, {op}(feat) AS feat FROM ({moved}) SEMI JOIN {source} USING (plant_id, frame_idx, row, col) GROUP BY ALL)"
 
 
 # One half of each line of half-length 2, by 22.5 degrees from level up; the other half is its mirror.

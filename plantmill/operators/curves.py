@@ -92,14 +92,14 @@ def lookup(at: DataFrame, profile: DataFrame, key: str, values: list[str]) -> Da
     """at(curve_id, key, ...) with values of `profile`: straight between the two rows around, clamped at the ends.
 
     An as-of step without a range join: queries and rows sort together, and each query takes the last row at or before
-    it and the first one after it.
+    it and the first one after it; of rows with one key the one with the larger value comes last.
     """
     whole_unions(at.sparkSession)
     rest = [c for c in at.columns if c not in ("curve_id", key)]
     row = F.struct(F.col(key).cast("double").alias("k"), *(F.col(v).cast("double").alias(v) for v in values))
     own = profile.select("curve_id", F.col(key).cast("double").alias(key), row.alias("_row"), F.lit(0).alias("_q"), *(F.lit(None).alias(c) for c in rest))
     asked = at.withColumn(key, F.col(key).cast("double")).withColumns({"_row": F.lit(None), "_q": F.lit(1)})
-    w = Window.partitionBy("curve_id").orderBy(key, "_q")
+    w = Window.partitionBy("curve_id").orderBy(key, "_q", F.col("_row")[values[0]])
     both = own.unionByName(asked).withColumn("_lo", F.last("_row", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_hi", F.first("_row", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     lo, hi = F.coalesce("_lo", "_hi"), F.coalesce("_hi", "_lo")
     part = F.when(hi["k"] > lo["k"], (F.col(key) - lo["k"]) / (hi["k"] - lo["k"])).otherwise(0.0)
