@@ -61,8 +61,8 @@ def vector(text: bytes) -> np.ndarray:
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
     """Weights (bias last) of a linear SVM with squared hinge loss, by dual coordinate descent; y is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w, alpha, diagonal = np.zeros(x.shape[1]), np.zeros(len(x)), np.square(x).sum(1) + 0.5 / c
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])  # single precision; sums with w are double
+    w, alpha, diagonal = np.zeros(x.shape[1]), np.zeros(len(x)), np.einsum("ij,ij->i", x, x, dtype=np.float64) + 0.5 / c
     order = np.random.default_rng(0)
     for _ in range(epochs):
         moved = 0.0

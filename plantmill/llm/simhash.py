@@ -37,7 +37,7 @@ BITS, THRESHOLD, SEED = 64, 2, 42
 DENSE = 64
 CHUNK = 1 << 15
 SIMILAR, BANDS, ROWS = 0.8, 16, 6
-FEW = 1_000_000  # row numbers that may be broadcast
+FEW, LEADERS = 1_000_000, 8  # row numbers that may be broadcast; members of a crowded bucket that a round compares with all
 _FUNCTIONS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 
 
@@ -234,15 +234,18 @@ def band_links(members: DataFrame, judge: Callable[[DataFrame], DataFrame], dens
     """u, v: confirmed links between the members(bucket, node) of each bucket; `judge` confirms pairs.
 
     In a bucket of at most `dense` open members all of them are compared with the whole bucket. In a larger one the smallest
-    open member is; those that it is linked to, and itself, are no longer open, and the next round goes on with the others.
+    open member is, and about `LEADERS` others by hash; those that they are linked to, and they themselves, are no longer
+    open, and the next round goes on with the others. So a group of any size is a few stars, and rounds are few.
     """
     members = cut(members)
     many = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = cut(members.join(many, "bucket", "left_semi"))
-    open_, found = members, None
+    open_, found, turn = members, None, 0
     while True:
+        turn += 1
         size = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
-        lead = cut(open_.join(size, "bucket").where((F.col("n") <= dense) | (F.col("node") == F.col("least"))).select("bucket", F.col("node").alias("leader"), (F.col("n") > dense).alias("crowded")))
+        drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / LEADERS)) == 0
+        lead = cut(open_.join(size, "bucket").where((F.col("n") <= dense) | (F.col("node") == F.col("least")) | drawn).select("bucket", F.col("node").alias("leader"), (F.col("n") > dense).alias("crowded")))
         pairs = lead.join(members, "bucket").where("leader <> node").select(F.greatest("leader", "node").alias("u"), F.least("leader", "node").alias("v")).distinct()
         new = judge(pairs)
         found = new if found is None else found.union(new)
