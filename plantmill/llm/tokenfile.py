@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from plantmill.llm.common import cut, new_folder
 from plantmill.llm.pieces import Memo
 
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, KEPT = 1_000, 8_192, 65_536, 3, 200_000
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL, KEPT = 1_000, 8_192, 65_536, 3, 250_000
 SHARD_BYTES, BOUND_ROWS, NULL_ID = 64 << 20, 20, -(1 << 63)
 MAGIC = b"PMTOK1\n\0"
 
