@@ -740,20 +740,25 @@ def _s_to_t(name: str, source: str, keys: str) -> str:
     return f"{name} AS MATERIALIZED (SELECT q.curve_id, {', '.join('q.' + k for k in keys.split())}, CASE WHEN hi.s > lo.s THEN lo.t1 + (q.s - lo.s) / (hi.s - lo.s) * (hi.t0 - lo.t1) ELSE lo.t1 END AS t FROM {source} q ASOF JOIN sl lo ON q.curve_id = lo.curve_id AND q.s >= lo.s ASOF LEFT JOIN sl hi ON q.curve_id = hi.curve_id AND q.s < hi.s)"
 
 
-def dense_curves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = components.cut(points(spark, d))
+def dense_curves(spark: SparkSession, d: str, table: str = "calm_points") -> tuple[DataFrame, DataFrame]:
+    """Points and dense smoothed curves. The calm points have no gap wider than the kernel, over which rounding decides."""
+    p = components.cut(load(spark, d, table))
     return p, components.cut(curves.smooth_curves(p, SIGMA))
 
 
 @query(("curve_points",), f"{_DENSE} SELECT curve_id, seq, {q('t', 3)} AS t, {q('s', 3)} AS s, {q('x', 3)} AS x, {q('y', 3)} AS y, {q('z', 3)} AS z FROM dense")
 def k2_dense_curves(spark: SparkSession, d: str) -> DataFrame:
-    return dense_curves(spark, d)[1].select("curve_id", "seq", *(r(c, 3).alias(c) for c in ("t", "s", "x", "y", "z")))
+    return dense_curves(spark, d, "curve_points")[1].select("curve_id", "seq", *(r(c, 3).alias(c) for c in ("t", "s", "x", "y", "z")))
 
 
 _STEPS = "us AS MATERIALIZED (SELECT curve_id, seq, n, len * (seq - 1) / (n - 1) AS s FROM (SELECT curve_id, len, n, unnest(range(1, n + 1)) AS seq FROM (SELECT curve_id, len, greatest(2, ceil(len / 1.5)::BIGINT + 1) AS n FROM ln)))"
 
 
-@query(("curve_points",), f"{_DENSE}, {_STEPS}, {_s_to_t('ut', 'us', 'seq n s')}, {_smoothed('uk', 'ut', 'seq, n, s')} SELECT u.curve_id, u.seq, {q('u.s', 3)} AS s, " + ", ".join(f"{q(f'CASE WHEN u.seq = 1 THEN f{c} WHEN u.seq = n THEN l{c} ELSE u.{c} END', 3)} AS {c}" for c in "xyz") + f", {_UNIT('dx dy dz')} FROM (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) AS nn FROM uk) u JOIN (SELECT DISTINCT curve_id, fx, fy, fz, lx, ly, lz FROM en) USING (curve_id)".replace("WHEN n > 1e-9", "WHEN nn > 1e-9").replace("/n", "/nn"))
+def _calm(sql: str) -> str:
+    return sql.replace("FROM curve_points", "FROM calm_points")
+
+
+@query(("calm_points",), _calm(f"{_DENSE}, {_STEPS}, {_s_to_t('ut', 'us', 'seq n s')}, {_smoothed('uk', 'ut', 'seq, n, s')} SELECT u.curve_id, u.seq, {q('u.s', 3)} AS s, " + ", ".join(f"{q(f'CASE WHEN u.seq = 1 THEN f{c} WHEN u.seq = n THEN l{c} ELSE u.{c} END', 3)} AS {c}" for c in "xyz") + f", {_UNIT('dx dy dz')} FROM (SELECT *, sqrt(dx*dx+dy*dy+dz*dz) AS nn FROM uk) u JOIN (SELECT DISTINCT curve_id, fx, fy, fz, lx, ly, lz FROM en) USING (curve_id)".replace("WHEN n > 1e-9", "WHEN nn > 1e-9").replace("/n", "/nn")))
 def k5_sampled_curves(spark: SparkSession, d: str) -> DataFrame:
     """Positions and unit tangents at equal steps of arc length, the ends pinned."""
     p, dense = dense_curves(spark, d)
@@ -772,11 +777,10 @@ def _halved(rounds: int) -> str:
     return out
 
 
-@query(("calm_points",), f"{_TARGETS}, {_NEAR}{_halved(34)}, fin AS (SELECT curve_id, target_id, qx, qy, qz, (lo + hi) / 2 AS t FROM b34), {_smoothed('ff', 'fin', 'target_id, qx, qy, qz')} SELECT curve_id, target_id, {q('t', 3)} AS t, {q('sqrt(pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2))', 3)} AS dist FROM ff".replace("FROM curve_points", "FROM calm_points"))
+@query(("calm_points",), _calm(f"{_TARGETS}, {_NEAR}{_halved(34)}, fin AS (SELECT curve_id, target_id, qx, qy, qz, (lo + hi) / 2 AS t FROM b34), {_smoothed('ff', 'fin', 'target_id, qx, qy, qz')} SELECT curve_id, target_id, {q('t', 3)} AS t, {q('sqrt(pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2))', 3)} AS dist FROM ff"))
 def k6_projected_points(spark: SparkSession, d: str) -> DataFrame:
     """Points beside smoothed curves without gaps wider than the kernel, projected back on them."""
-    p = components.cut(load(spark, d, "calm_points"))
-    dense = components.cut(curves.smooth_curves(p, SIGMA))
+    p, dense = dense_curves(spark, d)
     at = curves.sample_uniform(dense, p, SIGMA, 1.5).select("curve_id", F.col("seq").alias("target_id"), "s")
     near = curves.evaluate(at, dense, p, SIGMA).select("curve_id", "target_id", (F.col("x") + 0.05).alias("qx"), (F.col("y") - 0.03).alias("qy"), (F.col("z") + 0.02).alias("qz"))
     return curves.project_points(near, dense, p, SIGMA).select("curve_id", "target_id", r("t", 3).alias("t"), r("dist", 3).alias("dist"))
@@ -799,7 +803,7 @@ fit AS MATERIALIZED (SELECT *, sqrt(2.0) * sqrt(rss / (3 * nu) * i11) / sqrt(b1x
 _FITS = f"{_DENSE}, fa AS (SELECT curve_id, 1 AS fit_id, 0.25 * len AS c0 FROM ln UNION ALL SELECT curve_id, 2, 0.0 FROM ln UNION ALL SELECT curve_id, 3, len FROM ln), fw AS MATERIALIZED (SELECT f.*, greatest(0.0, c0 - 6.0) AS s_min, least(len, c0 + 6.0) AS s_max FROM fa f JOIN ln USING (curve_id)), fs AS MATERIALIZED (SELECT curve_id, fit_id, c0, k, s_min + (s_max - s_min) * k / 30.0 AS s FROM (SELECT *, unnest(range(0, 31)) AS k FROM fw WHERE s_max - s_min >= 0.2)), {_s_to_t('ft', 'fs', 'fit_id c0 k s')}, {_smoothed('fk', 'ft', 'fit_id, c0, k, s')}, sm AS MATERIALIZED (SELECT curve_id, fit_id, (s - c0) / 2.0 AS u, exp(-pow((s - c0) / 2.0, 2) / 2) AS w, x, y, z FROM fk), {_fitted('sm', 'curve_id, fit_id')}"
 
 
-@query(("curve_points",), f"{_FITS} SELECT curve_id, fit_id, f.curve_id IS NULL AS degenerate, " + ", ".join(f"coalesce({q(f'b1{c} / sqrt(b1x*b1x + b1y*b1y + b1z*b1z)', 3)}, 'nan'::DOUBLE) AS t{c}" for c in "xyz") + f", coalesce({q('b2x', 3)}, 'nan'::DOUBLE) AS b2x, coalesce({q('nu', 3)}, 'nan'::DOUBLE) AS nu, coalesce({q('se', 3)}, 'nan'::DOUBLE) AS se FROM fw LEFT JOIN fit f USING (curve_id, fit_id)".replace("f.curve_id IS NULL", "f.nu IS NULL"))
+@query(("calm_points",), _calm(f"{_FITS} SELECT curve_id, fit_id, f.curve_id IS NULL AS degenerate, " + ", ".join(f"coalesce({q(f'b1{c} / sqrt(b1x*b1x + b1y*b1y + b1z*b1z)', 3)}, 'nan'::DOUBLE) AS t{c}" for c in "xyz") + f", coalesce({q('b2x', 3)}, 'nan'::DOUBLE) AS b2x, coalesce({q('nu', 3)}, 'nan'::DOUBLE) AS nu, coalesce({q('se', 3)}, 'nan'::DOUBLE) AS se FROM fw LEFT JOIN fit f USING (curve_id, fit_id)".replace("f.curve_id IS NULL", "f.nu IS NULL")))
 def q1_tangent_fits(spark: SparkSession, d: str) -> DataFrame:
     """Three fits a curve: at a quarter of its length and at both ends."""
     p, dense = dense_curves(spark, d)
