@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,12 @@ def raw_texts(batches: Iterator[pa.RecordBatch], key: str, rows: int = 512) -> I
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part.column(key), [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+
+
+def summed(parts: DataFrame, keys: list[str]) -> dict[tuple, np.ndarray]:
+    """Vectors v of rows with equal keys, added up by position. For one row a task: keys and positions alone reach the driver."""
+    rows = parts.select(*keys, F.posexplode("v").alias("_at", "_x")).groupBy(*keys, "_at").agg(F.sum("_x").alias("_x")).collect()
+    out: dict[tuple, dict[int, float]] = {}
+    for r in rows:
+        out.setdefault(tuple(r[k] for k in keys), {})[r["_at"]] = r["_x"]
+    return {k: np.array([v[i] for i in range(len(v))]) for k, v in out.items()}

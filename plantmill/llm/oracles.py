@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from plantmill.llm import chat, quality, urls
+from plantmill.llm import chat, manifest, quality, urls
 
 WHITE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = urls.UPPER, urls.LOWER
@@ -129,4 +129,30 @@ FROM (
       GROUP BY lang HAVING count(*) >= {r.least_docs})) refs ON refs.lang = f.lang)"""
 
 
-ORACLES: dict[str, str] = {"op3_url_filter": _op3(), "op7_chat": _op7(), "op9_decontaminate": _op9(), "op10_quality": quality_judged()}
+def _op13() -> str:
+    field = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+    leaf = lambda text: f"sha256({' || '.join(field(text if c == 'text' else c) for c in manifest.FIELDS)})"
+    w = manifest.WIDTH
+    tree = lambda name, base: f"""{name} AS ({base} UNION ALL
+  SELECT key, level + 1, [sha256(array_to_string(nodes[i : i + {w - 1}], '')) for i in range(1, len(nodes) + 1, {w})] FROM {name} WHERE len(nodes) > 1)"""
+    steps = lambda name, rows, tree: f"""{name} AS (SELECT id, list(array_to_string(nodes[{w} * (own // {w}) + 1 : own], '') || '.' || array_to_string(nodes[own + 2 : {w} * (own // {w}) + {w}], '') ORDER BY level) AS steps
+  FROM (SELECT id, level, nodes, pos // ({w} ** level)::BIGINT AS own FROM {rows} JOIN {tree} USING (key) WHERE len(nodes) > 1) GROUP BY id)"""
+    return f"""
+WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+ids AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table),
+own AS (SELECT d.*, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents d LEFT JOIN ids USING (doc_id)),
+hashed AS (SELECT doc_id, coalesce('=' || source, '') AS key, {leaf('text')} AS leaf, {leaf('changed')} AS offered FROM own),
+leaves AS (SELECT *, row_number() OVER (ORDER BY key, doc_id NULLS FIRST, leaf) AS id, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+{tree('trees', "SELECT key, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM leaves GROUP BY key")},
+subroots AS (SELECT key AS source_key, nodes[1] AS subroot, '' AS key, row_number() OVER (ORDER BY key) AS id, row_number() OVER (ORDER BY key) - 1 AS pos FROM trees WHERE len(nodes) = 1),
+{tree('tops', "SELECT key, 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots GROUP BY key")},
+{steps('low', 'leaves', 'trees')},
+{steps('high', 'subroots', 'tops')},
+proofs AS (SELECT doc_id, leaf, offered, subroot, list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+  FROM leaves l JOIN subroots s ON s.source_key = l.key LEFT JOIN low ON low.id = l.id LEFT JOIN high ON high.id = s.id),
+folded AS (SELECT *, (SELECT nodes[1] FROM tops WHERE len(nodes) = 1) AS root, list_reduce(list_prepend(offered, steps), lambda h, s: sha256(replace(s, '.', h))) AS folded_root FROM proofs)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '.', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+
+ORACLES: dict[str, str] = {"op3_url_filter": _op3(), "op7_chat": _op7(), "op9_decontaminate": _op9(), "op10_quality": quality_judged(), "op13_merkle_manifest": _op13()}

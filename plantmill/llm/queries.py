@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantmill.llm import chat, decontaminate, language, lattice, licences, prefix_counts, quality, simhash, tokenfile, urls
+from plantmill.llm import chat, classifier, decontaminate, language, lattice, licences, manifest, prefix_counts, quality, simhash, tokenfile, urls, whitening
 from plantmill.llm.common import table
 from plantmill.llm.oracles import ORACLES  # noqa: F401
 
@@ -73,7 +73,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"), manifest.without_newlines(F.col("doc_id"), F.col("text")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op2_simhash, op3_url_filter, op4_sentencepiece, op5_token_counts, op6_language, op7_chat, op8_licences, op9_decontaminate, op10_quality)
-}
+    for f in (
+        op1_token_files, op2_simhash, op3_url_filter, op4_sentencepiece, op5_token_counts, op6_language, op7_chat, op8_licences, op9_decontaminate, op10_quality,
+        op11_quality_classifier, op12_whitening, op13_merkle_manifest,
+    )
+}
