@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
+def whole_unions(spark: SparkSession) -> None:
+    """Spark 4.1 lets a union keep its sides' partitioning, and loses rows where adaptive execution gave them unlike numbers of partitions. This turns that off."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -37,14 +42,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """`df`, written to the shared folder: later jobs neither recompute it nor depend on one executor."""
+    whole_unions(df.sparkSession)
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    whole_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "left", ways: int = 16) -> DataFrame:
+    """rows joined to side (one row a key). A key's rows are dealt over `ways` tasks by hash of `by`; side's row goes only to those that have some."""
+    rows = rows.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    met = rows.select(key, "_way").distinct().join(side, key)
+    return rows.join(met, [key, "_way"], how).drop("_way")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once, also where the body uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -17,8 +17,13 @@ within 2 of each other, and one star of links says all that the pairs would say.
 `keep_one` owes more: one document of each group whose sets of five-word shingles have a Jaccard similarity of `SIMILAR` = 0.8
 or more. At 0.8 about 15 % of the bits of two fingerprints differ, 10 of 64, and a covering code for that needs thousands of
 copies of each. So links of 2 bits are only its first candidates. The others come from `BANDS` shorter prints of a set,
-each of `ROWS` minima under random functions: a pair at 0.8 shares one with probability 1 - (1 - 0.8^6)^16 = 0.992. Every
-candidate is confirmed by the exact similarity of the two sets.
+each of `ROWS` minima under random functions: a pair at 0.8 shares one with probability 1 - (1 - 0.8^6)^16 = 0.992. A bucket
+of members with one print is not compared pair by pair: its members meet the smallest one first, and only buckets that
+still hold several components go on (`band_links`).
+
+A candidate is judged by sketches, the `SKETCH` smallest hashes of each set: they are the whole sets of texts of up to that
+many shingles, and the similarity is exact; for longer texts the estimate decides unless it lies within four standard
+deviations of the limit, where the whole sets are compared. No pair carries more than two sketches, 8 KB, before that.
 """
 
 from __future__ import annotations
@@ -31,13 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantmill.llm.common import cut, new_folder, raw_texts
+from plantmill.llm.common import cut, dealt_join, new_folder, raw_texts
 
 BITS, THRESHOLD, SEED = 64, 2, 42
 DENSE = 64
 CHUNK = 1 << 15
 SIMILAR, BANDS, ROWS = 0.8, 16, 6
-FEW, LEADERS = 1_000_000, 8  # row numbers that may be broadcast; members of a crowded bucket that a round compares with all
+SKETCH, DEVIATIONS = 1024, 4.0
+FEW, LEADERS = 200_000, 8  # row numbers that may be broadcast; members of a crowded bucket that a round compares with all
 _FUNCTIONS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 
 
@@ -176,33 +182,72 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, dense: int = DENSE, block
     named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("top"))
     total = named.groupBy("top").agg(F.sum("n").alias("component_size"), F.min("least").alias("component_id"))
     named = named.join(total, "top").select("fp", "component_id", "component_size")
-    out = prints.join(named, "fp", "left")
+    out = dealt_join(prints, named, "fp", "doc_id")
     known = F.col("doc_id").isNotNull()
     return out.select("doc_id", "fp", F.when(known, F.col("component_id")).alias("component_id"), F.when(known, F.col("component_size")).alias("component_size"))
 
 
-MARKS = "row long, doc_id long, fp long, print binary, bands array<long>"
+MARKS = "row long, doc_id long, fp long, print binary, bands array<long>, sketch binary"
+
+
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """The smallest `SKETCH` of a set's hashes, mixed and cut to 32 bits, in order."""
+    mixed = np.unique((((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32))
+    return mixed[:SKETCH]
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
+    """The Jaccard similarity of two sets by their sketches, and how many values of the union tell it (0: all of them)."""
+    tops = [x[-1] for x in (a, b) if len(x) == SKETCH]
+    if tops:  # above the smaller top, not every value of both is known
+        a, b = a[: np.searchsorted(a, min(tops), "right")], b[: np.searchsorted(b, min(tops), "right")]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return (both / union if union else 1.0), (union if tops else 0)
 
 
 def marks(rows: DataFrame, shingle: int) -> DataFrame:
-    """row, doc_id, fp, print (of the set of shingles), bands: one row per row of rows(row, doc_id, text)."""
+    """row, doc_id, fp, print (of the set of shingles), bands, sketch: one row per row of rows(row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in raw_texts(batches, "key"):
-            fps, prints, bands = [], [], []
+            fps, prints, bands, sketches = [], [], [], []
             for t in texts:
                 parts = list(shingle_hashes(t, shingle))
                 own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 fps.append(fingerprint_of(parts))
                 prints.append(xxhash.xxh128_digest(own.tobytes()))
                 bands.append(band_prints(own))
+                sketches.append(sketch_of(own).tobytes())
             flat = pa.array(np.concatenate(bands), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([keys.field(0), keys.field(1), pa.array(fps, pa.int64()), pa.array(prints, pa.binary()), lists], ["row", "doc_id", "fp", "print", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [keys.field(0), keys.field(1), pa.array(fps, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(sketches, pa.binary())],
+                ["row", "doc_id", "fp", "print", "bands", "sketch"],
+            )
 
     return rows.select(F.struct("row", F.col("doc_id").cast("long").alias("doc_id")).alias("key"), "text").mapInArrow(run, MARKS)
 
 
+def judged(pairs: DataFrame, sketches: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """u, v, sure: pairs(u, v) that are similar by sketches(node, sketch), or may be (not sure). A node with most pairs is many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sure, keep = [], []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                value, n = likeness(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32))
+                apart = DEVIATIONS * (least * (1 - least) / n) ** 0.5 if n else 0.0
+                sure.append(value >= least + apart)
+                keep.append(value >= least - apart)
+            out = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sure, pa.bool_())], ["u", "v", "sure"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    side = lambda key, name: sketches.select(F.col("node").alias(key), F.col("sketch").alias(name))
+    met = dealt_join(dealt_join(pairs.select("u", "v"), side("v", "b"), "v", "u", "inner"), side("u", "a"), "u", "v", "inner")
+    return met.mapInArrow(run, "u long, v long, sure boolean")
+
+
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     """node, own array<long>: the set of shingle hashes of each of rows(row, text)."""
 
@@ -216,8 +261,7 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, least: float = SIMILAR) -> DataFrame:
-    """The pairs (u, v) whose sets have at least this Jaccard similarity. Only texts of rows in a pair are read again."""
-    pairs = cut(pairs)
+    """The pairs (u, v) whose whole sets have at least this Jaccard similarity. Only texts of rows in a pair are read again."""
     nodes = cut(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
     sets = cut(shingle_sets(within(rows.select("row", "text"), nodes, "left_semi"), shingle))
     a, b = sets.select(F.col("node").alias("u"), F.col("own").alias("a")), sets.select(F.col("node").alias("v"), F.col("own").alias("b"))
@@ -230,30 +274,33 @@ def within(rows: DataFrame, keys: DataFrame, how: str, key: str = "row") -> Data
     return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, key, how)
 
 
-def band_links(members: DataFrame, judge: Callable[[DataFrame], DataFrame], dense: int = DENSE) -> DataFrame:
-    """u, v: confirmed links between the members(bucket, node) of each bucket; `judge` confirms pairs.
+def band_links(members: DataFrame, judge: Callable[[DataFrame], DataFrame], dense: int = DENSE) -> DataFrame | None:
+    """u, v: confirmed links between members(bucket, node, top) of a bucket that have not the same top; `judge` confirms pairs.
 
     In a bucket of at most `dense` open members all of them are compared with the whole bucket. In a larger one the smallest
-    open member is, and about `LEADERS` others by hash; those that they are linked to, and they themselves, are no longer
-    open, and the next round goes on with the others. So a group of any size is a few stars, and rounds are few.
+    and about `LEADERS` others by hash are, twice as many in each round; those that they are linked to or share a top with, and
+    they themselves, are no longer open, and the next round goes on with the others. So a group of any size is a few stars, and
+    the number of rounds grows with the logarithm of the largest bucket.
     """
-    members = cut(members)
-    many = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = cut(members.join(many, "bucket", "left_semi"))
+    several = lambda m: m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.min("top").alias("low"), F.max("top").alias("high"))
+    size = several(members).where("low <> high")
+    members = cut(members.join(size.select("bucket"), "bucket", "left_semi"))
     open_, found, turn = members, None, 0
-    while True:
+    while not open_.isEmpty():
         turn += 1
-        size = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
-        drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / LEADERS)) == 0
-        lead = cut(open_.join(size, "bucket").where((F.col("n") <= dense) | (F.col("node") == F.col("least")) | drawn).select("bucket", F.col("node").alias("leader"), (F.col("n") > dense).alias("crowded")))
-        pairs = lead.join(members, "bucket").where("leader <> node").select(F.greatest("leader", "node").alias("u"), F.least("leader", "node").alias("v")).distinct()
+        drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / (LEADERS << turn))) == 0
+        first = (F.col("n") <= dense) | (F.col("node") == F.col("least")) | drawn
+        lead = cut(open_.join(several(open_), "bucket").where(first).select("bucket", F.col("node").alias("leader"), F.col("top").alias("lead_top"), (F.col("n") > dense).alias("crowded")))
+        pairs = lead.join(members, "bucket").where("top <> lead_top").select(F.greatest("leader", "node").alias("u"), F.least("leader", "node").alias("v")).distinct()
         new = judge(pairs)
         found = new if found is None else found.union(new)
-        left = lead.where("crowded").select("bucket", "leader")
-        if not left.limit(1).count():
-            return found.distinct()
+        left = lead.where("crowded").select("bucket", "leader", "lead_top")
+        others = open_.join(left.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
         near = new.select(F.col("u").alias("node"), F.col("v").alias("leader")).union(new.select(F.col("v").alias("node"), F.col("u").alias("leader")))
-        open_ = cut(open_.join(left, "bucket").where("node <> leader").join(near, ["node", "leader"], "left_anti").select("bucket", "node"))
+        rest = others.join(left, "bucket")
+        rest = rest.join(near.withColumn("met", F.lit(1)), ["node", "leader"], "left").groupBy("bucket", "node", "top").agg(F.count(F.when((F.col("top") == F.col("lead_top")) | F.col("met").isNotNull(), 1)).alias("n"))
+        open_ = cut(rest.where("n = 0").select("bucket", "node", "top"))
+    return found
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR, dense: int = DENSE) -> DataFrame:
@@ -273,13 +320,23 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR, dense: i
     marked = cut(marks(rows.where("doc_id is not null"), shingle))
     first = F.min(F.struct("doc_id", "row")).alias("first")
     classes = cut(marked.groupBy("print").agg(first).select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("doc_id")))
-    heads = cut(marked.join(classes.select("row"), "row", "left_semi").select(F.col("row").alias("node"), "fp", "bands"))
+    heads = cut(marked.join(classes.select("row"), "row", "left_semi").select(F.col("row").alias("node"), "fp", "bands", "sketch"))
     by_fp = heads.groupBy("fp").agg(F.min("node").alias("node"))
     same = heads.select("fp", F.col("node").alias("u")).join(by_fp.select("fp", F.col("node").alias("v")), "fp").where("u <> v").select("u", "v")
-    judge = lambda pairs: confirmed(pairs, rows, shingle, least)
-    close = judge(links(cut(by_fp)).select("u", "v").union(same).distinct())
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        told = cut(judged(pairs, heads, least))
+        near = told.where("not sure").select("u", "v")
+        return told.where("sure").select("u", "v") if near.isEmpty() else cut(told.where("sure").select("u", "v").union(confirmed(near, rows, shingle, least)))
+
     bands = heads.select("node", F.explode("bands").alias("bucket"))
-    found = star_components(close.union(band_links(bands, judge, dense)))
+    top = bands.groupBy("bucket").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "v")
+    to_first = dealt_join(bands, top, "bucket", "node", "inner").where("node <> v").select(F.col("node").alias("u"), "v")
+    close = judge(cut(links(cut(by_fp)).select("u", "v").union(same).union(to_first).distinct()))
+    found = cut(star_components(close))
+    tops = dealt_join(bands, top.select("bucket"), "bucket", "node", "inner").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("top"))
+    more = band_links(tops, judge, dense)
+    found = found if more is None else star_components(close.union(more))
     groups = classes.join(found, classes["row"] == found["node"], "left").select("row", "doc_id", F.coalesce("component", "row").alias("group"))
     kept = groups.groupBy("group").agg(first).select(F.col("first.row").alias("row"))
     lost = cut(marked.select("row").join(kept, "row", "left_anti"))
