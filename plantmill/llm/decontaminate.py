@@ -284,11 +284,16 @@ def united(docs: DataFrame, blocks: Iterator[Phrases], shard: int) -> DataFrame:
     return out.groupBy("doc_id", "print").agg(joined("hit"), joined("items"))  # equal rows of docs have equal rows here
 
 
-def with_hits(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs and, as `_hit` and `_items`, what `united` found in each row; null without a hit."""
-    found = found.select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), F.col("hit").alias("_hit"), F.col("items").alias("_items"))
-    same = docs["doc_id"].cast("long").eqNullSafe(found["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_print"])
-    return docs.join(found, same, "left").drop("_doc", "_print")
+def free_prefix(docs: DataFrame) -> str:
+    """A prefix that no column of docs begins with."""
+    return next(p for p in map("_".__mul__, range(1, 1000)) if not any(c.startswith(p) for c in docs.columns))
+
+
+def with_hits(docs: DataFrame, found: DataFrame, p: str = "_") -> DataFrame:
+    """docs and, as `hit` and `items` after the prefix p, what `united` found in each row; null without a hit."""
+    found = found.select(F.col("doc_id").alias(f"{p}doc"), F.col("print").alias(f"{p}print"), F.col("hit").alias(f"{p}hit"), F.col("items").alias(f"{p}items"))
+    same = docs["doc_id"].cast("long").eqNullSafe(found[f"{p}doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found[f"{p}print"])
+    return docs.join(found, same, "left").drop(f"{p}doc", f"{p}print")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -322,18 +327,21 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sha
     """docs without the benchmark's spans; a document that loses all but fewer than `least` words goes.
 
     Columns as given; n_chars, if there, follows the text. Every block of phrases is searched in the text as given, and the
-    text is cut once. Documents without a hit stay as they are, null and empty texts too.
+    text is cut once. Documents without a hit stay as they are, null and empty texts too. Repeated rows are cut each, and so are
+    rows with a null doc_id. Other columns stay, whatever their names. An empty table gives no row.
     """
     parts, blocks = blocks_of(benchmark, width, block)
     if parts == 1:
         phrases = next(blocks)
         return _cleaned(docs, lambda texts, rows: [(n, h) for n, h, _ in hits(texts, phrases)], docs.schema, shard, least)
 
+    p = free_prefix(docs)
+
     def found(texts: list[bytes], rows: pa.Table) -> list[tuple[int, np.ndarray]]:
-        hit = [np.array(h or [], np.int64) for h in rows["_hit"].to_pylist()]
+        hit = [np.array(h or [], np.int64) for h in rows[f"{p}hit"].to_pylist()]
         return [(len(words_of(t)) if len(h) else 0, h) for t, h in zip(texts, hit, strict=True)]
 
-    return _cleaned(with_hits(docs, united(docs, blocks, shard)).drop("_items"), found, docs.schema, shard, least)
+    return _cleaned(with_hits(docs, united(docs, blocks, shard), p).drop(f"{p}items"), found, docs.schema, shard, least)
 
 
 def _cleaned(docs: DataFrame, search: Callable[[list[bytes], pa.Table], list[tuple[int, np.ndarray]]], schema: StructType, shard: int, least: int) -> DataFrame:

@@ -18,11 +18,12 @@ def _op3() -> str:
     rules = ", ".join(f"({_quoted(h)}, {_quoted(p)}, {_quoted(v)})" for h, p, v in urls.RULES)
     host = lambda url: rf"translate(regexp_extract(regexp_replace({url}, '^[\s\S]*?://', ''), '^[^/?#]*'), '{UPPER}', '{LOWER}')"
     link = r"""(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']"""
-    rounds = ""
-    for k in range(urls.ROUNDS):
-        rounds += f""",
-s{k + 1} AS (SELECT n.kind, n.u, n.w, {1 - urls.DAMPING!r} * n.w + {urls.DAMPING} * coalesce(g.got, 0.0) AS s
-  FROM s{k} n LEFT JOIN (SELECT kind, v, sum(s * p) AS got FROM s{k} JOIN step USING (kind, u) GROUP BY kind, v) g ON n.kind = g.kind AND n.u = g.v)"""
+    rounds = lambda name: "".join(
+        f""",
+{name}{k + 1} AS (SELECT n.kind, n.u, n.w, {1 - urls.DAMPING!r} * n.w + {urls.DAMPING} * coalesce(g.got, 0.0) AS s
+  FROM {name}{k} n LEFT JOIN (SELECT kind, v, sum(s * p) AS got FROM {name}{k} JOIN step USING (kind, u) GROUP BY kind, v) g ON n.kind = g.kind AND n.u = g.v)"""
+        for k in range(urls.ROUNDS)
+    )
     return rf"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 own AS (SELECT page_id, html,
@@ -44,9 +45,12 @@ nodes AS (SELECT kind, u FROM hosts, (VALUES ('t'), ('d')) k(kind)),
 totals AS (SELECT kind, u, sum(n) AS total FROM walk GROUP BY kind, u),
 step AS (SELECT w.kind, w.u, w.v, n / total AS p FROM walk w JOIN totals USING (kind, u)
   UNION ALL SELECT kind, u, u, 1.0 FROM nodes ANTI JOIN totals USING (kind, u)),
-s0 AS (SELECT n.kind, n.u, coalesce(CASE WHEN n.kind = 't' THEN s.t ELSE s.d END, 0.0)::DOUBLE AS w, coalesce(CASE WHEN n.kind = 't' THEN s.t ELSE s.d END, 0.0)::DOUBLE AS s FROM nodes n LEFT JOIN seeds s ON s.host = n.u){rounds},
-final AS (SELECT u AS host, sum(CASE WHEN kind = 't' THEN s ELSE 0 END) AS trust, sum(CASE WHEN kind = 'd' THEN s ELSE 0 END) AS distrust FROM s{urls.ROUNDS} GROUP BY u)
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.rule_verdict, CASE WHEN f.distrust >= {urls.LEAST} AND f.distrust > f.trust THEN 'block' ELSE 'allow' END) AS verdict
+s0 AS (SELECT n.kind, n.u, coalesce(CASE WHEN n.kind = 't' THEN s.t ELSE s.d END, 0.0)::DOUBLE AS w, coalesce(CASE WHEN n.kind = 't' THEN s.t ELSE s.d END, 0.0)::DOUBLE AS s FROM nodes n LEFT JOIN seeds s ON s.host = n.u){rounds('s')},
+found AS (SELECT u AS host, sum(CASE WHEN kind = 't' THEN s ELSE 0 END) AS trust, sum(CASE WHEN kind = 'd' THEN s ELSE 0 END) AS distrust FROM s{urls.ROUNDS} GROUP BY u),
+apart AS (SELECT f.host, CASE WHEN distrust = 0 THEN 1.0 WHEN coalesce(d, 0) > 0 THEN 1.0 - d ELSE 0.0 END::DOUBLE AS w FROM found f LEFT JOIN seeds s ON s.host = f.host),
+c0 AS (SELECT 'd' AS kind, host AS u, w, w AS s FROM apart){rounds('c')},
+final AS (SELECT f.*, c.s AS clean FROM found f JOIN c{urls.ROUNDS} c ON c.u = f.host)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.rule_verdict, CASE WHEN f.distrust * {urls.NEAR!r} >= {urls.LEAST} * (f.distrust + f.clean) AND f.distrust > f.trust * {urls.NEAR!r} THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled r LEFT JOIN final f ON f.host = r.host"""
 
 

@@ -1,12 +1,14 @@
 """URL filters: rules first, then trust and distrust carried over the links between hosts.
 
 A rule fits its host and all subdomains where the path starts with the rule's; the longest fitting rule decides. Pages
-without a rule take their host's verdict: walks with restart carry trust from the hosts of allowing rules along the
-links, and distrust from the hosts of blocking rules against them. A seed weighs as much as the share of its pages that
-the rules allow or block, and never falls under that. What a host receives is a mean over its own links (for trust: those
-that lead to it), so figures are 0 to 1 and do not shrink with the number of other hosts that share a neighbour. A host is
-blocked if its distrust is at least `LEAST` and more than its trust; a host that no link touches keeps its own weight. Links are counted by pair of hosts before anything moves, so a host with a third of
-all pages is one row; only hosts and their edges go through the rounds.
+without a rule take their host's verdict, which personalised PageRank gives: trust walks from the hosts of allowing rules
+along the links, distrust from the hosts of blocking rules against them, each with restart at its seeds (weighted by the
+share of a host's pages that the rules allow or block) for `ROUNDS` steps. PageRank mass shrinks with the number of hosts
+that share a neighbour, so no fixed mass can be the limit. A third walk measures the mass that distrust competes with: also
+against the links, from the hosts that distrust does not reach, and from the unblocked share of the seeds. A host is blocked
+if distrust is at least `LEAST` of both together, and more than the trust that reaches it; all three shrink alike. Links are
+counted by pair of hosts before anything moves, so a host with a third of all pages is one row; only hosts and their edges
+go through the rounds.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 from plantmill.llm.common import cut
 
-ROUNDS, DAMPING, LEAST, TOLERANCE, SALT = 10, 0.85, 0.25, 1e-4, 16
+ROUNDS, DAMPING, LEAST, SALT = 10, 0.85, 0.25, 16
+NEAR = 1 + 1e-9  # equal sums in another order are equal
 # Fixed values: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,38 +74,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     start = seeds.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("trusted").alias("w")), F.struct(F.lit("d").alias("kind"), F.col("blocked").alias("w")))).alias("x"))
     score = cut(nodes.join(start.select("x.kind", F.col("host").alias("u"), "x.w"), ["kind", "u"], "left").select("kind", "u", F.coalesce("w", F.lit(0.0)).alias("w")))
     score = score.withColumn("s", F.col("w"))
-    for k in range(rounds):
+    for _ in range(rounds):
         sent = score.where("s > 0").join(step, ["kind", "u"]).groupBy("kind", F.col("v").alias("u")).agg(F.sum(F.col("s") * F.col("p")).alias("got"))
-        score = score.join(sent, ["kind", "u"], "left").select("kind", "u", "w", ((1 - damping) * F.col("w") + damping * F.coalesce("got", F.lit(0.0))).alias("s"))
-        score = cut(score) if k % 5 == 4 else score
+        score = cut(score.join(sent, ["kind", "u"], "left").select("kind", "u", "w", ((1 - damping) * F.col("w") + damping * F.coalesce("got", F.lit(0.0))).alias("s")))
     pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("s")).otherwise(0.0))
     return score.groupBy(F.col("u").alias("host")).agg(pick("t").alias("trust"), pick("d").alias("distrust"))
 
 
-def settle(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, trust, distrust, 0 to 1, when no figure can move by more than `tolerance` any more.
-
-    A figure is the larger of the host's own weight and, with restart at that weight, the mean over its links: out-links
-    for distrust, in-links for trust. Rounds only raise it, and a round's largest change shrinks by `damping` at least.
-    """
-    walk = edges.select(F.lit("t").alias("kind"), F.col("src").alias("u"), F.col("dst").alias("v"), "n")
-    walk = walk.union(edges.select(F.lit("d"), F.col("dst"), F.col("src"), "n"))
-    total = walk.groupBy("kind", "v").agg(F.sum("n").alias("total"))
-    step = cut(walk.join(total, ["kind", "v"]).select("kind", "u", "v", (F.col("n") / F.col("total")).alias("p")))
-    hosts = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("host")).distinct().join(seeds, "host", "left")
-    weight = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias("w")
-    own = hosts.select(F.lit("t").alias("kind"), F.col("host").alias("u"), weight("trusted")).union(hosts.select(F.lit("d"), "host", weight("blocked")))
-    score = cut(own.withColumn("s", F.col("w")).withColumn("old", F.lit(0.0)))
-    moved = 1.0
-    while moved * damping / (1 - damping) > tolerance:
-        for _ in range(5):
-            sent = score.where("s > 0").join(step, ["kind", "u"]).groupBy("kind", F.col("v").alias("u")).agg(F.sum(F.col("s") * F.col("p")).alias("got"))
-            new = F.greatest("s", (1 - damping) * F.col("w") + damping * F.coalesce("got", F.lit(0.0)))
-            score = score.join(sent, ["kind", "u"], "left").select("kind", "u", "w", new.alias("s"), F.col("s").alias("old"))
-        score = cut(score)
-        moved = score.agg(F.max(F.col("s") - F.col("old"))).first()[0] or 0.0
-    pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("s")).otherwise(0.0))
-    return score.groupBy(F.col("u").alias("host")).agg(pick("t").alias("trust"), pick("d").alias("distrust"))
+def standing(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """host, trust, distrust, clean: `propagate` and the third walk, from what distrust does not reach."""
+    scores = cut(propagate(edges, seeds, rounds, damping))
+    share = F.coalesce("blocked", F.lit(0.0))
+    rest = F.when(F.col("distrust") == 0, 1.0).when(share > 0, 1 - share).otherwise(0.0)
+    apart = cut(scores.join(seeds, "host", "left").select("host", F.lit(0.0).alias("trusted"), rest.alias("blocked")))
+    return scores.join(propagate(edges, apart, rounds, damping).select("host", F.col("distrust").alias("clean")), "host")
 
 
 def by_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -112,8 +97,8 @@ def by_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return dealt.join(spread, ["host", "_salt"], "left").drop("_salt")
 
 
-def judge(pages: DataFrame, rules: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, least: float = LEAST) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust: one row per row of pages.
+def judge(pages: DataFrame, rules: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, least: float = LEAST) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust, clean: one row per row of pages.
 
     Null urls, and urls without ://, have an empty host and path and are allowed. Of rules of one length the first by name
     decides. Null html has no link; very long html is read whole. Repeated rows are judged each, and count as often in a
@@ -127,7 +112,7 @@ def judge(pages: DataFrame, rules: DataFrame, tolerance: float = TOLERANCE, damp
     ruled = cut(by_host(placed, fitting).withColumn("first", first).select("page_id", "host", "path", "first.rule", F.col("first.verdict").alias("ruled")))
     share = lambda v: F.avg(F.when(F.col("ruled") == v, 1.0).otherwise(0.0))
     seeds = ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
-    scores = cut(settle(cut(edges), cut(seeds), damping, tolerance))
-    bad = (F.col("distrust") >= least) & (F.col("distrust") > F.col("trust"))
+    scores = cut(standing(cut(edges), cut(seeds), rounds, damping))
+    bad = (F.col("distrust") * NEAR >= least * (F.col("distrust") + F.col("clean"))) & (F.col("distrust") > F.col("trust") * NEAR)
     verdict = F.coalesce("ruled", F.when(bad, "block"), F.lit("allow"))
-    return by_host(ruled, scores).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
+    return by_host(ruled, scores).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust", "clean")

@@ -173,6 +173,16 @@ def test_long_chain_is_one_component(spark):
 # --- decontamination
 
 
+def test_spans_go_beside_clashing_columns(spark):
+    items = spark.createDataFrame([(k, f"one two three four five six seven eight nine {w}") for k, w in enumerate(("ten", "elf"))], "item_id long, text string")
+    rows = [(1, "start one two three four five six seven eight nine ten end", 7, "a", "b"), (2, "x one two three four five six seven eight nine elf", 8, "c", "d"), (None, None, 9, None, None), (3, "kept", 1, "e", "f")]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, _hit int, __items string, print string")
+    whole = [decontaminate.remove_spans(docs, items, block=b) for b in (2_000_000, 1)]
+    assert all(w.columns == docs.columns for w in whole) and decontaminate.blocks_of(items, block=1)[0] == 2
+    assert [sorted(map(repr, w.collect())) for w in whole][0] == sorted(map(repr, whole[1].collect()))
+    assert {(r.doc_id, r._hit) for r in whole[1].collect()} == {(1, 7), (2, 8), (None, 9), (3, 1)} and whole[1].count() == 5
+
+
 def brute_hits(text, items):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = decontaminate.WORD.findall(low.encode())
@@ -284,6 +294,56 @@ def test_fold_equals_search(spark):
 # --- URL filters
 
 
+def walked(edges, weights, reverse, rounds=urls.ROUNDS):
+    """Mass of a walk with restart, by a dense matrix; a host without a way out keeps its mass."""
+    hosts = sorted(weights)
+    m = np.zeros((len(hosts), len(hosts)))
+    for (a, b), n in edges.items():
+        m[hosts.index(b if reverse else a), hosts.index(a if reverse else b)] += n
+    m += np.diag(m.sum(1) == 0)
+    m /= m.sum(1, keepdims=True)
+    w = np.array([weights[h] for h in hosts])
+    s = w
+    for _ in range(rounds):
+        s = (1 - urls.DAMPING) * w + urls.DAMPING * s @ m
+    return dict(zip(hosts, s, strict=True))
+
+
+def test_linked_hosts_equal_numpy_and_sql(spark):
+    """Hosts that link to each other at random, farms around blocked hosts, a half-linked host: code, SQL and a dense matrix agree."""
+    import duckdb
+
+    from plantmill.llm.oracles import ORACLES
+
+    rng = random.Random(9)
+    hosts = [f"h{k}.com" for k in range(30)] + [f"bad{k}.net" for k in range(3)] + ["example.com", "good.org", "half.com", *(f"fan{k}.com" for k in range(8))]
+    link = lambda to: "".join(f'<a href="https://{h}/p">x</a>' for h in to)
+    rows = [(k, f"http://{h}/{rng.choice(['fr', 'de', 'en', 'x'])}/", link(rng.choices(hosts[:35], k=rng.randint(0, 5)))) for k, h in enumerate(hosts[:35] * 2)]
+    rows += [(100 + k, f"http://fan{k}.com/", link(["bad0.net"])) for k in range(8)] + [(200, "http://half.com/", link(["bad0.net", "h1.com"])), (201, "http://example.com/de/", ""), (202, "http://good.org/fr/", link(["h2.com"]))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.judge(frame, urls.rules_frame(spark)).collect()}
+    edges, pages_of, ruled = {}, {}, {}
+    for k, u, html in rows:
+        h = u.split("/")[2]
+        pages_of.setdefault(h, []).append(got[k].rule and {r[0] + r[1]: r[2] for r in urls.RULES}[got[k].rule])
+        for to in re.findall(r"https://([^/]*)/p", html):
+            edges[h, to] = edges.get((h, to), 0) + 1
+    nodes = set(pages_of) | {x for e in edges for x in e}
+    share = lambda h, v: sum(r == v for r in pages_of.get(h, [])) / max(len(pages_of.get(h, [])), 1)
+    trust, distrust = walked(edges, {h: share(h, "allow") for h in nodes}, False), walked(edges, {h: share(h, "block") for h in nodes}, True)
+    clean = walked(edges, {h: 1.0 if distrust[h] == 0 else 1 - share(h, "block") if share(h, "block") else 0.0 for h in nodes}, True)
+    for k, u, _ in rows:
+        h, r = u.split("/")[2], got[k]
+        assert (r.trust, r.distrust, r.clean) == pytest.approx((trust[h], distrust[h], clean[h]))
+        bad = distrust[h] >= urls.LEAST * (distrust[h] + clean[h]) and distrust[h] > trust[h]
+        assert r.rule or r.verdict == ("block" if bad else "allow")
+    assert {got[100 + k].verdict for k in range(8)} == {"block"} and {r.verdict for r in got.values()} == {"allow", "block"}
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    assert sorted(con.execute(f"select page_id, verdict from ({ORACLES['op3_url_filter']})").fetchall()) == sorted((k, r.verdict) for k, r in got.items())
+
+
 def test_url_rules(spark):
     rows = [(1, "http://A.Example.NET/en/x?q#f"), (2, "https://a.net/de/"), (3, "http://example.com/de"), (4, "http://x.example.com/de/1"), (5, "http://b.org/fr/1"), (6, "nothing"), (7, None), (8, "x://h#/y"), (9, "http://notexample.com/de/1")]
     pages = spark.createDataFrame([(k, u, None) for k, u in rows], "page_id long, url string, html string")
