@@ -52,10 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "left", ways: int = 16) -> DataFrame:
-    """rows joined to side (one row a key). A key's rows are dealt over `ways` tasks by hash of `by`; side's row goes only to those that have some."""
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "left", ways: int = 16, wide: bool = False) -> DataFrame:
+    """rows joined to side (one row a key). A key's rows are dealt over `ways` tasks by hash of `by`.
+
+    side's row goes to all of those; where it is `wide`, only to those that have some, which takes one more shuffle of keys.
+    """
     rows = rows.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
-    met = rows.select(key, "_way").distinct().join(side, key)
+    met = rows.select(key, "_way").distinct().join(side, key) if wide else side.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return rows.join(met, [key, "_way"], how).drop("_way")
 
 

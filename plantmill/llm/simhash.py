@@ -243,8 +243,10 @@ def judged(pairs: DataFrame, sketches: DataFrame, least: float = SIMILAR) -> Dat
             out = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sure, pa.bool_())], ["u", "v", "sure"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    side = lambda key, name: sketches.select(F.col("node").alias(key), F.col("sketch").alias(name))
-    met = dealt_join(dealt_join(pairs.select("u", "v"), side("v", "b"), "v", "u", "inner"), side("u", "a"), "u", "v", "inner")
+    nodes = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    own = within(sketches, nodes, "left_semi", "node")  # of most texts no sketch moves
+    side = lambda key, name: own.select(F.col("node").alias(key), F.col("sketch").alias(name))
+    met = dealt_join(dealt_join(pairs.select("u", "v"), side("v", "b"), "v", "u", "inner", wide=True), side("u", "a"), "u", "v", "inner", wide=True)
     return met.mapInArrow(run, "u long, v long, sure boolean")
 
 
@@ -317,24 +319,28 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR, dense: i
     docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(folder)
     stored = spark.read.parquet(folder)
     rows = stored.select(F.col(key).alias("row"), "doc_id", "text")
-    marked = cut(marks(rows.where("doc_id is not null"), shingle))
+    marked_folder = new_folder(spark, "marks")
+    marks(rows.where("doc_id is not null"), shingle).write.parquet(marked_folder)
+    marked = spark.read.parquet(marked_folder)
+    sketches = marked.select(F.col("row").alias("node"), "sketch")
     first = F.min(F.struct("doc_id", "row")).alias("first")
     classes = cut(marked.groupBy("print").agg(first).select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("doc_id")))
-    heads = cut(marked.join(classes.select("row"), "row", "left_semi").select(F.col("row").alias("node"), "fp", "bands", "sketch"))
+    heads = cut(marked.select(F.col("row").alias("node"), "fp", "bands").join(classes.select(F.col("row").alias("node")), "node", "left_semi"))
     by_fp = heads.groupBy("fp").agg(F.min("node").alias("node"))
     same = heads.select("fp", F.col("node").alias("u")).join(by_fp.select("fp", F.col("node").alias("v")), "fp").where("u <> v").select("u", "v")
 
     def judge(pairs: DataFrame) -> DataFrame:
-        told = cut(judged(pairs, heads, least))
+        told = cut(judged(pairs, sketches, least))
         near = told.where("not sure").select("u", "v")
         return told.where("sure").select("u", "v") if near.isEmpty() else cut(told.where("sure").select("u", "v").union(confirmed(near, rows, shingle, least)))
 
     bands = heads.select("node", F.explode("bands").alias("bucket"))
     top = bands.groupBy("bucket").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "v")
-    to_first = dealt_join(bands, top, "bucket", "node", "inner").where("node <> v").select(F.col("node").alias("u"), "v")
+    members = cut(dealt_join(bands, top, "bucket", "node", "inner"))
+    to_first = members.where("node <> v").select(F.col("node").alias("u"), "v")
     close = judge(cut(links(cut(by_fp)).select("u", "v").union(same).union(to_first).distinct()))
     found = cut(star_components(close))
-    tops = dealt_join(bands, top.select("bucket"), "bucket", "node", "inner").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("top"))
+    tops = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("top"))
     more = band_links(tops, judge, dense)
     found = found if more is None else star_components(close.union(more))
     groups = classes.join(found, classes["row"] == found["node"], "left").select("row", "doc_id", F.coalesce("component", "row").alias("group"))

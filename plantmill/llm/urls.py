@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plantmill.llm.common import cut
 
 ROUNDS, DAMPING, LEAST, SALT = 10, 0.85, 0.25, 16
-NEAR = 1 + 1e-9  # equal sums in another order are equal
+NEAR, STILL = 1 + 1e-9, 1e-14  # equal sums in another order are equal; no figure moves
 # Fixed values: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,9 +74,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     start = seeds.select("host", F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("trusted").alias("w")), F.struct(F.lit("d").alias("kind"), F.col("blocked").alias("w")))).alias("x"))
     score = cut(nodes.join(start.select("x.kind", F.col("host").alias("u"), "x.w"), ["kind", "u"], "left").select("kind", "u", F.coalesce("w", F.lit(0.0)).alias("w")))
     score = score.withColumn("s", F.col("w"))
-    for _ in range(rounds):
+    for _ in range(rounds):  # a walk that stands still would go on as it is
         sent = score.where("s > 0").join(step, ["kind", "u"]).groupBy("kind", F.col("v").alias("u")).agg(F.sum(F.col("s") * F.col("p")).alias("got"))
-        score = cut(score.join(sent, ["kind", "u"], "left").select("kind", "u", "w", ((1 - damping) * F.col("w") + damping * F.coalesce("got", F.lit(0.0))).alias("s")))
+        score = cut(score.join(sent, ["kind", "u"], "left").select("kind", "u", "w", ((1 - damping) * F.col("w") + damping * F.coalesce("got", F.lit(0.0))).alias("s"), F.col("s").alias("old")))
+        if not (score.agg(F.max(F.abs(F.col("s") - F.col("old")))).first()[0] or 0.0) > STILL:
+            break
     pick = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("s")).otherwise(0.0))
     return score.groupBy(F.col("u").alias("host")).agg(pick("t").alias("trust"), pick("d").alias("distrust"))
 
