@@ -1014,7 +1014,8 @@ _TIPS = "tp AS (SELECT plant_id, fruit, i, j, k FROM twig_voxels WHERE is_tip)"
 
 
 def canes(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "canes")
+    """The canes with debris around them, which every skeleton drops."""
+    return load(spark, d, "littered")
 
 
 def grown(spark: SparkSession, d: str) -> skeleton.Skeleton:
@@ -1035,6 +1036,33 @@ def shown_tips(sk: skeleton.Skeleton) -> DataFrame:
     return at_voxel(sk.tips, sk).select("plant_id", "i", "j", "k")
 
 
+_PARTS = """WITH RECURSIVE vox AS MATERIALIZED (SELECT DISTINCT plant_id, i, j, k FROM littered),
+e AS MATERIALIZED (SELECT a.*, b.i AS i2, b.j AS j2, b.k AS k2 FROM vox a JOIN vox b ON a.plant_id = b.plant_id AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
+reach AS (SELECT plant_id, i, j, k, i * 1000000 + j * 1000 + k AS o FROM vox UNION SELECT e.plant_id, e.i2, e.j2, e.k2, o FROM reach JOIN e USING (plant_id, i, j, k)),
+lab AS (SELECT plant_id, i, j, k, min(o) AS label FROM reach GROUP BY ALL),
+siz AS (SELECT plant_id, label, count(*) AS size FROM lab GROUP BY ALL)"""
+
+
+@query(("littered",), f"{_PARTS}, best AS (SELECT plant_id, label FROM siz QUALIFY row_number() OVER (PARTITION BY plant_id ORDER BY size DESC, label) = 1) SELECT plant_id, i, j, k FROM lab SEMI JOIN best USING (plant_id, label)")
+def i8_plant_volumes(spark: SparkSession, d: str) -> DataFrame:
+    """Each plant's largest component of voxels."""
+    return components.keep_largest(canes(spark, d), ["plant_id"], graph.AXES)
+
+
+@query(("littered",), f"{_PARTS} SELECT plant_id, label, size FROM siz")
+def c1_plant_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The components of each plant's voxels, by their first voxel, and their sizes."""
+    out = components.component_sizes(components.cell_components(canes(spark, d), ["plant_id"], graph.AXES), ["plant_id"])
+    return out.select("plant_id", (F.col("label.i") * 1000000 + F.col("label.j") * 1000 + F.col("label.k")).alias("label"), "size")
+
+
+@query(("voxels_seen",), "WITH seen AS (SELECT plant_id, max(n) AS most FROM voxels_seen GROUP BY 1) SELECT plant_id, 'no voxel above the threshold' AS reason FROM seen WHERE most < (SELECT max(most) FROM seen)")
+def i8_empty_plants(spark: SparkSession, d: str) -> DataFrame:
+    """At a threshold that only the fullest plants reach, the others are named, not lost."""
+    seen = load(spark, d, "voxels_seen")
+    return skeleton.empty_plants(seen, seen.where(F.col("n") >= seen.agg(F.max("n")).first()[0]))
+
+
 @query(("canes", "twig_voxels"), f"""WITH {_TIPS} SELECT plant_id, 'tip' AS part, i, j, k, true AS right_place FROM tp UNION ALL SELECT plant_id, 'root', {MID}, {MID}, 0, true FROM plants UNION ALL SELECT plant_id, 'top', {MID}, {MID}, {SIDE - 1}, true FROM plants
   UNION ALL SELECT plant_id, 'stem', {MID}, {MID}, k, true FROM plants, levels UNION ALL SELECT plant_id, 'branch', i, j, k, true FROM tp""")
 def g17_skeletons(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantmill.operators import graph
-from plantmill.operators.components import cut
+from plantmill.operators.components import cut, keep_largest
 from plantmill.operators.results import keep_options, upsert
 
 NODE = graph.NODE
@@ -38,14 +38,20 @@ class Skeleton:
 
 
 def build_graph(occupied: DataFrame, dims: tuple[int, int, int], params: Params = Params()) -> tuple[DataFrame, DataFrame]:
-    """Nodes with dt and radius, and edges with length d and travel time w."""
-    nodes = cut(graph.node_ids(occupied))
+    """Nodes with dt and radius, and edges with length d and travel time w, of each plant's largest component: debris is dropped."""
+    nodes = cut(graph.node_ids(keep_largest(occupied, ["plant_id"], graph.AXES)))
     dt = cut(graph.distance_transform(nodes, dims))
     radius = cut(graph.local_radius(dt))
     gamma = graph.conductance(dt, radius, params.beta, params.nu_min)
     return cut(dt.join(radius, NODE)), cut(graph.travel_times(graph.edges(nodes), gamma))
 
 
+def empty_plants(plants: DataFrame, occupied: DataFrame) -> DataFrame:
+    """plant_id, reason: the plants(plant_id) that have no occupied voxel, so no skeleton; the others go on without them."""
+    lost = plants.select("plant_id").distinct().join(occupied.select("plant_id").distinct(), "plant_id", "left_anti")
+    return lost.select("plant_id", F.lit("no voxel above the threshold").alias("reason"))
+
+
 def stem_top(maxima: DataFrame, truncated: DataFrame, dt: DataFrame, dist: DataFrame) -> DataFrame:
     """plant_id, node_id: the deepest tip on the top face; else the farthest local maximum; else the farthest truncated tip."""
     cut_tips = truncated.join(dt.select(*NODE, "dt"), NODE).join(dist.select(*NODE, "dist"), NODE)

@@ -1,11 +1,11 @@
-"""Connected components of cells and graphs, by rounds of joins."""
+"""Connected components of cells and graphs: runs of cells, and rounds of joins over them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,36 +49,53 @@ def face_offsets(n: int) -> list[tuple[int, ...]]:
     return [tuple(s * (k == a) for k in range(n)) for a in range(n) for s in (1, -1)]
 
 
-def labels(nodes: DataFrame, edges: DataFrame, most: int = 200) -> DataFrame:
+def labels(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     """node, label (the smallest node that links reach) for nodes(node) and edges(u, v).
 
-    Rounds take the least label of the neighbours, then jump to that label's label, so long chains shorten fast. The
-    driver sees one flag a round.
+    A round hangs each node's larger neighbours on its smallest one, then each node's smaller neighbours on the smallest of
+    them; ways to a root halve, so rounds grow with the logarithm of the longest way, and `most` is only reached by an error.
+    Joins and grouped minima alone: one node's neighbours are never in one task. The driver sees one flag a round.
     """
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    found = cut(nodes.select("node", F.col("node").alias("label")).distinct())
+    links = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(most):
-        near = both.join(found.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = found.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        # What a label's own node has found holds for all its members.
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        hook = step.groupBy(F.col("old").alias("label")).agg(F.min("label").alias("hooked"))
-        new = step.join(jump, "label", "left").join(hook.withColumnRenamed("label", "old"), "old", "left")
-        new = cut(new.select("node", "old", F.least(F.coalesce("further", "label"), "label", F.coalesce("hooked", "label")).alias("label")))
-        found = new.select("node", "label")
-        if not new.where("label <> old").limit(1).count():
-            return found
+        near = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = cut(near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        first = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(first, "u")
+        links = cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        above = links.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+        unsettled = above.join(above.select(F.col("u").alias("v")), "v", "left_semi").union(above.where("n > 1").select("v", "u", "n"))
+        if unsettled.isEmpty():  # every node hangs on one root
+            return nodes.select("node").distinct().join(links.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("label"))
     raise RuntimeError("components have not settled")
 
 
+def cell_runs(cells: DataFrame, keys: list[str], axes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Cells as runs of consecutive cells along the last axis: cells with their run's number `_run` in its line, and the runs (keys, other axes, _run, lo, hi, node)."""
+    along, across = axes[-1], [*keys, *axes[:-1]]
+    line = Window.partitionBy(*across).orderBy(along)
+    begins = F.when(F.lag(along).over(line) == F.col(along) - 1, 0).otherwise(1)
+    placed = cells.select(*keys, *axes).distinct().withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(line)).drop("_begins")
+    runs = cut(placed.groupBy(*across, "_run").agg(F.min(along).alias("lo"), F.max(along).alias("hi")))
+    return placed, cut(runs.withColumn("node", F.monotonically_increasing_id()))
+
+
 def cell_components(cells: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
-    """cells with `label`: face-connected components; a label is the first cell of its component, as a struct of axes."""
-    node = F.struct(*keys, *axes)
-    offsets = [o for o in face_offsets(len(axes)) if max(o) > 0]
-    linked = neighbours(cells.select(*keys, *axes), keys, axes, offsets)
-    edges = linked.select(node.alias("u"), F.struct(*keys, *(F.col(f"n_{a}").alias(a) for a in axes)).alias("v"))
-    found = labels(cells.select(node.alias("node")), edges)
-    return found.select(*(F.col("node")[c].alias(c) for c in [*keys, *axes]), F.struct(*(F.col("label")[a].alias(a) for a in axes)).alias("label"))
+    """cells with `label`: face-connected components; a label is the first cell of its component, as a struct of axes.
+
+    Runs of cells are the nodes, and runs that touch in neighbouring lines the edges, so a thick plant has far fewer nodes
+    than voxels, and single cells only meet their own line's runs. Null axes are no cells' places; equal cells are one cell.
+    """
+    along, across = axes[-1], [*keys, *axes[:-1]]
+    placed, runs = cell_runs(cells, keys, axes)
+    steps = F.array(*(F.struct(*(F.lit(int(a == b)).alias(b) for b in axes[:-1])) for a in axes[:-1]))
+    moved = runs.withColumn("_o", F.explode(steps)).select(*keys, *((F.col(a) + F.col("_o")[a]).alias(a) for a in axes[:-1]), F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("node").alias("v"))
+    touching = runs.join(moved, across).where("lo <= b AND hi >= a")
+    found = labels(runs.select("node"), touching.select(F.col("node").alias("u"), "v"))
+    named = cut(runs.join(found, "node").select(*across, "_run", F.col("label").alias("_root"), F.col("lo").alias(along)))
+    first = named.groupBy("_root").agg(F.min(F.struct(*axes)).alias("label"))
+    return placed.join(named.drop(along).join(first, "_root").drop("_root"), [*across, "_run"]).select(*keys, *axes, "label")
 
 
 def component_sizes(labelled: DataFrame, keys: list[str]) -> DataFrame:

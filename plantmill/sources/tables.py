@@ -41,9 +41,11 @@ SQL = {
     "levels": f"SELECT k FROM (VALUES {', '.join(f'({k})' for k in range(SIDE))}) v(k)",
     "twig_voxels": f"SELECT t.plant_id, t.fruit, r, {SIDE // 2} + dx * r AS i, {SIDE // 2} + dy * r AS j, height + idiv(r, 3) AS k, r = len AS is_tip FROM twigs t JOIN ways w ON w.way = t.way JOIN reach s ON r <= len",
     "canes": f"SELECT plant_id, CAST({SIDE // 2} + a AS BIGINT) AS i, CAST({SIDE // 2} + b AS BIGINT) AS j, CAST(k AS BIGINT) AS k FROM plants, girth, levels UNION ALL SELECT plant_id, CAST(i AS BIGINT), CAST(j AS BIGINT), CAST(k AS BIGINT) FROM twig_voxels",
+    "debris": "SELECT a, b FROM (VALUES (1, 1), (1, 2), (2, 2)) v(a, b)",
+    "littered": f"SELECT plant_id, i, j, k FROM canes UNION ALL SELECT plant_id, CAST(a AS BIGINT), CAST(b AS BIGINT), CAST(0 AS BIGINT) FROM plants, debris UNION ALL SELECT plant_id, CAST({SIDE - 2} AS BIGINT), CAST(a + plant_id % 3 AS BIGINT), CAST(b AS BIGINT) FROM plants, debris",
     "images": "SELECT l_orderkey AS plant_id, l_linenumber AS frame_idx, max(CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 0 END) AS has_pose, round(CAST(max(l_quantity) AS DOUBLE), 3) AS x, round(CAST(max(l_tax) AS DOUBLE), 3) AS y, round(CAST(max(l_discount) AS DOUBLE), 3) AS z FROM lineitem GROUP BY 1, 2",
 }
-NEEDS = {"calm_points": ["curve_points"], "occupied": ["voxels_seen"], "twig_voxels": ["twigs", "ways", "reach"], "canes": ["plants", "girth", "levels", "twig_voxels"], "frames": ["plants", "angles"], "grids": ["plants"]}
+NEEDS = {"calm_points": ["curve_points"], "occupied": ["voxels_seen"], "twig_voxels": ["twigs", "ways", "reach"], "canes": ["plants", "girth", "levels", "twig_voxels"], "littered": ["canes", "plants", "debris"], "frames": ["plants", "angles"], "grids": ["plants"]}
 
 
 def _needed(name: str) -> list[str]:
