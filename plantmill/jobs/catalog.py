@@ -194,7 +194,7 @@ _POSE = [f"r{a}{b}" for a in (1, 2, 3) for b in (1, 2, 3)] + ["t1", "t2", "t3"]
 _LENS = ["fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2"]
 
 
-@query(("frames",), f"SELECT plant_id::VARCHAR AS plant_id, frame_idx, {', '.join(_POSE)}, width, height, {', '.join(_LENS)} FROM frames")
+@query(("frames",), f"SELECT plant_id::VARCHAR AS plant_id, frame_idx, {', '.join(f'{c} + 0.0 AS {c}' for c in _POSE)}, width, height, {', '.join(_LENS)} FROM frames")
 def s4_camera_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frames out of the JSON texts of cameras and poses, a file of each kind a plant."""
     own = frames(spark, d)
@@ -562,6 +562,7 @@ def g15_root(spark: SparkSession, d: str) -> DataFrame:
     return graph.root(transformed(spark, d))
 
 
+SMALL = 1024  # node ids of a block, so that ways cross several
 # Distances by relaxation in SQL: as many rounds as any path needs here.
 _ROUNDS = 80
 _RELAX = "".join(f", b{n + 1} AS MATERIALIZED (SELECT plant_id, node_id, min(x) AS x FROM (SELECT plant_id, node_id, x FROM b{n} UNION ALL SELECT a.plant_id, a.v, x + a.d FROM b{n} b JOIN adj a ON a.plant_id = b.plant_id AND a.u = b.node_id) GROUP BY ALL)" for n in range(_ROUNDS))
@@ -570,7 +571,7 @@ _RELAX = "".join(f", b{n + 1} AS MATERIALIZED (SELECT plant_id, node_id, min(x)
 def rooted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     dt = transformed(spark, d)
     e = components.cut(graph.edges(nodes(spark, d)))
-    return e, graph.shortest_paths(e, graph.root(dt))
+    return e, graph.shortest_paths(e, graph.root(dt), block=SMALL)
 
 
 @query(("occupied",), f"{_DT}, {_ROOT}, b0 AS (SELECT plant_id, node_id, 0.0::DOUBLE AS x FROM rt){_RELAX} SELECT plant_id, node_id, {q('x')} AS dist FROM b{_ROUNDS}")
@@ -602,7 +603,7 @@ def g10_nearest_source(spark: SparkSession, d: str) -> DataFrame:
     """Many sources at once, over squared lengths, which add up exactly: of equally near sources the smaller one."""
     n = components.cut(nodes(spark, d))
     e = graph.edges(n).withColumn("q", F.round(F.col("d") * F.col("d")))
-    return graph.shortest_paths(e, n.where("(node_id * 31) % 211 < 2"), "q").select("plant_id", "node_id", "dist", "nearest_source")
+    return graph.shortest_paths(e, n.where("(node_id * 31) % 211 < 2"), "q", block=SMALL).select("plant_id", "node_id", "dist", "nearest_source")
 
 
 @query(("occupied",), f"{_DT}, {_ROOT}, b0 AS (SELECT plant_id, node_id, 0.0::DOUBLE AS x FROM rt){_RELAX} SELECT plant_id, node_id AS tip, {q('x')} AS dist, {q('x')} AS walked FROM b{_ROUNDS}")
@@ -1038,8 +1039,8 @@ def shown_tips(sk: skeleton.Skeleton) -> DataFrame:
 
 _PARTS = """WITH RECURSIVE vox AS MATERIALIZED (SELECT DISTINCT plant_id, i, j, k FROM littered),
 e AS MATERIALIZED (SELECT a.*, b.i AS i2, b.j AS j2, b.k AS k2 FROM vox a JOIN vox b ON a.plant_id = b.plant_id AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
-reach AS (SELECT plant_id, i, j, k, i * 1000000 + j * 1000 + k AS o FROM vox UNION SELECT e.plant_id, e.i2, e.j2, e.k2, o FROM reach JOIN e USING (plant_id, i, j, k)),
-lab AS (SELECT plant_id, i, j, k, min(o) AS label FROM reach GROUP BY ALL),
+flood AS (SELECT plant_id, i, j, k, i * 1000000 + j * 1000 + k AS o FROM vox UNION SELECT e.plant_id, e.i2, e.j2, e.k2, o FROM flood JOIN e USING (plant_id, i, j, k)),
+lab AS (SELECT plant_id, i, j, k, min(o) AS label FROM flood GROUP BY ALL),
 siz AS (SELECT plant_id, label, count(*) AS size FROM lab GROUP BY ALL)"""
 
 

@@ -60,7 +60,7 @@ def labels(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         near = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = cut(near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         first = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(first, "u")
         links = cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
@@ -77,7 +77,7 @@ def cell_runs(cells: DataFrame, keys: list[str], axes: list[str]) -> tuple[DataF
     line = Window.partitionBy(*across).orderBy(along)
     begins = F.when(F.lag(along).over(line) == F.col(along) - 1, 0).otherwise(1)
     placed = cells.select(*keys, *axes).distinct().withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(line)).drop("_begins")
-    runs = cut(placed.groupBy(*across, "_run").agg(F.min(along).alias("lo"), F.max(along).alias("hi")))
+    runs = placed.groupBy(*across, "_run").agg(F.min(along).alias("lo"), F.max(along).alias("hi"))
     return placed, cut(runs.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -93,7 +93,7 @@ def cell_components(cells: DataFrame, keys: list[str], axes: list[str]) -> DataF
     moved = runs.withColumn("_o", F.explode(steps)).select(*keys, *((F.col(a) + F.col("_o")[a]).alias(a) for a in axes[:-1]), F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("node").alias("v"))
     touching = runs.join(moved, across).where("lo <= b AND hi >= a")
     found = labels(runs.select("node"), touching.select(F.col("node").alias("u"), "v"))
-    named = cut(runs.join(found, "node").select(*across, "_run", F.col("label").alias("_root"), F.col("lo").alias(along)))
+    named = runs.join(found, "node").select(*across, "_run", F.col("label").alias("_root"), F.col("lo").alias(along))
     first = named.groupBy("_root").agg(F.min(F.struct(*axes)).alias("label"))
     return placed.join(named.drop(along).join(first, "_root").drop("_root"), [*across, "_run"]).select(*keys, *axes, "label")
 

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantmill.operators.components import cut
+from plantmill.operators.components import cut, whole_unions
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old without the keys of new, and new."""
+    whole_unions(old.sparkSession)
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 

@@ -102,14 +102,6 @@ def decoded(rows: DataFrame) -> DataFrame:
     return own.mapInPandas(run, f"plant_id {own.schema['plant_id'].dataType.simpleString()}, frame_idx int, row long, col long, r double, g double, b double")
 
 
-def validate_scans(spark: SparkSession, root: str) -> DataFrame:
-    """plant_id, n_images, n_missing, valid: a scan has an image, and metadata for each of its images."""
-    own = images(spark, root)
-    meta = _listed(spark, root, "*.json").select(*_parts(METADATA)).where("plant_id <> ''").distinct().withColumn("has", F.lit(1))
-    n, bad = F.count(F.lit(1)), F.count(F.when(F.col("has").isNull(), 1))
-    return own.join(meta, ["plant_id", "stem"], "left").groupBy("plant_id").agg(n.alias("n_images"), bad.alias("n_missing"), ((n > 0) & (bad == 0)).alias("valid"))
-
-
 def poses_in(texts: DataFrame, own: DataFrame) -> DataFrame:
     """plant_id, frame_idx, stem, x, y, z: the first three numbers of each image's approximate pose in texts(path, value)."""
     raw = texts.select(*_parts(METADATA), F.from_json("value", "struct<approximate_pose: array<double>>")["approximate_pose"].alias("p"))
@@ -128,9 +120,9 @@ def frames_in(cameras: DataFrame, poses: DataFrame, own: DataFrame) -> DataFrame
     poses = poses.select(at, F.explode(F.from_json("value", POSES)).alias("img_name", "pose"))
     poses = poses.withColumn("stem", F.regexp_replace("img_name", r"\.[^.]*$", ""))
     met = own.join(poses, ["plant_id", "stem"]).join(cameras, "plant_id")
-    rotation = [F.get(F.get("pose.rotmat", F.lit(a)), F.lit(b)).alias(f"r{a + 1}{b + 1}") for a in range(3) for b in range(3)]
-    shift = [F.get("pose.tvec", F.lit(k)).alias(f"t{k + 1}") for k in range(3)]
-    lens = [F.get("c.params", F.lit(k)).alias(n) for k, n in enumerate(("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2"))]
+    rotation = [(F.get(F.get("pose.rotmat", F.lit(a)), F.lit(b)) + 0.0).alias(f"r{a + 1}{b + 1}") for a in range(3) for b in range(3)]  # no negative zero
+    shift = [(F.get("pose.tvec", F.lit(k)) + 0.0).alias(f"t{k + 1}") for k in range(3)]
+    lens = [(F.get("c.params", F.lit(k)) + 0.0).alias(n) for k, n in enumerate(("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2"))]
     return met.select("plant_id", "frame_idx", "img_name", *rotation, *shift, "c.width", "c.height", *lens)
 
 

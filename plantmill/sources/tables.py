@@ -21,7 +21,9 @@ def _plant(order: str) -> str:
 SQL = {
     "plants": f"SELECT DISTINCT {_plant('o_orderkey')} AS plant_id FROM orders",
     "voxels_seen": f"SELECT {_plant('l_orderkey')} AS plant_id, l_partkey % {SIDE} AS i, l_suppkey % {SIDE} AS j, idiv(l_orderkey, 4) % {SIDE} AS k, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4",
-    "occupied": f"SELECT v.plant_id, i, j, k FROM voxels_seen v JOIN (SELECT plant_id AS p, CAST(sum(n) AS BIGINT) AS total FROM voxels_seen GROUP BY 1) t ON v.plant_id = t.p WHERE n >= idiv(3 * total, {2 * SIDE**3}) + 2",
+    "discs": "SELECT a, b FROM (SELECT x.k - 6 AS a, y.k - 6 AS b FROM levels x, levels y WHERE x.k < 13 AND y.k < 13) g",
+    "noise": f"SELECT v.plant_id, i, j, k FROM voxels_seen v JOIN (SELECT plant_id AS p, CAST(sum(n) AS BIGINT) AS total FROM voxels_seen GROUP BY 1) t ON v.plant_id = t.p WHERE n >= idiv(3 * total, {2 * SIDE**3}) + 2",
+    "occupied": f"SELECT plant_id, i, j, k FROM noise UNION SELECT plant_id, CAST({SIDE // 2} + a AS BIGINT), CAST({SIDE // 2} + b AS BIGINT), CAST(k AS BIGINT) FROM plants, discs, levels WHERE a * a + b * b <= (3 + k % 3) * (3 + k % 3)",
     "pixels": f"""SELECT {_plant('l_orderkey')} AS plant_id, l_linenumber AS frame_idx, l_partkey % {ROWS} + 1 AS row, l_suppkey % {COLS} + 1 AS col,
         round(least(1.0, CAST(max(l_quantity) AS DOUBLE) / 50.0) * 255) / 255 AS r, round(least(1.0, CAST(max(l_discount) AS DOUBLE) * 10.0) * 255) / 255 AS g, round(least(1.0, CAST(max(l_tax) AS DOUBLE) * 12.5) * 255) / 255 AS b
         FROM lineitem GROUP BY 1, 2, 3, 4""",
@@ -40,12 +42,14 @@ SQL = {
     "girth": "SELECT a, b FROM (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) v(a, b)",
     "levels": f"SELECT k FROM (VALUES {', '.join(f'({k})' for k in range(SIDE))}) v(k)",
     "twig_voxels": f"SELECT t.plant_id, t.fruit, r, {SIDE // 2} + dx * r AS i, {SIDE // 2} + dy * r AS j, height + idiv(r, 3) AS k, r = len AS is_tip FROM twigs t JOIN ways w ON w.way = t.way JOIN reach s ON r <= len",
-    "canes": f"SELECT plant_id, CAST({SIDE // 2} + a AS BIGINT) AS i, CAST({SIDE // 2} + b AS BIGINT) AS j, CAST(k AS BIGINT) AS k FROM plants, girth, levels UNION ALL SELECT plant_id, CAST(i AS BIGINT), CAST(j AS BIGINT), CAST(k AS BIGINT) FROM twig_voxels",
+    "twig_links": f"SELECT plant_id, {SIDE // 2} + dx * r AS i, {SIDE // 2} + dy * (r - s) AS j, height + idiv((r - 1), 3) AS k FROM twigs t JOIN ways w ON w.way = t.way JOIN reach z ON r <= len JOIN sides b ON s >= 0",
+    "sides": "SELECT s FROM (VALUES (0), (1)) v(s)",
+    "canes": f"SELECT plant_id, CAST({SIDE // 2} + a AS BIGINT) AS i, CAST({SIDE // 2} + b AS BIGINT) AS j, CAST(k AS BIGINT) AS k FROM plants, girth, levels UNION SELECT plant_id, CAST(i AS BIGINT), CAST(j AS BIGINT), CAST(k AS BIGINT) FROM twig_voxels UNION SELECT plant_id, CAST(i AS BIGINT), CAST(j AS BIGINT), CAST(k AS BIGINT) FROM twig_links",
     "debris": "SELECT a, b FROM (VALUES (1, 1), (1, 2), (2, 2)) v(a, b)",
     "littered": f"SELECT plant_id, i, j, k FROM canes UNION ALL SELECT plant_id, CAST(a AS BIGINT), CAST(b AS BIGINT), CAST(0 AS BIGINT) FROM plants, debris UNION ALL SELECT plant_id, CAST({SIDE - 2} AS BIGINT), CAST(a + plant_id % 3 AS BIGINT), CAST(b AS BIGINT) FROM plants, debris",
     "images": "SELECT l_orderkey AS plant_id, l_linenumber AS frame_idx, max(CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 0 END) AS has_pose, round(CAST(max(l_quantity) AS DOUBLE), 3) AS x, round(CAST(max(l_tax) AS DOUBLE), 3) AS y, round(CAST(max(l_discount) AS DOUBLE), 3) AS z FROM lineitem GROUP BY 1, 2",
 }
-NEEDS = {"calm_points": ["curve_points"], "occupied": ["voxels_seen"], "twig_voxels": ["twigs", "ways", "reach"], "canes": ["plants", "girth", "levels", "twig_voxels"], "littered": ["canes", "plants", "debris"], "frames": ["plants", "angles"], "grids": ["plants"]}
+NEEDS = {"calm_points": ["curve_points"], "noise": ["voxels_seen"], "discs": ["levels"], "occupied": ["noise", "plants", "discs", "levels"], "twig_voxels": ["twigs", "ways", "reach"], "twig_links": ["twigs", "ways", "reach", "sides"], "canes": ["plants", "girth", "levels", "twig_voxels", "twig_links"], "littered": ["canes", "plants", "debris"], "frames": ["plants", "angles"], "grids": ["plants"]}
 
 
 def _needed(name: str) -> list[str]:
