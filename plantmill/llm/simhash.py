@@ -28,6 +28,7 @@ deviations of the limit, where the whole sets are compared. No pair carries more
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from plantmill.llm.common import cut, dealt_join, new_folder, raw_texts
 
 BITS, THRESHOLD, SEED = 64, 2, 42
 DENSE = 64
-CHUNK = 1 << 15
+SPAN, WHITE = 1 << 18, re.compile(rb"[\x20\x09-\x0D]")  # bytes of a text that are words at once
 SIMILAR, BANDS, ROWS = 0.8, 16, 6
 SKETCH, DEVIATIONS = 1024, 4.0
 FEW, LEADERS = 200_000, 8  # row numbers that may be broadcast; members of a crowded bucket that a round compares with all
@@ -49,16 +50,19 @@ _FUNCTIONS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS),
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
     """The hashes of a text's word shingles, repeats included, some at a time, so that memory is bounded on very long texts."""
-    words = text.lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return
-    for at in range(0, max(1, len(words) - shingle + 1), CHUNK):
-        part = words[at : at + CHUNK + shingle - 1]
-        if len(words) < shingle:
-            items = [b" ".join(words)]
-        else:
-            items = list(map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False)))
-        yield np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in items), np.uint64, len(items))
+    words: list[bytes] = []
+    at, any_yet = 0, False
+    while at < len(text):
+        stop = WHITE.search(text, at + SPAN)  # bytes: A-Z and ASCII white space only
+        end = stop.start() if stop else len(text)
+        words += text[at:end].lower().split()
+        at = end
+        if len(words) >= shingle:
+            items = list(map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)))
+            yield np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in items), np.uint64, len(items))
+            words, any_yet = words[len(words) - shingle + 1 :], True
+    if words and not any_yet:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
 
 
 def fingerprint_of(parts: Iterable[np.ndarray]) -> int:
@@ -233,10 +237,10 @@ def judged(pairs: DataFrame, sketches: DataFrame, least: float = SIMILAR) -> Dat
     """u, v, sure: pairs(u, v) that are similar by sketches(node, sketch), or may be (not sure). A node with most pairs is many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             sure, keep = [], []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                value, n = likeness(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32))
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                value, n = likeness(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32))
                 apart = DEVIATIONS * (least * (1 - least) / n) ** 0.5 if n else 0.0
                 sure.append(value >= least + apart)
                 keep.append(value >= least - apart)

@@ -165,6 +165,28 @@ def test_one_of_each_similar_group_stays(spark, dense):
     assert set(want) <= set(got) and len(got) <= len(want) + 0.02 * len(rows)
 
 
+@pytest.mark.parametrize("span", [1, 7, 64, 1 << 18])
+def test_shingles_of_pieces_equal_those_of_the_whole(monkeypatch, span):
+    monkeypatch.setattr(simhash, "SPAN", span)
+    rng = random.Random(span)
+    for n in (0, 1, 2, 3, 4, 5, 40, 300):
+        text = "".join(rng.choice(["A", "bé", "Cc", "word"]) + rng.choice([" ", "  ", "\n", "\t "]) for _ in range(n)).encode()
+        words = text.lower().split()
+        for k in (1, 3, 5):
+            items = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+            assert [int(h) for part in simhash.shingle_hashes(text, k) for h in part] == [xxhash.xxh64_intdigest(x, 42) for x in items]
+
+
+def test_likeness_by_sketches():
+    rng = np.random.default_rng(5)
+    for n, shared in ((100, 90), (900, 700), (30_000, 26_000), (30_000, 29_000)):
+        base = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        a, b = base[:n], np.concatenate([base[:shared], base[n : 2 * n - shared]])
+        value, told = simhash.likeness(simhash.sketch_of(np.unique(a)), simhash.sketch_of(np.unique(b)))
+        true = shared / (2 * n - shared)
+        assert (told == 0) == (n < simhash.SKETCH) and abs(value - true) <= (1e-9 if not told else 4 * (true * (1 - true) / told) ** 0.5)
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "u long, v long")
     assert {r.component for r in simhash.star_components(edges).collect()} == {0}
