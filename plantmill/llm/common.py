@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 
 # ASCII white space, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def whole_unions(spark: SparkSession) -> None:
     """Spark 4.1 lets a union keep its sides' partitioning, and loses rows where adaptive execution gave them unlike numbers of partitions. This turns that off."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    small_batches(spark)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB where the session has Spark's own 64 MB, so that rows with long texts or sketches do not fill a worker."""
+    if spark.conf.get(BATCH_BYTES, None) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "8m")
 
 
 def shared_dir(spark: SparkSession) -> str:
