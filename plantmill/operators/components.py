@@ -31,10 +31,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder: later steps neither compute it again nor depend on one executor."""
+    """`df` written to the shared folder as a table: later steps neither compute it again nor depend on one executor.
+
+    Not checkpoint(): its rows keep the size estimates of the plan that made them. Each join multiplies estimates, so after
+    some rounds they have thousands of digits and planning takes seconds; a table has the size of its files, by which Spark
+    also finds the sides that it may broadcast.
+    """
     whole_unions(df.sparkSession)
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def neighbours(cells: DataFrame, keys: list[str], axes: list[str], offsets: list[tuple[int, ...]], carry: list[str] = ()) -> DataFrame:
