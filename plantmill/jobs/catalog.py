@@ -1111,9 +1111,13 @@ def g21_moved_ends(spark: SparkSession, d: str) -> DataFrame:
 @query(("canes", "twig_voxels"), f"""WITH {_TIPS}, shorter AS (SELECT plant_id, fruit, i, j, k FROM twig_voxels v WHERE r = (SELECT max(r) - 1 FROM twig_voxels w WHERE w.plant_id = v.plant_id AND w.fruit = v.fruit))
   SELECT plant_id, 'conductance' AS changed, i, j, k FROM tp UNION ALL SELECT plant_id, 'back', i, j, k FROM tp UNION ALL SELECT plant_id, 'threshold', i, j, k FROM shorter""")
 def g23_changed_parameters(spark: SparkSession, d: str) -> DataFrame:
-    """Tips after a huge prominence (none is left), after the first one again, after other conductance, and after a threshold that takes the last voxel of each shoot."""
+    """Tips after a huge prominence (none is left), after the first one again, after other conductance, and after a threshold that takes the last step of each shoot."""
     sk, out = grown(spark, d), None
-    few = load(spark, d, "twig_voxels").where("is_tip").select("plant_id", *(F.col(a).cast("long").alias(a) for a in "ijk"))
+    tips = load(spark, d, "twig_voxels").where("is_tip").select("plant_id", *(F.col(a).cast("long").alias(a) for a in "ijk"))
+    # A step is the tip, and the voxels that link it to the one before: below it, and beside it on slanting shoots.
+    steps = tips.withColumn("a", F.explode(F.array(F.lit(0), F.signum(F.col("j") - MID).cast("int")))).withColumn("b", F.explode(F.array(F.lit(0), F.lit(1))))
+    away = lambda j: F.greatest(F.abs(F.col("i") - MID), F.abs(j - MID))
+    few = steps.where(away(F.col("j") - F.col("a")) == away(F.col("j"))).select("plant_id", "i", (F.col("j") - F.col("a")).alias("j"), (F.col("k") - F.col("b")).alias("k"))
     huge = skeleton.change_prominence(sk, 500.0)
     changed = {
         "huge": huge, "back": skeleton.change_prominence(huge, SHOOTS.h), "conductance": skeleton.change_conductance(sk, replace(SHOOTS, beta=3.0, nu_min=0.05)),
