@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plantmill.functions.vec import angdist_deg
 from plantmill.jobs import measurement, skeleton
 from plantmill.operators import camera, components, curves, graph, image, measure, results, volume
 from plantmill.sources import scans
@@ -1129,56 +1128,66 @@ def g23_changed_parameters(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-_TRUTH = "tr AS (SELECT plant_id, fruit, row_number() OVER (PARTITION BY plant_id ORDER BY height) AS fruit_id, CASE WHEN side = 1 THEN 'ccw' ELSE 'cw' END AS orientation FROM twigs)"
-
-
-def known(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    """Measured fruits beside what is known of their shoots, in the tolerances of voxel plants."""
-    twigs, ways = load(spark, d, "twigs"), load(spark, d, "ways")
-    truth = twigs.join(ways, "way").withColumn("fruit_id", F.row_number().over(Window.partitionBy("plant_id").orderBy("height")))
-    met = rows.join(truth.select("plant_id", "fruit_id", "dx", "dy", "len"), ["plant_id", "fruit_id"], "left")
-    true_azimuth = F.degrees(F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double")))
-    true_length = F.col("len") * F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.lit(1 / 9))
-    return met.select(
-        "plant_id", F.col("fruit_id").cast("long").alias("fruit_id"), "orientation", "flagged", (F.abs(F.coalesce("internode", F.lit(4.0)) - 4) <= 1).alias("internode_right"),
-        (angdist_deg(F.degrees("azimuth"), true_azimuth) < 10).alias("azimuth_right"), (angdist_deg(F.coalesce("div_angle", F.lit(135.0)), F.lit(135.0)) < 20).alias("divergence_right"),
-        (F.abs(F.col("length") - true_length) <= 2).alias("length_right"), F.degrees("polar").between(60, 90).alias("polar_right"), (F.col("se_azimuth") >= 0).alias("has_error"),
-    )
-
-
-_RIGHT = "SELECT plant_id, fruit_id, orientation, false AS flagged, true AS internode_right, true AS azimuth_right, true AS divergence_right, true AS length_right, true AS polar_right, true AS has_error FROM tr"
 THIN = measurement.CurveParams(sigma_stem=3.0, sigma_branch=1.0)
+# The shoots' own ways in half voxels, so that curves of width 2 here are those of width 1 there: the junction, the stem's voxel, and one a step.
+# Steps rise as late as their links allow, and the tip is the shoot's last voxel.
+_SHOOT_POINTS = f"""shoot_points AS (SELECT plant_id * 5 + fruit AS curve_id, r AS seq, (1 + 2 * dx * greatest(r, 0))::DOUBLE AS x, (1 + 2 * dy * greatest(r, 0))::DOUBLE AS y, (2 * (height + CASE WHEN r = len THEN r // 3 ELSE greatest(r - 1, 0) // 3 END) + 1 - {SIDE})::DOUBLE AS z
+  FROM twigs t JOIN ways w ON w.way = t.way JOIN (SELECT unnest(range(-1, 9)) AS r) u ON r <= len)"""
+_SHOOT_FITS = f"""WITH {_SHOOT_POINTS}, {_DENSE[5:].replace("FROM curve_points", "FROM shoot_points")},
+fw AS MATERIALIZED (SELECT *, greatest(0.0, c0 - 12.0) AS s_min, least(len, c0 + 12.0) AS s_max FROM (SELECT curve_id, len, least(4.0, greatest(len - 12.0, 0.0)) AS c0 FROM ln)),
+fs AS MATERIALIZED (SELECT curve_id, c0, k, s_min + (s_max - s_min) * k / 30.0 AS s FROM (SELECT *, unnest(range(0, 31)) AS k FROM fw)), {_s_to_t("ft", "fs", "c0 k s")}, {_smoothed("fk", "ft", "c0, k, s")},
+sm AS MATERIALIZED (SELECT curve_id, (s - c0) / 4.0 AS u, exp(-pow((s - c0) / 4.0, 2) / 2) AS w, x, y, z FROM fk), {_fitted("sm", "curve_id")},
+th AS MATERIALIZED (SELECT t.plant_id, t.height, t.side, f.*, fw.len, fw.c0, fw.s_min, fw.s_max, row_number() OVER by_height AS fruit_id, lag(height) OVER by_height AS below, b1x / m AS tx, b1y / m AS ty, b1z / m AS tz, acos(b1z / m) AS theta, atan2(b1y, b1x) AS phi
+  FROM twigs t JOIN (SELECT *, sqrt(b1x*b1x + b1y*b1y + b1z*b1z) AS m FROM fit) f ON f.curve_id = plant_id * 5 + fruit JOIN fw ON fw.curve_id = f.curve_id WINDOW by_height AS (PARTITION BY plant_id ORDER BY height))"""
+# The stems are straight and upright, so a fruit's errors are its branch's alone.
+_SHOOT_ANGLES = f"""SELECT plant_id, fruit_id, CASE WHEN side = 1 THEN 'ccw' ELSE 'cw' END AS orientation, false AS flagged, height::DOUBLE AS arc, (height - below)::DOUBLE AS internode, {q("len / 2")} AS length, {q("degrees(theta)", 3)} AS polar,
+  {q("degrees(phi)", 3)} - 360 * floor({q("degrees(phi)", 3)} / 360) AS azimuth, {q("(CASE WHEN side = 1 THEN 1 ELSE -1 END) * degrees(phi - lag(phi) OVER by_fruit)", 3)} AS turn, {q("degrees(se / sqrt(2.0))")} AS se_polar, {q("degrees(se / sqrt(2.0) / sin(theta))")} AS se_azimuth, 0.0::DOUBLE AS cov
+  FROM th WINDOW by_fruit AS (PARTITION BY plant_id ORDER BY fruit_id)"""
+_SHOOT_FRUITS = f"SELECT * EXCLUDE (turn), turn - 360 * floor(turn / 360) AS div_angle FROM ({_SHOOT_ANGLES})"
+
+
+def in_full(rows: DataFrame) -> DataFrame:
+    """All that is measured of the fruits, rounded; angles in degrees from 0 to below 360 after rounding."""
+    turn = lambda c: F.pmod(r(c, 3), F.lit(360.0))
+    return rows.select(
+        "plant_id", F.col("fruit_id").cast("long").alias("fruit_id"), "orientation", "flagged", r("arc").alias("arc"), r("internode").alias("internode"), r("length").alias("length"), r(F.degrees("polar"), 3).alias("polar"),
+        turn(F.degrees("azimuth")).alias("azimuth"), turn(F.col("div_angle")).alias("div_angle"), r("se_polar").alias("se_polar"), r("se_azimuth").alias("se_azimuth"), r("cov").alias("cov"),
+    )
 
 
-@query(("twigs",), f"WITH {_TRUTH} {_RIGHT}")
+@query(("twigs", "ways"), f"{_SHOOT_FITS} {_SHOOT_FRUITS}")
 def q9_measurements(spark: SparkSession, d: str) -> DataFrame:
-    """From occupied voxels to fruits: internodes within a voxel, azimuths within 10 degrees of the shoots' own."""
+    """From occupied voxels to fruits; the SQL measures the shoots' own ways, which it is told, with the same fits."""
     c = measurement.smoothed(grown(spark, d), load(spark, d, "grids"), THIN)
-    return known(measurement.measured(c, 1.0, THIN), spark, d)
+    return in_full(measurement.measured(c, 1.0, THIN))
+
+
+_WINDOW = f"""wq AS MATERIALIZED (SELECT curve_id, k, CASE WHEN k < 0 THEN c0 ELSE s_min + (s_max - s_min) * k / 24.0 END AS s FROM (SELECT *, unnest(range(-1, 25)) AS k FROM fw)), {_s_to_t("wt", "wq", "k s")}, {_smoothed("wk", "wt", "k, s")},
+ap AS (SELECT curve_id, count(*) - 1 AS points, max(CASE WHEN k < 0 THEN x END) / 2 AS fx, max(CASE WHEN k < 0 THEN y END) / 2 AS fy, max(CASE WHEN k < 0 THEN z END) / 2 AS fz,
+  max(CASE WHEN k >= 0 THEN sqrt({" + ".join(f"pow({c} - (b0{c} + b1{c} * (s - c0) / 4 + b2{c} * pow((s - c0) / 4, 2)), 2)" for c in "xyz")}) END) / 2 AS apart FROM wk JOIN (SELECT curve_id, c0, {", ".join(f"b{k}{c}" for k in range(3) for c in "xyz")} FROM th) USING (curve_id) GROUP BY 1)"""
 
 
-@query(("twigs",), f"WITH {_TRUTH} SELECT plant_id, fruit_id, 25 AS points, true AS near_axis, true AS fitted, true AS unit FROM tr")
+@query(("twigs", "ways"), f"""{_SHOOT_FITS}, {_WINDOW} SELECT plant_id, fruit_id, points::INT AS points, {q("apart", 3)} AS apart, 0.5::DOUBLE AS px, 0.5::DOUBLE AS py, height + 0.5::DOUBLE - {SIDE // 2} AS pz, 0.0::DOUBLE AS sx, 0.0::DOUBLE AS sy, 1.0::DOUBLE AS sz,
+  {", ".join(f"{q(f't{c}', 3)} AS b{c}" for c in "xyz")}, {", ".join(f"{q(f'f{c}', 3)} AS f{c}" for c in "xyz")} FROM th JOIN ap USING (curve_id)""")
 def q10_fit_geometry(spark: SparkSession, d: str) -> DataFrame:
-    """Behind each fruit's angles: the junction on the stem's axis, unit tangents, and a curve and its quadratic that stay together."""
+    """Behind each fruit's angles: junction, tangents of stem and branch, the place of the fit, and how far the curve and its quadratic part in the window."""
     c = measurement.smoothed(grown(spark, d), load(spark, d, "grids"), THIN)
     rows, window = measurement.fit_geometry(c, 1.0, THIN)
     apart = window.groupBy("plant_id", "tip").agg(F.count(F.lit(1)).alias("points"), F.max(F.sqrt(sum((F.col(k) - F.col(f"q{k}")) * (F.col(k) - F.col(f"q{k}")) for k in "xyz"))).alias("apart"))
-    met = rows.join(apart, ["plant_id", "tip"]).join(load(spark, d, "grids").select("plant_id", "ox", "oy"), "plant_id")
-    axis = F.sqrt(F.pow(F.col("px") - F.col("ox") - MID - 0.5, 2) + F.pow(F.col("py") - F.col("oy") - MID - 0.5, 2))
-    size = lambda p: F.sqrt(sum(F.col(f"{p}{k}") * F.col(f"{p}{k}") for k in "xyz"))
+    met = rows.join(apart, ["plant_id", "tip"])
     ranked = met.withColumn("fruit_id", F.row_number().over(Window.partitionBy("plant_id").orderBy("pz")).cast("long"))
-    return ranked.select("plant_id", "fruit_id", F.col("points").cast("int").alias("points"), (axis < 0.5).alias("near_axis"), (F.col("apart") < 0.5).alias("fitted"), ((F.abs(size("s") - 1) < 1e-9) & (F.abs(size("b") - 1) < 1e-9)).alias("unit"))
+    return ranked.select("plant_id", "fruit_id", F.col("points").cast("int").alias("points"), *(r(c, 3).alias(c) for c in ("apart", *(f"{p}{k}" for p in "psbf" for k in "xyz"))))
 
 
-@query(("twigs",), f"WITH {_TRUTH} SELECT s.changed, r.* FROM ({_RIGHT}) r, (VALUES ('branches'), ('stems')) s(changed)")
+@query(("twigs", "ways"), f"{_SHOOT_FITS} SELECT s.changed, r.* FROM ({_SHOOT_FRUITS}) r, (VALUES ('branches'), ('stems')) s(changed)")
 def k9_resmoothed(spark: SparkSession, d: str) -> DataFrame:
-    """The measurement after other smoothing of the branches, and of the stems."""
+    """The measurement after other smoothing of the branches, and of the stems, which are straight under both."""
     sk, grids = grown(spark, d), load(spark, d, "grids")
     first, out = measurement.smoothed(sk, grids, measurement.CurveParams(sigma_stem=3.0, sigma_branch=1.5)), None
     before = measurement.CurveParams(sigma_stem=3.0, sigma_branch=1.5)
     for name, after in (("branches", THIN), ("stems", replace(THIN, sigma_stem=4.0))):
         c = measurement.resmoothed(sk, grids, first, before, after)
-        one = known(measurement.measured(c, 1.0, after), spark, d).withColumn("changed", F.lit(name))
+        one = in_full(measurement.measured(c, 1.0, after)).withColumn("changed", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
