@@ -16,25 +16,27 @@ within 2 of each other, and one star of links says all that the pairs would say.
 
 `keep_one` owes more: one document of each group whose sets of five-word shingles have a Jaccard similarity of `SIMILAR` = 0.8
 or more. At 0.8 about 15 % of the bits of two fingerprints differ, 10 of 64, and a covering code for that needs thousands of
-copies of each. So links of 2 bits are only its first candidates. The others come from `BANDS` shorter prints of a set,
-each of `ROWS` minima under random functions: a pair at 0.8 shares one with probability 1 - (1 - 0.8^6)^16 = 0.992. A bucket
-of members with one print is not compared pair by pair: its members meet the smallest one first, and only buckets that
-still hold several components go on (`band_links`).
+copies of each. So links of 2 bits are only its first candidates. The others come from prefixes: in any one order of all
+shingles, two sets of n and m that are similar share one of the first n - ceil(0.8 n) + 1 of each, and more of them the closer
+n and m are (`prefix_pairs`). No similar pair is left out, whatever the order is. The order puts shingles that many texts have
+last (`frequent`), so that few texts meet by those; it decides how much work there is and nothing else. Pairs that links have
+joined already are not compared.
 
 A candidate is judged by sketches, the `SKETCH` smallest hashes of each set: they are the whole sets of texts of up to that
-many shingles, and the similarity is exact; for longer texts the estimate decides unless it lies within four standard
-deviations of the limit, where the whole sets are compared. No pair carries more than two sketches, 8 KB, before that.
+many shingles. What they leave open is compared by the whole sets: for those a similarity within `CLASHES` shingles of the limit
+(equal 32-bit values of unlike hashes), for longer texts an estimate within nine standard deviations of it.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantmill.llm.common import cut, dealt_join, new_folder, raw_texts
@@ -42,10 +44,10 @@ from plantmill.llm.common import cut, dealt_join, new_folder, raw_texts
 BITS, THRESHOLD, SEED = 64, 2, 42
 DENSE = 64
 SPAN, WHITE = 1 << 18, re.compile(rb"[\x20\x09-\x0D]")  # bytes of a text that are words at once
-SIMILAR, BANDS, ROWS = 0.8, 16, 6
-SKETCH, DEVIATIONS = 1024, 4.0
-FEW, LEADERS = 200_000, 8  # row numbers that may be broadcast; members of a crowded bucket that a round compares with all
-_FUNCTIONS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+SIMILAR = 0.8
+SKETCH, DEVIATIONS, CLASHES = 1024, 9.0, 4
+FEW = 200_000  # row numbers that may be broadcast
+COUNTED, OFTEN, FREQUENT = 1 << 19, 8, 1 << 18  # shingles among which repeats are counted; repeats and number of the shingles that come last
 
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -79,17 +81,6 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return fingerprint_of(shingle_hashes(text, shingle))
 
 
-def band_prints(hashes: np.ndarray) -> np.ndarray:
-    """`BANDS` prints of a set of shingle hashes, each of `ROWS` of its minima under the fixed random functions."""
-    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    factor, shift = _FUNCTIONS[0] | np.uint64(1), _FUNCTIONS[1]
-    for at in range(0, len(hashes), 4096):
-        some = hashes[at : at + 4096, None]
-        np.minimum(low, ((some ^ (some >> np.uint64(31))) * factor + shift).min(0), out=low)
-    low = (low >> np.uint64(16)).reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low)], np.uint64).view(np.int64)
-
-
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp long: one row per document, read once."""
 
@@ -142,11 +133,10 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        roots = new.select(F.col("v").alias("r")).distinct()
-        inner = new.join(roots, new["u"] == roots["r"], "left_semi").limit(1).count()
-        twice = new.groupBy("u").count().where("count > 1").limit(1).count()
+        ends = new.select(F.col("u").alias("x"), F.lit(1).alias("own"), F.lit(0).alias("root")).union(new.select("v", F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("x").agg(F.sum("own").alias("own"), F.max("root").alias("root")).where("own + root > 1")
         edges = new
-        if not inner and not twice:  # every node hangs on one root
+        if open_.isEmpty():  # every node hangs on one root
             break
     else:
         raise RuntimeError("components have not settled")
@@ -191,7 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, dense: int = DENSE, block
     return out.select("doc_id", "fp", F.when(known, F.col("component_id")).alias("component_id"), F.when(known, F.col("component_size")).alias("component_size"))
 
 
-MARKS = "row long, doc_id long, fp long, print binary, bands array<long>, sketch binary"
+MARKS = "row long, doc_id long, fp long, n int, print binary, often array<long>"
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
@@ -210,47 +200,123 @@ def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     return (both / union if union else 1.0), (union if tops else 0)
 
 
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def repeats(sets: Iterable[np.ndarray]) -> np.ndarray:
+    """The hashes that several of the sets hold, each once less than sets hold it."""
+    every = np.concatenate([np.zeros(0, np.uint64), *sets])
+    every.sort()
+    return every[1:][every[1:] == every[:-1]]
+
+
 def marks(rows: DataFrame, shingle: int) -> DataFrame:
-    """row, doc_id, fp, print (of the set of shingles), bands, sketch: one row per row of rows(row, doc_id, text)."""
+    """row, doc_id, fp, n and print (of the set of shingles): one row per row of rows(row, doc_id, text).
+
+    Rows without a row number hold in `often` what repeats among some unlike texts that a task reads one after another.
+    """
+
+    def told(keys: list[pa.Array], fps: list[int | None], ns: list[int | None], prints: list[bytes | None], often: list[np.ndarray]) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, often)]), pa.int32()), pa.array(np.concatenate(often).view(np.int64), pa.int64()))
+        return pa.RecordBatch.from_arrays([*keys, pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(prints, pa.binary()), lists], ["row", "doc_id", "fp", "n", "print", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, null = np.zeros(0, np.uint64), pa.nulls(1, pa.int64())
+        sets: dict[bytes, np.ndarray] = {}
+        held = 0
         for keys, texts in raw_texts(batches, "key"):
-            fps, prints, bands, sketches = [], [], [], []
+            fps, ns, prints = [], [], []
             for t in texts:
                 parts = list(shingle_hashes(t, shingle))
-                own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                own = np.unique(np.concatenate([none, *parts]))
                 fps.append(fingerprint_of(parts))
+                ns.append(len(own))
                 prints.append(xxhash.xxh128_digest(own.tobytes()))
-                bands.append(band_prints(own))
-                sketches.append(sketch_of(own).tobytes())
-            flat = pa.array(np.concatenate(bands), pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays(
-                [keys.field(0), keys.field(1), pa.array(fps, pa.int64()), pa.array(prints, pa.binary()), lists, pa.array(sketches, pa.binary())],
-                ["row", "doc_id", "fp", "print", "bands", "sketch"],
-            )
+                held += 0 if prints[-1] in sets else len(own)
+                sets[prints[-1]] = own
+                if held >= COUNTED:
+                    yield told([null, null], [None], [None], [None], [repeats(sets.values())])
+                    sets, held = {}, 0
+            if texts:
+                yield told([keys.field(0), keys.field(1)], fps, ns, prints, [none] * len(texts))
+        yield told([null, null], [None], [None], [None], [repeats(sets.values())])
 
     return rows.select(F.struct("row", F.col("doc_id").cast("long").alias("doc_id")).alias("key"), "text").mapInArrow(run, MARKS)
 
 
-def judged(pairs: DataFrame, sketches: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """u, v, sure: pairs(u, v) that are similar by sketches(node, sketch), or may be (not sure). A node with most pairs is many tasks."""
+def frequent(marked: DataFrame) -> np.ndarray:
+    """The shingles that repeat most, at most `FREQUENT`, the most frequent first. Any list would do: it only sets the order."""
+    counts = marked.where("row is null").select(F.explode("often").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
+    return top.column("token").to_numpy().view(np.uint64)
+
+
+def prefix_length(n: int, least: float) -> int:
+    """How many of the first of n shingles a set that is similar must share one of."""
+    return min(n, n - math.ceil(least * n - 1e-6) + 1)
+
+
+def prefixes(rows: DataFrame, shingle: int, last: np.ndarray, least: float = SIMILAR) -> DataFrame:
+    """token, node, n: the first of the n shingles of each of rows(row, text), in the order of their mixed hashes; those of `last` come last, the first of them at the very end."""
+    by_hash = np.argsort(last)
+    spread = rows.sparkSession.sparkContext.broadcast((last[by_hash], len(last) - by_hash))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = spread.value
+        for keys, texts in raw_texts(batches, "row", 64):
+            own = [shingle_set(t, shingle) for t in texts]
+            firsts = [np.zeros(0, np.uint64)]
+            for s in own:
+                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+                late = np.where(known[at] == s, place[at], 0) if len(known) else np.zeros(len(s), np.int64)
+                mixed = (s ^ (s >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+                firsts.append(s[np.lexsort((mixed, late))[: prefix_length(len(s), least)]])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in firsts]), pa.int32()), pa.array(np.concatenate(firsts).view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in own], pa.int32()), lists], ["node", "n", "tokens"])
+
+    told = rows.select("row", "text").mapInArrow(run, "node long, n int, tokens array<long>")
+    return told.select(F.explode("tokens").alias("token"), "node", "n")
+
+
+def prefix_pairs(members: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """u, v: the pairs of members(token, node, n, top) of unlike tops whose prefixes share enough to be similar.
+
+    Of two prefixes one ends first; what both sets share beyond the `c` shingles of both prefixes lies behind that end, so at
+    most c + max(n - prefix of n, m - prefix of m) are shared, and similar sets share least / (1 + least) * (n + m).
+    """
+    several = members.groupBy("token").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("token")
+    open_ = members.join(several, "token", "left_semi")
+    a, b = open_.alias("a"), open_.alias("b")
+    size = F.greatest("a.n", "b.n") * least <= F.least("a.n", "b.n") + 1e-6
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.top") != F.col("b.top")) & size)
+    pairs = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
+    behind = F.ceil(F.greatest("n", "m") * least - 1e-6) - 1
+    return pairs.where(F.col("c") + behind >= (F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-6).select("u", "v")
+
+
+def judged(pairs: DataFrame, rows: DataFrame, shingle: int, least: float = SIMILAR) -> DataFrame:
+    """u, v, sure: pairs(u, v) that are similar by the sketches of rows(row, text), or may be (not sure). Only texts of rows in a pair are read again."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in raw_texts(batches, "row", 64):
+            yield pa.RecordBatch.from_arrays([keys, pa.array([sketch_of(shingle_set(t, shingle)).tobytes() for t in texts], pa.binary())], ["node", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             sure, keep = [], []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
                 value, n = likeness(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32))
-                apart = DEVIATIONS * (least * (1 - least) / n) ** 0.5 if n else 0.0
-                sure.append(value >= least + apart)
+                apart = DEVIATIONS * (least * (1 - least) / n) ** 0.5 if n else CLASHES / max(1, a.as_buffer().size // 4, b.as_buffer().size // 4)
+                sure.append(value >= least + apart or value == 1 and not n)
                 keep.append(value >= least - apart)
             out = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(sure, pa.bool_())], ["u", "v", "sure"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    nodes = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
-    own = within(sketches, nodes, "left_semi", "node")  # of most texts no sketch moves
+    nodes = cut(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
+    own = cut(within(rows.select("row", "text"), nodes, "left_semi").mapInArrow(sketched, "node long, sketch binary"))
     side = lambda key, name: own.select(F.col("node").alias(key), F.col("sketch").alias(name))
-    met = dealt_join(dealt_join(pairs.select("u", "v"), side("v", "b"), "v", "u", "inner", wide=True), side("u", "a"), "u", "v", "inner", wide=True)
+    met = dealt_join(pairs.select("u", "v").join(side("u", "a"), "u"), side("v", "b"), "v", "u", "inner", wide=True)
     return met.mapInArrow(run, "u long, v long, sure boolean")
 
 
@@ -259,7 +325,7 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in raw_texts(batches, "row", 64):
-            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, shingle)])).view(np.int64) for t in texts]
+            sets = [shingle_set(t, shingle).view(np.int64) for t in texts]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, lists], ["node", "own"])
 
@@ -280,35 +346,6 @@ def within(rows: DataFrame, keys: DataFrame, how: str, key: str = "row") -> Data
     return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, key, how)
 
 
-def band_links(members: DataFrame, judge: Callable[[DataFrame], DataFrame], dense: int = DENSE) -> DataFrame | None:
-    """u, v: confirmed links between members(bucket, node, top) of a bucket that have not the same top; `judge` confirms pairs.
-
-    In a bucket of at most `dense` open members all of them are compared with the whole bucket. In a larger one the smallest
-    and about `LEADERS` others by hash are, twice as many in each round; those that they are linked to or share a top with, and
-    they themselves, are no longer open, and the next round goes on with the others. So a group of any size is a few stars, and
-    the number of rounds grows with the logarithm of the largest bucket.
-    """
-    several = lambda m: m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.min("top").alias("low"), F.max("top").alias("high"))
-    size = several(members).where("low <> high")
-    members = cut(members.join(size.select("bucket"), "bucket", "left_semi"))
-    open_, found, turn = members, None, 0
-    while not open_.isEmpty():
-        turn += 1
-        drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / (LEADERS << turn))) == 0
-        first = (F.col("n") <= dense) | (F.col("node") == F.col("least")) | drawn
-        lead = cut(open_.join(several(open_), "bucket").where(first).select("bucket", F.col("node").alias("leader"), F.col("top").alias("lead_top"), (F.col("n") > dense).alias("crowded")))
-        pairs = lead.join(members, "bucket").where("top <> lead_top").select(F.greatest("leader", "node").alias("u"), F.least("leader", "node").alias("v")).distinct()
-        new = judge(pairs)
-        found = new if found is None else found.union(new)
-        left = lead.where("crowded").select("bucket", "leader", "lead_top")
-        others = open_.join(left.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-        near = new.select(F.col("u").alias("node"), F.col("v").alias("leader")).union(new.select(F.col("v").alias("node"), F.col("u").alias("leader")))
-        rest = others.join(left, "bucket")
-        rest = rest.join(near.withColumn("met", F.lit(1)), ["node", "leader"], "left").groupBy("bucket", "node", "top").agg(F.count(F.when((F.col("top") == F.col("lead_top")) | F.col("met").isNotNull(), 1)).alias("n"))
-        open_ = cut(rest.where("n = 0").select("bucket", "node", "top"))
-    return found
-
-
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR, dense: int = DENSE) -> DataFrame:
     """The rows of docs without those that a kept one nearly repeats: of each group the smallest doc_id stays, once. Columns as given.
 
@@ -326,28 +363,27 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR, dense: i
     marked_folder = new_folder(spark, "marks")
     marks(rows.where("doc_id is not null"), shingle).write.parquet(marked_folder)
     marked = spark.read.parquet(marked_folder)
-    sketches = marked.select(F.col("row").alias("node"), "sketch")
     first = F.min(F.struct("doc_id", "row")).alias("first")
-    classes = cut(marked.groupBy("print").agg(first).select(F.col("first.row").alias("row"), F.col("first.doc_id").alias("doc_id")))
-    heads = cut(marked.select(F.col("row").alias("node"), "fp", "bands").join(classes.select(F.col("row").alias("node")), "node", "left_semi"))
-    by_fp = heads.groupBy("fp").agg(F.min("node").alias("node"))
+    heads = cut(marked.where("row is not null").groupBy("print").agg(first, F.first("fp").alias("fp")).select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), "fp"))
+    by_fp = cut(heads.groupBy("fp").agg(F.min("node").alias("node")))
     same = heads.select("fp", F.col("node").alias("u")).join(by_fp.select("fp", F.col("node").alias("v")), "fp").where("u <> v").select("u", "v")
 
     def judge(pairs: DataFrame) -> DataFrame:
-        told = cut(judged(pairs, sketches, least))
+        told = cut(judged(pairs, rows, shingle, least))
         near = told.where("not sure").select("u", "v")
         return told.where("sure").select("u", "v") if near.isEmpty() else cut(told.where("sure").select("u", "v").union(confirmed(near, rows, shingle, least)))
 
-    bands = heads.select("node", F.explode("bands").alias("bucket"))
-    top = bands.groupBy("bucket").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "v")
-    members = cut(dealt_join(bands, top, "bucket", "node", "inner"))
-    to_first = members.where("node <> v").select(F.col("node").alias("u"), "v")
-    close = judge(cut(links(cut(by_fp)).select("u", "v").union(same).union(to_first).distinct()))
+    entries = prefixes(rows.where("doc_id is not null"), shingle, frequent(marked), least)
+    shared = entries.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("met > 1").drop("met")
+    members = cut(shared.join(heads.select("node"), "node", "left_semi"))
+    least_node = members.withColumn("v", F.min("node").over(Window.partitionBy("token"))).where("node <> v")
+    to_first = least_node.groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("c")).groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
+    close = judge(cut(links(by_fp, dense).select("u", "v").union(same).union(to_first).distinct()))
     found = cut(star_components(close))
-    tops = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("top"))
-    more = band_links(tops, judge, dense)
-    found = found if more is None else star_components(close.union(more))
-    groups = classes.join(found, classes["row"] == found["node"], "left").select("row", "doc_id", F.coalesce("component", "row").alias("group"))
+    tops = members.join(found, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("top"))
+    more = judge(cut(prefix_pairs(tops, least)))
+    found = found if more.isEmpty() else cut(star_components(close.union(more)))
+    groups = heads.join(found, "node", "left").select(F.col("node").alias("row"), "doc_id", F.coalesce("component", "node").alias("group"))
     kept = groups.groupBy("group").agg(first).select(F.col("first.row").alias("row"))
-    lost = cut(marked.select("row").join(kept, "row", "left_anti"))
+    lost = cut(marked.where("row is not null").select("row").join(kept, "row", "left_anti"))
     return within(stored, lost.withColumnRenamed("row", key), "left_anti", key).select(*docs.columns)

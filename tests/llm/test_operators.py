@@ -187,6 +187,38 @@ def test_likeness_by_sketches():
         assert (told == 0) == (n < simhash.SKETCH) and abs(value - true) <= (1e-9 if not told else 4 * (true * (1 - true) / told) ** 0.5)
 
 
+def test_no_pair_at_the_limit_is_left_out(spark):
+    """Each pair of texts shares 32 of 40 shingles, exactly the limit: one of each stays."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(600):
+        words = [f"w{rng.getrandbits(40):x}" for _ in range(44)]
+        texts += [" ".join(words[:40]), " ".join(words[:36] + words[40:])]
+    kept = sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect())
+    assert kept == list(range(0, 1200, 2))
+
+
+@pytest.mark.parametrize("late", [0, 40, 4000])
+def test_prefixes_in_any_order_meet_all_similar_pairs(spark, late):
+    rng = random.Random(late)
+    vocabulary = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (0, 1, 3, 5, 6, 9, 10, 14, 15, 30, 31, 60, 100)]
+    for _ in range(150):
+        words = rng.choice(texts).split()
+        for _ in range(rng.randint(0, 3)):
+            if words:
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words[: len(words) - rng.randint(0, 3)] or words))
+    sets = [set(simhash.shingle_set(t.encode(), 2).tolist()) for t in texts]
+    every = sorted(set().union(*sets))
+    last = np.array(rng.sample(every, min(late, len(every))), np.uint64)
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    members = simhash.prefixes(rows, 2, last).withColumn("top", F.col("node"))
+    found = {(r.v, r.u) for r in simhash.prefix_pairs(members).collect()}
+    similar = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and sets[a]}
+    assert len(similar) > 50 and similar <= found
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "u long, v long")
     assert {r.component for r in simhash.star_components(edges).collect()} == {0}
