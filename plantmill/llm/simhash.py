@@ -148,14 +148,13 @@ def links(classes: DataFrame, dense: int = DENSE, blocks: int | None = None) ->
     blocks = blocks or blocks_for(classes.count())
     spread = classes.repartition("fp")  # few partitions before they grow
     placed = spread.select("node", "fp", F.explode(anchors(F.col("fp"), blocks)).alias("anchor"))
-    size = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = cut(size.where(F.col("n") > dense).select("anchor"))
-    sparse = placed.join(size.where(F.col("n") <= dense).select("anchor"), "anchor", "left_semi")
+    met = cut(placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("n > 1"))  # one shuffle; few meet
+    sparse = met.where(F.col("n") <= dense)
     a, b = sparse.alias("a"), sparse.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= THRESHOLD
     pairs = a.join(b, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.node") > F.col("b.node")) & near)
     pairs = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    members = placed.join(crowded, "anchor", "left_semi").select("node", "fp").distinct()
+    members = met.where(F.col("n") > dense).select("node", "fp").distinct()
     fine = members.select("node", F.explode(anchors(F.col("fp"), BITS)).alias("anchor"))
     head = fine.groupBy("anchor").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = fine.join(head.select("anchor", "v"), "anchor").where("node <> v").select(F.col("node").alias("u"), "v")
@@ -279,6 +278,12 @@ def prefixes(rows: DataFrame, shingle: int, last: np.ndarray, least: float = SIM
     return told.select(F.explode("tokens").alias("token"), "node", "n")
 
 
+def may_be_similar(c: Column, n: Column, m: Column, least: float) -> Column:
+    """Whether sets of n and m shingles may be similar whose prefixes share c: behind the end of the prefix that ends first lie at most as many as behind the longer set's."""
+    behind = F.ceil(F.greatest(n, m) * least - 1e-6) - 1
+    return (F.greatest(n, m) * least <= F.least(n, m) + 1e-6) & (c + behind >= (n + m) * (least / (1 + least)) - 1e-6)
+
+
 def prefix_pairs(members: DataFrame, least: float = SIMILAR) -> DataFrame:
     """u, v: the pairs of members(token, node, n, top) of unlike tops whose prefixes share enough to be similar.
 
@@ -291,8 +296,7 @@ def prefix_pairs(members: DataFrame, least: float = SIMILAR) -> DataFrame:
     size = F.greatest("a.n", "b.n") * least <= F.least("a.n", "b.n") + 1e-6
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.top") != F.col("b.top")) & size)
     pairs = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
-    behind = F.ceil(F.greatest("n", "m") * least - 1e-6) - 1
-    return pairs.where(F.col("c") + behind >= (F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-6).select("u", "v")
+    return pairs.where(may_be_similar(F.col("c"), F.col("n"), F.col("m"), least)).select("u", "v")
 
 
 def judged(pairs: DataFrame, rows: DataFrame, shingle: int, least: float = SIMILAR) -> DataFrame:
@@ -357,7 +361,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR, dense: i
     spark = docs.sparkSession
     key = next(c for c in map("_row{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
     folder = new_folder(spark, "rows")
-    docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(folder)
+    docs.withColumn(key, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
     stored = spark.read.parquet(folder)
     rows = stored.select(F.col(key).alias("row"), "doc_id", "text")
     marked_folder = new_folder(spark, "marks")
@@ -376,8 +380,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR, dense: i
     entries = prefixes(rows.where("doc_id is not null"), shingle, frequent(marked), least)
     shared = entries.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("met > 1").drop("met")
     members = cut(shared.join(heads.select("node"), "node", "left_semi"))
-    least_node = members.withColumn("v", F.min("node").over(Window.partitionBy("token"))).where("node <> v")
-    to_first = least_node.groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("c")).groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
+    lowest = F.min(F.struct("node", "n")).over(Window.partitionBy("token"))
+    met = members.withColumn("low", lowest).select(F.col("node").alias("u"), "n", F.col("low.node").alias("v"), F.col("low.n").alias("m")).where("u <> v")
+    starred = met.groupBy("u", "n", "v", "m").agg(F.count(F.lit(1)).alias("c")).where(may_be_similar(F.col("c"), F.col("n"), F.col("m"), least))
+    to_first = starred.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
     close = judge(cut(links(by_fp, dense).select("u", "v").union(same).union(to_first).distinct()))
     found = cut(star_components(close))
     tops = members.join(found, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("top"))
