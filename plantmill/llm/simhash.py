@@ -22,6 +22,11 @@ n and m are (`prefix_pairs`). No similar pair is left out, whatever the order is
 last (`frequent`), so that few texts meet by those; it decides how much work there is and nothing else. Pairs that links have
 joined already are not compared.
 
+A shingle that more than `CROWD` open texts have makes no pairs. Each of those texts goes to a chunk of at most about `BLOCK` texts by its
+most crowded shingle; chunks that hold a crowded shingle in common meet once as two rows of sets, and a task compares their
+texts by a product of 0/1 matrices. What leaves the task are the links that join groups, no more of them than there are texts.
+A group of N texts that stay below the limit thus costs (N / `BLOCK`)^2 / 2 rows; its comparisons still grow with N^2.
+
 A candidate is judged by sketches, the `SKETCH` smallest hashes of each set: they are the whole sets of texts of up to that
 many shingles. What they leave open is compared by the whole sets: for those a similarity within `CLASHES` shingles of the limit
 (equal 32-bit values of unlike hashes), for longer texts an estimate within nine standard deviations of it.
@@ -47,6 +52,7 @@ SPAN, WHITE = 1 << 18, re.compile(rb"[\x20\x09-\x0D]")  # bytes of a text that a
 SIMILAR = 0.8
 SKETCH, DEVIATIONS, CLASHES = 1024, 9.0, 4
 FEW = 200_000  # row numbers that may be broadcast
+CROWD, BLOCK, COLUMNS = 32, 256, 4096  # texts that meet pair by pair at a shingle; texts of a chunk; shingles that one matrix product takes
 COUNTED, OFTEN, FREQUENT = 1 << 19, 8, 1 << 18  # shingles among which repeats are counted; repeats and number of the shingles that come last
 
 
@@ -290,15 +296,128 @@ def prefix_pairs(members: DataFrame, least: float = SIMILAR) -> DataFrame:
     Of two prefixes one ends first; what both sets share beyond the `c` shingles of both prefixes lies behind that end, so at
     most c + max(n - prefix of n, m - prefix of m) are shared, and similar sets share least / (1 + least) * (n + m).
     """
-    several = members.groupBy("token").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("token")
-    open_ = members.join(several, "token", "left_semi")
-    a, b = open_.alias("a"), open_.alias("b")
+    a, b = members.alias("a"), members.alias("b")
     size = F.greatest("a.n", "b.n") * least <= F.least("a.n", "b.n") + 1e-6
     met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.node") > F.col("b.node")) & (F.col("a.top") != F.col("b.top")) & size)
     pairs = met.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.first("a.n").alias("n"), F.first("b.n").alias("m"))
     return pairs.where(may_be_similar(F.col("c"), F.col("n"), F.col("m"), least)).select("u", "v")
 
 
+def chunk_pairs(members: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """placed(node, top, chunk) and x, y: the pairs of chunks, x <= y, that hold a token of members(token, node, top, met) in common.
+
+    A node's chunk is one of those of its most crowded token (`met`). Chunks whose hashes clash are one, which leaves nothing out.
+    """
+    homes = cut(members.groupBy("node").agg(F.first("top").alias("top"), F.max(F.struct("met", "token"))["token"].alias("home")))
+    parts = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    placed = cut(homes.join(parts, "home").select("node", "top", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("chunk")))
+    held = cut(members.select("token", "node").join(placed, "node").select("token", "chunk").distinct())
+    marks = [F.bit_xor(F.xxhash64("chunk", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    alike = held.groupBy("token").agg(F.count(F.lit(1)).alias("chunks"), *marks).where("chunks > 1")
+    unlike = alike.groupBy("chunks", "mark0", "mark1").agg(F.min("token").alias("token")).select("token")  # of tokens with the same chunks one
+    open_ = cut(held.join(unlike, "token", "left_semi"))
+    x, y = open_.select("token", F.col("chunk").alias("x")), open_.select("token", F.col("chunk").alias("y"))
+    met = x.join(y, "token").where("x < y").select("x", "y")
+    return placed, met.union(placed.select(F.col("chunk").alias("x"), F.col("chunk").alias("y"))).distinct()
+
+
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of a shares with each of b."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in (a, b)]
+    both = np.intersect1d(*flat)
+    if not len(both):
+        return out
+    places = []
+    for sets, values in zip((a, b), flat, strict=True):
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        known = both[at] == values
+        places.append((np.repeat(np.arange(len(sets)), [len(x) for x in sets])[known], at[known]))
+    for start in range(0, len(both), COLUMNS):
+        ones = []
+        for sets, (row, column) in zip((a, b), places, strict=True):
+            here = (column >= start) & (column < start + COLUMNS)
+            ones.append(np.zeros((len(sets), min(COLUMNS, len(both) - start)), np.float32))
+            ones[-1][row[here], column[here] - start] = 1
+        out += ones[0] @ ones[1].T
+    return out
+
+
+Side = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
+
+
+def joining(a: Side, b: Side, least: float = SIMILAR) -> Iterator[tuple[int, int, bool]]:
+    """u, v, sure: pairs of unlike tops between (nodes, tops, sizes, sets) a and b that are similar, enough of them for the same components, and those that may be (not sure).
+
+    Sets are whole; those of over `SKETCH` values are sketches.
+    """
+    (nodes, tops, ns, own), (others, other_tops, ms, theirs) = a, b
+    whole, other_whole = ns <= SKETCH, ms <= SKETCH
+    fits = np.maximum.outer(ns, ms) * least <= np.minimum.outer(ns, ms) + 1e-6
+    fits &= (tops[:, None] != other_tops[None, :]) & (nodes[:, None] != others[None, :])
+    none = np.zeros(0, np.uint64)
+    both = shared([x if w else none for x, w in zip(own, whole, strict=True)], [x if w else none for x, w in zip(theirs, other_whole, strict=True)]).astype(np.float64)
+    known = whole[:, None] & other_whole[None, :]
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while (up := root.get(k, k)) != k:
+            root[k] = root.get(up, up)
+            k = up
+        return k
+
+    for i, j in np.argwhere(fits & known & (both >= least * (ns[:, None] + ms[None, :] - both) - 1e-9)):
+        s, t = find(int(tops[i])), find(int(other_tops[j]))
+        if s != t:
+            root[max(s, t)] = min(s, t)
+            yield int(nodes[i]), int(others[j]), True
+    cut_down = lambda x, w: sketch_of(x) if w else x
+    open_ = []
+    for i, j in np.argwhere(fits & ~known):
+        s, t = find(int(tops[i])), find(int(other_tops[j]))
+        if s == t:
+            continue
+        value, n = likeness(cut_down(own[i], whole[i]), cut_down(theirs[j], other_whole[j]))
+        apart = DEVIATIONS * (least * (1 - least) / max(1, n)) ** 0.5
+        if value >= least + apart:
+            root[max(s, t)] = min(s, t)
+            yield int(nodes[i]), int(others[j]), True
+        elif value >= least - apart:
+            open_.append((i, j))
+    for i, j in open_:
+        if find(int(tops[i])) != find(int(other_tops[j])):
+            yield int(nodes[i]), int(others[j]), False
+
+
+def crowded_links(members: DataFrame, rows: DataFrame, shingle: int, least: float = SIMILAR, block: int = BLOCK) -> DataFrame:
+    """u, v, sure: the links, and pairs that may be (not sure), between unlike tops of members(token, node, top, met) that share a token; rows(row, text)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in raw_texts(batches, "row", 64):
+            sets = [shingle_set(t, shingle) for t in texts]
+            own = [(s if len(s) <= SKETCH else sketch_of(s)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary())], ["node", "n", "own"])
+
+    def side(value: pa.ListScalar) -> Side:
+        nodes, tops, ns, own = value.values.flatten()
+        ns = ns.to_numpy()
+        return nodes.to_numpy(), tops.to_numpy(), ns, [np.frombuffer(x.as_buffer(), np.uint64 if n <= SKETCH else np.uint32) for x, n in zip(own, ns, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                found = list(joining(side(a), side(b), least))
+                u, v, sure = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure, pa.bool_())], ["u", "v", "sure"])
+
+    placed, pairs = chunk_pairs(members, block)
+    nodes = placed.select(F.col("node").alias("row"))
+    sets = within(rows.select("row", "text"), nodes, "left_semi").mapInArrow(read, "node long, n long, own binary")
+    chunks = cut(placed.join(sets, "node").groupBy("chunk").agg(F.collect_list(F.struct("node", "top", "n", "own")).alias("held")))
+    met = pairs.join(chunks.select(F.col("chunk").alias("x"), F.col("held").alias("a")), "x").join(chunks.select(F.col("chunk").alias("y"), F.col("held").alias("b")), "y")
+    return met.select("a", "b").mapInArrow(run, "u long, v long, sure boolean")
+
+
 def judged(pairs: DataFrame, rows: DataFrame, shingle: int, least: float = SIMILAR) -> DataFrame:
     """u, v, sure: pairs(u, v) that are similar by the sketches of rows(row, text), or may be (not sure). Only texts of rows in a pair are read again."""
 
@@ -372,22 +491,24 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = SIMILAR, dense: i
     by_fp = cut(heads.groupBy("fp").agg(F.min("node").alias("node")))
     same = heads.select("fp", F.col("node").alias("u")).join(by_fp.select("fp", F.col("node").alias("v")), "fp").where("u <> v").select("u", "v")
 
-    def judge(pairs: DataFrame) -> DataFrame:
-        told = cut(judged(pairs, rows, shingle, least))
+    def settled(told: DataFrame) -> DataFrame:
         near = told.where("not sure").select("u", "v")
         return told.where("sure").select("u", "v") if near.isEmpty() else cut(told.where("sure").select("u", "v").union(confirmed(near, rows, shingle, least)))
 
     entries = prefixes(rows.where("doc_id is not null"), shingle, frequent(marked), least)
-    shared = entries.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("met > 1").drop("met")
-    members = cut(shared.join(heads.select("node"), "node", "left_semi"))
+    several = entries.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("met > 1").drop("met")
+    members = cut(several.join(heads.select("node"), "node", "left_semi"))
     lowest = F.min(F.struct("node", "n")).over(Window.partitionBy("token"))
     met = members.withColumn("low", lowest).select(F.col("node").alias("u"), "n", F.col("low.node").alias("v"), F.col("low.n").alias("m")).where("u <> v")
     starred = met.groupBy("u", "n", "v", "m").agg(F.count(F.lit(1)).alias("c")).where(may_be_similar(F.col("c"), F.col("n"), F.col("m"), least))
     to_first = starred.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
-    close = judge(cut(links(by_fp, dense).select("u", "v").union(same).union(to_first).distinct()))
+    close = settled(cut(judged(cut(links(by_fp, dense).select("u", "v").union(same).union(to_first).distinct()), rows, shingle, least)))
     found = cut(star_components(close))
     tops = members.join(found, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("top"))
-    more = judge(cut(prefix_pairs(tops, least)))
+    meet = tops.groupBy("token").agg(F.count(F.lit(1)).alias("met"), F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("token", "met")
+    open_ = cut(tops.join(meet, "token"))
+    few = judged(cut(prefix_pairs(open_.where(F.col("met") <= CROWD), least)), rows, shingle, least)
+    more = settled(cut(few.union(crowded_links(open_.where(F.col("met") > CROWD), rows, shingle, least))))
     found = found if more.isEmpty() else cut(star_components(close.union(more)))
     groups = heads.join(found, "node", "left").select(F.col("node").alias("row"), "doc_id", F.coalesce("component", "node").alias("group"))
     kept = groups.groupBy("group").agg(first).select(F.col("first.row").alias("row"))

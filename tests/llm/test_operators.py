@@ -219,6 +219,48 @@ def test_prefixes_in_any_order_meet_all_similar_pairs(spark, late):
     assert len(similar) > 50 and similar <= found
 
 
+def test_crowded_texts_below_the_limit_make_few_rows(spark, monkeypatch):
+    """300 texts of one origin, most pairs just below 0.8: links alone leave the tasks, not pairs."""
+    rng, seen = random.Random(8), []
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for at in rng.sample(range(150), 3):
+            words[at] = f"x{rng.getrandbits(40):x}"
+        texts.append(" ".join(words))
+    whole = simhash.judged
+    monkeypatch.setattr(simhash, "judged", lambda pairs, *a: seen.append(pairs.count()) or whole(pairs, *a))
+    kept = sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect())
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    top = list(range(300))
+    for a, b in itertools.combinations(range(300), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((top[a], top[b]))
+            top = [low if t == high else t for t in top]
+    assert kept == sorted(set(top)) and 1 < len(kept) < 300 and sum(seen) < 3000
+
+
+@pytest.mark.parametrize("most", [1024, 20])
+def test_chunks_give_links_of_all_components(monkeypatch, most):
+    """Sure links are similar, and with the open pairs they connect what all similar pairs connect; sketches too."""
+    monkeypatch.setattr(simhash, "SKETCH", most)
+    rng = np.random.default_rng(most)
+    base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: 60 - k % 9], rng.integers(0, 1 << 63, k % 7).astype(np.uint64)])) for k in range(80)]
+    side = lambda at: (np.array(at), np.array(at), np.array([len(sets[k]) for k in at]), [sets[k] if len(sets[k]) <= most else simhash.sketch_of(sets[k]) for k in at])
+    a, b = side(range(40)), side(range(40, 80))
+    found = list(simhash.joining(a, b))
+    similar = {(i, j) for i in range(40) for j in range(40, 80) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert {(u, v) for u, v, sure in found if sure} <= similar
+    top = list(range(80))
+    for u, v, _ in found:
+        low, high = sorted((top[u], top[v]))
+        top = [low if t == high else t for t in top]
+    assert similar and all(top[u] == top[v] for u, v in similar)
+    assert most < 60 or len(found) < 80
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "u long, v long")
     assert {r.component for r in simhash.star_components(edges).collect()} == {0}
