@@ -22,7 +22,8 @@ n and m are (`prefix_pairs`). No similar pair is left out, whatever the order is
 last (`frequent`), so that few texts meet by those; it decides how much work there is and nothing else. Pairs that links have
 joined already are not compared.
 
-A shingle that more than `CROWD` open texts have makes no pairs. Each of those texts goes to a chunk of at most about `BLOCK` texts by its
+A shingle that more than `CROWD` open texts have makes no pairs. Of those texts only the ones go on that share 0.8 of their whole
+set with texts of other groups (`reachable`; no other can be similar to one), most of them with that share alone. Each goes to a chunk of at most about `BLOCK` texts by its
 most crowded shingle; chunks that hold a crowded shingle in common meet once as two rows of sets, and a task compares their
 texts by a product of 0/1 matrices. What leaves the task are the links that join groups, no more of them than there are texts.
 A group of N texts that stay below the limit thus costs (N / `BLOCK`)^2 / 2 rows; its comparisons still grow with N^2.
@@ -389,19 +390,45 @@ def joining(a: Side, b: Side, least: float = SIMILAR) -> Iterator[tuple[int, int
             yield int(nodes[i]), int(others[j]), False
 
 
+def reachable(nodes: DataFrame, rows: DataFrame, shingle: int, least: float = SIMILAR) -> DataFrame:
+    """node, top, n, own array<long>: those of nodes(node, top) that can be similar to one of an unlike top, with the shingles that one of those has too; rows(row, text).
+
+    Two sets share no more than what each of them shares with any text of an unlike top; a set of n shingles that is similar to
+    another shares `least` * n with it.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in raw_texts(batches, "key", 64):
+            sets = [shingle_set(t, shingle).view(np.int64) for t in texts]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys.field(0), keys.field(1), pa.array([len(s) for s in sets], pa.int64()), lists], ["node", "top", "n", "own"])
+
+    texts = within(rows.select("row", "text"), nodes.select(F.col("node").alias("row"), "top"), "inner")
+    sets = texts.select(F.struct("row", "top").alias("key"), "text").mapInArrow(read, "node long, top long, n long, own array<long>")
+    token = Window.partitionBy("token")
+    held = sets.select("node", "top", "n", F.explode("own").alias("token")).withColumns({"low": F.min("top").over(token), "high": F.max("top").over(token)})
+    live = held.where("low <> high").groupBy("node").agg(F.first("top").alias("top"), F.first("n").alias("n"), F.collect_list("token").alias("own"))
+    return live.where(F.size("own") >= F.col("n") * least - 1e-6)
+
+
 def crowded_links(members: DataFrame, rows: DataFrame, shingle: int, least: float = SIMILAR, block: int = BLOCK) -> DataFrame:
-    """u, v, sure: the links, and pairs that may be (not sure), between unlike tops of members(token, node, top, met) that share a token; rows(row, text)."""
+    """u, v, sure: the links, and pairs that may be (not sure), between unlike tops of members(token, node, top, met) that share a token; rows(row, text).
+
+    Only `reachable` texts go to chunks, with their shared shingles alone where no sketch may be compared with their set.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in raw_texts(batches, "row", 64):
             sets = [shingle_set(t, shingle) for t in texts]
-            own = [(s if len(s) <= SKETCH else sketch_of(s)).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.binary())], ["node", "n", "own"])
+            own = pa.array([s.view(np.int64) if len(s) <= SKETCH else None for s in sets], pa.list_(pa.int64()))
+            sketches = pa.array([sketch_of(s).tobytes() if len(s) > SKETCH else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, own, sketches], ["node", "whole", "sketch"])
 
     def side(value: pa.ListScalar) -> Side:
-        nodes, tops, ns, own = value.values.flatten()
+        nodes, tops, ns, own, sketches = value.values.flatten()
         ns = ns.to_numpy()
-        return nodes.to_numpy(), tops.to_numpy(), ns, [np.frombuffer(x.as_buffer(), np.uint64 if n <= SKETCH else np.uint32) for x, n in zip(own, ns, strict=True)]
+        sets = [x.values.to_numpy().view(np.uint64) if n <= SKETCH else np.frombuffer(s.as_buffer(), np.uint32) for x, s, n in zip(own, sketches, ns, strict=True)]
+        return nodes.to_numpy(), tops.to_numpy(), ns, sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,10 +437,13 @@ def crowded_links(members: DataFrame, rows: DataFrame, shingle: int, least: floa
                 u, v, sure = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure, pa.bool_())], ["u", "v", "sure"])
 
-    placed, pairs = chunk_pairs(members, block)
-    nodes = placed.select(F.col("node").alias("row"))
-    sets = within(rows.select("row", "text"), nodes, "left_semi").mapInArrow(read, "node long, n long, own binary")
-    chunks = cut(placed.join(sets, "node").groupBy("chunk").agg(F.collect_list(F.struct("node", "top", "n", "own")).alias("held")))
+    live = cut(reachable(members.select("node", "top").distinct(), rows, shingle, least))
+    long = F.col("n") > least * SKETCH  # may meet a sketch
+    placed, pairs = chunk_pairs(within(members, live.select("node"), "left_semi", "node"), block)
+    again = within(rows.select("row", "text"), live.where(long).select(F.col("node").alias("row")), "left_semi").mapInArrow(read, "node long, whole array<long>, sketch binary")
+    sets = live.select("node", "n", F.when(~long, F.col("own")).alias("own")).join(again, "node", "left")
+    sets = sets.select("node", "n", F.coalesce("own", "whole").alias("own"), "sketch")
+    chunks = cut(placed.join(sets, "node").groupBy("chunk").agg(F.collect_list(F.struct("node", "top", "n", "own", "sketch")).alias("held")))
     met = pairs.join(chunks.select(F.col("chunk").alias("x"), F.col("held").alias("a")), "x").join(chunks.select(F.col("chunk").alias("y"), F.col("held").alias("b")), "y")
     return met.select("a", "b").mapInArrow(run, "u long, v long, sure boolean")
 

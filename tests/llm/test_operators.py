@@ -241,6 +241,23 @@ def test_crowded_texts_below_the_limit_make_few_rows(spark, monkeypatch):
     assert kept == sorted(set(top)) and 1 < len(kept) < 300 and sum(seen) < 3000
 
 
+def test_texts_that_share_a_crowded_part_alone_go_to_no_chunk(spark, monkeypatch):
+    """120 texts with 60 % in common, ordered by hash alone; of a text of 300 words and one of 1,300 a near copy each, and both are found."""
+    rng, seen = random.Random(9), []
+    own = lambda n: [f"x{rng.getrandbits(60):x}" for _ in range(n)]
+    common = [f"w{k}" for k in range(60)]
+    lists = [common + own(40) for _ in range(120)] + [common + own(240), common + own(1240)]
+    lists += [[*words[:-9], *own(9)] for words in lists[-2:]]
+    texts = [" ".join(words) for words in lists]
+    whole = simhash.chunk_pairs
+    monkeypatch.setattr(simhash, "OFTEN", 1 << 30)
+    monkeypatch.setattr(simhash, "may_be_similar", lambda *a: F.lit(False))  # leaves all pairs to the chunks
+    monkeypatch.setattr(simhash, "chunk_pairs", lambda members, *a: seen.append({r.node for r in members.select("node").distinct().collect()}) or whole(members, *a))
+    kept = sorted(r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect())
+    assert kept == list(range(122))
+    assert [len(nodes) for nodes in seen] == [4]
+
+
 @pytest.mark.parametrize("most", [1024, 20])
 def test_chunks_give_links_of_all_components(monkeypatch, most):
     """Sure links are similar, and with the open pairs they connect what all similar pairs connect; sketches too."""
