@@ -23,9 +23,9 @@ last (`frequent`), so that few texts meet by those; it decides how much work the
 joined already are not compared.
 
 A shingle that more than `CROWD` open texts have makes no pairs. Of those texts only the ones go on that share 0.8 of their whole
-set with texts of other groups (`reachable`; no other can be similar to one), most of them with that share alone. Each goes to a chunk of at most about `BLOCK` texts by its
-most crowded shingle; chunks that hold a crowded shingle in common meet once as two rows of sets, and a task compares their
-texts by a product of 0/1 matrices. What leaves the task are the links that join groups, no more of them than there are texts.
+set with texts of other groups (`reachable`; no other can be similar to one), most of them with that share alone. Each goes to a
+chunk of at most about `BLOCK` texts by its most crowded shingle; chunks that hold a crowded shingle in common meet once as two
+rows of sets, and a task compares their texts by a product of 0/1 matrices. What leaves the task are the links that join groups, no more of them than there are texts.
 A group of N texts that stay below the limit thus costs (N / `BLOCK`)^2 / 2 rows; its comparisons still grow with N^2.
 
 A candidate is judged by sketches, the `SKETCH` smallest hashes of each set: they are the whole sets of texts of up to that
