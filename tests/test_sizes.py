@@ -71,3 +71,8 @@ def test_radii_send_no_cells_to_the_driver(spark):
     balls = [r for r in rows if r[:2] in maximal]
     want = {v[:2]: max(d) for v in rows if (d := [b[5] for b in balls if b[0] == v[0] and sum((x - y) ** 2 for x, y in zip(b[2:5], v[2:5], strict=True)) <= (b[5] + 0.5) ** 2])}
     assert {(r.plant_id, r.node_id): r.radius for r in found.collect()} == want
+
+
+def test_conductance_broadcasts_no_radii(spark):
+    _, dt = solid(spark)
+    assert "Broadcast" not in plan(graph.conductance(dt, components.cut(dt.select("plant_id", "node_id", (dt.dt + 1).alias("radius")))))
