@@ -76,3 +76,10 @@ def test_radii_send_no_cells_to_the_driver(spark):
 def test_conductance_broadcasts_no_radii(spark):
     _, dt = solid(spark)
     assert "Broadcast" not in plan(graph.conductance(dt, components.cut(dt.select("plant_id", "node_id", (dt.dt + 1).alias("radius")))))
+
+
+def test_travel_times_broadcast_no_edges(spark):
+    _, dt = solid(spark)
+    e, radius = components.cut(graph.edges(dt)), components.cut(dt.select("plant_id", "node_id", (dt.dt + 1).alias("radius")))
+    found = graph.reweighted(e, dt, radius, 3.0, 0.05)
+    assert "Broadcast" not in plan(found) and found.count() == e.count()
