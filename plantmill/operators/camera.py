@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from plantmill.functions.vec import dot3, vec
 
+XYZ = ("x", "y", "z")
+
 
 @dataclass(frozen=True)
 class BoxParams:
@@ -42,19 +44,24 @@ def bounding_boxes(frames: DataFrame, params: BoxParams = BoxParams()) -> DataFr
     )
 
 
-def _centres(grids: DataFrame, counts: list[Column]) -> DataFrame:
+def _centres(grids: DataFrame, counts: list[Column], keep: tuple[str, ...] = ()) -> DataFrame:
     """Slices are dealt over the session's shuffle partitions before they grow, so that few plants keep all cores busy."""
     parts = int(grids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = grids.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), counts[2] - 1))).repartition(parts, "plant_id", "k")
+    dealt = ["plant_id", "k", *(c for c in keep if c == "frame_idx")]
+    out = grids.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), counts[2] - 1))).repartition(parts, *dealt)
     for axis, n in zip("ij", counts, strict=False):
         out = out.withColumn(axis, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     at = [(F.col(o) + (F.col(a) + 0.5) * F.col("voxel_size")).alias(c) for o, a, c in zip(("ox", "oy", "oz"), "ijk", "xyz", strict=True)]
-    return out.select("plant_id", "i", "j", "k", *at)
+    return out.select("plant_id", "i", "j", "k", *at, *keep)
+
+
+def _sides() -> list[Column]:
+    return [(F.floor(F.col(w) / F.col("voxel_size")) + 1).cast("long") for w in ("wx", "wy", "wz")]
 
 
 def voxels_from_bbox(grids: DataFrame) -> DataFrame:
     """Voxel centres of boxes: floor(width / size) + 1 along each axis, the far end included."""
-    return _centres(grids, [(F.floor(F.col(w) / F.col("voxel_size")) + 1).cast("long") for w in ("wx", "wy", "wz")])
+    return _centres(grids, _sides())
 
 
 def voxels_from_dims(grids: DataFrame) -> DataFrame:
@@ -71,11 +78,23 @@ def grid_bounds(voxels: DataFrame, voxel_size: float) -> DataFrame:
 def project(points: DataFrame, frames: DataFrame, to_pixel: bool = True) -> DataFrame:
     """points x the frames of their plant, where the point is in front of the camera: sub-pixel u, v, or 1-based row, col.
 
-    With to_pixel, points outside the sensor give no row. The frames of a plant are an equi-join by plant; Spark sends
-    them to all tasks where their size allows, else it sorts and splits large plants.
+    With to_pixel, points outside the sensor give no row. Points and frames are sorted and merged by plant, large plants split:
+    Spark takes points that are made by generators for as few as the rows that they come from, and would send them to all tasks.
     """
-    met = points.join(frames, "plant_id")
-    p = vec("x", "y", "z")
+    return _seen(points.join(frames.hint("merge"), "plant_id"), points.columns, to_pixel)
+
+
+def project_voxels(grids: DataFrame, frames: DataFrame, to_pixel: bool = True) -> DataFrame:
+    """`project` of the voxel centres of boxes, with plant_id, i, j, k: boxes meet their frames before they grow to voxels, which are never shuffled."""
+    met = grids.join(frames.hint("merge"), "plant_id")
+    keep = [c for c in frames.columns if c != "plant_id"]
+    keys = ["plant_id", "i", "j", "k", *XYZ]
+    return _seen(_centres(met, _sides(), tuple(keep)), keys, to_pixel).drop(*XYZ)
+
+
+def _seen(met: DataFrame, keys: list[str], to_pixel: bool) -> DataFrame:
+    """met(keys, x, y, z, ...) with the camera of a frame in each row: where the point lies in the frame."""
+    p = vec(*XYZ)
     depth = dot3(vec("r31", "r32", "r33"), p) + F.col("t3")
     # A generator of one row keeps what it makes: the filters and columns after it do not compute it again.
     met = met.select("*", F.inline(F.array(F.struct(depth.alias("_d"))))).where("_d > 0")
@@ -87,7 +106,6 @@ def project(points: DataFrame, frames: DataFrame, to_pixel: bool = True) -> Data
     radial = 1 + F.col("k1") * r2 + F.col("k2") * r2 * r2
     u = F.col("fx") * (a * radial + 2 * F.col("p1") * a * b + F.col("p2") * (r2 + 2 * a * a)) + F.col("cx")
     v = F.col("fy") * (b * radial + F.col("p1") * (r2 + 2 * b * b) + 2 * F.col("p2") * a * b) + F.col("cy")
-    keys = [c for c in points.columns]
     met = met.select(*keys, "frame_idx", "width", "height", F.inline(F.array(F.struct(u.alias("u"), v.alias("v")))))
     if not to_pixel:
         return met.select(*keys, "frame_idx", "u", "v")

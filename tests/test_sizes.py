@@ -5,7 +5,10 @@ import random
 
 import pytest
 
-from plantmill.operators import components, curves, graph
+from plantmill.operators import camera, components, curves, graph
+from plantmill.sources.tables import load
+
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -83,3 +86,8 @@ def test_travel_times_broadcast_no_edges(spark):
     e, radius = components.cut(graph.edges(dt)), components.cut(dt.select("plant_id", "node_id", (dt.dt + 1).alias("radius")))
     found = graph.reweighted(e, dt, radius, 3.0, 0.05)
     assert "Broadcast" not in plan(found) and found.count() == e.count()
+
+
+def test_points_made_by_generators_are_not_broadcast(spark):
+    grids, frames = load(spark, SF, "grids"), load(spark, SF, "frames")
+    assert "BroadcastHashJoin" not in plan(camera.project(camera.voxels_from_bbox(grids), frames, to_pixel=False))
