@@ -91,3 +91,13 @@ def test_travel_times_broadcast_no_edges(spark):
 def test_points_made_by_generators_are_not_broadcast(spark):
     grids, frames = load(spark, SF, "grids"), load(spark, SF, "frames")
     assert "BroadcastHashJoin" not in plan(camera.project(camera.voxels_from_bbox(grids), frames, to_pixel=False))
+
+
+def test_voxels_grow_after_their_frames_are_met(spark):
+    grids, frames = load(spark, SF, "grids"), load(spark, SF, "frames")
+    for to_pixel in (False, True):
+        found, want = camera.project_voxels(grids, frames, to_pixel), camera.project(camera.voxels_from_bbox(grids), frames, to_pixel).drop("x", "y", "z")
+        text = plan(found)
+        assert "BroadcastHashJoin" not in text and found.columns == want.columns
+        assert text.rindex("Generate explode") < text.index("SortMergeJoin")
+        assert found.count() == want.count() and found.exceptAll(want).isEmpty()
