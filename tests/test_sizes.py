@@ -4,8 +4,11 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from plantmill.jobs import catalog
 from plantmill.operators import camera, components, curves, graph
+from plantmill.sources import tables
 from plantmill.sources.tables import load
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +104,12 @@ def test_voxels_grow_after_their_frames_are_met(spark):
         assert "BroadcastHashJoin" not in text and found.columns == want.columns
         assert text.rindex("Generate explode") < text.index("SortMergeJoin")
         assert found.count() == want.count() and found.exceptAll(want).isEmpty()
+
+
+def test_image_bytes_are_laid_in_one_pass(spark):
+    """A map is searched from its beginning for each key, which was quadratic in an image's pixels."""
+    found = catalog.s6_image_pixels(spark, SF)
+    assert "map_from_entries" not in plan(found)
+    image = load(spark, SF, "pixels")
+    first = image.select("plant_id", "frame_idx").first()
+    assert found.where((F.col("plant_id") == first[0]) & (F.col("frame_idx") == first[1])).count() == tables.ROWS * tables.COLS
